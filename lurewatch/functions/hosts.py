@@ -34,9 +34,10 @@ def strip_ws(c: Column) -> Column:
 
 def normalize_host(c: Column) -> Column:
     """Bare lower-case host from a URL / wildcard / host:port string, '' if invalid."""
+    # each step reads the previous one once, so the expression stays linear (codegen-friendly)
     s = F.lower(strip_ws(F.coalesce(c, F.lit(""))))
-    s = F.when(s.startswith("*."), F.substr(s, F.lit(3))).otherwise(s)
-    s = F.when(s.contains("://"), F.substring_index(F.substr(s, F.instr(s, "://") + 3), "/", 1)).otherwise(s)
+    s = F.regexp_replace(s, "^\\*\\.", "")                      # one leading '*.'
+    s = F.regexp_replace(s, "(?s)^.*?://([^/]*).*$", "$1")         # after the first '://', up to '/'
     s = F.substring_index(s, ":", 1)
     ok = (s != "") & s.contains(".") & s.rlike(HOST_RE)
     return F.when(ok, s).otherwise(F.lit(""))
