@@ -315,3 +315,269 @@ def q_https_login(spark, sf_dir):
     r = H.https_login(RuleContext(R, _as_of()))
     return df.select("n", F.col("f.password").alias("password"),
                      F.col("final_url").startswith("http://").alias("plain_http"), r["suspicious"].alias("https_login"))
+
+
+# ---------------------------------------------------------------------------
+# Capture roll-ups (D1-D17) over the capture views
+# ---------------------------------------------------------------------------
+
+def _caps(spark, sf_dir):
+    from lurewatch.plans.fixtures import driver_captures
+    return driver_captures(spark, sf_dir)
+
+
+def _hist_sql(hops: str) -> str:
+    return (f"array_to_string(list_transform(range(1, {hops} + 1), "
+            "lambda k: CASE WHEN k % 2 = 1 THEN 301 ELSE 302 END), ',')")
+
+
+@query("capture_pair", f"""
+SELECT host,
+  CAST(max(status) FILTER (WHERE variant = 'primary') AS INTEGER) AS p_status,
+  CAST(max(status) FILTER (WHERE variant = 'alternative') AS INTEGER) AS a_status,
+  max({_hist_sql('hops')}) FILTER (WHERE variant = 'primary') AS p_history,
+  CAST(max(length(html)) FILTER (WHERE variant = 'alternative') AS INTEGER) AS a_len,
+  max(CASE WHEN variant = 'robots' AND status = 200 AND coalesce(html, '') <> '' THEN html END) AS robots
+FROM v_http GROUP BY host""", ("v_http",))
+def q_capture_pair(spark, sf_dir):
+    from lurewatch.operators.captures import capture_pair
+    pair = capture_pair(_caps(spark, sf_dir).http)
+    return pair.select("host", F.col("primary.status").alias("p_status"), F.col("alternative.status").alias("a_status"),
+                       F.array_join(F.col("primary.history"), ",").alias("p_history"),
+                       F.length(F.col("alternative.html")).alias("a_len"), "robots")
+
+
+_DNS_OK = "rcode IN ('NOERROR', 'NODATA') AND rdata IS NOT NULL"
+
+
+def _dns_list(cond: str) -> str:
+    return f"string_agg(rdata, ',' ORDER BY pos, rdata) FILTER (WHERE {cond} AND {_DNS_OK})"
+
+
+_DNS_AGG = f"""dagg AS (
+  SELECT host,
+    {_dns_list("qname = host AND rdtype = 'A'")} AS a,
+    {_dns_list("qname = host AND rdtype = 'AAAA'")} AS aaaa,
+    {_dns_list("qname = host AND rdtype = 'MX'")} AS mx,
+    {_dns_list("qname = host AND rdtype = 'NS'")} AS ns,
+    {_dns_list("qname = host AND rdtype = 'TXT' AND contains(lower(rdata), 'spf1')")} AS spf,
+    {_dns_list("qname = '_dmarc.' || host AND rdtype = 'TXT' AND contains(rdata, 'DMARC1')")} AS dmarc,
+    CAST(min(ttl) FILTER (WHERE qname = host AND rdtype IN ('A', 'AAAA') AND {_DNS_OK}) AS INTEGER) AS ttl,
+    min(rcode || ': ' || qname) FILTER (WHERE rcode NOT IN ('NOERROR', 'NODATA')) AS err
+  FROM v_dns GROUP BY host),
+dsnap AS (
+  SELECT host, CASE WHEN err IS NULL THEN coalesce(a, '') ELSE '' END AS a_records,
+    CASE WHEN err IS NULL THEN coalesce(aaaa, '') ELSE '' END AS aaaa_records,
+    CASE WHEN err IS NULL THEN coalesce(mx, '') ELSE '' END AS mx,
+    CASE WHEN err IS NULL THEN coalesce(ns, '') ELSE '' END AS ns,
+    CASE WHEN err IS NULL THEN coalesce(spf, '') ELSE '' END AS spf,
+    CASE WHEN err IS NULL THEN coalesce(dmarc, '') ELSE '' END AS dmarc,
+    CASE WHEN err IS NULL THEN ttl END AS ttl_min, err AS error
+  FROM dagg)"""
+
+
+@query("dns_rollup", f"WITH {_DNS_AGG} SELECT * FROM dsnap", ("v_dns",))
+def q_dns_rollup(spark, sf_dir):
+    from lurewatch.operators.captures import dns_snapshot
+    snap = dns_snapshot(_caps(spark, sf_dir).dns_records)
+    lists = ["a_records", "aaaa_records", "mx", "ns", "spf", "dmarc"]
+    return snap.select("host", *[F.array_join(c, ",").alias(c) for c in lists], "ttl_min", "error")
+
+
+_PTR = f"""{_DNS_AGG},
+arows AS (SELECT d.host, d.pos, d.rdata FROM v_dns d JOIN dagg g ON g.host = d.host
+          WHERE g.err IS NULL AND d.qname = d.host AND d.rdtype = 'A' AND d.rcode IN ('NOERROR', 'NODATA')
+            AND d.rdata IS NOT NULL),
+pt AS (SELECT a.host, p.target, min(a.pos) AS fp FROM arows a JOIN v_ptr p ON p.ip = a.rdata GROUP BY a.host, p.target),
+pagg AS (SELECT host, string_agg(target, ',' ORDER BY fp, target) AS ptrs FROM pt GROUP BY host)"""
+
+
+@query("ptr_rollup", f"""
+WITH {_PTR}
+SELECT s.host, CAST(CASE WHEN s.a_records = '' THEN 0 ELSE len(string_split(s.a_records, ',')) END AS INTEGER) AS n_a,
+       coalesce(pagg.ptrs, '') AS ptrs
+FROM dsnap s LEFT JOIN pagg ON pagg.host = s.host""", ("v_dns", "v_ptr"))
+def q_ptr_rollup(spark, sf_dir):
+    from lurewatch.operators.captures import dns_info
+    c = _caps(spark, sf_dir)
+    d = dns_info(c.dns_records, c.ptr_records)
+    return d.select("host", F.size("dns.a_records").alias("n_a"), F.array_join("dns.ptr_records", ",").alias("ptrs"))
+
+
+_CERT = """cf AS (
+  SELECT host, error,
+    CASE WHEN error IS NULL THEN [x FOR x IN CAST(json_extract(body, '$.subject') AS VARCHAR[][][])
+                                 IF x[1][1] = 'commonName'][1][1][2] END AS cn,
+    CASE WHEN error IS NULL THEN [x FOR x IN CAST(json_extract(body, '$.subject') AS VARCHAR[][][])
+                                 IF x[1][1] = 'organizationName'][1][1][2] END AS org,
+    CASE WHEN error IS NULL THEN array_to_string([x[2] FOR x IN CAST(json_extract(body, '$.subjectAltName')
+                                 AS VARCHAR[][])], ',') ELSE '' END AS san,
+    CASE WHEN error IS NULL THEN json_extract_string(body, '$.notBefore') END AS not_before
+  FROM v_cert)"""
+
+
+@query("cert_fields", f"WITH {_CERT} SELECT host, cn, org, san, not_before, error FROM cf", ("v_cert",))
+def q_cert_fields(spark, sf_dir):
+    from lurewatch.operators.captures import cert_fields
+    c = cert_fields(_caps(spark, sf_dir).cert)
+    return c.select("host", F.col("cert.cn").alias("cn"), F.col("cert.org").alias("org"),
+                    F.array_join("cert.san", ",").alias("san"), F.col("cert.not_before").alias("not_before"),
+                    F.col("cert.error").alias("error"))
+
+
+_RDAP = """rd AS (
+  SELECT host, e AS error, CASE WHEN e IS NULL THEN created END AS created,
+         CASE WHEN e IS NULL THEN registrar END AS registrar
+  FROM (
+    SELECT host,
+      CASE WHEN status <> 200 OR coalesce(body, '') = '' THEN 'http_status=' || CAST(status AS VARCHAR)
+           WHEN NOT json_valid(body) THEN 'invalid json'
+           WHEN json_type(body) <> 'OBJECT' THEN 'unexpected json' END AS e,
+      CASE WHEN json_valid(body) THEN json_extract_string(
+        [x FOR x IN coalesce(CAST(json_extract(body, '$.events') AS JSON[]), [])
+         IF json_extract_string(x, '$.eventAction') = 'registration'][1], '$.eventDate') END AS created,
+      CASE WHEN json_valid(body) THEN json_extract_string(
+        [f FOR f IN coalesce(CAST(json_extract(
+          [x FOR x IN coalesce(CAST(json_extract(body, '$.entities') AS JSON[]), [])
+           IF list_contains(coalesce(CAST(json_extract(x, '$.roles') AS VARCHAR[]), []), 'registrar')][1],
+          '$.vcardArray[1]') AS JSON[]), [])
+         IF json_extract_string(f, '$[0]') = 'fn'][1], '$[3]') END AS registrar
+    FROM v_rdap) t)"""
+
+
+@query("rdap_fields", f"WITH {_RDAP} SELECT host, created, registrar, error FROM rd", ("v_rdap",))
+def q_rdap_fields(spark, sf_dir):
+    from lurewatch.operators.captures import rdap_fields
+    r = rdap_fields(_caps(spark, sf_dir).rdap, key="host")
+    return r.select("host", F.col("registration.created").alias("created"),
+                    F.col("registration.registrar").alias("registrar"), F.col("registration.error").alias("error"))
+
+
+_FAV = """fv AS (
+  SELECT host, CASE WHEN status = 200 AND content <> '' THEN sha1(content) END AS sha1,
+         CASE WHEN NOT (status = 200 AND content <> '') THEN 'http_status=' || CAST(status AS VARCHAR) END AS error
+  FROM v_favicon)"""
+
+
+@query("favicon_sha1", f"WITH {_FAV} SELECT host, sha1, error FROM fv", ("v_favicon",))
+def q_favicon_sha1(spark, sf_dir):
+    from lurewatch.operators.captures import favicon_fields
+    f = favicon_fields(_caps(spark, sf_dir).favicon)
+    return f.select("host", F.col("favicon.sha1").alias("sha1"), F.col("favicon.error").alias("error"))
+
+
+_CNAME = """e AS (SELECT src, min(target) AS target FROM v_cname GROUP BY src),
+walk AS (
+  SELECT p.host, 0 AS hop, e.target FROM v_pages p JOIN e ON e.src = p.host
+  UNION ALL
+  SELECT w.host, w.hop + 1, e.target FROM walk w JOIN e ON e.src = rtrim(w.target, '.') WHERE w.hop < 9),
+chains AS (
+  SELECT p.host, coalesce(string_agg(w.target, ',' ORDER BY w.hop), '') AS chain,
+         CAST(count(w.hop) AS INTEGER) AS hops,
+         arg_min(w.target, w.hop) FILTER (WHERE contains(lower(w.target), 'm247')) AS _unused
+  FROM v_pages p LEFT JOIN walk w ON w.host = p.host GROUP BY p.host)"""
+
+
+@query("cname_chain", f"WITH RECURSIVE {_CNAME} SELECT host, chain, hops FROM chains", ("v_pages", "v_cname"))
+def q_cname_chain(spark, sf_dir):
+    from lurewatch.operators.captures import cname_chains
+    c = _caps(spark, sf_dir)
+    ch = cname_chains(_v(spark, sf_dir, "v_pages").select("host"), c.cname_records)
+    return ch.select("host", F.array_join("cname.chain", ",").alias("chain"), F.size("cname.chain").alias("hops"))
+
+
+def _hosting_hit_sql(target: str) -> str:
+    return O.contains_any_sql(f"lower({target})", [h.lower() for h in R.hosting_substrings], False)
+
+
+@query("bulletproof", f"""
+WITH RECURSIVE {_CNAME},
+hit AS (SELECT host, arg_min(target, hop) AS cname_target FROM walk WHERE {_hosting_hit_sql('target')} GROUP BY host)
+SELECT c.host, hit.cname_target, hit.cname_target IS NOT NULL AS bulletproof_host
+FROM chains c LEFT JOIN hit ON hit.host = c.host""", ("v_pages", "v_cname"))
+def q_bulletproof(spark, sf_dir):
+    from lurewatch.functions.hosts import first_hit
+    from lurewatch.operators.captures import cname_chains
+    c = _caps(spark, sf_dir)
+    ch = cname_chains(_v(spark, sf_dir, "v_pages").select("host"), c.cname_records)
+    r = H.bulletproof_host(RuleContext(R, _as_of()))
+    return ch.select("host", first_hit(F.col("cname.chain"), R.hosting_substrings).alias("cname_target"),
+                     r["suspicious"].alias("bulletproof_host"))
+
+
+_CT = """ctq AS (
+  SELECT host, e AS error,
+    CASE WHEN e IS NULL AND json_type(body) = 'ARRAY' THEN CAST(json_array_length(body) AS INTEGER) ELSE 0 END
+      AS cert_count,
+    CASE WHEN e IS NULL AND json_type(body) = 'ARRAY' THEN list_min(list_filter(
+      [coalesce(nullif(json_extract_string(c, '$.not_before'), ''), nullif(json_extract_string(c, '$.entry_timestamp'), ''))
+       FOR c IN CAST(json_extract(body, '$[*]') AS JSON[])], lambda d: d IS NOT NULL)) END AS earliest_date
+  FROM (SELECT host, CASE WHEN json_valid(body) THEN body END AS body,
+          CASE WHEN status <> 200 OR coalesce(body, '') = '' THEN 'http_status=' || CAST(status AS VARCHAR)
+               WHEN NOT json_valid(body) THEN 'invalid json' END AS e
+        FROM v_ct) t)"""
+
+_AS_OF_US = "epoch_us(TIMESTAMP '2026-01-15 12:00:00')"
+
+
+def _age_sql(ts: str) -> str:
+    return f"CAST(floor(({_AS_OF_US} - epoch_us({ts})) / 86400000000) AS INTEGER)"
+
+
+_REG_AGE = f"""ra AS (
+  SELECT host, CASE WHEN error IS NULL AND coalesce(created, '') <> '' THEN
+    {_age_sql("try_cast(replace(trim(created), 'Z', '+00:00') AS TIMESTAMPTZ)")} END AS reg_age
+  FROM rd)"""
+
+
+@query("ct_history", f"""
+WITH {_CT}, {_RDAP}, {_REG_AGE}
+SELECT ctq.host, cert_count, earliest_date, error,
+  (error IS NULL AND cert_count > 0 AND cert_count <= {R.thresholds.ct_few_certs}
+   AND (cert_count = 1 OR coalesce(ra.reg_age < {R.thresholds.new_domain_days}, false))) AS ct_suspicious
+FROM ctq JOIN ra ON ra.host = ctq.host""", ("v_ct", "v_rdap"))
+def q_ct_history(spark, sf_dir):
+    from lurewatch.operators.captures import ct_history, rdap_fields
+    c = _caps(spark, sf_dir)
+    j = ct_history(c.ct, key="host").join(rdap_fields(c.rdap, key="host"), "host")
+    ctx = RuleContext(R, _as_of())
+    j = j.withColumn("_reg_age", H._registration_age(ctx))
+    r = H.ct_history(ctx)
+    return j.select("host", F.col("ct.cert_count").alias("cert_count"), F.col("ct.earliest_date").alias("earliest_date"),
+                    F.col("ct.error").alias("error"), r["suspicious"].alias("ct_suspicious"))
+
+
+@query("favicon_mismatch", f"""
+WITH {_FAV}, reg AS ({O.registrable_cte(R, 'v_favicon')})
+SELECT fv.host, fv.sha1,
+  coalesce(fv.sha1 IN ({', '.join(O.q(h) for h in R.favicon_hashes)}), false) AND NOT {O.owned_sql('reg.registrable', R)}
+    AS favicon_brand_mismatch
+FROM fv JOIN reg ON reg.host = fv.host""", ("v_favicon",))
+def q_favicon_mismatch(spark, sf_dir):
+    from lurewatch.operators.captures import favicon_fields
+    f = with_registrable(favicon_fields(_caps(spark, sf_dir).favicon), R)
+    r = H.favicon_brand_mismatch(RuleContext(R, _as_of()))
+    return f.select("host", F.col("favicon.sha1").alias("sha1"), r["scam"].alias("favicon_brand_mismatch"))
+
+
+@query("age_rules", f"""
+WITH {_RDAP}, {_REG_AGE},
+ca AS (SELECT host, CASE WHEN error IS NULL AND coalesce(nb, '') <> '' THEN
+         {_age_sql("try_strptime(regexp_replace(trim(nb), '\\s+', ' ', 'g'), '%b %d %H:%M:%S %Y GMT')")} END AS cert_age
+       FROM (SELECT host, error, json_extract_string(body, '$.notBefore') AS nb FROM v_cert) t)
+SELECT ra.host, ra.reg_age AS reg_age_days, coalesce(ra.reg_age < {R.thresholds.new_domain_days}, false) AS domain_age,
+       ca.cert_age AS cert_age_days, coalesce(ca.cert_age < {R.thresholds.cert_age_days}, false) AS cert_age
+FROM ra JOIN ca ON ca.host = ra.host""", ("v_rdap", "v_cert"))
+def q_age_rules(spark, sf_dir):
+    from lurewatch.functions import dates as dt
+    from lurewatch.operators.captures import cert_fields, rdap_fields
+    c = _caps(spark, sf_dir)
+    j = rdap_fields(c.rdap, key="host").join(cert_fields(c.cert), "host")
+    ctx = RuleContext(R, _as_of())
+    cert = F.col("cert")
+    valid = _cvalid = cert.isNotNull() & (F.coalesce(cert["error"], F.lit("")) == "") & \
+        (F.coalesce(cert["not_before"], F.lit("")) != "")
+    cage = F.when(valid, dt.age_days(dt.parse_cert_date(cert["not_before"]), ctx.as_of))
+    j = j.withColumn("_reg_age", H._registration_age(ctx))
+    return j.select("host", F.col("_reg_age").alias("reg_age_days"), H.domain_age(ctx)["suspicious"].alias("domain_age"),
+                    cage.alias("cert_age_days"), H.cert_age(ctx)["suspicious"].alias("cert_age"))
