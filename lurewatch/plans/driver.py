@@ -581,3 +581,276 @@ def q_age_rules(spark, sf_dir):
     j = j.withColumn("_reg_age", H._registration_age(ctx))
     return j.select("host", F.col("_reg_age").alias("reg_age_days"), H.domain_age(ctx)["suspicious"].alias("domain_age"),
                     cage.alias("cert_age_days"), H.cert_age(ctx)["suspicious"].alias("cert_age"))
+
+
+# ---------------------------------------------------------------------------
+# Context-level rules, scoring and verdicts
+# ---------------------------------------------------------------------------
+
+def _context(spark, sf_dir) -> DataFrame:
+    from lurewatch.plans.triage import build_context
+    return build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
+
+
+def _rules_frame(spark, sf_dir) -> DataFrame:
+    from lurewatch.operators.verdict import evaluate_rules
+    return evaluate_rules(_context(spark, sf_dir), R, _as_of())
+
+
+def _rule(i: int) -> str:
+    return f"_r{i:02d}"
+
+
+def _tokens_sql(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '{O.WORD}+'))"
+
+
+_PARKING_SERVERS = ("parking", "bodis", "sedo")
+_FREEMAIL = ("google.com", "gmail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "yahoo.co",
+             "protonmail.com", "icloud.com")
+
+_CTX = f"""{_PTR}, {_CERT}, {_RDAP}, {_REG_AGE}, {_FAV}, {_CNAME}, {_CT},
+reg AS ({O.registrable_cte(R, 'v_pages')}),
+hp AS (SELECT host, status, html, lower(html) AS lo, final_url, server, hsts, csp, xfo, xcto, hops,
+              regexp_extract_all(lower(html), '{O.WORD}+') AS words
+       FROM v_http WHERE variant = 'primary'),
+ha AS (SELECT host, html FROM v_http WHERE variant = 'alternative'),
+hr AS (SELECT host, CASE WHEN status = 200 AND coalesce(html, '') <> '' THEN html END AS robots
+       FROM v_http WHERE variant = 'robots'),
+bp AS (SELECT host, arg_min(target, hop) AS hit FROM walk WHERE {_hosting_hit_sql('target')} GROUP BY host),
+lk AS (
+  SELECT n, min(dist) AS dist FROM (
+    SELECT c.n, levenshtein(CASE WHEN lt.kind = 'name' THEN {O.skeleton_sql('c.cand')}
+                                 ELSE {O.skeleton_sql("split_part(c.cand, '.', 1)")} END, lt.skel) AS dist
+    FROM (SELECT p.n, lower(p.host) AS cand FROM v_pages p
+          UNION ALL
+          SELECT p.n, lower(CASE WHEN reg.registrable <> '' THEN reg.registrable ELSE p.host END)
+          FROM v_pages p JOIN reg ON reg.host = p.host) c
+    CROSS JOIN {O.lookalike_targets_values(R)}) t
+  GROUP BY n),
+f0 AS (
+  SELECT p.n, p.host, hp.status, hp.html, hp.lo, hp.final_url, hp.words, ha.html AS alt_html,
+    fv.sha1, reg.registrable, reg.suffix,
+    ds.a_records, ds.aaaa_records, ds.mx, ds.ns, ds.spf, ds.dmarc, ds.ttl_min, ds.error AS dns_err,
+    CASE WHEN ds.a_records = '' THEN 0 ELSE len(string_split(ds.a_records, ',')) END AS n_a,
+    coalesce(pagg.ptrs, '') AS ptrs,
+    hp.server, hp.hsts, hp.csp, hp.xfo, hp.xcto, hp.hops, hr.robots,
+    cf.cn, cf.org, cf.error AS cert_err, cf.not_before, ra.reg_age, ctq.cert_count, ctq.error AS ct_err,
+    bp.hit AS bp_hit, lk.dist AS lk_dist
+  FROM v_pages p JOIN hp ON hp.host = p.host JOIN ha ON ha.host = p.host JOIN hr ON hr.host = p.host
+  JOIN fv ON fv.host = p.host JOIN reg ON reg.host = p.host JOIN dsnap ds ON ds.host = p.host
+  LEFT JOIN pagg ON pagg.host = p.host JOIN cf ON cf.host = p.host JOIN ra ON ra.host = p.host
+  JOIN ctq ON ctq.host = p.host LEFT JOIN bp ON bp.host = p.host LEFT JOIN lk ON lk.n = p.n),
+f AS (
+  SELECT *, {_PASSWORD} AS pw, {_OTP} AS otp, {_CARD} AS cc, {_XPOST} AS xpost, {_EXFIL} AS exfil,
+    {_JS} AS js, {_ENTROPY} AS ent, {_WALLET} AS wallet, {_CLIP} AS clip, {_KIT} AS kit,
+    {O.contains_any_sql('lower(final_url)', R.kit_paths, False)} AS path_hit,
+    {O.owned_sql('registrable', R)} AS owned
+  FROM f0),
+g AS (
+  SELECT *, {_tokens_sql('html')} AS ta, {_tokens_sql('alt_html')} AS tb,
+    CASE WHEN {O.contains_any_sql('lower(host)', R.trusted_l, False)} THEN 'dropped'
+         WHEN {O.contains_any_sql('lower(host)', R.auto_scam_l, False)} THEN 'scam' END AS gate,
+    CASE WHEN title_found THEN {_title_brand_sql('lower(title)', 'registrable')} END AS title_brand,
+    {_age_sql("try_strptime(regexp_replace(trim(not_before), '\\s+', ' ', 'g'), '%b %d %H:%M:%S %Y GMT')")} AS cert_age
+  FROM (SELECT *, regexp_matches(html, '{_TITLE_RE}') AS title_found,
+               regexp_extract(html, '{_TITLE_RE}', 1) AS title FROM f) t),
+r AS (
+  SELECT n, host, gate,
+    (pw OR cc) AND (exfil OR xpost) AS s01,
+    kit AS s02,
+    coalesce(sha1 IN ({', '.join(O.q(h) for h in R.favicon_hashes)}), false) AND NOT owned AS s03,
+    NOT (status >= 200 AND status < 300) OR (a_records = '' AND aaaa_records = '' AND mx = '' AND ns = '') AS b04,
+    {O.contains_any_sql('lo', R.parking_signatures, False)}
+      OR {O.contains_any_sql("lower(coalesce(server, ''))", _PARKING_SERVERS, False)} AS b05,
+    (cert_err IS NULL AND coalesce(org, '') <> '') OR hsts IS NOT NULL AS b06,
+    pw OR otp OR cc OR js OR ent OR wallet OR clip AS u01,
+    path_hit AS u02,
+    coalesce(lk_dist <= {R.thresholds.lookalike_max_distance}, false) AS u07,
+    coalesce(reg_age < {R.thresholds.new_domain_days}, false) AS u08,
+    starts_with(host, 'xn--') OR contains(host, '.xn--') OR contains(host, 'ı') AS u09,
+    {O.contains_any_sql('lower(host)', R.content_tokens, False)} OR {O.contains_any_sql('lo', R.content_tokens, False)} AS u10,
+    hops >= {R.thresholds.redirect_min_hops} OR (
+      (CASE WHEN html = '' AND alt_html = '' THEN 0.0 WHEN html = '' OR alt_html = '' THEN 1.0
+            WHEN len(ta) = 0 AND len(tb) = 0 THEN 0.0
+            ELSE 1.0 - len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END)
+        > {R.thresholds.cloaking_diff_ratio}
+      AND (length(html) > {R.thresholds.cloaking_min_content_len} OR length(alt_html) > {R.thresholds.cloaking_min_content_len})) AS u11,
+    cert_err IS NULL AND coalesce(cert_age < {R.thresholds.cert_age_days}, false) AS u12,
+    NOT owned AND len(words) > 0 AND
+      len(list_filter(words, lambda w: list_contains({O.arr(density_keywords(R))}, w))) / len(words)
+        > {R.thresholds.brand_density_threshold} AS u13,
+    pw AND starts_with(final_url, 'http://') AS u14,
+    coalesce(lower(suffix) IN ({', '.join(O.q(t) for t in R.suspicious_tlds)}), false) AS u15,
+    title_brand IS NOT NULL AS u16,
+    bp_hit IS NOT NULL AS u17,
+    ct_err IS NULL AND cert_count > 0 AND cert_count <= {R.thresholds.ct_few_certs}
+      AND (cert_count = 1 OR coalesce(reg_age < {R.thresholds.new_domain_days}, false)) AS u18,
+    dns_err IS NULL AND (n_a >= {R.thresholds.fast_flux_min_a} OR coalesce(ttl_min < {R.thresholds.fast_flux_max_ttl}, false)
+      OR (mx <> '' AND (contains(lower(spf), '+all') OR contains(lower(spf), '~all') OR dmarc = ''
+                        OR contains(lower(dmarc), 'p=none')))) AS u19,
+    cert_err IS NULL AND coalesce(cn, '') <> '' AND
+      ({' OR '.join(f"contains(lower(cn), {O.q(b.name.lower())})" for b in R.brands)}) AND NOT owned AS u20,
+    len(list_filter(string_split(host, '.'), lambda x: x <> '')) >= {R.thresholds.subdomain_min_depth} AS u21,
+    status = 200 AND csp IS NULL AND xfo IS NULL AND xcto IS NULL AS u22,
+    dns_err IS NULL AND len(list_filter(string_split(mx, ','), lambda m: m <> '' AND
+      {O.contains_any_sql("rtrim(lower(m), '.')", _FREEMAIL, False)})) > 0 AS u23,
+    dns_err IS NULL AND n_a > 0 AND ptrs = '' AS u24,
+    status = 200 AND n_a > 0 AND robots IS NULL AS u25
+  FROM g)"""
+
+_WEIGHTS = dict(H.RULE_ORDER) if hasattr(H, "RULE_ORDER") else None
+
+
+def _flags():
+    from lurewatch.rules import RULE_ORDER
+    out = []
+    for i, (name, w) in enumerate(RULE_ORDER, 1):
+        s = f"s{i:02d}" if i in (1, 2, 3) else None
+        b = f"b{i:02d}" if i in (4, 5, 6) else None
+        u = f"u{i:02d}" if i not in (3, 4, 5, 6) else None
+        out.append((i, name, w, s, b, u))
+    return out
+
+
+def _susp_sql(i, s, b, u):
+    """Suspicious only when the rule is not definitive."""
+    if u is None:
+        return "false"
+    cond = f"coalesce({u}, false)"
+    if s:
+        cond += f" AND NOT coalesce({s}, false)"
+    if b:
+        cond += f" AND NOT coalesce({b}, false)"
+    return cond
+
+
+def _verdict_sql() -> str:
+    fl = _flags()
+    tally = " + ".join(f"CASE WHEN {_susp_sql(i, s, b, u)} THEN {w} ELSE 0 END" for i, _, w, s, b, u in fl)
+    total = sum(w for _, _, w, _, _, _ in fl)
+    first = " ".join(
+        f"WHEN coalesce({s or b}, false) THEN {O.q(name)}" for i, name, w, s, b, u in fl if s or b)
+    first_scam = " ".join(
+        f"WHEN coalesce({s or b}, false) THEN {'true' if s else 'false'}" for i, name, w, s, b, u in fl if s or b)
+    return f"""v AS (
+  SELECT n, host, gate, CAST({tally} AS INTEGER) AS tally, CASE {first} END AS first_rule,
+         CASE {first_scam} END AS first_scam FROM r),
+sv AS (
+  SELECT host, tally, tally / {total} AS score,
+    CASE WHEN gate IS NULL THEN first_rule END AS decided_by,
+    CASE WHEN gate = 'dropped' THEN NULL WHEN gate = 'scam' THEN 'scam'
+         WHEN first_rule IS NOT NULL THEN CASE WHEN first_scam THEN 'scam' ELSE 'benign' END
+         WHEN tally / {total} >= {R.thresholds.scam} THEN 'scam' ELSE 'inconclusive' END AS verdict
+  FROM v)"""
+
+
+_ALL_VIEWS = ("v_pages", "v_http", "v_dns", "v_ptr", "v_cert", "v_rdap", "v_favicon", "v_cname", "v_ct")
+
+
+@query("benign_rules", f"""
+WITH RECURSIVE {_CTX}
+SELECT host, coalesce(b04, false) AS inactive_domain, coalesce(b05, false) AS parking_detect,
+       coalesce(b06, false) AS long_lived_or_verified FROM r""", _ALL_VIEWS)
+def q_benign_rules(spark, sf_dir):
+    df = _rules_frame(spark, sf_dir)
+    return df.select("host", F.col(_rule(4))["benign"].alias("inactive_domain"),
+                     F.col(_rule(5))["benign"].alias("parking_detect"),
+                     F.col(_rule(6))["benign"].alias("long_lived_or_verified"))
+
+
+@query("cloaking", f"""
+WITH RECURSIVE {_CTX}
+SELECT host, CAST(hops AS INTEGER) AS hops, coalesce(u11, false) AS redirect_and_cloaking FROM r JOIN
+  (SELECT host AS h2, hops FROM g) x ON x.h2 = r.host""", _ALL_VIEWS)
+def q_cloaking(spark, sf_dir):
+    df = _rules_frame(spark, sf_dir)
+    return df.select("host", F.size("primary.history").alias("hops"),
+                     F.col(_rule(11))["suspicious"].alias("redirect_and_cloaking"))
+
+
+@query("dns_posture", f"""
+WITH RECURSIVE {_CTX}
+SELECT host, coalesce(u19, false) AS dns_email_posture, coalesce(u23, false) AS freemail_mx,
+       coalesce(u24, false) AS reverse_dns_mismatch FROM r""", _ALL_VIEWS)
+def q_dns_posture(spark, sf_dir):
+    df = _rules_frame(spark, sf_dir)
+    return df.select("host", F.col(_rule(19))["suspicious"].alias("dns_email_posture"),
+                     F.col(_rule(23))["suspicious"].alias("freemail_mx"),
+                     F.col(_rule(24))["suspicious"].alias("reverse_dns_mismatch"))
+
+
+@query("tls_cn_brand", f"""
+WITH RECURSIVE {_CTX}
+SELECT r.host, g.cn, coalesce(u20, false) AS tls_cert FROM r JOIN g ON g.host = r.host""", _ALL_VIEWS)
+def q_tls_cn_brand(spark, sf_dir):
+    df = _rules_frame(spark, sf_dir)
+    return df.select("host", F.col("cert.cn").alias("cn"), F.col(_rule(20))["suspicious"].alias("tls_cert"))
+
+
+@query("header_rules", f"""
+WITH RECURSIVE {_CTX}
+SELECT host, coalesce(u22, false) AS missing_security_headers, coalesce(u25, false) AS no_robots_txt FROM r""",
+       _ALL_VIEWS)
+def q_header_rules(spark, sf_dir):
+    df = _rules_frame(spark, sf_dir)
+    return df.select("host", F.col(_rule(22))["suspicious"].alias("missing_security_headers"),
+                     F.col(_rule(25))["suspicious"].alias("no_robots_txt"))
+
+
+@query("jaccard_diff", f"""
+WITH RECURSIVE {_CTX}
+SELECT host, CAST(len(ta) AS INTEGER) AS n_primary, CAST(len(tb) AS INTEGER) AS n_alternative,
+  CAST(len(list_intersect(ta, tb)) AS INTEGER) AS n_common,
+  round(CASE WHEN html = '' AND alt_html = '' THEN 0.0 WHEN html = '' OR alt_html = '' THEN 1.0
+        WHEN len(ta) = 0 AND len(tb) = 0 THEN 0.0
+        ELSE 1.0 - len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END, 6) AS diff_ratio
+FROM g""", _ALL_VIEWS)
+def q_jaccard_diff(spark, sf_dir):
+    from lurewatch.plans.triage import http_pair_features
+    pair = http_pair_features(_caps(spark, sf_dir).http, R)
+    ps, as_ = F.col("primary.f.token_set"), F.col("alternative.f.token_set")
+    return pair.select("host", F.size(ps).alias("n_primary"), F.size(as_).alias("n_alternative"),
+                       F.size(F.array_intersect(ps, as_)).alias("n_common"),
+                       F.round(H.diff_ratio_of_pair(), 6).alias("diff_ratio"))
+
+
+@query("score_and_verdict", f"""
+WITH RECURSIVE {_CTX}, {_verdict_sql()}
+SELECT host, tally, score, decided_by, verdict FROM sv""", _ALL_VIEWS)
+def q_score_and_verdict(spark, sf_dir):
+    from lurewatch.operators.verdict import classify
+    out = classify(_context(spark, sf_dir), R, _as_of())
+    return out.select("host", "tally", "score", "decided_by", "verdict")
+
+
+def _long_sql() -> str:
+    parts = []
+    for i, name, w, s, b, u in _flags():
+        outcome = []
+        if s:
+            outcome.append(f"WHEN coalesce({s}, false) THEN 'scam'")
+        if b:
+            outcome.append(f"WHEN coalesce({b}, false) THEN 'benign'")
+        if u:
+            outcome.append(f"WHEN {_susp_sql(i, s, b, u)} THEN 'suspicious'")
+        parts.append(f"SELECT host, {O.q(name)} AS name, {w} AS weight, CASE {' '.join(outcome)} END AS outcome FROM r")
+    return " UNION ALL ".join(parts)
+
+
+@query("rule_results_long", f"""
+WITH RECURSIVE {_CTX}, lf AS ({_long_sql()})
+SELECT host, name, weight, outcome FROM lf WHERE outcome IS NOT NULL""", _ALL_VIEWS)
+def q_rule_results_long(spark, sf_dir):
+    from lurewatch.operators.verdict import explain_long
+    return explain_long(_context(spark, sf_dir), R, _as_of()).select("host", "name", "weight", "outcome")
+
+
+@query("verdict_counts", f"""
+WITH RECURSIVE {_CTX}, {_verdict_sql()}
+SELECT vv.verdict, CAST(count(sv.host) AS BIGINT) AS n
+FROM (VALUES ('scam'), ('inconclusive'), ('benign'), ('irrelevant')) vv(verdict)
+LEFT JOIN sv ON sv.verdict = vv.verdict GROUP BY vv.verdict""", _ALL_VIEWS)
+def q_verdict_counts(spark, sf_dir):
+    from lurewatch.operators.verdict import classify, verdict_counts
+    return verdict_counts(classify(_context(spark, sf_dir), R, _as_of()))
