@@ -30,6 +30,17 @@ from lurewatch.session import checkpoint_dir
 
 OK_RCODES = ("NOERROR", "NODATA")
 
+# Input schemas of the capture tables (used for typed empty inputs as well).
+HTTP_SCHEMA = ("host string, variant string, url string, status int, headers map<string,string>, html string, "
+               "history array<int>, final_url string, elapsed_ms double")
+DNS_SCHEMA = "host string, qname string, rdtype string, pos int, rdata string, ttl int, rcode string"
+PTR_SCHEMA = "ip string, target string"
+CERT_INPUT_SCHEMA = "host string, body string, error string"
+RDAP_SCHEMA = "{key} string, status int, body string"
+FAVICON_SCHEMA = "host string, status int, content binary"
+CNAME_SCHEMA = "src string, target string"
+CT_SCHEMA = "{key} string, status int, body string"
+
 def failed_fetch() -> Column:
     """The stub a failed fetch yields (status 500, empty body, headers and history)."""
     return F.struct(

@@ -854,3 +854,161 @@ LEFT JOIN sv ON sv.verdict = vv.verdict GROUP BY vv.verdict""", _ALL_VIEWS)
 def q_verdict_counts(spark, sf_dir):
     from lurewatch.operators.verdict import classify, verdict_counts
     return verdict_counts(classify(_context(spark, sf_dir), R, _as_of()))
+
+
+# ---------------------------------------------------------------------------
+# Sources (A7-A11), dedup, sinks, streaming, Python rule
+# ---------------------------------------------------------------------------
+
+_CYCLE = "n % 3"
+_PRIO = "CASE WHEN n % 3 = 2 AND n % 10 <> 9 THEN 1 WHEN n % 3 = 2 THEN 0 ELSE n % 2 END"
+_COMMENT = "(coalesce(line, '') = '' OR starts_with(line, '#'))"
+
+
+@query("feed_fallback", f"""
+SELECT DISTINCT cycle, host FROM (
+  SELECT cycle, line, prio, {O.norm_sql('line')} AS host,
+         min(CASE WHEN coalesce(line, '') <> '' THEN prio END) OVER (PARTITION BY cycle) AS best
+  FROM (SELECT n, line, CAST({_CYCLE} AS INTEGER) AS cycle, CAST({_PRIO} AS INTEGER) AS prio FROM v_raw) l) t
+WHERE prio = best AND NOT {_COMMENT} AND host <> ''""", ("v_raw",))
+def q_feed_fallback(spark, sf_dir):
+    from lurewatch.sources.feeds import fallback_lines
+    raw = _v(spark, sf_dir, "v_raw").select(
+        "line", F.expr(_CYCLE).cast("int").alias("cycle"), F.expr(_PRIO).cast("int").alias("prio"))
+    chosen = fallback_lines(raw, ["cycle"])
+    line = F.col("line")
+    keep = ~((F.coalesce(line, F.lit("")) == "") | line.startswith("#"))
+    return (chosen.where(keep).select("cycle", normalize_host(line).alias("host"))
+                  .where(F.col("host") != "").dropDuplicates(["cycle", "host"]))
+
+
+def _json_bodies(spark, sf_dir) -> DataFrame:
+    pages = _v(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url")
+    item = F.to_json(F.struct(F.when(F.col("n") % 2 == 0, F.col("url")).otherwise(F.upper("url")).alias("url")))
+    body = (F.when(F.col("n") % 7 == 0, F.lit("not json"))
+             .when(F.col("n") % 11 == 0, item)
+             .otherwise(F.concat(F.lit("["), item, F.lit(',{"no_url":true},{"url":null},{"url":""}]'))))
+    return pages.select("n", body.alias("body"))
+
+
+@query("feed_json", f"""
+SELECT DISTINCT 'phishtank' AS source, host FROM (
+  SELECT {O.norm_sql("CASE WHEN page_id % 2 = 0 THEN url ELSE upper(url) END")} AS host FROM pages
+  WHERE page_id % 7 <> 0 AND page_id % 11 <> 0 AND coalesce(url, '') <> '') t
+WHERE host <> ''""")
+def q_feed_json(spark, sf_dir):
+    from lurewatch.sources.feeds import json_feed_hosts
+    register_views(spark, sf_dir)
+    return json_feed_hosts(_json_bodies(spark, sf_dir), source="phishtank")
+
+
+_CC = "CASE n % 4 WHEN 0 THEN 'sg' WHEN 1 THEN 'MY' WHEN 2 THEN 'JP' ELSE 'XX' END"
+_CODES = ("SG", "MY", "JP")
+
+
+@query("feed_csv", f"""
+SELECT DISTINCT 'urlhaus_country:' || upper(cc) AS source, host FROM (
+  SELECT n, {_CC} AS cc, {O.norm_sql('line')} AS host FROM v_raw) t
+WHERE n % 6 <> 0 AND n % 7 <> 0 AND upper(cc) IN ({', '.join(O.q(c) for c in _CODES)}) AND host <> ''""",
+       ("v_raw",))
+def q_feed_csv(spark, sf_dir):
+    from lurewatch.sources.feeds import csv_feed_hosts, parse_csv_lines, select_sources
+    raw = _v(spark, sf_dir, "v_raw").withColumn("cc", F.expr(_CC))
+    first = F.when(F.col("n") % 6 == 0, F.lit("# comment")).otherwise(F.lit("2026-01-01 00:00:00"))
+    rec = F.concat(F.lit('"'), first, F.lit('","http://x/","online","malware_download","'),
+                   F.coalesce(F.col("line"), F.lit("")), F.lit('","1.2.3.4","AS1","'), F.col("cc"), F.lit('"'))
+    short = F.concat(F.lit("only,four,fields,"), F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), ",", " "))
+    lines = raw.select(F.when(F.col("n") % 7 == 0, short).otherwise(rec).alias("line"), F.upper("cc").alias("cc"))
+    rows = select_sources(parse_csv_lines(lines), _CODES, col="cc")
+    return csv_feed_hosts(rows, country_col="cc")
+
+
+def _ct_messages(spark, sf_dir) -> DataFrame:
+    raw = _v(spark, sf_dir, "v_raw")
+    quoted = F.regexp_replace(F.regexp_replace(F.to_json(F.array(F.col("line"))), "^\\[", ""), "\\]$", "")
+    quoted_up = F.regexp_replace(F.regexp_replace(F.to_json(F.array(F.upper("line"))), "^\\[", ""), "\\]$", "")
+    update = F.concat(F.lit('{"message_type":"certificate_update","data":{"leaf_cert":{"all_domains":['),
+                      quoted, F.lit(",123,null,"), quoted_up, F.lit(",{\"x\":1}]}}}"))
+    value = (F.when(F.col("n") % 6 == 0, F.lit('{"message_type":"heartbeat"}'))
+              .when(F.col("n") % 6 == 1, F.lit("null"))
+              .when(F.col("n") % 6 == 2, F.lit('"plain string"'))
+              .when(F.col("n") % 6 == 5, F.lit('{"message_type":"certificate_update","data":"x"}'))
+              .otherwise(update))
+    return raw.select("n", value.alias("value"))
+
+
+@query("ct_domains", f"""
+SELECT n, host FROM (
+  SELECT n, {O.norm_sql('line')} AS host FROM v_raw WHERE n % 6 IN (3, 4) AND line IS NOT NULL
+  UNION ALL
+  SELECT n, {O.norm_sql('upper(line)')} AS host FROM v_raw WHERE n % 6 IN (3, 4) AND line IS NOT NULL) t
+WHERE host <> ''""", ("v_raw",))
+def q_ct_domains(spark, sf_dir):
+    from lurewatch.sources.feeds import ct_hosts
+    return ct_hosts(_ct_messages(spark, sf_dir)).select("n", "host")
+
+
+@query("dedup_first_seen", f"""
+SELECT host, n, ts FROM (
+  SELECT host, n, ts, row_number() OVER (PARTITION BY host ORDER BY ts, n) AS rn FROM (
+    SELECT r.n, e.ts, {O.norm_sql('r.line')} AS host FROM v_raw r JOIN events e ON e.event_id = r.n) a
+  WHERE host <> '') b
+WHERE rn = 1""", ("v_raw",))
+def q_dedup_first_seen(spark, sf_dir):
+    from lurewatch.plans.triage import dedup_hosts
+    raw = _v(spark, sf_dir, "v_raw")
+    ev = spark.table("events").select(F.col("event_id").alias("n"), "ts")
+    arrivals = (raw.join(ev, "n").select(normalize_host(F.col("line")).alias("host"), "n", "ts")
+                   .where(F.col("host") != ""))
+    return dedup_hosts(arrivals, order_cols=["ts", "n"]).select("host", "n", "ts")
+
+
+def _expected_triage_sql(src: str, host_expr: str) -> str:
+    """Verdicts of hosts that have no capture rows: irrelevant / scam (auto) / pending; trusted dropped."""
+    h = "h"
+    return f"""
+SELECT host, brand, verdict FROM (
+  SELECT h AS host, {O.brand_sql(h, R)} AS brand,
+    CASE WHEN {O.brand_sql(h, R)} IS NULL THEN 'irrelevant'
+         WHEN {O.contains_any_sql(f'lower({h})', R.trusted_l, False)} THEN NULL
+         WHEN {O.contains_any_sql(f'lower({h})', R.auto_scam_l, False)} THEN 'scam'
+         ELSE 'pending' END AS verdict
+  FROM (SELECT DISTINCT {host_expr} AS h FROM {src}) d WHERE h <> '') t
+WHERE verdict IS NOT NULL"""
+
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from lurewatch.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("sink_roundtrip", _expected_triage_sql("v_hosts", O.norm_sql("host")), ("v_hosts",))
+def q_sink_roundtrip(spark, sf_dir):
+    from lurewatch.plans.triage import Captures, triage
+    from lurewatch.sources.sinks import read_verdicts, write_verdicts
+    raw = _v(spark, sf_dir, "v_hosts").select(F.col("host").alias("line"), F.lit("manual").alias("source"))
+    verdicts = triage(raw, Captures(), R, _as_of())
+    root = _scratch(spark, "sink")
+    write_verdicts(verdicts, root, fmt="text")
+    return read_verdicts(spark, root, fmt="text")
+
+
+@query("stream_triage", _expected_triage_sql("v_raw", O.norm_sql("line")), ("v_raw",))
+def q_stream_triage(spark, sf_dir):
+    from lurewatch.plans.triage import Captures
+    from lurewatch.streaming.triage import start_triage, stream_hosts
+    root = _scratch(spark, "stream")
+    (_v(spark, sf_dir, "v_raw").select(F.coalesce(F.col("line"), F.lit("")).alias("value"))
+        .repartition(4).write.text(f"{root}/landing/manual"))
+    hosts = stream_hosts(spark, f"{root}/landing", [("manual", False)])
+    q = start_triage(spark, hosts, lambda: Captures(), R, _as_of(), f"{root}/sink", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/sink").select("host", "brand", "verdict")
+
+
+@query("python_rule", f"SELECT n, {_ENTROPY} AS high_entropy FROM v_pages", ("v_pages",))
+def q_python_rule(spark, sf_dir):
+    from lurewatch.operators.python_rules import high_entropy_outcome
+    pages = _v(spark, sf_dir, "v_pages")
+    return pages.select("n", high_entropy_outcome(F.col("html"))["suspicious"].alias("high_entropy"))

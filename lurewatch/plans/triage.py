@@ -55,40 +55,43 @@ def http_pair_features(http: DataFrame, rules: RuleSet) -> DataFrame:
 
 def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataFrame:
     """One wide row per host with every capture struct (left joins, many-to-one)."""
+    spark = hosts.sparkSession
+
+    def typed_null(df: DataFrame, name: str) -> DataFrame:
+        """A capture that is absent: a typed all-null column (its rules are then neutral)."""
+        return F.lit(None).cast(df.schema[name].dataType).alias(name)
+
+    def empty(schema: str) -> DataFrame:
+        return spark.createDataFrame([], schema)
+
     ctx = with_registrable(hosts.select("host").distinct(), rules)
+    pair = http_pair_features(captures.http if captures.http is not None else empty(cap.HTTP_SCHEMA), rules)
     if captures.http is not None:
-        ctx = ctx.join(http_pair_features(captures.http, rules), "host", "left")
-    else:
-        ctx = ctx.select("*", *[F.lit(None).alias(c) for c in ("primary", "alternative", "robots")])
-    if captures.dns_records is not None:
-        ptr = captures.ptr_records
-        if ptr is None:
-            ptr = captures.dns_records.sparkSession.createDataFrame([], "ip string, target string")
-        ctx = ctx.join(cap.dns_info(captures.dns_records, ptr), "host", "left")
+        ctx = ctx.join(pair, "host", "left")
     else:
-        ctx = ctx.withColumn("dns", F.lit(None))
-    if captures.cert is not None:
-        ctx = ctx.join(cap.cert_fields(captures.cert), "host", "left")
-    else:
-        ctx = ctx.withColumn("cert", F.lit(None))
-    if captures.favicon is not None:
-        ctx = ctx.join(cap.favicon_fields(captures.favicon), "host", "left")
-    else:
-        ctx = ctx.withColumn("favicon", F.lit(None))
+        ctx = ctx.select("*", *[typed_null(pair, c) for c in ("primary", "alternative", "robots")])
+
+    def attach(ctx: DataFrame, present: bool, rolled: DataFrame, key: str, name: str) -> DataFrame:
+        if present:
+            return ctx.join(rolled, key, "left")
+        return ctx.select("*", typed_null(rolled, name))
+
+    ptr = captures.ptr_records if captures.ptr_records is not None else empty(cap.PTR_SCHEMA)
+    dns = captures.dns_records if captures.dns_records is not None else empty(cap.DNS_SCHEMA)
+    ctx = attach(ctx, captures.dns_records is not None, cap.dns_info(dns, ptr), "host", "dns")
+    cert = captures.cert if captures.cert is not None else empty(cap.CERT_INPUT_SCHEMA)
+    ctx = attach(ctx, captures.cert is not None, cap.cert_fields(cert), "host", "cert")
+    fav = captures.favicon if captures.favicon is not None else empty(cap.FAVICON_SCHEMA)
+    ctx = attach(ctx, captures.favicon is not None, cap.favicon_fields(fav), "host", "favicon")
     if captures.cname_records is not None:
         ctx = ctx.join(cap.cname_chains(ctx.select("host"), captures.cname_records), "host", "left")
     else:
-        ctx = ctx.withColumn("cname", F.lit(None))
-    if captures.rdap is not None:
-        r = cap.rdap_fields(captures.rdap, key=captures.rdap_key)
-        ctx = ctx.join(r, captures.rdap_key, "left")
-    else:
-        ctx = ctx.withColumn("registration", F.lit(None))
-    if captures.ct is not None:
-        c = cap.ct_history(captures.ct, key=captures.ct_key)
-        ctx = ctx.join(c, captures.ct_key, "left")
-    else:
-        ctx = ctx.withColumn("ct", F.lit(None))
+        ctx = ctx.select("*", F.lit(None).cast("struct<chain:array<string>,error:string>").alias("cname"))
+    rdap = captures.rdap if captures.rdap is not None else empty(cap.RDAP_SCHEMA.format(key=captures.rdap_key))
+    ctx = attach(ctx, captures.rdap is not None, cap.rdap_fields(rdap, key=captures.rdap_key),
+                 captures.rdap_key, "registration")
+    ct = captures.ct if captures.ct is not None else empty(cap.CT_SCHEMA.format(key=captures.ct_key))
+    ctx = attach(ctx, captures.ct is not None, cap.ct_history(ct, key=captures.ct_key), captures.ct_key, "ct")
     return ctx
 
 
