@@ -31,6 +31,11 @@ JS_OBFUSCATION_RE = f"(?<!{WORD_CLASS})(atob|eval|Function\\()|fromCharCode\\("
 WALLET_RE = "(window\\.ethereum|eth_requestAccounts|web3|eth_sign|walletconnect)"
 CLIPBOARD_WRITE_RE = "(replace|execCommand|writeText)"
 KIT_COMMENT_RE = "(?iud)(phishing kit|by .* phisher|tg://|t\\.me/)"
+# Same test split in two: the literal alternatives, and the backtracking ``by .* phisher``
+# branch run only on texts that contain `` phisher`` at all (it cannot match otherwise).
+KIT_LITERAL_RE = "(?iu)(phishing kit|tg://|t\\.me/)"
+KIT_PHISHER_HINT_RE = "(?iu) phisher"
+KIT_PHISHER_RE = "(?iud)by .* phisher"
 FORM_ACTION_RE = f"(?iu)<form[^>]*action=[\"']?([^\"'>{WS_CLASS}]+)"
 TITLE_RE = "(?iusd)<title[^>]*>(.*?)</title>"
 BASE64_RUN_RE = "[A-Za-z0-9+/=]{40,}"
@@ -42,6 +47,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
+def tokens_of_lowered(lowered: Column) -> Column:
+    """``tokens`` of text that is already lower-cased (saves a second ``lower`` pass)."""
+    return F.regexp_extract_all(lowered, F.lit(TOKEN_RE), 0)
+
+
 def token_set(c: Column) -> Column:
     return F.array_distinct(tokens(c))
 
@@ -86,6 +96,11 @@ def has_high_entropy_run(html: Column) -> Column:
     return F.exists(runs, lambda s: (F.length(s) > 64) & looks_base64(s))
 
 
+def kit_comment(lowered: Column) -> Column:
+    """H02 kit signature on lower-cased text (equivalent to ``KIT_COMMENT_RE``)."""
+    return lowered.rlike(KIT_LITERAL_RE) | (lowered.rlike(KIT_PHISHER_HINT_RE) & lowered.rlike(KIT_PHISHER_RE))
+
+
 def py_bool(c: Column) -> Column:
     """Render a boolean the way Python prints it (True/False) for evidence text."""
     return F.when(c, F.lit("True")).otherwise(F.lit("False"))

@@ -41,6 +41,7 @@ FAVICON_SCHEMA = "host string, status int, content binary"
 CNAME_SCHEMA = "src string, target string"
 CT_SCHEMA = "{key} string, status int, body string"
 
+
 def failed_fetch() -> Column:
     """The stub a failed fetch yields (status 500, empty body, headers and history)."""
     return F.struct(
@@ -228,12 +229,12 @@ def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10)
         step = (frontier.join(edges, "cur")
                         .select("host", F.lit(hop).alias("hop"), "target"))
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("host", F.regexp_replace("target", "\\.$", "").alias("cur"))
+        frontier = step.select("host", F.regexp_replace("target", "\\.+$", "").alias("cur"))
         if hop % 4 == 3 and hop + 1 < max_hops:
             checkpoint_dir(hosts.sparkSession)
             found = found.checkpoint()
             frontier = found.where(F.col("hop") == hop).select(
-                "host", F.regexp_replace("target", "\\.$", "").alias("cur"))
+                "host", F.regexp_replace("target", "\\.+$", "").alias("cur"))
     chains = (found.groupBy("host")
                    .agg(F.sort_array(F.collect_list(F.struct("hop", "target"))).alias("_c"))
                    .select("host", F.col("_c.target").alias("chain")))

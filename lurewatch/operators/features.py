@@ -42,13 +42,27 @@ def cross_domain_post(html: Column, host: Column) -> Column:
                     & (h != "") & (normalize_host(a) != h) & ~a.startswith("#"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows when the scan yields fewer partitions than task slots.
+
+    The feature projection is CPU-bound (about twenty regex passes per body).
+    On a large input the scan already has far more splits than slots and this
+    is a no-op; on a small input (one file, one row group) it keeps every core
+    busy at the price of a shuffle of that small input.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(slots) if n < slots else df
+
+
 def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", host_col: str = "host",
                        out: str = "f") -> DataFrame:
     """Append struct ``out`` of page features and drop ``html_col``."""
+    df = spread(df)
     html = F.coalesce(F.col(html_col), F.lit(""))
     staged = (df.withColumn("__html", html)
                 .withColumn("__lower", F.lower(F.col("__html")))
-                .withColumn("__words", tx.tokens(F.col("__html")))
+                .withColumn("__words", tx.tokens_of_lowered(F.col("__lower")))
                 .withColumn("__title", tx.title(F.col("__html"))))
     h, lo, words, ttl = F.col("__html"), F.col("__lower"), F.col("__words"), F.col("__title")
     kws = density_keywords(rules)
@@ -68,7 +82,7 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         tx.has_high_entropy_run(h).alias("high_entropy"),
         h.rlike(tx.WALLET_RE).alias("wallet"),
         (lo.contains("clipboard") & h.rlike(tx.CLIPBOARD_WRITE_RE)).alias("clipboard"),
-        lo.rlike(tx.KIT_COMMENT_RE).alias("kit_comment"),
+        tx.kit_comment(lo).alias("kit_comment"),
         contains_any(lo, rules.parking_signatures, normalise=False).alias("parking_sig"),
         contains_any(lo, rules.content_tokens, normalise=False).alias("content_token_hit"),
         F.size(words).alias("words_total"),
