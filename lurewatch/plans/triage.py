@@ -132,11 +132,17 @@ def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
     relevant = hosts.where(F.col("brand").isNotNull() & F.coalesce(F.col("_gate") != "dropped", F.lit(True)))
     auto = relevant.where(F.col("_gate") == "scam").select("host", "source", "brand", F.lit("scam").alias("verdict"))
     todo = relevant.where(F.col("_gate").isNull()).select("host", "source", "brand")
+    cols = ["host", "source", "brand", "verdict", "score", "tally", "decided_by"]
+    if captures.http is None:
+        # no page captures at all: every host that passed the gates waits for its capture
+        pending = todo.select("*", F.lit("pending").alias("verdict"), F.lit(None).cast("double").alias("score"),
+                              F.lit(None).cast("int").alias("tally"), F.lit(None).cast("string").alias("decided_by"))
+        return (irrelevant.unionByName(auto, allowMissingColumns=True)
+                          .unionByName(pending, allowMissingColumns=True).select(*cols))
     ctx = build_context(todo, captures, rules)
     pending = ctx.where(F.col("primary").isNull()).select("host", F.lit("pending").alias("verdict"))
     scored = classify(ctx.where(F.col("primary").isNotNull()), rules, as_of).select(
         "host", "verdict", "score", "tally", "decided_by")
     decided = todo.join(scored.unionByName(pending, allowMissingColumns=True), "host")
-    cols = ["host", "source", "brand", "verdict", "score", "tally", "decided_by"]
     return (irrelevant.unionByName(auto, allowMissingColumns=True)
                       .unionByName(decided, allowMissingColumns=True).select(*cols))
