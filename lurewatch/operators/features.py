@@ -60,10 +60,9 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
     """Append struct ``out`` of page features and drop ``html_col``."""
     df = spread(df)
     html = F.coalesce(F.col(html_col), F.lit(""))
-    staged = (df.withColumn("__html", html)
-                .withColumn("__lower", F.lower(F.col("__html")))
-                .withColumn("__words", tx.tokens_of_lowered(F.col("__lower")))
-                .withColumn("__title", tx.title(F.col("__html"))))
+    staged = df.select("*", html.alias("__html"))
+    staged = staged.select("*", F.lower(F.col("__html")).alias("__lower"), tx.title(F.col("__html")).alias("__title"))
+    staged = staged.select("*", tx.tokens_of_lowered(F.col("__lower")).alias("__words"))
     h, lo, words, ttl = F.col("__html"), F.col("__lower"), F.col("__words"), F.col("__title")
     kws = density_keywords(rules)
     kw_arr = F.array(*[F.lit(k) for k in kws]) if kws else F.array().cast("array<string>")
@@ -93,7 +92,8 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         F.array_distinct(words).alias("token_set"),
         F.length(h).alias("html_len"),
     )
-    return staged.withColumn(out, feats).drop("__html", "__lower", "__words", "__title", html_col)
+    keep = [c for c in df.columns if c != html_col]
+    return staged.select(*keep, feats.alias(out))
 
 
 def owned_brand_ords(registrable: Column, rules: RuleSet) -> Column:

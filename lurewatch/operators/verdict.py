@@ -64,11 +64,10 @@ def classify(context: DataFrame, rules: RuleSet, as_of: Column,
                       F.when(F.col("_first.scam"), F.lit("scam")).otherwise(F.lit("benign")))
                 .when(F.col("score") >= F.lit(rules.thresholds.scam), F.lit("scam"))
                 .otherwise(F.lit("inconclusive")))
-    out = (ev.withColumn("_first", first_def)
-             .withColumn("tally", tally.cast("int"))
-             .withColumn("score", score.cast("double"))
-             .withColumn("decided_by", F.when(g.isNull(), F.col("_first.name")))
-             .withColumn("verdict", verdict))
+    # one projection per step (chained withColumn would re-analyse the wide plan each time)
+    staged = ev.select("*", first_def.alias("_first"), tally.cast("int").alias("tally"))
+    staged = staged.select("*", score.cast("double").alias("score"))
+    out = staged.select("*", F.when(g.isNull(), F.col("_first.name")).alias("decided_by"), verdict.alias("verdict"))
     if keep_results:
         out = out.withColumn("results", rule_results(registry))
     drop = [c for c in out.columns if c.startswith("_r") or c in ("_first", "_lookalike", "_reg_age", "_diff_ratio")]
