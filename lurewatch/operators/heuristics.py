@@ -38,6 +38,7 @@ RESULT_TYPE = "struct<scam:boolean,benign:boolean,suspicious:boolean,evidence:st
 class RuleContext:
     rules: RuleSet
     as_of: Column
+    with_evidence: bool = True
 
     @property
     def t(self):
@@ -55,9 +56,14 @@ def _b(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def result(scam: Column | None = None, benign: Column | None = None, suspicious: Column | None = None,
-           evidence: Column | None = None) -> Column:
-    """G1: tri-state result; a definitive flag masks the weaker ones."""
+def result(ctx: RuleContext, scam: Column | None = None, benign: Column | None = None,
+           suspicious: Column | None = None, evidence: Column | None = None) -> Column:
+    """G1: tri-state result; a definitive flag masks the weaker ones.
+
+    Evidence text is only built when ``ctx.with_evidence`` (verdict-only plans stay small).
+    """
+    if not ctx.with_evidence:
+        evidence = None
     s = _b(scam) if scam is not None else F.lit(False)
     b = (_b(benign) & ~s) if benign is not None else F.lit(False)
     u = (_b(suspicious) & ~s & ~b) if suspicious is not None else F.lit(False)
@@ -102,7 +108,7 @@ def forms_and_exfil(ctx: RuleContext) -> Column:
                   F.lit(",cross_post="), tx.py_bool(xpost), F.lit(",exfil="), tx.py_bool(exfil),
                   F.lit(",js_obf="), tx.py_bool(obf | ent), F.lit(",wallet="), tx.py_bool(wallet),
                   F.lit(",clipboard="), tx.py_bool(clip))
-    return result(scam=(pw | cc) & (exfil | xpost), suspicious=pw | otp | cc | obf | ent | wallet | clip, evidence=ev)
+    return result(ctx, scam=(pw | cc) & (exfil | xpost), suspicious=pw | otp | cc | obf | ent | wallet | clip, evidence=ev)
 
 
 def phishing_kit(ctx: RuleContext) -> Column:
@@ -110,7 +116,7 @@ def phishing_kit(ctx: RuleContext) -> Column:
     kit = _b(_pf("kit_comment"))
     ev = F.when(kit, F.concat(F.lit("kit_comment=True,path_hit="), tx.py_bool(path_hit))).otherwise(
         F.lit("path_hit=True"))
-    return result(scam=kit, suspicious=path_hit, evidence=ev)
+    return result(ctx, scam=kit, suspicious=path_hit, evidence=ev)
 
 
 def favicon_brand_mismatch(ctx: RuleContext) -> Column:
@@ -118,7 +124,7 @@ def favicon_brand_mismatch(ctx: RuleContext) -> Column:
     sha = F.col("favicon.sha1")
     known = _b(sha.isin(hashes)) if hashes else F.lit(False)
     fire = F.col("favicon").isNotNull() & _no_error(F.col("favicon.error")) & known & ~_owned_any(ctx.rules)
-    return result(scam=fire, evidence=F.concat(F.lit("favicon_sha1="), sha))
+    return result(ctx, scam=fire, evidence=F.concat(F.lit("favicon_sha1="), sha))
 
 
 # --- definitive benign -----------------------------------------------------
@@ -130,13 +136,13 @@ def inactive_domain(ctx: RuleContext) -> Column:
     no_records = d.isNotNull() & (F.size(d["a_records"]) + F.size(d["aaaa_records"]) == 0) & \
         (F.size(d["mx"]) + F.size(d["ns"]) == 0)
     ev = F.when(bad_http, F.concat(F.lit("http_status="), st.cast("string"))).otherwise(F.lit("dns_no_records"))
-    return result(benign=_b(bad_http) | _b(no_records), evidence=ev)
+    return result(ctx, benign=_b(bad_http) | _b(no_records), evidence=ev)
 
 
 def parking_detect(ctx: RuleContext) -> Column:
     server, powered = F.lower(_hdr("server")), F.lower(_hdr("x-powered-by"))
     parked = contains_any(server, PARKING_SERVERS, normalise=False) | powered.contains(PARKING_POWERED_BY)
-    return result(benign=_b(_pf("parking_sig")) | parked, evidence=F.lit("parking_signature"))
+    return result(ctx, benign=_b(_pf("parking_sig")) | parked, evidence=F.lit("parking_signature"))
 
 
 def long_lived_or_verified(ctx: RuleContext) -> Column:
@@ -144,7 +150,7 @@ def long_lived_or_verified(ctx: RuleContext) -> Column:
     org = c.isNotNull() & (F.coalesce(c["org"], F.lit("")) != "") & _no_error(c["error"])
     hsts = _has_hdr("strict-transport-security")
     ev = F.when(_b(org), F.concat(F.lit("ov_ev_cert_org="), c["org"])).otherwise(F.lit("hsts_present"))
-    return result(benign=_b(org) | hsts, evidence=ev)
+    return result(ctx, benign=_b(org) | hsts, evidence=ev)
 
 
 # --- suspicious ------------------------------------------------------------
@@ -199,7 +205,7 @@ def brand_lookalike(ctx: RuleContext) -> Column:
     best = F.col("_lookalike")
     ev = F.concat(F.lit("lookalike_to_"), best["kind"], F.lit(":"), best["target"], F.lit(",dist="),
                   best["dist"].cast("string"))
-    return result(suspicious=best.isNotNull() & (best["dist"] <= ctx.t.lookalike_max_distance), evidence=ev)
+    return result(ctx, suspicious=best.isNotNull() & (best["dist"] <= ctx.t.lookalike_max_distance), evidence=ev)
 
 
 def _registration_age(ctx: RuleContext) -> Column:
@@ -210,18 +216,18 @@ def _registration_age(ctx: RuleContext) -> Column:
 
 def domain_age(ctx: RuleContext) -> Column:
     age = F.col("_reg_age")
-    return result(suspicious=age < ctx.t.new_domain_days, evidence=F.concat(F.lit("age_days="), age.cast("string")))
+    return result(ctx, suspicious=age < ctx.t.new_domain_days, evidence=F.concat(F.lit("age_days="), age.cast("string")))
 
 
 def punycode(ctx: RuleContext) -> Column:
-    return result(suspicious=is_punycode(F.col("host")), evidence=F.lit("punycode_label_detected"))
+    return result(ctx, suspicious=is_punycode(F.col("host")), evidence=F.lit("punycode_label_detected"))
 
 
 def forbidden_tokens(ctx: RuleContext) -> Column:
     host_hit = contains_any(F.lower(F.col("host")), ctx.rules.content_tokens, normalise=False)
     content_hit = _b(_pf("content_token_hit"))
     ev = F.concat(F.lit("host_hit="), tx.py_bool(host_hit), F.lit(",content_hit="), tx.py_bool(content_hit))
-    return result(suspicious=host_hit | content_hit, evidence=ev)
+    return result(ctx, suspicious=host_hit | content_hit, evidence=ev)
 
 
 def diff_ratio_of_pair() -> Column:
@@ -246,14 +252,14 @@ def redirect_and_cloaking(ctx: RuleContext) -> Column:
     cloak = (ratio > ctx.t.cloaking_diff_ratio) & long_enough
     ev = F.concat(F.lit("redirects=["), F.array_join(hist, ", "), F.lit("],ua_diff_ratio="),
                   F.format_string("%.2f", ratio))
-    return result(suspicious=multi | cloak, evidence=ev)
+    return result(ctx, suspicious=multi | cloak, evidence=ev)
 
 
 def cert_age(ctx: RuleContext) -> Column:
     c = F.col("cert")
     valid = c.isNotNull() & _no_error(c["error"]) & (F.coalesce(c["not_before"], F.lit("")) != "")
     age = F.when(valid, dt.age_days(dt.parse_cert_date(c["not_before"]), ctx.as_of))
-    return result(suspicious=age < ctx.t.cert_age_days, evidence=F.concat(F.lit("cert_age_days="), age.cast("string")))
+    return result(ctx, suspicious=age < ctx.t.cert_age_days, evidence=F.concat(F.lit("cert_age_days="), age.cast("string")))
 
 
 def brand_content_density(ctx: RuleContext) -> Column:
@@ -263,20 +269,20 @@ def brand_content_density(ctx: RuleContext) -> Column:
     fire = ~_owned_any(ctx.rules) & (total > 0) & (density > ctx.t.brand_density_threshold)
     ev = F.concat(F.lit("brand_density="), F.format_string("%.3f", density), F.lit(",brand_count="),
                   count.cast("string"), F.lit(",total_words="), total.cast("string"))
-    return result(suspicious=fire, evidence=ev)
+    return result(ctx, suspicious=fire, evidence=ev)
 
 
 def https_login(ctx: RuleContext) -> Column:
     url = F.coalesce(F.col("primary.final_url"), F.lit(""))
     fire = _b(_pf("password")) & url.startswith("http://")
-    return result(suspicious=fire, evidence=F.concat(F.lit("password_field=True,final_url="), url))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("password_field=True,final_url="), url))
 
 
 def suspicious_tld(ctx: RuleContext) -> Column:
     tld = F.lower(F.coalesce(F.col("suffix"), F.lit("")))
     tlds = list(ctx.rules.suspicious_tlds)
     fire = tld.isin(tlds) if tlds else F.lit(False)
-    return result(suspicious=fire, evidence=F.concat(F.lit("tld="), tld))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("tld="), tld))
 
 
 def title_brand_mismatch(ctx: RuleContext) -> Column:
@@ -285,7 +291,7 @@ def title_brand_mismatch(ctx: RuleContext) -> Column:
     hit = F.coalesce(*[F.when(F.array_contains(tb, F.lit(b.ord)) & ~_owned(ctx.rules, b.ord), F.lit(b.name))
                        for b in ctx.rules.brands], F.lit(None).cast("string"))
     ev = F.concat(F.lit("brand='"), hit, F.lit("',title='"), _pf("title_text"), F.lit("'"))
-    return result(suspicious=found & hit.isNotNull(), evidence=ev)
+    return result(ctx, suspicious=found & hit.isNotNull(), evidence=ev)
 
 
 def bulletproof_host(ctx: RuleContext) -> Column:
@@ -293,7 +299,7 @@ def bulletproof_host(ctx: RuleContext) -> Column:
     chain = F.coalesce(c["chain"], F.array().cast("array<string>"))
     hit = first_hit(chain, ctx.rules.hosting_substrings)
     fire = c.isNotNull() & _no_error(c["error"]) & hit.isNotNull()
-    return result(suspicious=fire, evidence=F.concat(F.lit("cname_target='"), hit, F.lit("'")))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("cname_target='"), hit, F.lit("'")))
 
 
 def ct_history(ctx: RuleContext) -> Column:
@@ -305,7 +311,7 @@ def ct_history(ctx: RuleContext) -> Column:
     young = usable & (n > 1) & _b(age < ctx.t.new_domain_days)
     ev = F.when(single, F.lit("cert_count=1")).otherwise(
         F.concat(F.lit("cert_count="), n.cast("string"), F.lit(",age_days="), age.cast("string")))
-    return result(suspicious=single | young, evidence=ev)
+    return result(ctx, suspicious=single | young, evidence=ev)
 
 
 def dns_email_posture(ctx: RuleContext) -> Column:
@@ -320,7 +326,7 @@ def dns_email_posture(ctx: RuleContext) -> Column:
     ev = F.concat(F.lit("many_a="), tx.py_bool(many_a), F.lit(",low_ttl="), tx.py_bool(low_ttl),
                   F.lit(",has_mx="), tx.py_bool(has_mx), F.lit(",spf_weak="), tx.py_bool(_b(spf_weak)),
                   F.lit(",dmarc_weak="), tx.py_bool(_b(dmarc_weak)))
-    return result(suspicious=fire, evidence=ev)
+    return result(ctx, suspicious=fire, evidence=ev)
 
 
 def tls_cert(ctx: RuleContext) -> Column:
@@ -331,12 +337,12 @@ def tls_cert(ctx: RuleContext) -> Column:
     for nm in names:
         named = named | cn.contains(nm)
     fire = c.isNotNull() & _no_error(c["error"]) & (cn != "") & named & ~_owned_any(ctx.rules)
-    return result(suspicious=fire, evidence=F.concat(F.lit("cn_brand_mismatch=True,cn="), c["cn"]))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("cn_brand_mismatch=True,cn="), c["cn"]))
 
 
 def subdomain_depth(ctx: RuleContext) -> Column:
     n = label_count(F.col("host"))
-    return result(suspicious=n >= ctx.t.subdomain_min_depth, evidence=F.concat(F.lit("label_count="), n.cast("string")))
+    return result(ctx, suspicious=n >= ctx.t.subdomain_min_depth, evidence=F.concat(F.lit("label_count="), n.cast("string")))
 
 
 def missing_security_headers(ctx: RuleContext) -> Column:
@@ -345,7 +351,7 @@ def missing_security_headers(ctx: RuleContext) -> Column:
     for h in SECURITY_HEADERS:
         none = none & ~_has_hdr(h)
     ev = F.lit("missing=[" + ", ".join(f"'{h}'" for h in sorted(SECURITY_HEADERS)) + "]")
-    return result(suspicious=ok & none, evidence=ev)
+    return result(ctx, suspicious=ok & none, evidence=ev)
 
 
 def freemail_mx(ctx: RuleContext) -> Column:
@@ -354,21 +360,21 @@ def freemail_mx(ctx: RuleContext) -> Column:
     hit = F.get(F.filter(mx, lambda m: contains_any(F.regexp_replace(F.lower(m), "\\.+$", ""),
                                                     FREEMAIL_PROVIDERS, normalise=False)), 0)
     fire = d.isNotNull() & _no_error(d["error"]) & hit.isNotNull()
-    return result(suspicious=fire, evidence=F.concat(F.lit("freemail_mx="), hit))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("freemail_mx="), hit))
 
 
 def reverse_dns_mismatch(ctx: RuleContext) -> Column:
     d = F.col("dns")
     n_a = F.size(d["a_records"])
     fire = d.isNotNull() & _no_error(d["error"]) & (n_a > 0) & (F.size(d["ptr_records"]) == 0)
-    return result(suspicious=fire, evidence=F.concat(F.lit("no_ptr_for_"), n_a.cast("string"), F.lit("_a_records")))
+    return result(ctx, suspicious=fire, evidence=F.concat(F.lit("no_ptr_for_"), n_a.cast("string"), F.lit("_a_records")))
 
 
 def no_robots_txt(ctx: RuleContext) -> Column:
     d = F.col("dns")
     fire = _b(F.col("primary.status") == 200) & d.isNotNull() & (F.size(d["a_records"]) > 0) & \
         F.col("robots").isNull()
-    return result(suspicious=fire, evidence=F.lit("no_robots_txt_on_active_domain"))
+    return result(ctx, suspicious=fire, evidence=F.lit("no_robots_txt_on_active_domain"))
 
 
 _OUTCOMES: dict[str, Callable[[RuleContext], Column]] = {

@@ -24,9 +24,13 @@ def _rcol(i: int) -> str:
 
 
 def evaluate_rules(context: DataFrame, rules: RuleSet, as_of: Column,
-                   registry: Sequence[Rule] = DEFAULT_REGISTRY) -> DataFrame:
-    """Append one result struct per rule (``_r01`` ...) plus shared helper columns."""
-    ctx = RuleContext(rules, as_of)
+                   registry: Sequence[Rule] = DEFAULT_REGISTRY, with_evidence: bool = True) -> DataFrame:
+    """Append one result struct per rule (``_r01`` ...) plus shared helper columns.
+
+    ``with_evidence=False`` skips the evidence strings (verdict-only callers):
+    a much smaller generated projection.
+    """
+    ctx = RuleContext(rules, as_of, with_evidence)
     staged = context.select("*", *shared_columns(rules, as_of))
     return staged.select("*", *[r.outcome(ctx).alias(_rcol(i)) for i, r in enumerate(registry, 1)])
 
@@ -48,7 +52,7 @@ def classify(context: DataFrame, rules: RuleSet, as_of: Column,
     ``verdict`` and optionally ``results`` (the ordered result array).
     Rows whose host is trusted get a null verdict (dropped by the sinks).
     """
-    ev = evaluate_rules(context, rules, as_of, registry)
+    ev = evaluate_rules(context, rules, as_of, registry, with_evidence=keep_results)
     total = sum(r.weight for r in registry)
     first_def = F.coalesce(*[F.when(F.col(_rcol(i))["scam"] | F.col(_rcol(i))["benign"],
                                     F.struct(F.lit(r.name).alias("name"),

@@ -497,9 +497,7 @@ SELECT c.host, hit.cname_target, hit.cname_target IS NOT NULL AS bulletproof_hos
 FROM chains c LEFT JOIN hit ON hit.host = c.host""", ("v_pages", "v_cname"))
 def q_bulletproof(spark, sf_dir):
     from lurewatch.functions.hosts import first_hit
-    from lurewatch.operators.captures import cname_chains
-    c = _caps(spark, sf_dir)
-    ch = cname_chains(_v(spark, sf_dir, "v_pages").select("host"), c.cname_records)
+    ch = _context(spark, sf_dir)
     r = H.bulletproof_host(RuleContext(R, _as_of()))
     return ch.select("host", first_hit(F.col("cname.chain"), R.hosting_substrings).alias("cname_target"),
                      r["suspicious"].alias("bulletproof_host"))
@@ -587,9 +585,28 @@ def q_age_rules(spark, sf_dir):
 # Context-level rules, scoring and verdicts
 # ---------------------------------------------------------------------------
 
+_CONTEXTS: dict[tuple[int, str], str] = {}
+
+
 def _context(spark, sf_dir) -> DataFrame:
+    """The host context, built once per data directory and written to the shared checkpoint folder.
+
+    Every context-level report (benign / cloaking / DNS / TLS / header rules,
+    scores, long-form evidence, counts) reads the same materialised table, as
+    the enrichment is shared across rules; the written table also cuts the
+    lineage, so a lost executor never recomputes the capture roll-ups.
+    """
+    import os
     from lurewatch.plans.triage import build_context
-    return build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
+    key = (id(spark), sf_dir)
+    path = _CONTEXTS.get(key)
+    local = path is not None and (path.startswith("file:") or path.startswith("/"))
+    if path is None or (local and not os.path.exists(path.replace("file:", "", 1))):
+        ctx = build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
+        path = _scratch(spark, "context")
+        ctx.write.parquet(path)
+        _CONTEXTS[key] = path
+    return spark.read.parquet(path)
 
 
 def _rules_frame(spark, sf_dir) -> DataFrame:
@@ -807,8 +824,7 @@ SELECT host, CAST(len(ta) AS INTEGER) AS n_primary, CAST(len(tb) AS INTEGER) AS
         ELSE 1.0 - len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END, 6) AS diff_ratio
 FROM g""", _ALL_VIEWS)
 def q_jaccard_diff(spark, sf_dir):
-    from lurewatch.plans.triage import http_pair_features
-    pair = http_pair_features(_caps(spark, sf_dir).http, R)
+    pair = _context(spark, sf_dir)
     ps, as_ = F.col("primary.f.token_set"), F.col("alternative.f.token_set")
     return pair.select("host", F.size(ps).alias("n_primary"), F.size(as_).alias("n_alternative"),
                        F.size(F.array_intersect(ps, as_)).alias("n_common"),

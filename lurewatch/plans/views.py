@@ -115,10 +115,18 @@ def register_base(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
+    """Register base tables and derived views for ``sf_dir`` (skipped when already current)."""
+    key = id(spark)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("v_favicon"):
+        return
     register_base(spark, sf_dir, ("part", "pages", "events"))
     for name in VIEW_SQL:  # insertion order respects dependencies
         spark.sql(VIEW_SQL[name]).createOrReplaceTempView(name)
+    _REGISTERED[key] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
