@@ -51,6 +51,27 @@ def failed_fetch() -> Column:
         F.lit(0.0).alias("elapsed_ms"))
 
 
+def latest_per_key(df: DataFrame, key: str, order_col: str = "captured_at") -> DataFrame:
+    """One row per ``key``: the latest capture by ``order_col`` (or a deterministic pick without it).
+
+    ``max_by`` aggregates partially map-side, so a key holding a large share of
+    the rows is reduced before the shuffle; the output is hash-partitioned on
+    ``key``, which the following context join on ``key`` reuses.
+    """
+    rest = [c for c in df.columns if c != key]
+    body = F.struct(*[F.col(c) for c in rest])
+    pick = F.max_by(body, F.col(order_col)) if order_col in df.columns else F.max(body)
+    return df.groupBy(key).agg(pick.alias("_l")).select(key, *[F.col(f"_l.{c}").alias(c) for c in rest])
+
+
+def latest_snapshot(records: DataFrame, key: str = "host", order_col: str = "captured_at") -> DataFrame:
+    """Rows of the latest snapshot per ``key`` when snapshots carry ``order_col``; all rows otherwise."""
+    if order_col not in records.columns:
+        return records
+    last = records.groupBy(key).agg(F.max(order_col).alias(order_col))
+    return records.join(last, [key, order_col], "left_semi")
+
+
 def lower_keys(headers: Column) -> Column:
     """D3: header names lower-cased (LAST_WIN dedup policy set on the session)."""
     return F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")),
@@ -94,7 +115,7 @@ def redirect_history(hops: DataFrame) -> DataFrame:
 
 def dns_snapshot(dns_records: DataFrame) -> DataFrame:
     """Per host A / AAAA / MX / NS / SPF / DMARC lists, min TTL, error collapse."""
-    r = dns_records
+    r = latest_snapshot(dns_records)
     at_host = F.col("qname") == F.col("host")
     at_dmarc = F.col("qname") == F.concat(F.lit("_dmarc."), F.col("host"))
     ok = F.col("rcode").isin(*OK_RCODES)
@@ -159,7 +180,7 @@ def cert_fields(cert_captures: DataFrame) -> DataFrame:
     c = F.from_json(F.col("body"), CERT_SCHEMA)
     err = F.col("error").isNotNull()
     subj = F.coalesce(c["subject"], F.array().cast("array<array<array<string>>>"))
-    return cert_captures.select("host", F.struct(
+    return latest_per_key(cert_captures, "host").select("host", F.struct(
         F.when(~err, _first_attr(subj, "commonName")).alias("cn"),
         F.when(~err, F.transform(F.coalesce(c["subjectAltName"], F.array().cast("array<array<string>>")),
                                  lambda x: F.get(x, 1))).otherwise(F.array().cast("array<string>")).alias("san"),
@@ -193,7 +214,7 @@ def rdap_fields(rdap: DataFrame, key: str = "registrable") -> DataFrame:
     error = (F.when(bad_status, F.concat(F.lit("http_status="), F.col("status").cast("string")))
               .when(v.isNull(), F.lit("invalid json"))
               .when(kind != "OBJECT", F.lit("unexpected json")))
-    return rdap.select(F.col(key), F.struct(
+    return latest_per_key(rdap, key).select(F.col(key), F.struct(
         F.when(error.isNull(), created).alias("created"),
         F.when(error.isNull(), registrar).alias("registrar"),
         error.alias("error")).alias("registration"))
@@ -202,7 +223,7 @@ def rdap_fields(rdap: DataFrame, key: str = "registrable") -> DataFrame:
 def favicon_fields(favicons: DataFrame) -> DataFrame:
     """SHA-1 hex of a non-empty 200 response, else an error."""
     ok = (F.col("status") == 200) & F.coalesce(F.length("content") > 0, F.lit(False))
-    return favicons.select("host", F.struct(
+    return latest_per_key(favicons, "host").select("host", F.struct(
         F.when(ok, F.sha1(F.col("content"))).alias("sha1"),
         F.when(~ok, F.concat(F.lit("http_status="), F.col("status").cast("string"))).alias("error")
     ).alias("favicon"))
@@ -260,7 +281,7 @@ def ct_history(ct: DataFrame, key: str = "registrable") -> DataFrame:
               .when(v.isNull(), F.lit("invalid json")))
     count = F.when(error.isNull() & is_list, F.size(certs)).otherwise(F.lit(0))
     earliest = F.when(error.isNull() & is_list, F.array_min(F.filter(dates, lambda d: d.isNotNull())))
-    return ct.select(F.col(key), F.struct(count.alias("cert_count"), earliest.alias("earliest_date"),
+    return latest_per_key(ct, key).select(F.col(key), F.struct(count.alias("cert_count"), earliest.alias("earliest_date"),
                                           error.alias("error")).alias("ct"))
 
 

@@ -87,3 +87,15 @@ def test_sink_roundtrip(spark):
     got = sorted(tuple(r) for r in read_verdicts(spark, root, fmt="text").collect())
     assert got == [("a-testbrand.com", "TestBrand", "scam"), ("b.com", None, "irrelevant")]
     assert os.path.isdir(os.path.join(root, "brands", "brand=TestBrand", "verdict=scam"))
+
+
+def test_one_row_per_key(spark):
+    from lurewatch.operators.captures import cert_fields, latest_per_key
+    rows = [("h.com", '{"subject":[[["commonName","old"]]]}', None, "2026-01-01 00:00:00"),
+            ("h.com", '{"subject":[[["commonName","new"]]]}', None, "2026-01-02 00:00:00"),
+            ("g.com", '{"subject":[[["commonName","g"]]]}', None, "2026-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "host string, body string, error string, captured_at string") \
+        .withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    got = {r.host: r.cert.cn for r in cert_fields(df).collect()}
+    assert got == {"h.com": "new", "g.com": "g"}
+    assert latest_per_key(df.drop("captured_at"), "host").count() == 2
