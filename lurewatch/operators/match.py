@@ -56,3 +56,9 @@ def gate(host: Column, rules: RuleSet) -> Column:
     """'dropped' (trusted, checked first), 'scam' (auto-scam) or null (go on to the rules)."""
     return (F.when(is_trusted(host, rules), F.lit("dropped"))
              .when(is_auto_scam(host, rules), F.lit("scam")))
+
+
+def filter_counts(hosts: DataFrame, rules: RuleSet, host_col: str = "host") -> DataFrame:
+    """Relevant / irrelevant host counts of a batch (one global partial aggregate)."""
+    b = brand_of(F.col(host_col), rules)
+    return hosts.agg(F.count_if(b.isNotNull()).alias("relevant"), F.count_if(b.isNull()).alias("irrelevant"))

@@ -64,12 +64,14 @@ def with_registrable(df: DataFrame, rules: RuleSet, host_col: str = "host",
     dim = suffix_dimension(spark, rules)
     k_max = max_depth(rules)
     h = F.lower(F.coalesce(F.col(host_col), F.lit("")))
-    out = df.withColumn("__labels", F.split(h, "\\.")).withColumn("__n", F.size("__labels"))
+    out = df.select("*", F.split(h, "\\.").alias("__labels"))
+    out = out.select("*", F.size("__labels").alias("__n"))
+    out = out.select("*", *[F.when(F.col("__n") >= i, F.array_join(F.slice("__labels", -i, i), ".")).alias(f"__c{i}")
+                            for i in range(1, k_max + 1)])
     for i in range(1, k_max + 1):
-        cand = F.when(F.col("__n") >= i, F.array_join(F.slice("__labels", -i, i), "."))
         d = dim.select(F.col("key").alias(f"__k{i}"), F.col("exact").alias(f"__e{i}"),
                        F.col("wildcard").alias(f"__w{i}"), F.col("exception").alias(f"__x{i}"))
-        out = out.withColumn(f"__c{i}", cand).join(d, F.col(f"__c{i}") == F.col(f"__k{i}"), "left")
+        out = out.join(d, F.col(f"__c{i}") == F.col(f"__k{i}"), "left")
     # length (in labels) of the public suffix chosen at each depth
     exc_len: Column = F.lit(None).cast("int")
     best: Column = F.lit(0)
@@ -86,11 +88,10 @@ def with_registrable(df: DataFrame, rules: RuleSet, host_col: str = "host",
     domain = F.when(dom_pos >= 1, F.get(F.col("__labels"), dom_pos - 1)).otherwise(F.lit(""))
     reg = F.concat_ws(".", F.when(domain != "", domain), F.when(suffix != "", suffix))
     reg = F.when(reg == "", h).otherwise(reg)
-    out = (out.withColumn("__slen", slen)
-              .withColumn(out_suffix, F.when(is_ip, F.lit("")).otherwise(suffix))
-              .withColumn(out_registrable, F.when(is_ip, h).otherwise(reg)))
-    drop = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*drop)
+    out = out.select("*", slen.alias("__slen"))
+    keep = [c for c in df.columns if c not in (out_suffix, out_registrable)]
+    return out.select(*keep, F.when(is_ip, F.lit("")).otherwise(suffix).alias(out_suffix),
+                      F.when(is_ip, h).otherwise(reg).alias(out_registrable))
 
 
 def registrable_py(host: str, rules: RuleSet) -> tuple[str, str, str]:
@@ -130,3 +131,10 @@ def owned_by_brand(registrable: Column, rules: RuleSet, brand_ord: int | None =
     if not vals:
         return F.lit(False)
     return F.coalesce(registrable.isin(vals), F.lit(False))
+
+
+def with_owner(df: DataFrame, rules: RuleSet, registrable_col: str = "registrable") -> DataFrame:
+    """Append ``owner`` (first brand, in configuration order, whose canonical domains share the registrable)."""
+    owner = F.coalesce(*[F.when(owned_by_brand(F.col(registrable_col), rules, b.ord), F.lit(b.name))
+                         for b in rules.brands], F.lit(None).cast("string"))
+    return df.withColumn("owner", owner)

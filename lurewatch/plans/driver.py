@@ -116,10 +116,9 @@ WITH reg AS ({O.registrable_cte(R, 'v_hosts')})
 SELECT v.n, v.host, {O.owned_sql('reg.registrable', R)} AS owned, {_owner_sql('reg.registrable')} AS owner
 FROM v_hosts v JOIN reg ON reg.host = v.host""", ("v_hosts",))
 def q_brand_owned(spark, sf_dir):
-    df = with_registrable(_v(spark, sf_dir, "v_hosts"), R)
-    owner = F.coalesce(*[F.when(owned_by_brand(F.col("registrable"), R, b.ord), F.lit(b.name)) for b in R.brands],
-                       F.lit(None).cast("string"))
-    return df.select("n", "host", owned_by_brand(F.col("registrable"), R).alias("owned"), owner.alias("owner"))
+    from lurewatch.operators.suffix import with_owner
+    df = with_owner(with_registrable(_v(spark, sf_dir, "v_hosts"), R), R)
+    return df.select("n", "host", owned_by_brand(F.col("registrable"), R).alias("owned"), "owner")
 
 
 @query("label_count", f"""
@@ -1028,3 +1027,12 @@ def q_python_rule(spark, sf_dir):
     from lurewatch.operators.python_rules import high_entropy_outcome
     pages = _v(spark, sf_dir, "v_pages")
     return pages.select("n", high_entropy_outcome(F.col("html"))["suspicious"].alias("high_entropy"))
+
+
+@query("filter_counts", f"""
+SELECT CAST(count(*) FILTER (WHERE b IS NOT NULL) AS BIGINT) AS relevant,
+       CAST(count(*) FILTER (WHERE b IS NULL) AS BIGINT) AS irrelevant
+FROM (SELECT {O.brand_sql('host', R)} AS b FROM v_hosts) t""", ("v_hosts",))
+def q_filter_counts(spark, sf_dir):
+    from lurewatch.operators.match import filter_counts
+    return filter_counts(_v(spark, sf_dir, "v_hosts"), R)

@@ -37,7 +37,8 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
     """Start the streaming triage; ``captures`` is called per batch so each batch sees the latest captures."""
     if state_store:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_store)
-    deduped = hosts.dropDuplicates(["host"])
+    # W3 exact dedup in checkpointed state; per-batch host count observable in query progress
+    deduped = hosts.dropDuplicates(["host"]).observe("triage_input", F.count(F.lit(1)).alias("new_hosts"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         raw = batch.select(F.col("host").alias("line"), "source")
