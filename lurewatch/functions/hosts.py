@@ -22,8 +22,10 @@ STRIP_RE = f"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
 # and the long s; the pattern is anchored and uses UNIX_LINES so ``$`` behaves
 # like Python's (end, or before one final newline).
 HOST_RE = "(?d)^(?:\\*\\.)?[a-z0-9.\\-ıſ]+$"
+# HOST_RE plus "contains a dot", capturing the whole input (with the one final newline ``$`` admits)
+HOST_EXTRACT_RE = "(?d)^((?=[^\\n]*\\.)(?:\\*\\.)?[a-z0-9.\\-ıſ]+\\n?)$"
 
-# Above this many keywords an OR-chain is replaced by ``exists`` over a literal array.
+# Above this many keywords the regex alternation is replaced by ``exists`` over a literal array.
 OR_CHAIN_MAX = 64
 
 
@@ -39,16 +41,16 @@ def normalize_host(c: Column) -> Column:
     s = F.regexp_replace(s, "^\\*\\.", "")                      # one leading '*.'
     s = F.regexp_replace(s, "(?s)^.*?://([^/]*).*$", "$1")         # after the first '://', up to '/'
     s = F.substring_index(s, ":", 1)
-    ok = (s != "") & s.contains(".") & s.rlike(HOST_RE)
-    return F.when(ok, s).otherwise(F.lit(""))
+    # non-empty, has a dot, allowed characters only: the whole string, else '' (no match)
+    return F.regexp_extract(s, HOST_EXTRACT_RE, 1)
 
 
 def contains_any(c: Column, keywords: Iterable[str], normalise: bool = True) -> Column:
     """True when a (stripped, lower-cased, non-empty) keyword is a substring of ``c``.
 
     False when ``c`` is null/empty or no usable keyword exists.  Short lists
-    become an OR-chain of ``contains`` (whole-stage codegen); long lists use
-    ``exists`` over a literal array.
+    become one regex alternation of escaped literals (codegen, text read once);
+    long lists use ``exists`` over a literal array.
     """
     kws = [k.strip().lower() if normalise else k for k in keywords if k is not None]
     kws = [k for k in kws if k]
@@ -56,12 +58,15 @@ def contains_any(c: Column, keywords: Iterable[str], normalise: bool = True) ->
         return F.lit(False)
     text = F.coalesce(c, F.lit(""))
     if len(kws) <= OR_CHAIN_MAX:
-        hit = text.contains(kws[0])
-        for k in kws[1:]:
-            hit = hit | text.contains(k)
-    else:
-        hit = F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(text, k))
-    return (text != "") & hit
+        # one find() over an alternation of escaped literals: the text is referenced once,
+        # so the expression stays small when the optimizer inlines ``c``
+        return text.rlike("|".join(regex_literal(k) for k in kws))
+    return F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(text, k))
+
+
+def regex_literal(s: str) -> str:
+    """Escape a literal for a Java regex (every non-alphanumeric character backslash-escaped)."""
+    return "".join(ch if ch.isalnum() else "\\" + ch for ch in s)
 
 
 def first_hit(items: Column, needles: Iterable[str]) -> Column:

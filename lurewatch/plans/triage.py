@@ -118,31 +118,29 @@ def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
 
     Returns ``host, source, brand, verdict, score, tally, decided_by`` with
     verdict in scam / benign / inconclusive / irrelevant / pending (no capture
-    yet); trusted hosts are dropped.
+    yet); trusted hosts are dropped.  Brand and gate are per-row columns
+    computed before the dedup, so no filter on them is pushed below it; only
+    hosts that pass both gates reach the capture joins.
     """
-    hosts = raw.withColumn("host", normalize_host(F.col(raw_col))).where(F.col("host") != "")
-    if "source" not in hosts.columns:
-        hosts = hosts.withColumn("source", F.lit(None).cast("string"))
-    hosts = dedup_hosts(hosts.select("host", "source"), seen)
-    hosts = (hosts.withColumn("brand", brand_of(F.col("host"), rules))
-                  .withColumn("brand_ord", brand_ord_of(F.col("host"), rules))
-                  .withColumn("_gate", gate(F.col("host"), rules)))
-    irrelevant = hosts.where(F.col("brand").isNull()).select(
-        "host", "source", "brand", F.lit("irrelevant").alias("verdict"))
-    relevant = hosts.where(F.col("brand").isNotNull() & F.coalesce(F.col("_gate") != "dropped", F.lit(True)))
-    auto = relevant.where(F.col("_gate") == "scam").select("host", "source", "brand", F.lit("scam").alias("verdict"))
-    todo = relevant.where(F.col("_gate").isNull()).select("host", "source", "brand")
+    src = F.col("source") if "source" in raw.columns else F.lit(None).cast("string")
+    hosts = raw.select(normalize_host(F.col(raw_col)).alias("host"), src.alias("source")).where(F.col("host") != "")
+    hosts = hosts.select("*", brand_of(F.col("host"), rules).alias("brand"), gate(F.col("host"), rules).alias("_gate"))
+    hosts = dedup_hosts(hosts, seen)
+    kept = hosts.where(F.col("brand").isNull() | F.coalesce(F.col("_gate") != "dropped", F.lit(True)))
+    kept = kept.select("host", "source", "brand",
+                       F.when(F.col("brand").isNull(), F.lit("irrelevant"))
+                        .when(F.col("_gate") == "scam", F.lit("scam")).alias("_pre"))
     cols = ["host", "source", "brand", "verdict", "score", "tally", "decided_by"]
+    nulls = [F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("tally"),
+             F.lit(None).cast("string").alias("decided_by")]
     if captures.http is None:
         # no page captures at all: every host that passed the gates waits for its capture
-        pending = todo.select("*", F.lit("pending").alias("verdict"), F.lit(None).cast("double").alias("score"),
-                              F.lit(None).cast("int").alias("tally"), F.lit(None).cast("string").alias("decided_by"))
-        return (irrelevant.unionByName(auto, allowMissingColumns=True)
-                          .unionByName(pending, allowMissingColumns=True).select(*cols))
+        return kept.select("host", "source", "brand",
+                           F.coalesce(F.col("_pre"), F.lit("pending")).alias("verdict"), *nulls)
+    todo = kept.where(F.col("_pre").isNull()).select("host")
     ctx = build_context(todo, captures, rules)
-    pending = ctx.where(F.col("primary").isNull()).select("host", F.lit("pending").alias("verdict"))
     scored = classify(ctx.where(F.col("primary").isNotNull()), rules, as_of).select(
-        "host", "verdict", "score", "tally", "decided_by")
-    decided = todo.join(scored.unionByName(pending, allowMissingColumns=True), "host")
-    return (irrelevant.unionByName(auto, allowMissingColumns=True)
-                      .unionByName(decided, allowMissingColumns=True).select(*cols))
+        "host", F.col("verdict").alias("_v"), "score", "tally", "decided_by")
+    out = kept.join(scored, "host", "left")
+    verdict = F.coalesce(F.col("_pre"), F.col("_v"), F.lit("pending"))
+    return out.select("host", "source", "brand", verdict.alias("verdict"), "score", "tally", "decided_by")
