@@ -99,3 +99,22 @@ def test_one_row_per_key(spark):
     got = {r.host: r.cert.cn for r in cert_fields(df).collect()}
     assert got == {"h.com": "new", "g.com": "g"}
     assert latest_per_key(df.drop("captured_at"), "host").count() == 2
+
+
+def test_stream_with_captures(spark):
+    """Each micro-batch joins the latest capture tables; hosts with a capture get a real verdict."""
+    from lurewatch.operators import captures as cap
+    root = tempfile.mkdtemp(prefix="lw-stream2-")
+    land = os.path.join(root, "landing", "urlhaus")
+    os.makedirs(land)
+    with open(os.path.join(land, "a.txt"), "w") as fh:
+        fh.write("# comment\nhttps://login-testbrand.com/x\nwait-testbrand.com\n")
+    http = spark.createDataFrame(
+        [("login-testbrand.com", "primary", None, 404, {}, "", [], "http://login-testbrand.com", 0.0)],
+        cap.HTTP_SCHEMA)
+    hs = stream_hosts(spark, os.path.join(root, "landing"), [("urlhaus", True)])
+    q = start_triage(spark, hs, lambda: Captures(http=http), TEST_RULES, as_of_lit("2026-01-15 12:00:00"),
+                     os.path.join(root, "sink"), os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    got = sorted((r.host, r.verdict, r.source) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
+    assert got == [("login-testbrand.com", "benign", "urlhaus"), ("wait-testbrand.com", "pending", "urlhaus")]
