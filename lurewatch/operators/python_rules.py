@@ -1,9 +1,11 @@
-"""A rule written in Python, evaluated over Arrow batches.
-
-``high_entropy_rule`` restates the high-entropy part of H01 with Python's own
-``re`` and ``base64`` modules inside a ``pandas_udf`` (Arrow batches, never
-row-at-a-time).  It serves as the registry's Python-rule example and as a
-brute-force cross-check of the Column version.
+"""Rules written in Python, evaluated over Arrow batches (``pandas_udf``, never row-at-a-time).
+
+* ``high_entropy_outcome`` restates the high-entropy part of H01 with Python's
+  own ``re`` and ``base64`` modules; it is a brute-force cross-check of the
+  Column version (driver query ``python_rule``).
+* ``idna_punycode_rule`` is a registry rule over the context: the punycode test
+  (H09) with Python's IDNA codec, exact for arbitrary Unicode hosts where the
+  Column version relies on hosts being ASCII after normalisation.
 """
 
 from __future__ import annotations
@@ -51,5 +53,22 @@ def high_entropy_outcome(html: Column) -> Column:
     return _high_entropy_udf(html)
 
 
-def high_entropy_rule(weight: int = 3) -> Rule:
-    return python_rule("high_entropy_py", weight, lambda: _high_entropy_udf(F.col("primary_html")))
+def _idna_punycode(host: str | None) -> bool:
+    h = host or ""
+    try:
+        h = h.encode("idna").decode("ascii")
+    except UnicodeError:
+        pass
+    return h.startswith("xn--") or ".xn--" in h
+
+
+@F.pandas_udf(RESULT_STRUCT)
+def _idna_punycode_udf(host: pd.Series) -> pd.DataFrame:
+    hit = host.map(_idna_punycode).astype(bool)
+    return pd.DataFrame({"scam": False, "benign": False, "suspicious": hit,
+                         "evidence": hit.map(lambda b: "punycode_label_detected" if b else None)})
+
+
+def idna_punycode_rule(weight: int = 2) -> Rule:
+    """H09 as a Python rule: replaces ``punycode`` in a registry when hosts may be arbitrary Unicode."""
+    return python_rule("punycode", weight, lambda: _idna_punycode_udf(F.col("host")))

@@ -118,3 +118,46 @@ def test_stream_with_captures(spark):
     q.awaitTermination()
     got = sorted((r.host, r.verdict, r.source) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
     assert got == [("login-testbrand.com", "benign", "urlhaus"), ("wait-testbrand.com", "pending", "urlhaus")]
+
+
+def test_file_readers(spark):
+    root = tempfile.mkdtemp(prefix="lw-feeds-")
+
+    def put(rel, text):
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as fh:
+            fh.write(text)
+
+    put("urlhaus/a.txt", "# c\nhttps://SCAM.EXAMPLE.COM/path\n\nscam.example.com\n")
+    put("openphish/a.txt", "# http://commented.com/x\x0bsecond.com\n")
+    put("phishtank/a.json", '[{"url":"http://valid.com/"},{"no_url":1}]')
+    put("urlhaus_country/cc=SG/a.csv",
+        '"2026-01-01","http://evil.sg/p","online","m","evil.sg","1.2.3.4","AS1","SG"\n'
+        '"# c","x","y","z","c.sg","a","b","SG"\nonly,four,fields,here\n')
+    put("certstream/a.txt", '{"message_type":"certificate_update","data":{"leaf_cert":{"all_domains":["*.ct.com"]}}}\n')
+    enabled = ["urlhaus", "openphish", "phishtank", "urlhaus_country", "certstream"]
+    got = sorted((r.source, r.host) for r in feeds.read_sources(spark, root, enabled).collect())
+    assert got == [("certstream", "ct.com"), ("openphish", "commented.com"), ("openphish", "second.com"),
+                   ("phishtank", "valid.com"), ("urlhaus", "scam.example.com"),
+                   ("urlhaus_country:SG", "evil.sg")]
+
+
+def test_redirect_history(spark):
+    from lurewatch.operators.captures import redirect_history
+    hops = spark.createDataFrame([("h", "primary", 2, 302), ("h", "primary", 1, 301)],
+                                 "host string, variant string, hop int, status int")
+    assert redirect_history(hops).first().history == [301, 302]
+
+
+def test_python_rule_in_registry(spark):
+    from lurewatch.functions.dates import as_of_lit
+    from lurewatch.operators.heuristics import DEFAULT_REGISTRY
+    from lurewatch.operators.python_rules import idna_punycode_rule
+    from lurewatch.operators.verdict import evaluate_rules
+    from tests.test_rules import make
+    reg = tuple(idna_punycode_rule() if r.name == "punycode" else r for r in DEFAULT_REGISTRY)
+    idx = [r.name for r in reg].index("punycode") + 1
+    for host, fires in (("xn--dbs-abc.com", True), ("login.xn--dbs.com", True), ("evil-testbrand.com", False)):
+        ev = evaluate_rules(make(spark, host=host), TEST_RULES, as_of_lit("2026-01-15 12:00:00"), reg).first()
+        assert ev[f"_r{idx:02d}"].suspicious is fires
