@@ -50,8 +50,11 @@ def spread(df: DataFrame) -> DataFrame:
     is a no-op; on a small input (one file, one row group) it keeps every core
     busy at the price of a shuffle of that small input.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - e.g. a session without RDD access: leave the plan alone
+        return df
     return df.repartition(slots) if n < slots else df
 
 
