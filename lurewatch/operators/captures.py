@@ -234,16 +234,22 @@ def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10)
 
     Each hop takes the first answer (lowest ``pos``), keeps the trailing dot in
     the chain and strips it for the next lookup; the chain ends when a name has
-    no answer.  The edge table is pre-reduced to one row per source, so every
-    hop is a many-to-one join over the still-open frontier only; the lineage is
-    cut with ``checkpoint()`` in the shared checkpoint folder every few hops.
+    no answer.  The edge table is pre-reduced to one row per source and written
+    once, so every hop is a many-to-one join over the still-open frontier only
+    (a CNAME target shared by many hosts skews only the frontier side, which
+    AQE's skew join splits); the lineage of the walk is cut with
+    ``checkpoint()`` every few hops.  All checkpoints go to the shared folder
+    named by ``spark.checkpoint.dir``.
     """
     edges = cname_records
     if "pos" in edges.columns:
         edges = edges.groupBy("src").agg(F.min_by("target", "pos").alias("target"))
     else:
         edges = edges.groupBy("src").agg(F.min("target").alias("target"))
-    edges = edges.select(F.col("src").alias("cur"), F.col("target"))
+    # reduced once and written: the hops and the intermediate checkpoint jobs read it instead of
+    # recomputing the reduction
+    checkpoint_dir(hosts.sparkSession)
+    edges = edges.select(F.col("src").alias("cur"), F.col("target")).checkpoint()
     frontier = hosts.select("host").distinct().withColumn("cur", F.col("host")).withColumn("hop", F.lit(0))
     found = None
     for hop in range(max_hops):
