@@ -1009,14 +1009,20 @@ def q_sink_roundtrip(spark, sf_dir):
     return read_verdicts(spark, root, fmt="text")
 
 
-@query("stream_triage", _expected_triage_sql("v_raw", O.norm_sql("line")), ("v_raw",))
+_STREAM_SRC = f"""(SELECT line FROM v_raw WHERE n % 4 < 2
+  UNION ALL SELECT line FROM v_raw WHERE n % 4 >= 2 AND NOT {_COMMENT}) s"""
+
+
+@query("stream_triage", _expected_triage_sql(_STREAM_SRC, O.norm_sql("line")), ("v_raw",))
 def q_stream_triage(spark, sf_dir):
+    """Two landing sources (manual: no comment rule; urlhaus: '#' lines skipped) unioned, deduped in state."""
     from lurewatch.plans.triage import Captures
     from lurewatch.streaming.triage import start_triage, stream_hosts
     root = _scratch(spark, "stream")
-    (_v(spark, sf_dir, "v_raw").select(F.coalesce(F.col("line"), F.lit("")).alias("value"))
-        .repartition(4).write.text(f"{root}/landing/manual"))
-    hosts = stream_hosts(spark, f"{root}/landing", [("manual", False)])
+    raw = _v(spark, sf_dir, "v_raw").select("n", F.coalesce(F.col("line"), F.lit("")).alias("value"))
+    raw.where(F.col("n") % 4 < 2).select("value").repartition(2).write.text(f"{root}/landing/manual")
+    raw.where(F.col("n") % 4 >= 2).select("value").repartition(2).write.text(f"{root}/landing/urlhaus")
+    hosts = stream_hosts(spark, f"{root}/landing", [("manual", False), ("urlhaus", True)])
     q = start_triage(spark, hosts, lambda: Captures(), R, _as_of(), f"{root}/sink", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/sink").select("host", "brand", "verdict")
