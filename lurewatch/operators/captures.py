@@ -283,8 +283,11 @@ def ct_history(ct: DataFrame, key: str = "registrable") -> DataFrame:
         return F.when(x != "", x)
 
     dates = F.transform(certs, lambda c: F.coalesce(pick(c, "not_before"), pick(c, "entry_timestamp")))
+    # a list member that is not an object cannot be read field-wise: the capture counts as failed
+    bad_item = F.exists(certs, lambda c: _json_kind(c) != "OBJECT")
     error = (F.when(bad_status, F.concat(F.lit("http_status="), F.col("status").cast("string")))
-              .when(v.isNull(), F.lit("invalid json")))
+              .when(v.isNull(), F.lit("invalid json"))
+              .when(is_list & bad_item, F.lit("unexpected json")))
     count = F.when(error.isNull() & is_list, F.size(certs)).otherwise(F.lit(0))
     earliest = F.when(error.isNull() & is_list, F.array_min(F.filter(dates, lambda d: d.isNotNull())))
     return latest_per_key(ct, key).select(F.col(key), F.struct(count.alias("cert_count"), earliest.alias("earliest_date"),

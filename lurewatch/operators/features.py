@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lurewatch.functions import text as tx
 from lurewatch.functions.hosts import contains_any, normalize_host
 from lurewatch.rules import RuleSet
-from lurewatch.operators.suffix import brand_registrables, registrable_py
+from lurewatch.operators.suffix import registrable_py
 
 FEATURE_FIELDS = ["password", "otp", "card", "cross_post", "exfil", "js_obf", "high_entropy", "wallet",
                   "clipboard", "kit_comment", "parking_sig", "content_token_hit", "words_total",
@@ -97,10 +97,3 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
     )
     keep = [c for c in df.columns if c != html_col]
     return staged.select(*keep, feats.alias(out))
-
-
-def owned_brand_ords(registrable: Column, rules: RuleSet) -> Column:
-    """Array of brand ords whose canonical registrable domains include ``registrable``."""
-    regs = brand_registrables(rules)
-    return F.array_compact(F.array(*[F.when(registrable.isin(list(regs[b.ord])), F.lit(b.ord))
-                                     for b in rules.brands if regs[b.ord]] or [F.lit(None).cast("int")]))

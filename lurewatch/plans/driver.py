@@ -18,7 +18,7 @@ from lurewatch.functions.hosts import is_punycode, label_count, normalize_host
 from lurewatch.operators import heuristics as H
 from lurewatch.operators.features import density_keywords, with_page_features
 from lurewatch.operators.heuristics import RuleContext, lookalike_best
-from lurewatch.operators.match import brand_of, gate, is_auto_scam, is_trusted
+from lurewatch.operators.match import gate, is_auto_scam, is_trusted
 from lurewatch.operators.suffix import owned_by_brand, with_registrable
 from lurewatch.plans import oracle as O
 from lurewatch.plans.views import register_views, with_views
@@ -47,11 +47,6 @@ def _as_of():
     return as_of_lit(DRIVER_AS_OF)
 
 
-def _rb(col: str) -> str:
-    """SQL boolean rendered null-safe."""
-    return f"coalesce({col}, false)"
-
-
 # ---------------------------------------------------------------------------
 # Hosts: normalisation, feeds, brand attribution, gates, suffixes
 # ---------------------------------------------------------------------------
@@ -715,9 +710,6 @@ r AS (
     status = 200 AND n_a > 0 AND robots IS NULL AS u25
   FROM g)"""
 
-_WEIGHTS = dict(H.RULE_ORDER) if hasattr(H, "RULE_ORDER") else None
-
-
 def _flags():
     from lurewatch.rules import RULE_ORDER
     out = []

@@ -161,3 +161,14 @@ def test_python_rule_in_registry(spark):
     for host, fires in (("xn--dbs-abc.com", True), ("login.xn--dbs.com", True), ("evil-testbrand.com", False)):
         ev = evaluate_rules(make(spark, host=host), TEST_RULES, as_of_lit("2026-01-15 12:00:00"), reg).first()
         assert ev[f"_r{idx:02d}"].suspicious is fires
+
+
+def test_ct_history_cases(spark):
+    from lurewatch.operators.captures import ct_history
+    rows = [("a", 200, '[{"not_before":"2024-01-01"},{"entry_timestamp":"2023-06-15"}]'), ("b", 503, ""),
+            ("c", 200, "not-json"), ("d", 200, '{"error":"x"}'), ("e", 200, "[1, 2]"), ("f", 200, "[]")]
+    df = spark.createDataFrame(rows, "registrable string, status int, body string")
+    got = {r.registrable: (r.ct.cert_count, r.ct.earliest_date, r.ct.error is not None)
+           for r in ct_history(df).collect()}
+    assert got == {"a": (2, "2023-06-15", False), "b": (0, None, True), "c": (0, None, True),
+                   "d": (0, None, False), "e": (0, None, True), "f": (0, None, False)}
