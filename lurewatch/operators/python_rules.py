@@ -72,3 +72,17 @@ def _idna_punycode_udf(host: pd.Series) -> pd.DataFrame:
 def idna_punycode_rule(weight: int = 2) -> Rule:
     """H09 as a Python rule: replaces ``punycode`` in a registry when hosts may be arbitrary Unicode."""
     return python_rule("punycode", weight, lambda: _idna_punycode_udf(F.col("host")))
+
+
+@F.pandas_udf(T.StringType())
+def _skeleton_udf(text: pd.Series) -> pd.Series:
+    from lurewatch.rules import skeleton_py
+    return text.map(lambda s: None if s is None else skeleton_py(s))
+
+
+def skeleton_text(col: Column) -> Column:
+    """E5 for arbitrary Unicode text (NFKD, combining marks dropped, confusables mapped), over Arrow batches.
+
+    Normalised hosts use the JVM-side ``functions.hosts.skeleton`` instead.
+    """
+    return _skeleton_udf(col)

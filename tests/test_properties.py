@@ -121,3 +121,10 @@ def test_confusable_distance_property(spark, pairs):
     got = {r.i: r.d for r in df.select("i", confusable_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     for i, (a, b) in enumerate(pairs):
         assert got[i] == py_lev(a.lower().translate(table), b.lower().translate(table))
+
+
+def test_skeleton_text_unicode(spark):
+    from lurewatch.operators.python_rules import skeleton_text
+    df = spark.createDataFrame([("Dβѕ",), ("ｄbs",), ("dé0",), ("ԁbs",), (None,)], "t string")
+    got = [r.s for r in df.select(skeleton_text(F.col("t")).alias("s")).collect()]
+    assert got == ["dbs", "dbs", "deo", "ԁbs", None]
