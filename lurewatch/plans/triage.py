@@ -64,7 +64,8 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     def empty(schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
-    ctx = with_registrable(hosts.select("host").distinct(), rules)
+    base = hosts.select("host").distinct()
+    ctx = with_registrable(base, rules)
     pair = http_pair_features(captures.http if captures.http is not None else empty(cap.HTTP_SCHEMA), rules)
     if captures.http is not None:
         ctx = ctx.join(pair, "host", "left")
@@ -84,7 +85,8 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     fav = captures.favicon if captures.favicon is not None else empty(cap.FAVICON_SCHEMA)
     ctx = attach(ctx, captures.favicon is not None, cap.favicon_fields(fav), "host", "favicon")
     if captures.cname_records is not None:
-        ctx = ctx.join(cap.cname_chains(ctx.select("host"), captures.cname_records), "host", "left")
+        # the walk starts from the plain host list, not from the context built so far
+        ctx = ctx.join(cap.cname_chains(base, captures.cname_records), "host", "left")
     else:
         ctx = ctx.select("*", F.lit(None).cast("struct<chain:array<string>,error:string>").alias("cname"))
     rdap = captures.rdap if captures.rdap is not None else empty(cap.RDAP_SCHEMA.format(key=captures.rdap_key))
