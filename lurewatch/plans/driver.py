@@ -174,9 +174,32 @@ def q_lookalike(spark, sf_dir):
 # Page rules over v_pages
 # ---------------------------------------------------------------------------
 
+def _materialised(spark, sf_dir: str, tag: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build once per data directory, write to the shared checkpoint folder, read back.
+
+    Shared enrichment (page features, host context) is computed once and read by
+    every report that needs it; the written table also cuts lineage, so a lost
+    executor never recomputes the enrichment.
+    """
+    import os
+    key = (id(spark), sf_dir, tag)
+    path = _MATERIALISED.get(key)
+    local = path is not None and (path.startswith("file:") or path.startswith("/"))
+    if path is None or (local and not os.path.exists(path.replace("file:", "", 1))):
+        path = _scratch(spark, tag)
+        build().write.parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
+_MATERIALISED: dict[tuple[int, str, str], str] = {}
+
+
 def _pages_features(spark, sf_dir) -> DataFrame:
-    pages = _v(spark, sf_dir, "v_pages")
-    return with_page_features(pages, R, html_col="html", host_col="host", out="f")
+    def build():
+        pages = _v(spark, sf_dir, "v_pages")
+        return with_page_features(pages, R, html_col="html", host_col="host", out="f")
+    return _materialised(spark, sf_dir, "page-features", build)
 
 
 _PF = f"""pf AS (
@@ -579,28 +602,13 @@ def q_age_rules(spark, sf_dir):
 # Context-level rules, scoring and verdicts
 # ---------------------------------------------------------------------------
 
-_CONTEXTS: dict[tuple[int, str], str] = {}
-
-
 def _context(spark, sf_dir) -> DataFrame:
-    """The host context, built once per data directory and written to the shared checkpoint folder.
-
-    Every context-level report (benign / cloaking / DNS / TLS / header rules,
-    scores, long-form evidence, counts) reads the same materialised table, as
-    the enrichment is shared across rules; the written table also cuts the
-    lineage, so a lost executor never recomputes the capture roll-ups.
-    """
-    import os
+    """The host context (all capture roll-ups joined), materialised once per data directory."""
     from lurewatch.plans.triage import build_context
-    key = (id(spark), sf_dir)
-    path = _CONTEXTS.get(key)
-    local = path is not None and (path.startswith("file:") or path.startswith("/"))
-    if path is None or (local and not os.path.exists(path.replace("file:", "", 1))):
-        ctx = build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
-        path = _scratch(spark, "context")
-        ctx.write.parquet(path)
-        _CONTEXTS[key] = path
-    return spark.read.parquet(path)
+
+    def build():
+        return build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
+    return _materialised(spark, sf_dir, "context", build)
 
 
 def _rules_frame(spark, sf_dir) -> DataFrame:
