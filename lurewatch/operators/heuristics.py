@@ -399,9 +399,21 @@ def python_rule(name: str, weight: int, udf_factory: Callable[[], Column]) -> Ru
     return Rule(name, weight, lambda ctx: udf_factory())
 
 
-def shared_columns(rules: RuleSet, as_of: Column) -> list[Column]:
-    """Expressions several rules reuse, projected once before the rules."""
+# helper columns projected once before the rules, and the rules that read them
+_SHARED_USERS = {
+    "_lookalike": ("brand_lookalike",),
+    "_reg_age": ("domain_age", "ct_history"),
+    "_diff_ratio": ("redirect_and_cloaking",),
+}
+
+
+def shared_columns(rules: RuleSet, as_of: Column, names=None) -> list[Column]:
+    """Expressions several rules reuse, projected once before the rules (only those the registry needs)."""
     ctx = RuleContext(rules, as_of)
-    return [lookalike_best(F.col("host"), F.col("registrable"), rules).alias("_lookalike"),
-            _registration_age(ctx).alias("_reg_age"),
-            diff_ratio_of_pair().alias("_diff_ratio")]
+    exprs = {
+        "_lookalike": lambda: lookalike_best(F.col("host"), F.col("registrable"), rules),
+        "_reg_age": lambda: _registration_age(ctx),
+        "_diff_ratio": diff_ratio_of_pair,
+    }
+    wanted = set(names) if names is not None else {n for n, _ in RULE_ORDER}
+    return [exprs[c]().alias(c) for c, users in _SHARED_USERS.items() if wanted & set(users)]

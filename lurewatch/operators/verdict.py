@@ -31,7 +31,7 @@ def evaluate_rules(context: DataFrame, rules: RuleSet, as_of: Column,
     a much smaller generated projection.
     """
     ctx = RuleContext(rules, as_of, with_evidence)
-    staged = context.select("*", *shared_columns(rules, as_of))
+    staged = context.select("*", *shared_columns(rules, as_of, [r.name for r in registry]))
     return staged.select("*", *[r.outcome(ctx).alias(_rcol(i)) for i, r in enumerate(registry, 1)])
 
 

@@ -199,3 +199,69 @@ def test_verdicts(spark):
     assert v.verdict == "scam" and v.tally >= 18
     assert verdict(host="plain-example.com", html="hello", robots="x",
                    headers={"x-frame-options": "a"}, ptr=[("1.2.3.4", "h.")]).verdict == "inconclusive"
+
+
+def test_dns_snapshot_golden(spark):
+    from lurewatch.operators import captures as cap
+    rows = [("h", "h", "TXT", 0, "v=spf1 include:example.com ~all", 300, "NOERROR"),
+            ("h", "h", "TXT", 1, "other", 300, "NOERROR"),
+            ("h", "_dmarc.h", "TXT", 0, "v=DMARC1; p=none", 300, "NOERROR"),
+            ("h", "h", "A", 0, "1.2.3.4", 600, "NOERROR"), ("h", "h", "AAAA", 0, "::1", 60, "NOERROR"),
+            ("e", "e", "A", 0, "1.2.3.4", 600, "NOERROR"), ("e", "_dmarc.e", "TXT", 0, None, None, "NXDOMAIN")]
+    snap = {r.host: r for r in cap.dns_snapshot(spark.createDataFrame(rows, cap.DNS_SCHEMA)).collect()}
+    h, e = snap["h"], snap["e"]
+    assert h.spf == ["v=spf1 include:example.com ~all"] and h.dmarc == ["v=DMARC1; p=none"]
+    assert h.ttl_min == 60 and h.error is None
+    assert e.a_records == [] and e.ttl_min is None and e.error is not None
+
+
+def test_score_threshold_with_custom_registry(spark):
+    from lurewatch.operators.heuristics import Rule, result
+    from pyspark.sql import functions as G
+
+    def flag(i, definitive=None):
+        def outcome(ctx):
+            fired = G.col("host").contains(f"f{i}")
+            if definitive == "benign":
+                return result(ctx, benign=fired)
+            return result(ctx, suspicious=fired)
+        return Rule(f"r{i}", 1, outcome)
+
+    reg = tuple(flag(i) for i in range(5))
+    df = spark.createDataFrame([("f0f1f2.com",), ("f0.com",), ("none.com",)], "host string")
+    got = {r.host: (r.verdict, r.score) for r in classify(df, TEST_RULES, as_of_lit(AS_OF), reg).collect()}
+    assert got["f0f1f2.com"] == ("scam", 0.6)
+    assert got["f0.com"] == ("inconclusive", 0.2)
+    assert got["none.com"] == ("inconclusive", 0.0)
+    reg2 = (flag(9, "benign"),) + reg
+    v = classify(df.where("host = 'f0f1f2.com'").selectExpr("'f9f0f1f2.com' AS host"), TEST_RULES,
+                 as_of_lit(AS_OF), reg2).first()
+    assert v.verdict == "benign" and v.decided_by == "r9"
+
+
+def test_rule_negatives(spark):
+    r = results(make(spark, host="", html=""))
+    assert r["punycode"] is None and r["subdomain_depth"] is None
+    r = results(make(spark, status=404, dns=[("A", 0, "1.2.3.4", 300, "NOERROR")]))
+    assert r["missing_security_headers"] is None and r["no_robots_txt"] is None
+    r = results(make(spark, dns=[("NS", 0, "ns.example.", 300, "NOERROR")]))
+    assert r["reverse_dns_mismatch"] is None and r["no_robots_txt"] is None and r["freemail_mx"] is None
+    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"),
+                                               ("_TXT", 0, None, None, "NXDOMAIN")]) is None
+    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"),
+                                               ("MX", 0, "mx.corp.example.", 3600, "NOERROR"),
+                                               ("TXT", 0, "v=spf1 +all", 3600, "NOERROR"),
+                                               ("_TXT", 0, "v=DMARC1; p=reject", 3600, "NOERROR")]) == "suspicious"
+    headers = {"content-security-policy": "x", "x-frame-options": "y", "x-content-type-options": "z"}
+    assert rule(spark, "missing_security_headers", headers=headers) is None
+    assert rule(spark, "tls_cert", host="phishing.example.com",
+                cert={"body": '{"subject":[[["commonName","other"]]]}'}) is None
+    assert rule(spark, "tls_cert", host="phishing.example.com",
+                cert={"body": '{"subject":[[["commonName","testbrand"]]]}', "error": "x"}) is None
+    many = "[" + ",".join('{"not_before":"2024-01-01"}' for _ in range(5)) + "]"
+    assert rule(spark, "ct_history", ct=(200, many)) is None
+    assert rule(spark, "title_brand_mismatch", host="evil.com", html="<title>Other page</title>") is None
+    assert rule(spark, "title_brand_mismatch", host="evil.com", html="no title here testbrand") is None
+    few = "testbrand " * 2 + "word " * 198
+    assert rule(spark, "brand_content_density", host="phishing.example.com", html=few) is None
+    assert rule(spark, "domain_age", rdap=(200, '{"events":[]}')) is None
