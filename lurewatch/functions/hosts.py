@@ -1,4 +1,7 @@
-"""Host-name Column functions.
+"""Host-name Column functions.
+
+B2 (an empty normalised host is dropped) is the ``where(host != '')`` every
+reader and ``plans.triage.triage`` apply right after ``normalize_host``.
 
 Everything here is a pure Column expression built from ``pyspark.sql.functions``
 so it stays JVM-side, composes inside higher-order lambdas and never forces a
