@@ -115,3 +115,25 @@ def test_dates(spark):
                     dt.age_days(dt.parse_cert_date(F.col("cert")), as_of).alias("c")).collect()
     assert [r.a for r in got] == [10, 5, -5]
     assert [r.c for r in got] == [10, None, 66]
+
+
+PSL = "/usr/share/publicsuffix/public_suffix_list.dat"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(PSL), reason="no public-suffix list on this machine")
+def test_registrable_full_psl(spark):
+    from lurewatch.operators.suffix import max_depth
+    from lurewatch.rules import suffix_rules_from_psl
+    rules = TEST_RULES.with_(suffix_rules=suffix_rules_from_psl(PSL))
+    assert len(rules.suffix_rules) > 5000 and max_depth(rules) >= 3
+    hosts = ["sub.example.co.uk", "a.b.github.io", "www.example.com", "x.y.kawasaki.jp", "city.kawasaki.jp",
+             "foo.bar.ck", "www.ck", "1.2.3.4", "localhost.unknowntld"]
+    df = with_registrable(spark.createDataFrame([(h,) for h in hosts], "host string"), rules)
+    got = {r.host: r.registrable for r in df.collect()}
+    for h in hosts:
+        assert got[h] == registrable_py(h, rules)[0], h
+    assert got["sub.example.co.uk"] == "example.co.uk"
+    assert got["a.b.github.io"] == "github.io"           # private section is off
+    assert got["x.y.kawasaki.jp"] == "x.y.kawasaki.jp"   # *.kawasaki.jp wildcard
+    assert got["city.kawasaki.jp"] == "city.kawasaki.jp"  # !city.kawasaki.jp exception
+    assert got["localhost.unknowntld"] == "unknowntld"
