@@ -63,29 +63,33 @@ def fallback_lines(df: DataFrame, group: list[str], prio_col: str = "prio", line
     return df.join(choice, [*group, prio_col], "left_semi")
 
 
-def json_feed_hosts(df: DataFrame, body_col: str = "body", source: str = "phishtank") -> DataFrame:
+def json_feed_hosts(df: DataFrame, body_col: str = "body", source: str = "phishtank",
+                    distinct: bool = True) -> DataFrame:
     """A body that is a JSON list; take ``url`` of each item when truthy; malformed -> no rows."""
     v = F.try_parse_json(F.col(body_col))
     items = F.when(F.split_part(F.schema_of_variant(v), F.lit("<"), F.lit(1)) == "ARRAY",
                    F.try_variant_get(v, "$", "array<variant>"))
     urls = df.select(F.explode(items).alias("item")).select(
         F.try_variant_get(F.col("item"), "$.url", "string").alias("url"))
-    return (urls.where(F.coalesce(F.col("url"), F.lit("")) != "")
-                .select(F.lit(source).alias("source"), normalize_host(F.col("url")).alias("host"))
-                .where(F.col("host") != "").dropDuplicates(["source", "host"]))
+    out = (urls.where(F.coalesce(F.col("url"), F.lit("")) != "")
+               .select(F.lit(source).alias("source"), normalize_host(F.col("url")).alias("host"))
+               .where(F.col("host") != ""))
+    return out.dropDuplicates(["source", "host"]) if distinct else out
 
 
-def csv_feed_hosts(rows: DataFrame, country_col: str = "cc", source: str = "urlhaus_country") -> DataFrame:
+def csv_feed_hosts(rows: DataFrame, country_col: str = "cc", source: str = "urlhaus_country",
+                   distinct: bool = True) -> DataFrame:
     """Parsed CSV rows (``CSV_COLUMNS`` + country code) -> hosts tagged ``<source>:<CC>``.
 
     Rows whose first field starts with ``#`` are comments; rows with fewer than
     five fields (``host`` null) are skipped.
     """
     keep = ~F.coalesce(F.col("dateadded"), F.lit("")).startswith("#") & F.col("host").isNotNull()
-    return (rows.where(keep)
-                .select(F.concat(F.lit(source + ":"), F.upper(F.col(country_col))).alias("source"),
-                        normalize_host(F.col("host")).alias("host"))
-                .where(F.col("host") != "").dropDuplicates(["source", "host"]))
+    out = (rows.where(keep)
+               .select(F.concat(F.lit(source + ":"), F.upper(F.col(country_col))).alias("source"),
+                       normalize_host(F.col("host")).alias("host"))
+               .where(F.col("host") != ""))
+    return out.dropDuplicates(["source", "host"]) if distinct else out
 
 
 def parse_csv_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
@@ -144,6 +148,31 @@ def stream_text_feed(spark: SparkSession, path: str, source: str, comment_rule:
                  .where(F.col("host") != ""))
 
 
+def stream_ct_messages(spark: SparkSession, path: str) -> DataFrame:
+    """A10 streaming: one JSON certificate message per line of the landing files."""
+    return ct_hosts(spark.readStream.format("text").load(path)).select(F.lit("certstream").alias("source"), "host")
+
+
+def stream_json_feed(spark: SparkSession, path: str, source: str = "phishtank") -> DataFrame:
+    """A8 streaming: each landing file is one JSON document (read whole); the global dedup follows."""
+    bodies = spark.readStream.format("text").option("wholetext", "true").load(path).withColumnRenamed("value", "body")
+    return json_feed_hosts(bodies, source=source, distinct=False)
+
+
+def stream_csv_feed(spark: SparkSession, path: str, source: str = "urlhaus_country") -> DataFrame:
+    """A9 streaming: country CSVs under ``path/cc=<CC>/`` (partition column ``cc``); the global dedup follows."""
+    rows = (spark.readStream.schema(T.StructType(CSV_SCHEMA.fields + [T.StructField("cc", T.StringType())]))
+                 .option("quote", '"').option("mode", "PERMISSIVE").csv(path))
+    return csv_feed_hosts(rows, source=source, distinct=False)
+
+
+def poll_trigger(sources: Iterable["Source"], enabled: Iterable[str]) -> dict:
+    """One streaming query over the union polls at the shortest enabled interval."""
+    en = set(enabled)
+    secs = [s.interval_s for s in sources if s.name in en and s.interval_s > 0]
+    return {"processingTime": f"{min(secs)} seconds"} if secs else {"availableNow": True}
+
+
 @dataclass(frozen=True)
 class Source:
     """A pluggable feed: a name and a reader ``(spark, path) -> DataFrame[source, host]``."""

@@ -172,3 +172,22 @@ def test_ct_history_cases(spark):
            for r in ct_history(df).collect()}
     assert got == {"a": (2, "2023-06-15", False), "b": (0, None, True), "c": (0, None, True),
                    "d": (0, None, False), "e": (0, None, True), "f": (0, None, False)}
+
+
+def test_streaming_readers(spark):
+    root = tempfile.mkdtemp(prefix="lw-sread-")
+    for rel, text in (("ct/a.txt", '{"message_type":"certificate_update","data":{"leaf_cert":{"all_domains":'
+                                   '["*.S1.com",7]}}}\n{"message_type":"heartbeat"}\n'),
+                      ("pt/a.json", '[{"url":"http://s2.com/x"},{"url":""}]'),
+                      ("cc/cc=MY/a.csv", '"d","u","s","t","s3.my","i","a","MY"\n"# x","u","s","t","no.my","i","a","MY"\n')):
+        os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "w") as fh:
+            fh.write(text)
+    union = (feeds.stream_ct_messages(spark, f"{root}/ct")
+             .unionByName(feeds.stream_json_feed(spark, f"{root}/pt"))
+             .unionByName(feeds.stream_csv_feed(spark, f"{root}/cc")))
+    q = union.writeStream.format("memory").queryName("lw_sread").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.source, r.host) for r in spark.table("lw_sread").collect())
+    assert got == [("certstream", "s1.com"), ("phishtank", "s2.com"), ("urlhaus_country:MY", "s3.my")]
+    assert feeds.poll_trigger(feeds.DEFAULT_SOURCES, ["urlhaus", "openphish"]) == {"processingTime": "300 seconds"}
