@@ -27,6 +27,8 @@ CARD_RE = "(?iu)(card number|ccnum|cvv|cvc)"
 EXFIL_MAIL_RE = "(?iu)(mailto:|sendmail\\.php|wp-mail|phpmail|smtp)"
 EXFIL_TELEGRAM_RE = "(?iu)(t\\.me/|telegram\\.(me|org)|bot_token|api\\.telegram\\.org)"
 EXFIL_DISCORD_RE = "(?iu)(discord\\.gg|discord\\.com/api/webhooks)"
+# The three exfiltration signatures are only ever OR-ed: one alternation, one pass over the body.
+EXFIL_ANY_RE = "(?iu)(" + "|".join(r[len("(?iu)("):-1] for r in (EXFIL_MAIL_RE, EXFIL_TELEGRAM_RE, EXFIL_DISCORD_RE)) + ")"
 JS_OBFUSCATION_RE = f"(?<!{WORD_CLASS})(atob|eval|Function\\()|fromCharCode\\("
 WALLET_RE = "(window\\.ethereum|eth_requestAccounts|web3|eth_sign|walletconnect)"
 CLIPBOARD_WRITE_RE = "(replace|execCommand|writeText)"

@@ -79,7 +79,7 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         h.rlike(tx.OTP_RE).alias("otp"),
         h.rlike(tx.CARD_RE).alias("card"),
         cross_domain_post(h, F.col(host_col)).alias("cross_post"),
-        (h.rlike(tx.EXFIL_MAIL_RE) | h.rlike(tx.EXFIL_TELEGRAM_RE) | h.rlike(tx.EXFIL_DISCORD_RE)).alias("exfil"),
+        h.rlike(tx.EXFIL_ANY_RE).alias("exfil"),
         h.rlike(tx.JS_OBFUSCATION_RE).alias("js_obf"),
         tx.has_high_entropy_run(h).alias("high_entropy"),
         h.rlike(tx.WALLET_RE).alias("wallet"),
