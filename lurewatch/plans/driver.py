@@ -638,14 +638,17 @@ hr AS (SELECT host, CASE WHEN status = 200 AND coalesce(html, '') <> '' THEN htm
        FROM v_http WHERE variant = 'robots'),
 bp AS (SELECT host, arg_min(target, hop) AS hit FROM walk WHERE {_hosting_hit_sql('target')} GROUP BY host),
 lk AS (
-  SELECT n, min(dist) AS dist FROM (
-    SELECT c.n, levenshtein(CASE WHEN lt.kind = 'name' THEN {O.skeleton_sql('c.cand')}
-                                 ELSE {O.skeleton_sql("split_part(c.cand, '.', 1)")} END, lt.skel) AS dist
-    FROM (SELECT p.n, lower(p.host) AS cand FROM v_pages p
+  SELECT n, min(dist) AS dist, arg_min(kind, [dist, b_ord, ci, pos]) AS lk_kind,
+         arg_min(target, [dist, b_ord, ci, pos]) AS lk_target FROM (
+    SELECT c.n, c.ci, lt.b_ord, lt.pos, lt.kind, lt.target,
+      levenshtein(CASE WHEN lt.kind = 'name' THEN {O.skeleton_sql('c.cand')}
+                       ELSE {O.skeleton_sql("split_part(c.cand, '.', 1)")} END, lt.skel) AS dist
+    FROM (SELECT p.n, 0 AS ci, lower(p.host) AS cand FROM v_pages p
           UNION ALL
-          SELECT p.n, lower(CASE WHEN reg.registrable <> '' THEN reg.registrable ELSE p.host END)
+          SELECT p.n, 1 AS ci, lower(CASE WHEN reg.registrable <> '' THEN reg.registrable ELSE p.host END)
           FROM v_pages p JOIN reg ON reg.host = p.host) c
     CROSS JOIN {O.lookalike_targets_values(R)}) t
+  WHERE dist <= {R.thresholds.lookalike_max_distance}
   GROUP BY n),
 f0 AS (
   SELECT p.n, p.host, hp.status, hp.html, hp.lo, hp.final_url, hp.words, ha.html AS alt_html,
@@ -655,7 +658,7 @@ f0 AS (
     coalesce(pagg.ptrs, '') AS ptrs,
     hp.server, hp.hsts, hp.csp, hp.xfo, hp.xcto, hp.hops, hr.robots,
     cf.cn, cf.org, cf.error AS cert_err, cf.not_before, ra.reg_age, ctq.cert_count, ctq.error AS ct_err,
-    bp.hit AS bp_hit, lk.dist AS lk_dist
+    bp.hit AS bp_hit, lk.dist AS lk_dist, lk.lk_kind, lk.lk_target
   FROM v_pages p JOIN hp ON hp.host = p.host JOIN ha ON ha.host = p.host JOIN hr ON hr.host = p.host
   JOIN fv ON fv.host = p.host JOIN reg ON reg.host = p.host JOIN dsnap ds ON ds.host = p.host
   LEFT JOIN pagg ON pagg.host = p.host JOIN cf ON cf.host = p.host JOIN ra ON ra.host = p.host
@@ -1042,3 +1045,94 @@ FROM (SELECT {O.brand_sql('host', R)} AS b FROM v_hosts) t""", ("v_hosts",))
 def q_filter_counts(spark, sf_dir):
     from lurewatch.operators.match import filter_counts
     return filter_counts(_v(spark, sf_dir, "v_hosts"), R)
+
+
+@query("redirect_history", f"""
+SELECT host, {_hist_sql('hops')} AS history
+FROM v_http WHERE variant = 'primary' AND hops > 0""", ("v_http",))
+def q_redirect_history(spark, sf_dir):
+    """Ordered redirect statuses from one row per hop (hop k: 301 if odd, else 302)."""
+    from lurewatch.operators.captures import redirect_history
+    http = _v(spark, sf_dir, "v_http").where((F.col("variant") == "primary") & (F.col("hops") > 0))
+    hops = (http.select("host", "variant", F.explode(F.sequence(F.lit(1), F.col("hops").cast("int"))).alias("hop"))
+                .select("host", "variant", "hop",
+                        F.when(F.col("hop") % 2 == 1, F.lit(301)).otherwise(F.lit(302)).alias("status")))
+    return redirect_history(hops).select("host", F.array_join("history", ",").alias("history"))
+
+
+def _pyb(x: str) -> str:
+    return f"CASE WHEN coalesce({x}, false) THEN 'True' ELSE 'False' END"
+
+
+# rules whose evidence has no floating-point formatting (float text follows Java's formatter)
+_EVIDENCE_RULES = ("forms_and_exfil", "phishing_kit", "favicon_brand_mismatch", "inactive_domain", "parking_detect",
+                   "long_lived_or_verified", "brand_lookalike", "domain_age", "punycode", "forbidden_tokens",
+                   "cert_age", "https_login", "suspicious_tld", "bulletproof_host", "ct_history",
+                   "dns_email_posture", "tls_cert", "subdomain_depth", "missing_security_headers", "freemail_mx",
+                   "reverse_dns_mismatch", "no_robots_txt")
+
+
+def _evidence_sql() -> str:
+    fl = {name: (i, s_, b_, u_) for i, name, w, s_, b_, u_ in _flags()}
+    fm_hit = O.contains_any_sql("rtrim(lower(m), '.')", _FREEMAIL, False)
+    fm = f"list_filter(string_split(g.mx, ','), lambda m: m <> '' AND {fm_hit})[1]"
+    hh = O.contains_any_sql("lower(g.host)", R.content_tokens, False)
+    ch = O.contains_any_sql("g.lo", R.content_tokens, False)
+    many_a = f"g.n_a >= {R.thresholds.fast_flux_min_a}"
+    low_ttl = f"coalesce(g.ttl_min < {R.thresholds.fast_flux_max_ttl}, false)"
+    quote = "''''"   # SQL literal holding one single quote
+    ev = {
+        "forms_and_exfil": ("'password=' || " + _pyb("g.pw") + " || ',otp=' || " + _pyb("g.otp") + " || ',cc=' || "
+                            + _pyb("g.cc") + " || ',cross_post=' || " + _pyb("g.xpost") + " || ',exfil=' || "
+                            + _pyb("g.exfil") + " || ',js_obf=' || " + _pyb("g.js OR g.ent") + " || ',wallet=' || "
+                            + _pyb("g.wallet") + " || ',clipboard=' || " + _pyb("g.clip")),
+        "phishing_kit": ("CASE WHEN g.kit THEN 'kit_comment=True,path_hit=' || " + _pyb("g.path_hit")
+                         + " ELSE 'path_hit=True' END"),
+        "favicon_brand_mismatch": "'favicon_sha1=' || g.sha1",
+        "inactive_domain": ("CASE WHEN NOT (g.status >= 200 AND g.status < 300) THEN 'http_status=' || "
+                            "CAST(g.status AS VARCHAR) ELSE 'dns_no_records' END"),
+        "parking_detect": "'parking_signature'",
+        "long_lived_or_verified": ("CASE WHEN g.cert_err IS NULL AND coalesce(g.org, '') <> '' THEN "
+                                   "'ov_ev_cert_org=' || g.org ELSE 'hsts_present' END"),
+        "brand_lookalike": ("'lookalike_to_' || g.lk_kind || ':' || g.lk_target || ',dist=' || "
+                            "CAST(g.lk_dist AS VARCHAR)"),
+        "domain_age": "'age_days=' || CAST(g.reg_age AS VARCHAR)",
+        "punycode": "'punycode_label_detected'",
+        "forbidden_tokens": "'host_hit=' || " + _pyb(hh) + " || ',content_hit=' || " + _pyb(ch),
+        "cert_age": "'cert_age_days=' || CAST(g.cert_age AS VARCHAR)",
+        "https_login": "'password_field=True,final_url=' || g.final_url",
+        "suspicious_tld": "'tld=' || lower(g.suffix)",
+        "bulletproof_host": "'cname_target=' || " + quote + " || g.bp_hit || " + quote,
+        "ct_history": ("CASE WHEN g.cert_count = 1 THEN 'cert_count=1' ELSE 'cert_count=' || "
+                       "CAST(g.cert_count AS VARCHAR) || ',age_days=' || CAST(g.reg_age AS VARCHAR) END"),
+        "dns_email_posture": ("'many_a=' || " + _pyb(many_a) + " || ',low_ttl=' || " + _pyb(low_ttl)
+                              + " || ',has_mx=' || " + _pyb("g.mx <> ''") + " || ',spf_weak=' || "
+                              + _pyb("contains(lower(g.spf), '+all') OR contains(lower(g.spf), '~all')")
+                              + " || ',dmarc_weak=' || "
+                              + _pyb("g.dmarc = '' OR contains(lower(g.dmarc), 'p=none')")),
+        "tls_cert": "'cn_brand_mismatch=True,cn=' || g.cn",
+        "subdomain_depth": ("'label_count=' || CAST(len(list_filter(string_split(g.host, '.'), "
+                            "lambda x: x <> '')) AS VARCHAR)"),
+        "missing_security_headers": O.q("missing=['content-security-policy', 'x-content-type-options', "
+                                        "'x-frame-options']"),
+        "freemail_mx": f"'freemail_mx=' || {fm}",
+        "reverse_dns_mismatch": "'no_ptr_for_' || CAST(g.n_a AS VARCHAR) || '_a_records'",
+        "no_robots_txt": "'no_robots_txt_on_active_domain'",
+    }
+    parts = []
+    for name in _EVIDENCE_RULES:
+        i, s_, b_, u_ = fl[name]
+        fired = " OR ".join(f"coalesce(r.{x}, false)" for x in (s_, b_, u_) if x)
+        parts.append(f"SELECT r.host, {O.q(name)} AS name, {ev[name]} AS evidence FROM r JOIN g ON g.host = r.host "
+                     f"WHERE {fired}")
+    return " UNION ALL ".join(parts)
+
+
+@query("evidence_strings", f"""
+WITH RECURSIVE {_CTX}, ev AS ({_evidence_sql()})
+SELECT host, name, evidence FROM ev""", _ALL_VIEWS)
+def q_evidence_strings(spark, sf_dir):
+    """Evidence text of every fired rule whose evidence has no floating-point formatting."""
+    from lurewatch.operators.verdict import explain_long
+    out = explain_long(_context(spark, sf_dir), R, _as_of())
+    return out.where(F.col("name").isin(list(_EVIDENCE_RULES))).select("host", "name", "evidence")
