@@ -103,6 +103,12 @@ def kit_comment(lowered: Column) -> Column:
     return lowered.rlike(KIT_LITERAL_RE) | (lowered.rlike(KIT_PHISHER_HINT_RE) & lowered.rlike(KIT_PHISHER_RE))
 
 
+def py_fixed(x: Column, digits: int) -> Column:
+    """Python's ``f"{x:.Nf}"`` for values in [0, 1000): ``format_number`` rounds the exact binary
+    value half-to-even like Python (``format_string`` rounds the shortest decimal half-up)."""
+    return F.format_number(x, digits)
+
+
 def py_bool(c: Column) -> Column:
     """Render a boolean the way Python prints it (True/False) for evidence text."""
     return F.when(c, F.lit("True")).otherwise(F.lit("False"))

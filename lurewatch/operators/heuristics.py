@@ -251,7 +251,7 @@ def redirect_and_cloaking(ctx: RuleContext) -> Column:
         (F.coalesce(F.col("alternative.f.html_len"), F.lit(0)) > mn)
     cloak = (ratio > ctx.t.cloaking_diff_ratio) & long_enough
     ev = F.concat(F.lit("redirects=["), F.array_join(hist, ", "), F.lit("],ua_diff_ratio="),
-                  F.format_string("%.2f", ratio))
+                  tx.py_fixed(ratio, 2))
     return result(ctx, suspicious=multi | cloak, evidence=ev)
 
 
@@ -267,7 +267,7 @@ def brand_content_density(ctx: RuleContext) -> Column:
     count = F.coalesce(_pf("brand_words"), F.lit(0))
     density = count / total
     fire = ~_owned_any(ctx.rules) & (total > 0) & (density > ctx.t.brand_density_threshold)
-    ev = F.concat(F.lit("brand_density="), F.format_string("%.3f", density), F.lit(",brand_count="),
+    ev = F.concat(F.lit("brand_density="), tx.py_fixed(density, 3), F.lit(",brand_count="),
                   count.cast("string"), F.lit(",total_words="), total.cast("string"))
     return result(ctx, suspicious=fire, evidence=ev)
 

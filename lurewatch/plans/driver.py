@@ -1064,14 +1064,22 @@ def _pyb(x: str) -> str:
     return f"CASE WHEN coalesce({x}, false) THEN 'True' ELSE 'False' END"
 
 
-# rules whose evidence has no floating-point formatting (float text follows Java's formatter)
+# every rule but the title rule (its evidence quotes page text the Python way)
 _EVIDENCE_RULES = ("forms_and_exfil", "phishing_kit", "favicon_brand_mismatch", "inactive_domain", "parking_detect",
                    "long_lived_or_verified", "brand_lookalike", "domain_age", "punycode", "forbidden_tokens",
-                   "cert_age", "https_login", "suspicious_tld", "bulletproof_host", "ct_history",
+                   "redirect_and_cloaking", "cert_age", "brand_content_density", "https_login",
+                   "suspicious_tld", "bulletproof_host", "ct_history",
                    "dns_email_posture", "tls_cert", "subdomain_depth", "missing_security_headers", "freemail_mx",
                    "reverse_dns_mismatch", "no_robots_txt")
 
 
+_RATIO_SQL = ("CASE WHEN g.html = '' AND g.alt_html = '' THEN 0.0 WHEN g.html = '' OR g.alt_html = '' THEN 1.0 "
+              "WHEN len(g.ta) = 0 AND len(g.tb) = 0 THEN 0.0 "
+              "ELSE 1.0 - len(list_intersect(g.ta, g.tb)) / len(list_distinct(list_concat(g.ta, g.tb))) END")
+_BRAND_WORDS_SQL = f"len(list_filter(g.words, lambda w: list_contains({O.arr(density_keywords(R))}, w)))"
+_DENSITY_SQL = f"{_BRAND_WORDS_SQL} / len(g.words)"
+
+
 def _evidence_sql() -> str:
     fl = {name: (i, s_, b_, u_) for i, name, w, s_, b_, u_ in _flags()}
     fm_hit = O.contains_any_sql("rtrim(lower(m), '.')", _FREEMAIL, False)
@@ -1100,6 +1108,12 @@ def _evidence_sql() -> str:
         "punycode": "'punycode_label_detected'",
         "forbidden_tokens": "'host_hit=' || " + _pyb(hh) + " || ',content_hit=' || " + _pyb(ch),
         "cert_age": "'cert_age_days=' || CAST(g.cert_age AS VARCHAR)",
+        "redirect_and_cloaking": ("'redirects=[' || array_to_string(list_transform(range(1, g.hops + 1), "
+                                  "lambda k: CASE WHEN k % 2 = 1 THEN 301 ELSE 302 END), ', ') || "
+                                  "'],ua_diff_ratio=' || printf('%.2f', " + _RATIO_SQL + ")"),
+        "brand_content_density": ("'brand_density=' || printf('%.3f', " + _DENSITY_SQL + ") || ',brand_count=' || "
+                                  "CAST(" + _BRAND_WORDS_SQL + " AS VARCHAR) || ',total_words=' || "
+                                  "CAST(len(g.words) AS VARCHAR)"),
         "https_login": "'password_field=True,final_url=' || g.final_url",
         "suspicious_tld": "'tld=' || lower(g.suffix)",
         "bulletproof_host": "'cname_target=' || " + quote + " || g.bp_hit || " + quote,
