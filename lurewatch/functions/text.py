@@ -109,6 +109,16 @@ def py_fixed(x: Column, digits: int) -> Column:
     return F.format_number(x, digits)
 
 
+def py_repr(c: Column) -> Column:
+    """Python ``repr`` of a string for evidence text: quote choice, backslash, quote and tab/newline/CR escapes."""
+    dq = c.contains("'") & ~c.contains('"')
+    e = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        e = F.replace(e, F.lit(raw), F.lit(esc))
+    single = F.concat(F.lit("'"), F.replace(e, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(dq, F.concat(F.lit('"'), e, F.lit('"'))).otherwise(single)
+
+
 def py_bool(c: Column) -> Column:
     """Render a boolean the way Python prints it (True/False) for evidence text."""
     return F.when(c, F.lit("True")).otherwise(F.lit("False"))

@@ -290,7 +290,7 @@ def title_brand_mismatch(ctx: RuleContext) -> Column:
     tb = F.coalesce(_pf("title_brands"), F.array().cast("array<int>"))
     hit = F.coalesce(*[F.when(F.array_contains(tb, F.lit(b.ord)) & ~_owned(ctx.rules, b.ord), F.lit(b.name))
                        for b in ctx.rules.brands], F.lit(None).cast("string"))
-    ev = F.concat(F.lit("brand='"), hit, F.lit("',title='"), _pf("title_text"), F.lit("'"))
+    ev = F.concat(F.lit("brand="), tx.py_repr(hit), F.lit(",title="), tx.py_repr(_pf("title_text")))
     return result(ctx, suspicious=found & hit.isNotNull(), evidence=ev)
 
 

@@ -1064,11 +1064,11 @@ def _pyb(x: str) -> str:
     return f"CASE WHEN coalesce({x}, false) THEN 'True' ELSE 'False' END"
 
 
-# every rule but the title rule (its evidence quotes page text the Python way)
+# evidence of all 25 rules
 _EVIDENCE_RULES = ("forms_and_exfil", "phishing_kit", "favicon_brand_mismatch", "inactive_domain", "parking_detect",
                    "long_lived_or_verified", "brand_lookalike", "domain_age", "punycode", "forbidden_tokens",
                    "redirect_and_cloaking", "cert_age", "brand_content_density", "https_login",
-                   "suspicious_tld", "bulletproof_host", "ct_history",
+                   "suspicious_tld", "title_brand_mismatch", "bulletproof_host", "ct_history",
                    "dns_email_posture", "tls_cert", "subdomain_depth", "missing_security_headers", "freemail_mx",
                    "reverse_dns_mismatch", "no_robots_txt")
 
@@ -1079,6 +1079,18 @@ _RATIO_SQL = ("CASE WHEN g.html = '' AND g.alt_html = '' THEN 0.0 WHEN g.html =
 _BRAND_WORDS_SQL = f"len(list_filter(g.words, lambda w: list_contains({O.arr(density_keywords(R))}, w)))"
 _DENSITY_SQL = f"{_BRAND_WORDS_SQL} / len(g.words)"
 
+_SQ = "''''"          # SQL literal: one single quote
+_DQ = "'\"'"          # SQL literal: one double quote
+_BS = "'\\'"          # SQL literal: one backslash
+
+
+def _repr_sql(x: str) -> str:
+    """Python repr of a string (quote choice; backslash, quote, tab, newline, CR escapes)."""
+    esc = (f"replace(replace(replace(replace({x}, {_BS}, {_BS} || {_BS}), chr(10), {_BS} || 'n'), "
+           f"chr(13), {_BS} || 'r'), chr(9), {_BS} || 't')")
+    return (f"CASE WHEN contains({x}, {_SQ}) AND NOT contains({x}, {_DQ}) THEN {_DQ} || {esc} || {_DQ} "
+            f"ELSE {_SQ} || replace({esc}, {_SQ}, {_BS} || {_SQ}) || {_SQ} END")
+
 
 def _evidence_sql() -> str:
     fl = {name: (i, s_, b_, u_) for i, name, w, s_, b_, u_ in _flags()}
@@ -1115,6 +1127,8 @@ def _evidence_sql() -> str:
                                   "CAST(" + _BRAND_WORDS_SQL + " AS VARCHAR) || ',total_words=' || "
                                   "CAST(len(g.words) AS VARCHAR)"),
         "https_login": "'password_field=True,final_url=' || g.final_url",
+        "title_brand_mismatch": ("'brand=' || " + _repr_sql("g.title_brand") + " || ',title=' || "
+                                 + _repr_sql("substr(g.title, 1, 60)")),
         "suspicious_tld": "'tld=' || lower(g.suffix)",
         "bulletproof_host": "'cname_target=' || " + quote + " || g.bp_hit || " + quote,
         "ct_history": ("CASE WHEN g.cert_count = 1 THEN 'cert_count=1' ELSE 'cert_count=' || "
