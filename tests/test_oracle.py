@@ -26,7 +26,8 @@ def con():
 
 
 FAST = ["normalize_hosts", "feed_lines", "brand_match", "gates", "registrable", "lookalike", "forms_exfil",
-        "dns_rollup", "ct_history", "feed_csv", "ct_domains", "score_and_verdict"]
+        "dns_rollup", "ct_history", "feed_csv", "ct_domains", "score_and_verdict", "evidence_strings",
+        "redirect_history", "cname_chain", "feed_fallback"]
 
 
 @pytest.mark.parametrize("name", FAST)
