@@ -107,14 +107,20 @@ def capture_pair(captures: DataFrame, payload: list[str] | None = None,
 
 
 def redirect_history(hops: DataFrame) -> DataFrame:
-    """``hops(host, variant, hop INT, status INT)`` -> ordered ``history`` array."""
+    """``hops(host, variant, hop INT, status INT)`` -> ordered ``history`` array (bounded by the client's redirect limit)."""
     return (hops.groupBy("host", "variant")
                 .agg(F.sort_array(F.collect_list(F.struct("hop", "status"))).alias("_h"))
                 .select("host", "variant", F.col("_h.status").alias("history")))
 
 
 def dns_snapshot(dns_records: DataFrame) -> DataFrame:
-    """Per host A / AAAA / MX / NS / SPF / DMARC lists, min TTL, error collapse."""
+    """Per host A / AAAA / MX / NS / SPF / DMARC lists, min TTL, error collapse.
+
+    The lists are collected per host from the latest snapshot only; each comes
+    from one DNS answer, whose size the protocol bounds (65,535 bytes), so a
+    list is bounded whatever the data volume or key skew.  Counts, minima and
+    flags are plain aggregates.
+    """
     r = latest_snapshot(dns_records)
     at_host = F.col("qname") == F.col("host")
     at_dmarc = F.col("qname") == F.concat(F.lit("_dmarc."), F.col("host"))
@@ -145,6 +151,10 @@ def dns_snapshot(dns_records: DataFrame) -> DataFrame:
 def ptr_rollup(snapshot: DataFrame, ptr_records: DataFrame) -> DataFrame:
     """PTR names of the host's A records, first-seen order, distinct.
 
+    Bounded per host by (A records of one answer) x (PTR answers per address).
+    A hot address (shared hosting) skews only the probe side of the join on
+    ``ip``; AQE's skew join splits it.
+
     Returns ``(host, ptr_records)`` for hosts with at least one PTR answer.
     """
     a = snapshot.select("host", F.posexplode("a_records").alias("a_pos", "ip"))
