@@ -33,12 +33,24 @@ def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool
 
 def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], Captures], rules: RuleSet,
                  as_of: Column, sink: str, checkpoint: str, trigger: dict | None = None,
-                 state_store: str | None = None) -> StreamingQuery:
-    """Start the streaming triage; ``captures`` is called per batch so each batch sees the latest captures."""
+                 state_store: str | None = None, forget_after: str | None = None) -> StreamingQuery:
+    """Start the streaming triage; ``captures`` is called per batch so each batch sees the latest captures.
+
+    Dedup is exact and unbounded by default (every host is triaged once, ever).
+    ``forget_after`` (e.g. ``"30 days"``) switches to the bounded form: a host
+    is forgotten that long after it was first seen (arrival time) and may be
+    triaged again, so the state stays bounded.
+    """
     if state_store:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_store)
-    # W3 exact dedup in checkpointed state; per-batch host count observable in query progress
-    deduped = hosts.dropDuplicates(["host"]).observe("triage_input", F.count(F.lit(1)).alias("new_hosts"))
+    if forget_after:
+        arrived = hosts.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", forget_after)
+        deduped = arrived.dropDuplicatesWithinWatermark(["host"]).drop("seen_at")
+    else:
+        # W3 exact dedup in checkpointed state
+        deduped = hosts.dropDuplicates(["host"])
+    # per-batch host count, observable in the query progress
+    deduped = deduped.observe("triage_input", F.count(F.lit(1)).alias("new_hosts"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         raw = batch.select(F.col("host").alias("line"), "source")

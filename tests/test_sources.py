@@ -191,3 +191,22 @@ def test_streaming_readers(spark):
     got = sorted((r.source, r.host) for r in spark.table("lw_sread").collect())
     assert got == [("certstream", "s1.com"), ("phishtank", "s2.com"), ("urlhaus_country:MY", "s3.my")]
     assert feeds.poll_trigger(feeds.DEFAULT_SOURCES, ["urlhaus", "openphish"]) == {"processingTime": "300 seconds"}
+
+
+def test_seen_hosts_and_bounded_dedup(spark):
+    from lurewatch.plans.triage import dedup_hosts
+    df = spark.createDataFrame([("a.com", "x"), ("a.com", "y"), ("b.com", "x"), ("c.com", "z")],
+                               "host string, source string")
+    seen = spark.createDataFrame([("b.com",)], "host string")
+    assert hosts(dedup_hosts(df, seen)) == ["a.com", "c.com"]
+    root = tempfile.mkdtemp(prefix="lw-wm-")
+    land = os.path.join(root, "landing", "manual")
+    os.makedirs(land)
+    with open(os.path.join(land, "a.txt"), "w") as fh:
+        fh.write("x-testbrand.com\nx-testbrand.com\ny.com\n")
+    hs = stream_hosts(spark, os.path.join(root, "landing"), [("manual", False)])
+    q = start_triage(spark, hs, lambda: Captures(), TEST_RULES, as_of_lit("2026-01-15 12:00:00"),
+                     os.path.join(root, "sink"), os.path.join(root, "ckpt"), forget_after="30 days")
+    q.awaitTermination()
+    got = sorted((r.host, r.verdict) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
+    assert got == [("x-testbrand.com", "pending"), ("y.com", "irrelevant")]
