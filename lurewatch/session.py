@@ -62,3 +62,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="lurewatch-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def cluster_conf(capture_bytes: int, feature_ratio: float = 0.05, target_partition_bytes: int = 256 << 20,
+                 stateful_stream: bool = False) -> dict[str, str]:
+    """Settings for a cluster run, sized from the bytes of page captures to scan.
+
+    * splits of ``target_partition_bytes`` for the scan (the CPU-bound page
+      projection runs per split);
+    * shuffle partitions sized for what actually shuffles: the page feature
+      structs (about ``feature_ratio`` of the bodies) and the roll-ups, at
+      ``target_partition_bytes`` each; AQE coalesces small ones and splits skew;
+    * RocksDB state for the unbounded streaming dedup.
+    ``spark.checkpoint.dir`` is not set here: the cluster names the shared folder.
+    """
+    shuffle_bytes = max(int(capture_bytes * feature_ratio), target_partition_bytes)
+    parts = max(200, -(-shuffle_bytes // target_partition_bytes))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 2),
+        **BASE_CONF,
+    }
+    if stateful_stream:
+        conf["spark.sql.streaming.stateStore.providerClass"] = (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return conf
