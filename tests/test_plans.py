@@ -21,3 +21,14 @@ def test_classify_plan(spark):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "BroadcastHashJoin" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_cluster_conf_sizing():
+    from lurewatch.session import cluster_conf
+    c = cluster_conf(100 * 2**40, stateful_stream=True)
+    assert c["spark.sql.shuffle.partitions"] == "20480"
+    assert c["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert "RocksDB" in c["spark.sql.streaming.stateStore.providerClass"]
+    assert "spark.checkpoint.dir" not in c
+    assert cluster_conf(10 << 20)["spark.sql.shuffle.partitions"] == "200"
