@@ -239,7 +239,8 @@ def favicon_fields(favicons: DataFrame) -> DataFrame:
     ).alias("favicon"))
 
 
-def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10) -> DataFrame:
+def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10,
+                 checkpoint_every: int = 5) -> DataFrame:
     """Follow CNAME answers from each host up to ``max_hops``.
 
     Each hop takes the first answer (lowest ``pos``), keeps the trailing dot in
@@ -267,7 +268,7 @@ def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10)
                         .select("host", F.lit(hop).alias("hop"), "target"))
         found = step if found is None else found.unionByName(step)
         frontier = step.select("host", F.regexp_replace("target", "\\.+$", "").alias("cur"))
-        if hop % 4 == 3 and hop + 1 < max_hops:
+        if checkpoint_every and hop % checkpoint_every == checkpoint_every - 1 and hop + 1 < max_hops:
             checkpoint_dir(hosts.sparkSession)
             found = found.checkpoint()
             frontier = found.where(F.col("hop") == hop).select(
