@@ -497,9 +497,7 @@ chains AS (
 
 @query("cname_chain", f"WITH RECURSIVE {_CNAME} SELECT host, chain, hops FROM chains", ("v_pages", "v_cname"))
 def q_cname_chain(spark, sf_dir):
-    from lurewatch.operators.captures import cname_chains
-    c = _caps(spark, sf_dir)
-    ch = cname_chains(_v(spark, sf_dir, "v_pages").select("host"), c.cname_records)
+    ch = _cname_rollup(spark, sf_dir)
     return ch.select("host", F.array_join("cname.chain", ",").alias("chain"), F.size("cname.chain").alias("hops"))
 
 
@@ -602,12 +600,23 @@ def q_age_rules(spark, sf_dir):
 # Context-level rules, scoring and verdicts
 # ---------------------------------------------------------------------------
 
+def _cname_rollup(spark, sf_dir) -> DataFrame:
+    """CNAME chains of every page host, materialised once (read by ``cname_chain`` and the context)."""
+    from lurewatch.operators.captures import cname_chains
+
+    def build():
+        return cname_chains(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir).cname_records)
+    return _materialised(spark, sf_dir, "cname", build)
+
+
 def _context(spark, sf_dir) -> DataFrame:
     """The host context (all capture roll-ups joined), materialised once per data directory."""
     from lurewatch.plans.triage import build_context
 
     def build():
-        return build_context(_v(spark, sf_dir, "v_pages").select("host"), _caps(spark, sf_dir), R)
+        caps = _caps(spark, sf_dir)
+        caps.rollups = {"cname": _cname_rollup(spark, sf_dir)}
+        return build_context(_v(spark, sf_dir, "v_pages").select("host"), caps, R)
     return _materialised(spark, sf_dir, "context", build)
 
 

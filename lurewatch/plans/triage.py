@@ -42,6 +42,8 @@ class Captures:
     ct: DataFrame | None = None
     rdap_key: str = "registrable"
     ct_key: str = "registrable"
+    # roll-ups computed (and materialised) elsewhere, used as they are: {"cname": DataFrame[host, cname]}
+    rollups: dict | None = None
 
 
 def http_pair_features(http: DataFrame, rules: RuleSet) -> DataFrame:
@@ -84,7 +86,9 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     ctx = attach(ctx, captures.cert is not None, cap.cert_fields(cert), "host", "cert")
     fav = captures.favicon if captures.favicon is not None else empty(cap.FAVICON_SCHEMA)
     ctx = attach(ctx, captures.favicon is not None, cap.favicon_fields(fav), "host", "favicon")
-    if captures.cname_records is not None:
+    if captures.rollups and "cname" in captures.rollups:
+        ctx = ctx.join(captures.rollups["cname"], "host", "left")
+    elif captures.cname_records is not None:
         # the walk starts from the plain host list, not from the context built so far
         ctx = ctx.join(cap.cname_chains(base, captures.cname_records), "host", "left")
     else:
