@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import mixing, topk
+from lurewatch.llm import bpe, mixing, quality_rules, topk
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_bpe": bpe.op4_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op8_topk": topk.op8_topk,
 }
