@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, mixing, quality_rules, topk
+from lurewatch.llm import bpe, mixing, near_dup, quality_rules, topk
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op5_near_dup": near_dup.op5_near_dup,
     "op6_mixing": mixing.op6_mixing,
     "op8_topk": topk.op8_topk,
 }
