@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, mixing, near_dup, quality_rules, topk
+from lurewatch.llm import bpe, line_dedup, mixing, near_dup, quality_rules, topk
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_mixing": mixing.op6_mixing,
     "op8_topk": topk.op8_topk,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLE = {
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
