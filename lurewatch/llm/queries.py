@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, line_dedup, mixing, near_dup, quality_rules, topk
+from lurewatch.llm import bpe, gam, line_dedup, mixing, near_dup, quality_rules, token_files, topk
 
 QUERIES = {
+    "op1_quality": gam.op1_quality,
+    "op2_token_files": token_files.op2_token_files,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
     "op5_near_dup": near_dup.op5_near_dup,
