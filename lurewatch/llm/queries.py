@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, gam, line_dedup, mixing, near_dup, quality_rules, token_files, topk
+from lurewatch.llm import bpe, gam, line_dedup, mixing, near_dup, pii, quality_rules, token_files, topk
 
 QUERIES = {
     "op1_quality": gam.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_pii": pii.op7_pii,
     "op8_topk": topk.op8_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
