@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, gam, line_dedup, mixing, near_dup, pii, quality_rules, token_files, topk
+from lurewatch.llm import bpe, gam, licenses, line_dedup, mixing, near_dup, pii, quality_rules, token_files, topk
 
 QUERIES = {
     "op1_quality": gam.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_topk": topk.op8_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE = {
