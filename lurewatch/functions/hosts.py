@@ -28,9 +28,6 @@ HOST_RE = "(?d)^(?:\\*\\.)?[a-z0-9.\\-ıſ]+$"
 # HOST_RE plus "contains a dot", capturing the whole input (with the one final newline ``$`` admits)
 HOST_EXTRACT_RE = "(?d)^((?=[^\\n]*\\.)(?:\\*\\.)?[a-z0-9.\\-ıſ]+\\n?)$"
 
-# Above this many keywords the regex alternation is replaced by ``exists`` over a literal array.
-OR_CHAIN_MAX = 64
-
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` (Unicode whitespace), unlike Spark ``trim``."""
@@ -51,20 +48,17 @@ def normalize_host(c: Column) -> Column:
 def contains_any(c: Column, keywords: Iterable[str], normalise: bool = True) -> Column:
     """True when a (stripped, lower-cased, non-empty) keyword is a substring of ``c``.
 
-    False when ``c`` is null/empty or no usable keyword exists.  Short lists
-    become one regex alternation of escaped literals (codegen, text read once);
-    long lists use ``exists`` over a literal array.
+    False when ``c`` is null/empty or no usable keyword exists.  The list
+    becomes one regex alternation of escaped literals (codegen, text read once).
     """
     kws = [k.strip().lower() if normalise else k for k in keywords if k is not None]
     kws = [k for k in kws if k]
     if not kws:
         return F.lit(False)
     text = F.coalesce(c, F.lit(""))
-    if len(kws) <= OR_CHAIN_MAX:
-        # one find() over an alternation of escaped literals: the text is referenced once,
-        # so the expression stays small when the optimizer inlines ``c``
-        return text.rlike("|".join(regex_literal(k) for k in kws))
-    return F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(text, k))
+    # one find() over an alternation of escaped literals: the text is referenced once,
+    # so the expression stays small when the optimizer inlines ``c``
+    return text.rlike("|".join(regex_literal(k) for k in kws))
 
 
 def regex_literal(s: str) -> str:

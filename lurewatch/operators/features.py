@@ -42,26 +42,9 @@ def cross_domain_post(html: Column, host: Column) -> Column:
                     & (h != "") & (normalize_host(a) != h) & ~a.startswith("#"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows when the scan yields fewer partitions than task slots.
-
-    The feature projection is CPU-bound (about twenty regex passes per body).
-    On a large input the scan already has far more splits than slots and this
-    is a no-op; on a small input (one file, one row group) it keeps every core
-    busy at the price of a shuffle of that small input.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 - e.g. a session without RDD access: leave the plan alone
-        return df
-    return df.repartition(slots) if n < slots else df
-
-
 def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", host_col: str = "host",
                        out: str = "f") -> DataFrame:
     """Append struct ``out`` of page features and drop ``html_col``."""
-    df = spread(df)
     html = F.coalesce(F.col(html_col), F.lit(""))
     staged = df.select("*", html.alias("__html"))
     staged = staged.select("*", F.lower(F.col("__html")).alias("__lower"), tx.title(F.col("__html")).alias("__title"))
@@ -90,7 +73,7 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         F.size(words).alias("words_total"),
         F.size(F.filter(words, lambda w: F.array_contains(kw_arr, w))).alias("brand_words"),
         tx.title_match(h).alias("title_found"),
-        F.substring(ttl, 1, 60).alias("title_text"),
+        ttl.alias("title_text"),
         title_brands.alias("title_brands"),
         F.array_distinct(words).alias("token_set"),
         F.length(h).alias("html_len"),

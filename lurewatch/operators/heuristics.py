@@ -18,6 +18,7 @@ parameter.  Python-only rules can be registered with ``python_rule`` (a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -178,27 +179,25 @@ def lookalike_best(host: Column, registrable: Column, rules: RuleSet) -> Column:
     above the limit are null (3-argument ``levenshtein`` stops early).
     """
     limit = rules.thresholds.lookalike_max_distance
-    cands = [F.lower(F.coalesce(host, F.lit(""))),
-             F.lower(F.coalesce(F.when(F.coalesce(registrable, F.lit("")) != "", registrable), host, F.lit("")))]
-    elems = []
-    idx = 0
-    tg = lookalike_targets(rules)
-    by_brand: dict[int, list] = {}
-    for t in tg:
-        by_brand.setdefault(t[0], []).append(t)
-    for b_ord in sorted(by_brand):
-        for ci, cand in enumerate(cands):
-            sk = skeleton(cand)
-            sk_first = skeleton(first_label(cand))
-            for _, _, kind, target, tskel in by_brand[b_ord]:
-                left = sk if kind == "name" else sk_first
-                d = F.levenshtein(left, F.lit(tskel), limit)
-                elems.append(F.when(d >= 0, F.struct(d.alias("dist"), F.lit(idx).alias("ord"),
-                                                     F.lit(kind).alias("kind"), F.lit(target).alias("target"))))
-                idx += 1
-    if not elems:
-        return F.lit(None).cast("struct<dist:int,ord:int,kind:string,target:string>")
-    return F.array_min(F.array(*elems))
+    targets = lookalike_targets(rules)
+    host_l = F.lower(F.coalesce(host, F.lit("")))
+    reg_l = F.lower(F.coalesce(F.when(F.coalesce(registrable, F.lit("")) != "", registrable), host, F.lit("")))
+    # the four texts that targets are compared with: whole and first label of either candidate
+    texts = F.array(skeleton(host_l), skeleton(first_label(host_l)), skeleton(reg_l), skeleton(first_label(reg_l)))
+    entries = [(o, c, p, kind, target, skel) for o, p, kind, target, skel in targets for c in (0, 1)]
+    entries.sort(key=lambda e: e[:3])
+    rows = [{"text": 2 * c + (kind != "name"), "ord": i, "kind": kind, "target": target, "skel": skel, "len": len(skel)}
+            for i, (_, c, _, kind, target, skel) in enumerate(entries)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<text:int,ord:int,kind:string,target:string,skel:string,len:int>>")
+
+    def nearest(t: Column) -> Column:
+        def score(e: Column) -> Column:
+            # lengths that differ by more than the limit can't be near
+            d = F.when(F.abs(F.length(F.get(t, e["text"])) - e["len"]) <= limit, F.levenshtein(F.get(t, e["text"]), e["skel"], limit))
+            return F.when(d >= 0, F.struct(d.alias("dist"), e["ord"].alias("ord"), e["kind"].alias("kind"), e["target"].alias("target")))
+        return F.array_min(F.transform(table, score))
+
+    return F.get(F.transform(F.array(texts), nearest), 0)
 
 
 def brand_lookalike(ctx: RuleContext) -> Column:
@@ -290,7 +289,7 @@ def title_brand_mismatch(ctx: RuleContext) -> Column:
     tb = F.coalesce(_pf("title_brands"), F.array().cast("array<int>"))
     hit = F.coalesce(*[F.when(F.array_contains(tb, F.lit(b.ord)) & ~_owned(ctx.rules, b.ord), F.lit(b.name))
                        for b in ctx.rules.brands], F.lit(None).cast("string"))
-    ev = F.concat(F.lit("brand="), tx.py_repr(hit), F.lit(",title="), tx.py_repr(_pf("title_text")))
+    ev = F.concat(F.lit("brand="), tx.py_repr(hit), F.lit(",title="), tx.py_repr(F.substring(_pf("title_text"), 1, 60)))
     return result(ctx, suspicious=found & hit.isNotNull(), evidence=ev)
 
 

@@ -1,13 +1,15 @@
 """Brand attribution and gates.
 
-The brand list is configuration with a checked size, so attribution is a
-per-row expression (a ``coalesce`` of ordered ``when`` tests): no join, no
-shuffle, first brand in configuration order wins, and an exclusion in one
-brand never blocks a later one.
+The brand list is configuration, so attribution is a per-row expression over a
+literal table of brands: no join, no shuffle, and a plan of the same size for
+three brands or five thousand.  The first brand in configuration order wins,
+and an exclusion in one brand never blocks a later one.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,29 @@ from lurewatch.functions.hosts import contains_any
 from lurewatch.rules import RuleSet
 
 
-def _accepts(host: Column, rules: RuleSet, b) -> Column:
-    return contains_any(host, rules.brand_match(b)) & ~contains_any(host, rules.brand_exclude(b))
+BRAND_TABLE = "array<struct<ord:int,name:string,match:array<string>,exclude:array<string>>>"
+
+
+def _first_brand(host: Column, rules: RuleSet) -> Column:
+    """Struct of the first brand that has a match keyword in the host and no exclude keyword."""
+    rows = [{"ord": b.ord, "name": b.name, "match": rules.brand_match(b), "exclude": rules.brand_exclude(b)} for b in rules.brands]
+    table = F.from_json(F.lit(json.dumps(rows)), BRAND_TABLE)
+
+    def first(h: Column) -> Column:
+        def occurs(words: Column) -> Column:
+            return F.exists(words, lambda k: h.contains(k))
+        return F.get(F.filter(table, lambda b: occurs(b["match"]) & ~occurs(b["exclude"])), 0)
+
+    # bound once: inside the lambda the host would be evaluated for every brand
+    return F.get(F.transform(F.array(F.coalesce(host, F.lit(""))), first), 0)
 
 
 def brand_ord_of(host: Column, rules: RuleSet) -> Column:
-    return F.coalesce(*[F.when(_accepts(host, rules, b), F.lit(b.ord)) for b in rules.brands],
-                      F.lit(None).cast("int"))
+    return _first_brand(host, rules)["ord"]
 
 
 def brand_of(host: Column, rules: RuleSet) -> Column:
-    return F.coalesce(*[F.when(_accepts(host, rules, b), F.lit(b.name)) for b in rules.brands],
-                      F.lit(None).cast("string"))
+    return _first_brand(host, rules)["name"]
 
 
 def match_brand(df: DataFrame, rules: RuleSet, host_col: str = "host") -> DataFrame:
