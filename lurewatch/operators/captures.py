@@ -26,8 +26,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.session import checkpoint_dir
-
 OK_RCODES = ("NOERROR", "NODATA")
 
 # Input schemas of the capture tables (used for typed empty inputs as well).
@@ -58,12 +56,19 @@ def latest_per_key(df: DataFrame, key: str, order_col: str = "captured_at") -> D
     the rows is reduced before the shuffle; the output is hash-partitioned on
     ``key``, which the following context join on ``key`` reuses.
     """
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c not in (key, order_col)]
     body = F.struct(*[F.col(c) for c in rest])
-    pick = F.max_by(body, F.col(order_col)) if order_col in df.columns else F.max(body)
+    # equal times: the largest row, so that reruns agree
+    pick = F.max_by(body, F.struct(F.col(order_col), body)) if order_col in df.columns else F.max(body)
     return df.groupBy(key).agg(pick.alias("_l")).select(key, *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
+def _parsed(df: DataFrame, key: str, *columns: Column, order_col: str = "captured_at") -> DataFrame:
+    """Small parsed columns of each capture, reduced to the latest per key: bodies are read map-side and never shuffled."""
+    order = [F.col(order_col)] if order_col in df.columns else []
+    return latest_per_key(df.select(key, *order, *columns), key, order_col)
+
+
 def latest_snapshot(records: DataFrame, key: str = "host", order_col: str = "captured_at") -> DataFrame:
     """Rows of the latest snapshot per ``key`` when snapshots carry ``order_col``; all rows otherwise."""
     if order_col not in records.columns:
@@ -106,11 +111,19 @@ def capture_pair(captures: DataFrame, payload: list[str] | None = None,
     return agg.withColumn("robots", robots).drop("_robots")
 
 
-def redirect_history(hops: DataFrame) -> DataFrame:
-    """``hops(host, variant, hop INT, status INT)`` -> ordered ``history`` array (bounded by the client's redirect limit)."""
-    return (hops.groupBy("host", "variant")
-                .agg(F.sort_array(F.collect_list(F.struct("hop", "status"))).alias("_h"))
-                .select("host", "variant", F.col("_h.status").alias("history")))
+def redirect_history(hops: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """``hops(host, variant, hop INT, status INT)`` -> ordered ``history`` array (bounded by the client's redirect limit).
+
+    With ``fetches(host, variant)`` every fetch has a row: an empty list if it was not redirected.
+    """
+    found = (hops.groupBy("host", "variant")
+                 .agg(F.sort_array(F.collect_list(F.struct("hop", "status"))).alias("_h"))
+                 .select("host", "variant", F.col("_h.status").alias("history")))
+    if fetches is None:
+        return found
+    empty = F.array().cast(found.schema["history"].dataType)
+    return (fetches.select("host", "variant").distinct().join(found, ["host", "variant"], "left")
+                   .select("host", "variant", F.coalesce("history", empty).alias("history")))
 
 
 def dns_snapshot(dns_records: DataFrame) -> DataFrame:
@@ -151,18 +164,20 @@ def dns_snapshot(dns_records: DataFrame) -> DataFrame:
 def ptr_rollup(snapshot: DataFrame, ptr_records: DataFrame) -> DataFrame:
     """PTR names of the host's A records, first-seen order, distinct.
 
-    Bounded per host by (A records of one answer) x (PTR answers per address).
-    A hot address (shared hosting) skews only the probe side of the join on
-    ``ip``; AQE's skew join splits it.
+    PTR answers are first reduced to one row per address, so re-captures don't
+    multiply and the join is many-to-one.  Bounded per host by (A records of one
+    answer) x (distinct PTR names per address).
 
     Returns ``(host, ptr_records)`` for hosts with at least one PTR answer.
     """
     a = snapshot.select("host", F.posexplode("a_records").alias("a_pos", "ip"))
     p = ptr_records if "pos" in ptr_records.columns else ptr_records.withColumn("pos", F.lit(0))
-    j = a.join(p.select("ip", F.col("pos").alias("t_pos"), "target"), "ip")
+    once = p.groupBy("ip", "target").agg(F.min("pos").alias("pos"))
+    names = once.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct("pos", "target"))).alias("_t"))
+    j = a.join(names, "ip")
     return (j.groupBy("host")
-             .agg(F.sort_array(F.collect_list(F.struct("a_pos", "t_pos", "target"))).alias("_p"))
-             .select("host", F.array_distinct(F.col("_p.target")).alias("ptr_records")))
+             .agg(F.sort_array(F.collect_list(F.struct("a_pos", "_t"))).alias("_p"))
+             .select("host", F.array_distinct(F.flatten(F.transform("_p", lambda x: x["_t"]["target"]))).alias("ptr_records")))
 
 
 def dns_info(dns_records: DataFrame, ptr_records: DataFrame) -> DataFrame:
@@ -190,7 +205,7 @@ def cert_fields(cert_captures: DataFrame) -> DataFrame:
     c = F.from_json(F.col("body"), CERT_SCHEMA)
     err = F.col("error").isNotNull()
     subj = F.coalesce(c["subject"], F.array().cast("array<array<array<string>>>"))
-    return latest_per_key(cert_captures, "host").select("host", F.struct(
+    return _parsed(cert_captures, "host", F.struct(
         F.when(~err, _first_attr(subj, "commonName")).alias("cn"),
         F.when(~err, F.transform(F.coalesce(c["subjectAltName"], F.array().cast("array<array<string>>")),
                                  lambda x: F.get(x, 1))).otherwise(F.array().cast("array<string>")).alias("san"),
@@ -200,31 +215,27 @@ def cert_fields(cert_captures: DataFrame) -> DataFrame:
         F.col("error").alias("error")).alias("cert"))
 
 
-def _json_kind(v: Column) -> Column:
-    return F.split_part(F.schema_of_variant(v), F.lit("<"), F.lit(1))
+def _first_character(body: Column) -> Column:
+    """First character that isn't white space: tells a JSON object from a list."""
+    return F.regexp_extract(body, r"^\s*(\S)", 1)
 
 
 def rdap_fields(rdap: DataFrame, key: str = "registrable") -> DataFrame:
     """Registration date (first ``registration`` event) and registrar (``fn`` of the first registrar entity)."""
     body = F.coalesce(F.col("body"), F.lit(""))
     bad_status = (F.col("status") != 200) | (body == "")
-    v = F.try_parse_json(body)
-    kind = _json_kind(v)
-    events = F.try_variant_get(v, "$.events", "array<struct<eventAction:string,eventDate:string>>")
-    created = F.get(F.filter(F.coalesce(events, F.array().cast(
-        "array<struct<eventAction:string,eventDate:string>>")),
-        lambda e: e["eventAction"] == "registration"), 0)["eventDate"]
-    entities = F.coalesce(F.try_variant_get(v, "$.entities", "array<variant>"), F.array().cast("array<variant>"))
-    registrar_entity = F.get(F.filter(entities, lambda e: F.coalesce(F.array_contains(
-        F.try_variant_get(e, "$.roles", "array<string>"), F.lit("registrar")), F.lit(False))), 0)
-    vcard = F.coalesce(F.try_variant_get(registrar_entity, "$.vcardArray[1]", "array<variant>"),
-                       F.array().cast("array<variant>"))
-    fn = F.get(F.filter(vcard, lambda f: F.try_variant_get(f, "$[0]", "string") == "fn"), 0)
-    registrar = F.try_variant_get(fn, "$[3]", "string")
+    # members of unlike kinds (the card's entries) are read as JSON text and parsed again
+    v = F.from_json(body, "events array<struct<eventAction:string,eventDate:string>>, "
+                          "entities array<struct<roles:array<string>,vcardArray:array<string>>>")
+    created = F.get(F.filter(F.coalesce(v["events"], F.array().cast("array<struct<eventAction:string,eventDate:string>>")),
+                             lambda e: e["eventAction"] == "registration"), 0)["eventDate"]
+    registrar_entity = F.get(F.filter(v["entities"], lambda e: F.coalesce(F.array_contains(e["roles"], F.lit("registrar")), F.lit(False))), 0)
+    vcard = F.from_json(F.get(registrar_entity["vcardArray"], 1), "array<array<string>>")
+    registrar = F.get(F.get(F.filter(vcard, lambda f: F.get(f, 0) == "fn"), 0), 3)
     error = (F.when(bad_status, F.concat(F.lit("http_status="), F.col("status").cast("string")))
-              .when(v.isNull(), F.lit("invalid json"))
-              .when(kind != "OBJECT", F.lit("unexpected json")))
-    return latest_per_key(rdap, key).select(F.col(key), F.struct(
+              .when(F.get_json_object(body, "$").isNull(), F.lit("invalid json"))
+              .when(_first_character(body) != "{", F.lit("unexpected json")))
+    return _parsed(rdap, key, F.struct(
         F.when(error.isNull(), created).alias("created"),
         F.when(error.isNull(), registrar).alias("registrar"),
         error.alias("error")).alias("registration"))
@@ -233,76 +244,58 @@ def rdap_fields(rdap: DataFrame, key: str = "registrable") -> DataFrame:
 def favicon_fields(favicons: DataFrame) -> DataFrame:
     """SHA-1 hex of a non-empty 200 response, else an error."""
     ok = (F.col("status") == 200) & F.coalesce(F.length("content") > 0, F.lit(False))
-    return latest_per_key(favicons, "host").select("host", F.struct(
+    return _parsed(favicons, "host", F.struct(
         F.when(ok, F.sha1(F.col("content"))).alias("sha1"),
         F.when(~ok, F.concat(F.lit("http_status="), F.col("status").cast("string"))).alias("error")
     ).alias("favicon"))
 
 
-def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10,
-                 checkpoint_every: int = 5) -> DataFrame:
+def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10) -> DataFrame:
     """Follow CNAME answers from each host up to ``max_hops``.
 
     Each hop takes the first answer (lowest ``pos``), keeps the trailing dot in
     the chain and strips it for the next lookup; the chain ends when a name has
-    no answer.  The edge table is pre-reduced to one row per source and written
-    once, so every hop is a many-to-one join over the still-open frontier only
-    (a CNAME target shared by many hosts skews only the frontier side, which
-    AQE's skew join splits); the lineage of the walk is cut with
-    ``checkpoint()`` every few hops.  All checkpoints go to the shared folder
-    named by ``spark.checkpoint.dir``.
+    no answer.  A row carries its chain, so a hop is one many-to-one left join
+    with the edge table (one row per source) and nothing is collected at the
+    end.  No job runs while the plan is built.  A name shared by many hosts
+    skews only the walking side, and a closed chain looks up a name of its own
+    that no edge has, so closed chains stay spread.
     """
     edges = cname_records
-    if "pos" in edges.columns:
-        edges = edges.groupBy("src").agg(F.min_by("target", "pos").alias("target"))
-    else:
-        edges = edges.groupBy("src").agg(F.min("target").alias("target"))
-    # reduced once and written: the hops and the intermediate checkpoint jobs read it instead of
-    # recomputing the reduction
-    checkpoint_dir(hosts.sparkSession)
-    edges = edges.select(F.col("src").alias("cur"), F.col("target")).checkpoint()
-    frontier = hosts.select("host").distinct().withColumn("cur", F.col("host")).withColumn("hop", F.lit(0))
-    found = None
-    for hop in range(max_hops):
-        step = (frontier.join(edges, "cur")
-                        .select("host", F.lit(hop).alias("hop"), "target"))
-        found = step if found is None else found.unionByName(step)
-        frontier = step.select("host", F.regexp_replace("target", "\\.+$", "").alias("cur"))
-        if checkpoint_every and hop % checkpoint_every == checkpoint_every - 1 and hop + 1 < max_hops:
-            checkpoint_dir(hosts.sparkSession)
-            found = found.checkpoint()
-            frontier = found.where(F.col("hop") == hop).select(
-                "host", F.regexp_replace("target", "\\.+$", "").alias("cur"))
-    chains = (found.groupBy("host")
-                   .agg(F.sort_array(F.collect_list(F.struct("hop", "target"))).alias("_c"))
-                   .select("host", F.col("_c.target").alias("chain")))
-    return (hosts.select("host").distinct().join(chains, "host", "left")
-                 .select("host", F.struct(F.coalesce(F.col("chain"), F.array().cast("array<string>")).alias("chain"),
-                                          F.lit(None).cast("string").alias("error")).alias("cname")))
+    order = F.struct("pos", "target") if "pos" in edges.columns else F.col("target")
+    edges = edges.groupBy("src").agg(F.min_by("target", order).alias("_next")).withColumnRenamed("src", "_src")
+    walk = hosts.select("host").distinct().select("host", F.col("host").alias("_cur"), F.array().cast("array<string>").alias("_chain"))
+    for _ in range(max_hops):
+        step = walk.join(edges, F.col("_cur") == F.col("_src"), "left")
+        chain = F.when(F.col("_next").isNotNull(), F.concat("_chain", F.array("_next"))).otherwise(F.col("_chain"))
+        ahead = F.coalesce(F.regexp_replace("_next", "\\.+$", ""), F.concat(F.lit("\n"), "host"))
+        walk = step.select("host", ahead.alias("_cur"), chain.alias("_chain"))
+    return walk.select("host", F.struct(F.col("_chain").alias("chain"), F.lit(None).cast("string").alias("error")).alias("cname"))
 
 
 def ct_history(ct: DataFrame, key: str = "registrable") -> DataFrame:
     """Certificate count and earliest ``not_before``/``entry_timestamp`` (string minimum)."""
     body = F.coalesce(F.col("body"), F.lit(""))
     bad_status = (F.col("status") != 200) | (body == "")
-    v = F.try_parse_json(body)
-    is_list = _json_kind(v) == "ARRAY"
-    certs = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    is_list = _first_character(body) == "["
+    # members as JSON text, each read on its own
+    members = F.when(is_list, F.from_json(body, "array<string>"))
+    certs = F.coalesce(members, F.array().cast("array<string>"))
+    invalid = F.when(is_list, members.isNull()).otherwise(F.get_json_object(body, "$").isNull())
 
     def pick(c, field):
-        x = F.try_variant_get(c, f"$.{field}", "string")
+        x = F.get_json_object(c, f"$.{field}")
         return F.when(x != "", x)
 
     dates = F.transform(certs, lambda c: F.coalesce(pick(c, "not_before"), pick(c, "entry_timestamp")))
     # a list member that is not an object cannot be read field-wise: the capture counts as failed
-    bad_item = F.exists(certs, lambda c: _json_kind(c) != "OBJECT")
+    bad_item = F.exists(certs, lambda c: F.coalesce(_first_character(c) != "{", F.lit(True)))
     error = (F.when(bad_status, F.concat(F.lit("http_status="), F.col("status").cast("string")))
-              .when(v.isNull(), F.lit("invalid json"))
+              .when(invalid, F.lit("invalid json"))
               .when(is_list & bad_item, F.lit("unexpected json")))
     count = F.when(error.isNull() & is_list, F.size(certs)).otherwise(F.lit(0))
     earliest = F.when(error.isNull() & is_list, F.array_min(F.filter(dates, lambda d: d.isNotNull())))
-    return latest_per_key(ct, key).select(F.col(key), F.struct(count.alias("cert_count"), earliest.alias("earliest_date"),
-                                          error.alias("error")).alias("ct"))
+    return _parsed(ct, key, F.struct(count.alias("cert_count"), earliest.alias("earliest_date"), error.alias("error")).alias("ct"))
 
 
 def ct_history_from_certs(certs: DataFrame) -> DataFrame:

@@ -1,18 +1,20 @@
 """Rules written in Python, evaluated over Arrow batches (``pandas_udf``, never row-at-a-time).
 
-* ``high_entropy_outcome`` restates the high-entropy part of H01 with Python's
-  own ``re`` and ``base64`` modules; it is a brute-force cross-check of the
-  Column version (driver query ``python_rule``).
-* ``idna_punycode_rule`` is a registry rule over the context: the punycode test
-  (H09) with Python's IDNA codec, exact for arbitrary Unicode hosts where the
-  Column version relies on hosts being ASCII after normalisation.
+They read reduced context columns (a host, never a page body) and are
+registered like any other rule.
+
+* ``host_entropy_rule``: hosts whose first label looks random (Shannon entropy
+  of its characters), which has no built-in form.
+* ``idna_punycode_rule``: the punycode test (H09) with Python's IDNA codec,
+  exact for arbitrary Unicode hosts where the Column version relies on hosts
+  being ASCII after normalisation.
 """
 
 from __future__ import annotations
 
-import base64
-import binascii
-import re
+import math
+from collections import Counter
+from encodings import idna
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,48 +27,39 @@ from lurewatch.operators.heuristics import Rule, python_rule
 RESULT_STRUCT = T.StructType([T.StructField("scam", T.BooleanType()), T.StructField("benign", T.BooleanType()),
                               T.StructField("suspicious", T.BooleanType()), T.StructField("evidence", T.StringType())])
 
-_RUN = re.compile(r"[A-Za-z0-9+/=]{40,}")
 
-
-def _strict_b64(s: str) -> bool:
-    if len(s) % 4:
-        return False
-    try:
-        base64.b64decode(s, validate=True)
-        return True
-    except (binascii.Error, ValueError):
-        return False
+def _suspicious(hits: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"scam": False, "benign": False, "suspicious": hits, "evidence": evidence.where(hits, None)})
 
 
-def _has_entropy(html: str | None) -> bool:
-    return any(len(s) > 64 and _strict_b64(s) for s in _RUN.findall(html or ""))
+def label_entropy(host: str | None) -> float:
+    """Bits per character of the first label."""
+    label = (host or "").partition(".")[0]
+    return -sum(n / len(label) * math.log2(n / len(label)) for n in Counter(label).values()) if label else 0.0
 
 
-@F.pandas_udf(RESULT_STRUCT)
-def _high_entropy_udf(html: pd.Series) -> pd.DataFrame:
-    hit = html.map(_has_entropy).astype(bool)
-    return pd.DataFrame({"scam": False, "benign": False, "suspicious": hit,
-                         "evidence": hit.map(lambda b: "high_entropy=True" if b else None)})
-
+def host_entropy_rule(least_bits: float = 3.0, weight: int = 1) -> Rule:
+    @F.pandas_udf(RESULT_STRUCT)
+    def outcome(host: pd.Series) -> pd.DataFrame:
+        bits = pd.Series([label_entropy(h) for h in host], dtype="float64")
+        return _suspicious(bits >= least_bits, bits.map("host_entropy={:.2f}".format))
 
-def high_entropy_outcome(html: Column) -> Column:
-    return _high_entropy_udf(html)
+    return python_rule("host_entropy", weight, lambda: outcome(F.col("host")))
 
 
-def _idna_punycode(host: str | None) -> bool:
-    h = host or ""
+def _encoded_labels(host: str) -> list[bytes]:
+    """Labels as they would be looked up; as they are if one can't be encoded."""
+    labels = [x for x in host.split(".") if x]
     try:
-        h = h.encode("idna").decode("ascii")
+        return [idna.ToASCII(x) for x in labels]
     except UnicodeError:
-        pass
-    return h.startswith("xn--") or ".xn--" in h
+        return [x.encode() for x in labels]
 
 
 @F.pandas_udf(RESULT_STRUCT)
 def _idna_punycode_udf(host: pd.Series) -> pd.DataFrame:
-    hit = host.map(_idna_punycode).astype(bool)
-    return pd.DataFrame({"scam": False, "benign": False, "suspicious": hit,
-                         "evidence": hit.map(lambda b: "punycode_label_detected" if b else None)})
+    hits = pd.Series([any(x.startswith(b"xn--") for x in _encoded_labels(h or "")) for h in host], dtype="bool")
+    return _suspicious(hits, pd.Series(["punycode_label_detected"] * len(hits), dtype="object"))
 
 
 def idna_punycode_rule(weight: int = 2) -> Rule:

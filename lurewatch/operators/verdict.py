@@ -20,12 +20,12 @@ from lurewatch.rules import VERDICTS, RuleSet
 
 
 def _rcol(i: int) -> str:
-    return f"_r{i:02d}"
+    return f"__rule_{i:02d}"
 
 
 def evaluate_rules(context: DataFrame, rules: RuleSet, as_of: Column,
                    registry: Sequence[Rule] = DEFAULT_REGISTRY, with_evidence: bool = True) -> DataFrame:
-    """Append one result struct per rule (``_r01`` ...) plus shared helper columns.
+    """Append one result struct per rule (``__rule_01`` ...) plus shared helper columns.
 
     ``with_evidence=False`` skips the evidence strings (verdict-only callers):
     a much smaller generated projection.
@@ -74,7 +74,7 @@ def classify(context: DataFrame, rules: RuleSet, as_of: Column,
     out = staged.select("*", F.when(g.isNull(), F.col("_first.name")).alias("decided_by"), verdict.alias("verdict"))
     if keep_results:
         out = out.withColumn("results", rule_results(registry))
-    drop = [c for c in out.columns if c.startswith("_r") or c in ("_first", "_lookalike", "_reg_age", "_diff_ratio")]
+    drop = [_rcol(i) for i in range(1, len(registry) + 1)] + ["_first", "_lookalike", "_reg_age", "_diff_ratio"]
     return out.drop(*drop)
 
 
