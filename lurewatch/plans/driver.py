@@ -16,7 +16,7 @@ from lurewatch.functions import text as tx
 from lurewatch.functions.dates import as_of_lit
 from lurewatch.functions.hosts import is_punycode, label_count, normalize_host
 from lurewatch.operators import heuristics as H
-from lurewatch.operators.features import density_keywords, with_page_features
+from lurewatch.operators.features import with_page_features
 from lurewatch.operators.heuristics import RuleContext, lookalike_best
 from lurewatch.operators.match import gate, is_auto_scam, is_trusted
 from lurewatch.operators.suffix import owned_by_brand, with_registrable
@@ -181,18 +181,24 @@ def _materialised(spark, sf_dir: str, tag: str, build: Callable[[], DataFrame])
     every report that needs it; the written table also cuts lineage, so a lost
     executor never recomputes the enrichment.
     """
-    import os
-    key = (id(spark), sf_dir, tag)
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def status(path: str):
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        files = found.getFileSystem(conf)
+        return files.getFileStatus(found).getModificationTime() if files.exists(found) else None
+
+    key = (spark.sparkContext.applicationId, sf_dir, tag, status(f"{sf_dir}/pages.parquet"))
     path = _MATERIALISED.get(key)
-    local = path is not None and (path.startswith("file:") or path.startswith("/"))
-    if path is None or (local and not os.path.exists(path.replace("file:", "", 1))):
+    if path is None or status(path) is None:
         path = _scratch(spark, tag)
         build().write.parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)
 
 
-_MATERIALISED: dict[tuple[int, str, str], str] = {}
+_MATERIALISED: dict[tuple, str] = {}
 
 
 def _pages_features(spark, sf_dir) -> DataFrame:
@@ -277,7 +283,7 @@ WITH reg AS ({O.registrable_cte(R, 'v_pages')}),
 t AS (SELECT p.n, p.host, regexp_matches(p.html, '{_TITLE_RE}') AS title_found,
              regexp_extract(p.html, '{_TITLE_RE}', 1) AS title, reg.registrable
       FROM v_pages p JOIN reg ON reg.host = p.host)
-SELECT n, host, title_found, substr(title, 1, 60) AS title,
+SELECT n, host, title_found, title,
        CASE WHEN title_found THEN {_title_brand_sql('lower(title)', 'registrable')} END AS brand
 FROM t""", ("v_pages",))
 def q_title_mismatch(spark, sf_dir):
@@ -307,7 +313,7 @@ def q_forbidden_tokens(spark, sf_dir):
 @query("brand_density", f"""
 WITH {_PF}, reg AS ({O.registrable_cte(R, 'v_pages')}),
 b AS (SELECT pf.n, CAST(len(words) AS INTEGER) AS words_total,
-             CAST(len(list_filter(words, lambda w: list_contains({O.arr(density_keywords(R))}, w))) AS INTEGER)
+             CAST(len(list_filter(words, lambda w: list_contains({O.arr(O.DENSITY_WORDS)}, w))) AS INTEGER)
                AS brand_words, reg.registrable
       FROM pf JOIN reg ON reg.host = pf.host)
 SELECT n, words_total, brand_words,
@@ -512,7 +518,7 @@ SELECT c.host, hit.cname_target, hit.cname_target IS NOT NULL AS bulletproof_hos
 FROM chains c LEFT JOIN hit ON hit.host = c.host""", ("v_pages", "v_cname"))
 def q_bulletproof(spark, sf_dir):
     from lurewatch.functions.hosts import first_hit
-    ch = _context(spark, sf_dir)
+    ch = _cname_rollup(spark, sf_dir)
     r = H.bulletproof_host(RuleContext(R, _as_of()))
     return ch.select("host", first_hit(F.col("cname.chain"), R.hosting_substrings).alias("cname_target"),
                      r["suspicious"].alias("bulletproof_host"))
@@ -626,7 +632,7 @@ def _rules_frame(spark, sf_dir) -> DataFrame:
 
 
 def _rule(i: int) -> str:
-    return f"_r{i:02d}"
+    return f"__rule_{i:02d}"
 
 
 def _tokens_sql(x: str) -> str:
@@ -709,7 +715,7 @@ r AS (
       AND (length(html) > {R.thresholds.cloaking_min_content_len} OR length(alt_html) > {R.thresholds.cloaking_min_content_len})) AS u11,
     cert_err IS NULL AND coalesce(cert_age < {R.thresholds.cert_age_days}, false) AS u12,
     NOT owned AND len(words) > 0 AND
-      len(list_filter(words, lambda w: list_contains({O.arr(density_keywords(R))}, w))) / len(words)
+      len(list_filter(words, lambda w: list_contains({O.arr(O.DENSITY_WORDS)}, w))) / len(words)
         > {R.thresholds.brand_density_threshold} AS u13,
     pw AND starts_with(final_url, 'http://') AS u14,
     coalesce(lower(suffix) IN ({', '.join(O.q(t) for t in R.suspicious_tlds)}), false) AS u15,
@@ -1040,11 +1046,56 @@ def q_stream_triage(spark, sf_dir):
     return spark.read.parquet(f"{root}/sink").select("host", "brand", "verdict")
 
 
-@query("python_rule", f"SELECT n, {_ENTROPY} AS high_entropy FROM v_pages", ("v_pages",))
+@query("python_rule", """
+SELECT n, host, coalesce(list_aggregate(string_split(split_part(host, '.', 1), ''), 'entropy') >= 3.0, false) AS host_entropy
+FROM v_hosts""", ("v_hosts",))
 def q_python_rule(spark, sf_dir):
-    from lurewatch.operators.python_rules import high_entropy_outcome
-    pages = _v(spark, sf_dir, "v_pages")
-    return pages.select("n", high_entropy_outcome(F.col("html"))["suspicious"].alias("high_entropy"))
+    """A registered Python rule over the reduced context."""
+    from lurewatch.operators.python_rules import host_entropy_rule
+    from lurewatch.operators.verdict import evaluate_rules
+    hosts = _v(spark, sf_dir, "v_hosts").select("n", "host")
+    return evaluate_rules(hosts, R, _as_of(), (host_entropy_rule(3.0),)).select("n", "host", F.col("__rule_01.suspicious").alias("host_entropy"))
+
+
+_WHOLE_PATH = f"""
+WITH RECURSIVE {_CTX}, {_verdict_sql()}
+SELECT DISTINCT host, brand, CASE WHEN brand IS NULL THEN 'irrelevant' ELSE verdict END AS verdict
+FROM (SELECT sv.host, {O.brand_sql('sv.host', R)} AS brand, sv.verdict FROM sv) t
+WHERE brand IS NULL OR verdict IS NOT NULL"""
+
+
+def _page_lines(spark, sf_dir) -> DataFrame:
+    """Every page host twice, as two sources would name it."""
+    hosts = _v(spark, sf_dir, "v_pages").select("host")
+    return hosts.select(F.concat(F.lit("HTTP://"), F.upper("host"), F.lit("/index")).alias("line"), F.lit("urlhaus").alias("source")).unionByName(
+        hosts.select(F.col("host").alias("line"), F.lit("manual").alias("source")))
+
+
+@query("pipeline_verdicts", _WHOLE_PATH, _ALL_VIEWS)
+def q_pipeline_verdicts(spark, sf_dir):
+    """The whole path: raw lines, dedup, brand, gates, all captures, rules, verdict, sink, read back."""
+    from lurewatch.plans.triage import triage
+    from lurewatch.sources.sinks import read_verdicts, write_verdicts
+    root = _scratch(spark, "pipeline")
+    write_verdicts(triage(_page_lines(spark, sf_dir), _caps(spark, sf_dir), R, _as_of()), root)
+    return read_verdicts(spark, root)
+
+
+@query("stream_with_captures", _WHOLE_PATH, _ALL_VIEWS)
+def q_stream_with_captures(spark, sf_dir):
+    """Hosts arrive before their captures: the first run leaves them pending, the second settles them all."""
+    from lurewatch.plans.triage import Captures
+    from lurewatch.sources.sinks import read_verdicts
+    from lurewatch.streaming.triage import settle, start_triage, stream_hosts
+    root = _scratch(spark, "stream-captures")
+    lines = _page_lines(spark, sf_dir).select(F.col("line").alias("value"))
+    for captures in (Captures(), _caps(spark, sf_dir)):
+        # the second run finds the same lines once more
+        lines.write.mode("append").text(f"{root}/landing/manual")
+        hosts = stream_hosts(spark, f"{root}/landing", [("manual", False)])
+        start_triage(spark, hosts, lambda c=captures: c, R, _as_of(), f"{root}/sink", f"{root}/checkpoint").awaitTermination()
+    settle(spark, f"{root}/sink", f"{root}/settled")
+    return read_verdicts(spark, f"{root}/settled")
 
 
 @query("filter_counts", f"""
@@ -1058,15 +1109,15 @@ def q_filter_counts(spark, sf_dir):
 
 @query("redirect_history", f"""
 SELECT host, {_hist_sql('hops')} AS history
-FROM v_http WHERE variant = 'primary' AND hops > 0""", ("v_http",))
+FROM v_http WHERE variant = 'primary'""", ("v_http",))
 def q_redirect_history(spark, sf_dir):
     """Ordered redirect statuses from one row per hop (hop k: 301 if odd, else 302)."""
     from lurewatch.operators.captures import redirect_history
-    http = _v(spark, sf_dir, "v_http").where((F.col("variant") == "primary") & (F.col("hops") > 0))
-    hops = (http.select("host", "variant", F.explode(F.sequence(F.lit(1), F.col("hops").cast("int"))).alias("hop"))
+    http = _v(spark, sf_dir, "v_http").where(F.col("variant") == "primary")
+    hops = (http.where("hops > 0").select("host", "variant", F.explode(F.sequence(F.lit(1), F.col("hops").cast("int"))).alias("hop"))
                 .select("host", "variant", "hop",
                         F.when(F.col("hop") % 2 == 1, F.lit(301)).otherwise(F.lit(302)).alias("status")))
-    return redirect_history(hops).select("host", F.array_join("history", ",").alias("history"))
+    return redirect_history(hops, http).select("host", F.array_join("history", ",").alias("history"))
 
 
 def _pyb(x: str) -> str:
@@ -1085,7 +1136,7 @@ _EVIDENCE_RULES = ("forms_and_exfil", "phishing_kit", "favicon_brand_mismatch",
 _RATIO_SQL = ("CASE WHEN g.html = '' AND g.alt_html = '' THEN 0.0 WHEN g.html = '' OR g.alt_html = '' THEN 1.0 "
               "WHEN len(g.ta) = 0 AND len(g.tb) = 0 THEN 0.0 "
               "ELSE 1.0 - len(list_intersect(g.ta, g.tb)) / len(list_distinct(list_concat(g.ta, g.tb))) END")
-_BRAND_WORDS_SQL = f"len(list_filter(g.words, lambda w: list_contains({O.arr(density_keywords(R))}, w)))"
+_BRAND_WORDS_SQL = f"len(list_filter(g.words, lambda w: list_contains({O.arr(O.DENSITY_WORDS)}, w)))"
 _DENSITY_SQL = f"{_BRAND_WORDS_SQL} / len(g.words)"
 
 _SQ = "''''"          # SQL literal: one single quote
@@ -1169,7 +1220,7 @@ def _evidence_sql() -> str:
 WITH RECURSIVE {_CTX}, ev AS ({_evidence_sql()})
 SELECT host, name, evidence FROM ev""", _ALL_VIEWS)
 def q_evidence_strings(spark, sf_dir):
-    """Evidence text of every fired rule whose evidence has no floating-point formatting."""
+    """Evidence text of every fired rule."""
     from lurewatch.operators.verdict import explain_long
     out = explain_long(_context(spark, sf_dir), R, _as_of())
-    return out.where(F.col("name").isin(list(_EVIDENCE_RULES))).select("host", "name", "evidence")
+    return out.select("host", "name", "evidence")

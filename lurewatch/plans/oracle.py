@@ -7,8 +7,7 @@ result can be checked against them.  Only used for verification.
 
 from __future__ import annotations
 
-from lurewatch.operators.suffix import brand_registrables, max_depth
-from lurewatch.rules import RuleSet, skeleton_py
+from lurewatch.rules import RuleSet
 
 # Python str.isspace() characters in RE2 syntax.
 WS = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -16,6 +15,19 @@ WORD = "[\\p{L}\\p{N}_]"
 IPV4 = "((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
+# The driver rule set's derived tables, written out by hand (not computed by the code under test).
+OWNED = {0: ("small-ring.com", "small-ring-5.co.uk"), 1: ("red-widget-1.com",), 2: ("hot-gear.com.sg",)}
+DEEPEST_SUFFIX = 2
+DENSITY_WORDS = ("hot", "hot-gear", "red", "red-widget-1", "small", "small-ring", "small-ring-5")
+LOOK_ALIKES = "013@$¡ıɩаеоѕіӏβɡſ"
+PLAIN = "oleasiiiaeosilbgs"
+# (brand, place, kind, target, skeleton) in evaluation order
+TARGETS = ((0, 0, "name", "small ring", "small ring"), (0, 1, "domain", "small-ring", "small-ring"),
+           (0, 2, "domain", "small-ring-5", "small-ring-5"), (1, 0, "name", "red widget", "red widget"),
+           (1, 1, "domain", "red-widget-1", "red-widget-l"), (2, 0, "name", "hot gear", "hot gear"),
+           (2, 1, "domain", "hot-gear", "hot-gear"))
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -60,7 +72,7 @@ def suffix_rules_values(rules: RuleSet) -> str:
 
 def registrable_cte(rules: RuleSet, src: str) -> str:
     """CTE body: (host, registrable, suffix) for ``SELECT DISTINCT host FROM src``."""
-    k = max_depth(rules)
+    k = DEEPEST_SUFFIX
     return f"""
 SELECT h.host,
   CASE WHEN regexp_full_match(h.host, '{IPV4}') THEN '' ELSE h.sfx END AS suffix,
@@ -95,7 +107,7 @@ FROM (
 
 
 def owned_sql(reg: str, rules: RuleSet, brand_ord: int | None = None) -> str:
-    regs = sorted({r for o, rs in brand_registrables(rules).items() if brand_ord is None or o == brand_ord
+    regs = sorted({r for o, rs in OWNED.items() if brand_ord is None or o == brand_ord
                    for r in rs})
     if not regs:
         return "false"
@@ -103,18 +115,10 @@ def owned_sql(reg: str, rules: RuleSet, brand_ord: int | None = None) -> str:
 
 
 def skeleton_sql(x: str) -> str:
-    from lurewatch.rules import CONFUSABLES
-    src = "".join(CONFUSABLES.keys()) + "ſ"
-    dst = "".join(CONFUSABLES.values()) + "s"
-    return f"translate(lower({x}), {q(src)}, {q(dst)})"
+    return f"translate(lower({x}), {q(LOOK_ALIKES)}, {q(PLAIN)})"
 
 
 def lookalike_targets_values(rules: RuleSet) -> str:
     """(brand_ord, pos, kind, target, skel) rows in evaluation order."""
-    from lurewatch.operators.heuristics import lookalike_targets
-    rows = lookalike_targets(rules)
-    return "(VALUES " + ", ".join(f"({o}, {p}, {q(k)}, {q(t)}, {q(s)})" for o, p, k, t, s in rows) + \
+    return "(VALUES " + ", ".join(f"({o}, {p}, {q(k)}, {q(t)}, {q(s)})" for o, p, k, t, s in TARGETS) + \
         ") AS lt(b_ord, pos, kind, target, skel)"
-
-
-_ = skeleton_py

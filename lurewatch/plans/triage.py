@@ -131,7 +131,8 @@ def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
     src = F.col("source") if "source" in raw.columns else F.lit(None).cast("string")
     hosts = raw.select(normalize_host(F.col(raw_col)).alias("host"), src.alias("source")).where(F.col("host") != "")
     hosts = hosts.select("*", brand_of(F.col("host"), rules).alias("brand"), gate(F.col("host"), rules).alias("_gate"))
-    hosts = dedup_hosts(hosts, seen)
+    # of a host named by several sources the first in order stays, so reruns agree
+    hosts = dedup_hosts(hosts, seen, order_cols=["source"])
     kept = hosts.where(F.col("brand").isNull() | F.coalesce(F.col("_gate") != "dropped", F.lit(True)))
     kept = kept.select("host", "source", "brand",
                        F.when(F.col("brand").isNull(), F.lit("irrelevant"))

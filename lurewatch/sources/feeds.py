@@ -27,6 +27,9 @@ EXTRA_LINE_BREAKS = "[\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 CSV_COLUMNS = ("dateadded", "url", "url_status", "threat", "host", "ipaddress", "asnumber", "country")
 CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
 
+# Quotes are doubled inside quotes and nothing else escapes.
+CSV_DIALECT = {"quote": '"', "escape": '"'}
+
 CT_MESSAGE_TYPE = "certificate_update"
 
 
@@ -66,11 +69,13 @@ def fallback_lines(df: DataFrame, group: list[str], prio_col: str = "prio", line
 def json_feed_hosts(df: DataFrame, body_col: str = "body", source: str = "phishtank",
                     distinct: bool = True) -> DataFrame:
     """A body that is a JSON list; take ``url`` of each item when truthy; malformed -> no rows."""
-    v = F.try_parse_json(F.col(body_col))
-    items = F.when(F.split_part(F.schema_of_variant(v), F.lit("<"), F.lit(1)) == "ARRAY",
-                   F.try_variant_get(v, "$", "array<variant>"))
-    urls = df.select(F.explode(items).alias("item")).select(
-        F.try_variant_get(F.col("item"), "$.url", "string").alias("url"))
+    is_list = F.regexp_extract(F.col(body_col), r"^\s*(\S)", 1) == "["
+    items = F.when(is_list, F.from_json(F.col(body_col), "array<struct<url:string>>"))
+    return url_rows_to_hosts(df.select(F.explode(items).alias("item")).select("item.url"), source, distinct)
+
+
+def url_rows_to_hosts(urls: DataFrame, source: str, distinct: bool = True) -> DataFrame:
+    """Rows of one ``url`` each -> tagged hosts."""
     out = (urls.where(F.coalesce(F.col("url"), F.lit("")) != "")
                .select(F.lit(source).alias("source"), normalize_host(F.col("url")).alias("host"))
                .where(F.col("host") != ""))
@@ -94,7 +99,7 @@ def csv_feed_hosts(rows: DataFrame, country_col: str = "cc", source: str = "urlh
 
 def parse_csv_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """One CSV record per line (``from_csv``, permissive: missing fields are null)."""
-    parsed = F.from_csv(F.col(line_col), CSV_SCHEMA.simpleString(), {"mode": "PERMISSIVE"})
+    parsed = F.from_csv(F.col(line_col), CSV_SCHEMA.simpleString(), {"mode": "PERMISSIVE", **CSV_DIALECT})
     return df.withColumn("_csv", parsed).select("*", "_csv.*").drop("_csv")
 
 
@@ -124,14 +129,18 @@ def read_text_feed(spark: SparkSession, path: str, source: str, comment_rule: bo
 
 
 def read_json_feed(spark: SparkSession, path: str, source: str = "phishtank") -> DataFrame:
-    bodies = spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "body")
-    return json_feed_hosts(bodies, source=source)
+    """One JSON list per file, read element by element: no whole document in one value, at any size.
+
+    A malformed or cut-off document gives no rows.
+    """
+    rows = spark.read.schema("url string").option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    return url_rows_to_hosts(rows, source)
 
 
 def read_csv_feed(spark: SparkSession, path: str, source: str = "urlhaus_country") -> DataFrame:
     """Country CSVs under ``path/cc=<CC>/``; multi-line quoted fields allowed."""
     rows = (spark.read.schema(T.StructType(CSV_SCHEMA.fields + [T.StructField("cc", T.StringType())]))
-                 .option("quote", '"').option("multiLine", "true").option("mode", "PERMISSIVE").csv(path))
+                 .options(**CSV_DIALECT).option("multiLine", "true").option("mode", "PERMISSIVE").csv(path))
     return csv_feed_hosts(rows, source=source)
 
 
@@ -162,7 +171,7 @@ def stream_json_feed(spark: SparkSession, path: str, source: str = "phishtank")
 def stream_csv_feed(spark: SparkSession, path: str, source: str = "urlhaus_country") -> DataFrame:
     """A9 streaming: country CSVs under ``path/cc=<CC>/`` (partition column ``cc``); the global dedup follows."""
     rows = (spark.readStream.schema(T.StructType(CSV_SCHEMA.fields + [T.StructField("cc", T.StringType())]))
-                 .option("quote", '"').option("mode", "PERMISSIVE").csv(path))
+                 .options(**CSV_DIALECT).option("multiLine", "true").option("mode", "PERMISSIVE").csv(path))
     return csv_feed_hosts(rows, source=source, distinct=False)
 
 

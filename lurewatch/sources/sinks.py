@@ -36,7 +36,8 @@ def read_verdicts(spark: SparkSession, root: str, fmt: str = "parquet") -> DataF
             F.col("value").alias("host"), F.lit(None).cast("string").alias("brand"),
             F.lit("irrelevant").alias("verdict"))
     else:
-        b = spark.read.parquet(f"{root}/brands").select("host", "brand", "verdict")
-        i = spark.read.parquet(f"{root}/irrelevant").select(
+        # schemas are given: either part may hold no file
+        b = spark.read.schema("host string, brand string, verdict string").parquet(f"{root}/brands")
+        i = spark.read.schema("host string, verdict string").parquet(f"{root}/irrelevant").select(
             "host", F.lit(None).cast("string").alias("brand"), "verdict")
     return b.unionByName(i)

@@ -6,7 +6,9 @@ survives restarts; use the RocksDB state store provider for size) ->
 ``foreachBatch`` (W1): brand attribution, gates, a stream-static join to the
 latest capture tables (W6), rules, verdict, and an idempotent append of the
 batch to the sink keyed by ``batch_id`` (W5: a replayed batch overwrites only
-its own ``batch_id`` partition).
+its own ``batch_id`` partition).  Hosts that were pending are taken up again in
+the first batch after their capture has arrived; ``latest_verdicts`` reads the
+sink with one row per host.
 """
 
 from __future__ import annotations
@@ -31,9 +33,14 @@ def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool
     return out
 
 
+SINK_SCHEMA = ("host string, source string, brand string, verdict string, score double, tally int, decided_by string, "
+               "batch_id long")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], Captures], rules: RuleSet,
                  as_of: Column, sink: str, checkpoint: str, trigger: dict | None = None,
-                 state_store: str | None = None, forget_after: str | None = None) -> StreamingQuery:
+                 state_store: str | None = ROCKSDB, forget_after: str | None = None) -> StreamingQuery:
     """Start the streaming triage; ``captures`` is called per batch so each batch sees the latest captures.
 
     Dedup is exact and unbounded by default (every host is triaged once, ever).
@@ -52,12 +59,46 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
     # per-batch host count, observable in the query progress
     deduped = deduped.observe("triage_input", F.count(F.lit(1)).alias("new_hosts"))
 
+    empty = hosts.sparkSession.createDataFrame([], SINK_SCHEMA)
+    empty.write.mode("append").partitionBy("batch_id").parquet(sink)  # later batches read the folder
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        raw = batch.select(F.col("host").alias("line"), "source")
-        out = triage(raw, captures(), rules, as_of).withColumn("batch_id", F.lit(batch_id))
-        (out.where(F.col("verdict").isNotNull()).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        batch = batch.persist()  # read by every roll-up of the batch
+        try:
+            latest = captures()
+            raw = batch.select(F.col("host").alias("line"), "source")
+            if latest.http is not None:
+                raw = raw.unionByName(due(spark, sink, latest.http, batch_id))
+            out = triage(raw, latest, rules, as_of).withColumn("batch_id", F.lit(batch_id))
+            (out.where(F.col("verdict").isNotNull()).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        finally:
+            batch.unpersist()
 
     writer = deduped.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
+
+
+def latest_verdicts(spark: SparkSession, sink: str, before: int | None = None) -> DataFrame:
+    """One row per host of a streamed sink: the one of its latest batch (before batch ``before`` if given)."""
+    rows = spark.read.schema(SINK_SCHEMA).parquet(sink)
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
+    rest = [c for c in rows.columns if c != "host"]
+    return rows.groupBy("host").agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_l")).select("host", "_l.*")
+
+
+def due(spark: SparkSession, sink: str, http: DataFrame, batch_id: int) -> DataFrame:
+    """(line, source) of the hosts still pending after the earlier batches that now have a page capture.
+
+    Only earlier batches count, so a replayed batch takes up the same hosts again.
+    """
+    pending = latest_verdicts(spark, sink, batch_id).where(F.col("verdict") == "pending")
+    return pending.join(http.select("host").distinct(), "host", "left_semi").select(F.col("host").alias("line"), "source")
+
+
+def settle(spark: SparkSession, sink: str, root: str) -> None:
+    """Writes the latest verdict of every host in the brand/verdict layout of the batch sink."""
+    from lurewatch.sources.sinks import write_verdicts
+    write_verdicts(latest_verdicts(spark, sink).drop("batch_id"), root, mode="overwrite")

@@ -32,3 +32,37 @@ def test_cluster_conf_sizing():
     assert "RocksDB" in c["spark.sql.streaming.stateStore.providerClass"]
     assert "spark.checkpoint.dir" not in c
     assert cluster_conf(10 << 20)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_bodies_stay_out_of_the_shuffle(spark):
+    """Every capture is parsed before its exchange: no exchange carries a body or content column."""
+    from lurewatch.operators import captures as cap
+    tables = {
+        cap.rdap_fields: "registrable string, status int, body string, captured_at timestamp",
+        cap.ct_history: "registrable string, status int, body string, captured_at timestamp",
+        cap.cert_fields: "host string, body string, error string, captured_at timestamp",
+        cap.favicon_fields: "host string, status int, content binary, captured_at timestamp",
+    }
+    for roll_up, schema in tables.items():
+        plan = roll_up(spark.createDataFrame([], schema))._jdf.queryExecution().sparkPlan().toString()
+        partial = [line for line in plan.splitlines() if "partial_max_by" in line]
+        assert partial and not any("body#" in line or "content#" in line for line in partial)
+
+
+def test_cname_walk_is_linear(spark):
+    from lurewatch.operators.captures import cname_chains
+    hosts = spark.createDataFrame([], "host string")
+    plan = cname_chains(hosts, spark.createDataFrame([], "src string, target string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") <= 10 and "Union" not in plan
+
+
+def test_unset_folder_raises_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lurewatch.session import checkpoint_dir
+    empty = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: empty, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=empty))

@@ -67,7 +67,7 @@ def make(spark, host="phish-testbrand.com", rules=TEST_RULES, **kw):
 def _outcomes(row):
     out = {}
     for i, n in enumerate(NAMES, 1):
-        r = row[f"_r{i:02d}"]
+        r = row[f"__rule_{i:02d}"]
         out[n] = "scam" if r.scam else "benign" if r.benign else "suspicious" if r.suspicious else None
     return out
 

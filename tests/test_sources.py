@@ -160,7 +160,7 @@ def test_python_rule_in_registry(spark):
     idx = [r.name for r in reg].index("punycode") + 1
     for host, fires in (("xn--dbs-abc.com", True), ("login.xn--dbs.com", True), ("evil-testbrand.com", False)):
         ev = evaluate_rules(make(spark, host=host), TEST_RULES, as_of_lit("2026-01-15 12:00:00"), reg).first()
-        assert ev[f"_r{idx:02d}"].suspicious is fires
+        assert ev[f"__rule_{idx:02d}"].suspicious is fires
 
 
 def test_ct_history_cases(spark):
@@ -210,3 +210,68 @@ def test_seen_hosts_and_bounded_dedup(spark):
     q.awaitTermination()
     got = sorted((r.host, r.verdict) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
     assert got == [("x-testbrand.com", "pending"), ("y.com", "irrelevant")]
+
+
+def test_csv_dialect_and_json_reader(spark):
+    """Doubled quotes, a trailing backslash, a multi-line field; a JSON list read element by element."""
+    root = tempfile.mkdtemp(prefix="lw-csv-")
+    os.makedirs(os.path.join(root, "csv", "cc=SG"))
+    with open(os.path.join(root, "csv", "cc=SG", "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write('"2026","http://x/""q""/","online","malware","evil-one.com","1.1.1.1","AS1","SG"\n'
+                 '"2026","http://y/\\","online","malware","evil-two.com","1.1.1.2","AS1","SG"\n'
+                 '"2026","http://z/\nnext","online","malware","evil-three.com","1.1.1.3","AS1","SG"\n')
+    assert hosts(feeds.read_csv_feed(spark, os.path.join(root, "csv"))) == ["evil-one.com", "evil-three.com", "evil-two.com"]
+    line = spark.createDataFrame([('"2026","http://x/""q""/\\","online","m","evil-four.com"',)], "line string")
+    assert feeds.parse_csv_lines(line).first().host == "evil-four.com"
+    for name, text in (("good", '[{"url":"http://a.com/"},\n{"url":null},{"x":1},{"url":"b.org"}]'), ("cut", '[{"url":"http://c.com/"},')):
+        os.makedirs(os.path.join(root, name))
+        with open(os.path.join(root, name, "f.json"), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    assert hosts(feeds.read_json_feed(spark, os.path.join(root, "good"))) == ["a.com", "b.org"]
+
+
+def test_pending_hosts_are_taken_up_again(spark):
+    """A host seen before its capture gets its verdict in the batch after the capture; a replayed batch changes nothing."""
+    from lurewatch.operators import captures as cap
+    from lurewatch.sources.sinks import read_verdicts
+    from lurewatch.streaming.triage import latest_verdicts, settle
+    root = tempfile.mkdtemp(prefix="lw-pending-")
+    land = os.path.join(root, "landing", "manual")
+    os.makedirs(land)
+    http = spark.createDataFrame(
+        [("login-testbrand.com", "primary", None, 404, {}, "", [], "http://login-testbrand.com", 0.0)], cap.HTTP_SCHEMA)
+
+    def run(name, text, captures):
+        with open(os.path.join(land, name), "w") as fh:
+            fh.write(text)
+        hs = stream_hosts(spark, os.path.join(root, "landing"), [("manual", False)])
+        start_triage(spark, hs, lambda: captures, TEST_RULES, as_of_lit("2026-01-15 12:00:00"),
+                     os.path.join(root, "sink"), os.path.join(root, "ckpt")).awaitTermination()
+
+    run("a.txt", "login-testbrand.com\nwait-testbrand.com\n", Captures())
+    run("b.txt", "login-testbrand.com\nother.com\n", Captures(http=http))
+    got = {r.host: r.verdict for r in latest_verdicts(spark, os.path.join(root, "sink")).collect()}
+    assert got == {"login-testbrand.com": "benign", "wait-testbrand.com": "pending", "other.com": "irrelevant"}
+    settle(spark, os.path.join(root, "sink"), os.path.join(root, "out"))
+    assert {r.host: r.verdict for r in read_verdicts(spark, os.path.join(root, "out")).collect()} == got
+
+
+def test_repeated_captures_latest_wins(spark):
+    from lurewatch.operators import captures as cap
+    rows = [("h.com", 503, None, 1), ("h.com", 200, '{"events":[{"eventAction":"registration","eventDate":"2025-01-01"}]}', 2),
+            ("g.com", 200, "[]", 1), ("b.com", 200, "{", 1)]
+    rdap = spark.createDataFrame(rows, "registrable string, status int, body string, captured_at int")
+    got = {r.registrable: r.registration for r in cap.rdap_fields(rdap).collect()}
+    assert (got["h.com"].created, got["h.com"].error) == ("2025-01-01", None)
+    assert got["g.com"].error == "unexpected json" and got["b.com"].error == "invalid json"
+    ptr = spark.createDataFrame([("10.0.0.1", "a.net."), ("10.0.0.1", "a.net."), ("10.0.0.1", "b.net.")], "ip string, target string")
+    snap = spark.createDataFrame([("h.com", ["10.0.0.1", "10.0.0.2"])], "host string, a_records array<string>")
+    assert cap.ptr_rollup(snap, ptr).first().ptr_records == ["a.net.", "b.net."]
+
+
+def test_five_thousand_brands(spark):
+    from lurewatch.operators.match import match_brand
+    from lurewatch.rules import Brand
+    many = TEST_RULES.with_(brands=tuple(Brand(i, f"Brand {i}", (f"brand{i}.com",), (f"brand{i}x",), ()) for i in range(5000)))
+    df = spark.createDataFrame([("a-brand4999x.com",), ("none.com",), ("brand7x-brand3x.org",), (None,)], "host string")
+    assert [r.brand for r in match_brand(df, many).collect()] == ["Brand 4999", None, "Brand 3", None]
