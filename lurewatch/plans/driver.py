@@ -1046,6 +1046,48 @@ def q_stream_triage(spark, sf_dir):
     return spark.read.parquet(f"{root}/sink").select("host", "brand", "verdict")
 
 
+_TEXT_FEEDS = ("openphish", "urlhaus", "certpolska", "phishingdatabase", "phishingarmy", "botvrij", "manual")
+_NO_RULE = ("openphish", "manual")
+
+
+def _land_sources(spark, sf_dir, root: str) -> None:
+    """Landing folders of all eleven sources, from the raw lines."""
+    raw = _v(spark, sf_dir, "v_raw").select("n", F.coalesce("line", F.lit("")).alias("line"))
+    for k, name in enumerate(_TEXT_FEEDS):
+        raw.where(F.col("n") % len(_TEXT_FEEDS) == k).select(F.col("line").alias("value")).write.text(f"{root}/{name}")
+    # the primary is empty, the mirror has the lines
+    raw.limit(0).select(F.col("line").alias("value")).write.text(f"{root}/digitalside/prio=0")
+    raw.select(F.col("line").alias("value")).write.text(f"{root}/digitalside/prio=1")
+    quoted = F.regexp_replace(F.regexp_replace(F.to_json(F.array("line")), "^\\[", ""), "\\]$", "")
+    raw.select(F.concat(F.lit('[{"url":'), quoted, F.lit("},{}]")).alias("value")).repartition(4).select("value").write.option("lineSep", "\n").text(f"{root}/lines")
+    # one list per file, of a thousand lines at most
+    lists = raw.groupBy(F.floor(F.col("n") / 1000).alias("block")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.concat(F.lit('{"url":'), quoted, F.lit("}"))), ","), F.lit("]")).alias("value"))
+    lists.write.partitionBy("block").text(f"{root}/phishtank")
+    cell = F.concat(F.lit('"'), F.replace("line", F.lit('"'), F.lit('""')), F.lit('"'))
+    raw.select(F.concat(F.lit('"2026","http://x/""q""","online","m",'), cell, F.lit(',"1.2.3.4","AS1","SG"')).alias("value")).write.text(f"{root}/urlhaus_country/cc=SG")
+    raw.select(F.concat(F.lit('{"message_type":"certificate_update","data":{"leaf_cert":{"all_domains":['), quoted, F.lit("]}}}")).alias("value")).write.text(f"{root}/certstream")
+
+
+_ALL_SOURCES = _TEXT_FEEDS + ("digitalside", "phishtank", "urlhaus_country", "certstream")
+_SOURCES_SQL = " UNION ALL ".join(
+    [f"SELECT {O.q(name)} AS source, coalesce(line, '') AS line, {'false' if name in _NO_RULE else 'true'} AS rule FROM v_raw WHERE n % {len(_TEXT_FEEDS)} = {k}" for k, name in enumerate(_TEXT_FEEDS)]
+    + ["SELECT 'digitalside', coalesce(line, ''), true FROM v_raw"]
+    + [f"SELECT {O.q(name)}, coalesce(line, ''), false FROM v_raw" for name in ("phishtank", "urlhaus_country:SG", "certstream")])
+
+
+@query("all_sources", f"""
+SELECT DISTINCT source, host FROM (
+  SELECT source, {O.norm_sql('line')} AS host FROM ({_SOURCES_SQL}) s
+  WHERE NOT (rule AND (line = '' OR starts_with(line, '#')))) t
+WHERE host <> ''""", ("v_raw",))
+def q_all_sources(spark, sf_dir):
+    """Every registered source, read from its landing folder."""
+    from lurewatch.sources.feeds import read_sources
+    root = _scratch(spark, "landing")
+    _land_sources(spark, sf_dir, root)
+    return read_sources(spark, root, _ALL_SOURCES).distinct()
+
+
 @query("python_rule", """
 SELECT n, host, coalesce(list_aggregate(string_split(split_part(host, '.', 1), ''), 'entropy') >= 3.0, false) AS host_entropy
 FROM v_hosts""", ("v_hosts",))

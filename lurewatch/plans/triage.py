@@ -8,8 +8,8 @@ Plan shape (what ``explain`` should show):
 * page bodies are reduced to feature structs in the scan stage; the capture
   pair is one ``groupBy(host)``;
 * every host-keyed roll-up is joined on ``host`` (partitioning reused), the
-  registration and certificate-history roll-ups on ``registrable`` (one row
-  per key, so a hot registrable only skews the probe side; AQE splits it);
+  registration and certificate-history roll-ups once on ``registrable``, with
+  the hosts of a registrable dealt over several tasks (``join_spread``);
 * all 25 rules are one projection, the verdict a second one.
 """
 
@@ -94,13 +94,33 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     else:
         ctx = ctx.select("*", F.lit(None).cast("struct<chain:array<string>,error:string>").alias("cname"))
     rdap = captures.rdap if captures.rdap is not None else empty(cap.RDAP_SCHEMA.format(key=captures.rdap_key))
-    ctx = attach(ctx, captures.rdap is not None, cap.rdap_fields(rdap, key=captures.rdap_key),
-                 captures.rdap_key, "registration")
     ct = captures.ct if captures.ct is not None else empty(cap.CT_SCHEMA.format(key=captures.ct_key))
-    ctx = attach(ctx, captures.ct is not None, cap.ct_history(ct, key=captures.ct_key), captures.ct_key, "ct")
+    registration, history = cap.rdap_fields(rdap, key=captures.rdap_key), cap.ct_history(ct, key=captures.ct_key)
+    if captures.rdap is not None and captures.ct is not None and captures.rdap_key == captures.ct_key != "host":
+        # both roll-ups are partitioned on the key already; the hosts join them once
+        return join_spread(ctx, registration.join(history, captures.ct_key, "full"), captures.ct_key)
+    for present, rolled, key, name in ((captures.rdap is not None, registration, captures.rdap_key, "registration"),
+                                       (captures.ct is not None, history, captures.ct_key, "ct")):
+        ctx = join_spread(ctx, rolled, key) if present and key != "host" else attach(ctx, present, rolled, key, name)
     return ctx
 
 
+#: Tasks that the hosts of one registrable are dealt to.
+SPREAD = 8
+
+
+def join_spread(ctx: DataFrame, rolled: DataFrame, key: str, spread: int = SPREAD) -> DataFrame:
+    """Left join with a roll-up of one row per ``key``, with the hosts of each key dealt over ``spread`` tasks.
+
+    Adaptive execution can't split this join, because the roll-up is an
+    aggregate of the same stage; so a share of the hash of the host joins the
+    key, and the (small) roll-up rows are repeated for each share.
+    """
+    left = ctx.withColumn("__share", F.pmod(F.xxhash64("host"), F.lit(spread)))
+    right = rolled.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return left.join(right, [key, "__share"], "left").drop("__share")
+
+
 def dedup_hosts(df: DataFrame, seen: DataFrame | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """C11/W3 batch form: first occurrence of each host wins; hosts already in ``seen`` are removed.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,13 @@ def read_text_feed(spark: SparkSession, path: str, source: str, comment_rule: bo
     return lines_to_hosts(lines.withColumn("source", F.lit(source)), comment_rule=comment_rule)
 
 
+def read_fallback_feed(spark: SparkSession, path: str, source: str, comment_rule: bool = True) -> DataFrame:
+    """A feed with mirrors, landed under ``path/prio=<n>/`` (0 = the primary): the best one that has any line."""
+    rows = spark.read.schema("value string, prio int").text(path).withColumn("feed", F.lit(source))
+    chosen = fallback_lines(rows, ["feed"], "prio", "value")
+    return lines_to_hosts(split_lines(chosen).withColumn("source", F.lit(source)), comment_rule=comment_rule)
+
+
 def read_json_feed(spark: SparkSession, path: str, source: str = "phishtank") -> DataFrame:
     """One JSON list per file, read element by element: no whole document in one value, at any size.
 
@@ -184,28 +192,32 @@ def poll_trigger(sources: Iterable["Source"], enabled: Iterable[str]) -> dict:
 
 @dataclass(frozen=True)
 class Source:
-    """A pluggable feed: a name and a reader ``(spark, path) -> DataFrame[source, host]``."""
+    """A pluggable feed: a name, a reader ``(spark, path) -> DataFrame[source, host]`` and its streaming form."""
     name: str
     read: Callable[[SparkSession, str], DataFrame]
     interval_s: int = 300
+    stream: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 def text_source(name: str, comment_rule: bool = True, interval_s: int = 300) -> Source:
-    return Source(name, lambda spark, path: read_text_feed(spark, path, name, comment_rule), interval_s)
+    return Source(name, lambda spark, path: read_text_feed(spark, path, name, comment_rule), interval_s,
+                  lambda spark, path: stream_text_feed(spark, path, name, comment_rule))
 
 
 # Shipped sources, comment rule and poll interval (seconds).
 DEFAULT_SOURCES = (
     text_source("openphish", comment_rule=False, interval_s=43200),
-    Source("phishtank", lambda s, p: read_json_feed(s, p, "phishtank"), 3600),
+    Source("phishtank", lambda s, p: read_json_feed(s, p, "phishtank"), 3600, stream_json_feed),
     text_source("urlhaus", interval_s=300),
     text_source("certpolska", interval_s=300),
     text_source("phishingdatabase", interval_s=86400),
     text_source("phishingarmy", interval_s=21600),
     text_source("botvrij", interval_s=86400),
-    text_source("digitalside", interval_s=86400),
-    Source("urlhaus_country", lambda s, p: read_csv_feed(s, p), 600),
-    Source("certstream", read_ct_messages, 0),
+    # a stream takes the lines of every mirror: the choice needs the whole cycle, and the dedup follows
+    Source("digitalside", lambda s, p: read_fallback_feed(s, p, "digitalside"), 86400,
+           lambda s, p: stream_text_feed(s, p, "digitalside")),
+    Source("urlhaus_country", lambda s, p: read_csv_feed(s, p), 600, stream_csv_feed),
+    Source("certstream", read_ct_messages, 0, stream_ct_messages),
     text_source("manual", comment_rule=False, interval_s=30),
 )
 
@@ -217,7 +229,14 @@ def read_sources(spark: SparkSession, root: str, enabled: Iterable[str],
     dfs = [s.read(spark, f"{root}/{s.name}") for s in sources if s.name in en]
     if not dfs:
         return spark.createDataFrame([], "source string, host string")
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, dfs)
+
+
+def stream_sources(spark: SparkSession, root: str, enabled: Iterable[str],
+                   sources: Iterable[Source] = DEFAULT_SOURCES) -> DataFrame:
+    """Streaming union of the enabled sources of every kind (text, JSON, CSV, certificate messages)."""
+    en = set(enabled)
+    dfs = [s.stream(spark, f"{root}/{s.name}") for s in sources if s.name in en and s.stream]
+    if not dfs:
+        raise ValueError("no enabled source has a streaming reader")
+    return reduce(DataFrame.unionByName, dfs)

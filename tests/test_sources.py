@@ -275,3 +275,46 @@ def test_five_thousand_brands(spark):
     many = TEST_RULES.with_(brands=tuple(Brand(i, f"Brand {i}", (f"brand{i}.com",), (f"brand{i}x",), ()) for i in range(5000)))
     df = spark.createDataFrame([("a-brand4999x.com",), ("none.com",), ("brand7x-brand3x.org",), (None,)], "host string")
     assert [r.brand for r in match_brand(df, many).collect()] == ["Brand 4999", None, "Brand 3", None]
+
+
+def test_stream_of_all_kinds_and_fallback(spark):
+    root = tempfile.mkdtemp(prefix="lw-kinds-")
+
+    def put(rel, text):
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as fh:
+            fh.write(text)
+
+    put("manual/a.txt", "one-testbrand.com\n")
+    put("phishtank/a.json", '[{"url":"http://two-testbrand.com/"}]')
+    put("urlhaus_country/cc=SG/a.csv", '"2026","u","on","m","three-testbrand.com","1","2","SG"\n')
+    put("certstream/a.txt", '{"message_type":"certificate_update","data":{"leaf_cert":{"all_domains":["four-testbrand.com"]}}}\n')
+    put("digitalside/prio=0/a.txt", "\n")
+    put("digitalside/prio=1/a.txt", "five-testbrand.com\n# no\n")
+    put("digitalside/prio=2/a.txt", "unused.com\n")
+    names = ["manual", "phishtank", "urlhaus_country", "certstream"]
+    start_triage(spark, feeds.stream_sources(spark, root, names), lambda: Captures(), TEST_RULES, as_of_lit("2026-01-15 12:00:00"),
+                 os.path.join(root, "sink"), os.path.join(root, "ckpt")).awaitTermination()
+    got = sorted((r.host, r.source) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
+    assert got == [("four-testbrand.com", "certstream"), ("one-testbrand.com", "manual"), ("three-testbrand.com", "urlhaus_country:SG"), ("two-testbrand.com", "phishtank")]
+    assert hosts(feeds.read_sources(spark, root, ["digitalside"])) == ["five-testbrand.com"]
+
+
+def test_registrable_join_deals_hot_keys(spark):
+    """RDAP and certificate history keyed on the registrable: right rows, and a hot one in several tasks."""
+    from lurewatch.plans.triage import SPREAD, build_context, join_spread
+    hosts_ = spark.createDataFrame([(f"h{i}.testbrand.com",) for i in range(300)] + [("a.other.com",), ("b.none.com",)], "host string")
+    rdap = spark.createDataFrame([("testbrand.com", 404, None), ("other.com", 500, None)], "registrable string, status int, body string")
+    ct = spark.createDataFrame([("testbrand.com", 200, '[{"not_before":"2024-01-01"}]')], "registrable string, status int, body string")
+    rows = {r.host: r for r in build_context(hosts_, Captures(rdap=rdap, ct=ct), TEST_RULES).select("host", "registration", "ct").collect()}
+    assert len(rows) == 302 and all(rows[f"h{i}.testbrand.com"].ct.cert_count == 1 and rows[f"h{i}.testbrand.com"].registration.error == "http_status=404" for i in range(300))
+    assert rows["a.other.com"].registration.error == "http_status=500" and rows["a.other.com"].ct is None and rows["b.none.com"].registration is None
+    keyed = hosts_.withColumn("registrable", F.lit("testbrand.com"))
+    joined = join_spread(keyed, ct.select("registrable", "status").hint("merge"), "registrable")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = joined.groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joined.count() == 302 and tasks >= min(3, SPREAD)
