@@ -14,6 +14,8 @@ smaller place.  Shorter lines always stay.
    word of it.  Each hash keeps its earliest line only (minima combine before
    the shuffle), so a group of similar lines never becomes pairs.
 4. The edit distance of a line to that earliest one is verified word by word.
+
+Joins sort and merge at every size, so that the work on small tables foretells large ones.
 """
 
 from __future__ import annotations
@@ -38,25 +40,40 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _ends(w: Column) -> Column:
-    """Hashes of the line's first and last words, as many as the largest power of two up to half its length.
+    """(key, side, width) of the line's first and last words, as many as the largest power of two up to half its length.
 
     Lines at a step of that number emit both sizes, so lines whose lengths differ by one meet.
     """
     n = F.size(w)
-    width = lambda k: F.pow(F.lit(2.0), F.floor(F.log2(k / 2))).cast("int")
-    each = F.array_distinct(F.array(width(n - 1), width(n), width(n + 1)))
-    keys = F.transform(each, lambda s: F.array(F.xxhash64(F.lit("begin"), s, F.slice(w, F.lit(1), s)), F.xxhash64(F.lit("end"), s, F.slice(w, n - s + 1, s))))
-    return F.flatten(keys)
+    size = lambda k: F.pow(F.lit(2.0), F.floor(F.log2(k / 2))).cast("int")
+    each = F.array_distinct(F.array(size(n - 1), size(n), size(n + 1)))
+
+    def both(s: Column) -> Column:
+        def end(side: str, from_: Column) -> Column:
+            return F.struct(F.xxhash64(F.lit(side), s, F.slice(w, from_, s)).alias("key"), F.lit(side).alias("side"), s.alias("width"))
+        return F.array(end("begin", F.lit(1)), end("end", n - s + 1))
+
+    return F.flatten(F.transform(each, both))
+
 
+def _variants(w: Column, begin: Column, end: Column, uneven: Column) -> Column:
+    """(key, role) of a line: its variants with one word left out, by place and without it; and the line itself.
 
-def _variants(w: Column) -> Column:
-    """(key, whole) of a line: for each word left out, by place and without it; and the line itself."""
+    A shared beginning of ``begin`` words puts the edit after it, a shared end
+    of ``end`` words before it, so only those places are left out.  Variants
+    without their place matter only to lines of unlike length (``uneven``).
+    """
     n = F.size(w)
-    left_out = F.transform(w, lambda _, i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)).alias("v")))
-    replaced = F.transform(left_out, lambda x: F.struct(F.xxhash64(F.lit("at"), n, x["i"], x["v"]).alias("key"), F.lit(0).alias("role")))
-    shorter = F.transform(F.array_distinct(F.transform(left_out, lambda x: x["v"])), lambda v: F.struct(F.xxhash64(F.lit("of"), v).alias("key"), F.lit(1).alias("role")))
-    whole = F.array(F.struct(F.xxhash64(F.lit("of"), F.xxhash64(w)).alias("key"), F.lit(2).alias("role")))
-    return F.concat(replaced, shorter, whole)
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(i >= begin, F.lit(False)) | F.coalesce(i < n - end, F.lit(False)))
+    left_out = F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)).alias("v")))
+
+    def roles(x: Column) -> Column:
+        replaced = F.transform(x, lambda y: F.struct(F.xxhash64(F.lit("at"), n, y["i"], y["v"]).alias("key"), F.lit(0).alias("role")))
+        shorter = F.transform(F.array_distinct(F.transform(x, lambda y: y["v"])), lambda v: F.struct(F.xxhash64(F.lit("of"), v).alias("key"), F.lit(1).alias("role")))
+        whole = F.array(F.struct(F.xxhash64(F.lit("of"), F.xxhash64(w)).alias("key"), F.lit(2).alias("role")))
+        return F.when(uneven, F.concat(replaced, shorter, whole)).otherwise(replaced)
+
+    return F.flatten(F.transform(F.array(left_out), roles))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -74,22 +91,23 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2) of the distinct lines that differ by one word from an earlier one."""
-    keys = distinct.select(F.explode("ends").alias("key"), "h1")
-    shared = scratch.write(keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("key"))
-    wanted = keys.join(shared, "key", "left_semi").select("h1").distinct()
-    places = distinct.join(wanted, "h1", "left_semi").select("first.id", "first.line_no")
-    by_doc = scratch.write(places.groupBy("id").agg(F.collect_list("line_no").alias("places")))
+    keys = distinct.select(F.explode("ends").alias("end"), "h1", "n").select("end.*", "h1", "n")
+    shared = scratch.write(keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), (F.min("n") < F.max("n")).alias("uneven")).filter("x <> y").select("key", "uneven"))
+    wanted = keys.join(shared.hint("merge"), "key").groupBy("h1").agg(
+        F.min(F.when(F.col("side") == "begin", F.col("width"))).alias("begin"), F.min(F.when(F.col("side") == "end", F.col("width"))).alias("end"), F.max("uneven").alias("uneven"))
+    places = scratch.write(distinct.join(wanted.hint("merge"), "h1").select("first.id", F.struct("first.line_no", "begin", "end", "uneven").alias("place")))
+    by_doc = places.groupBy("id").agg(F.collect_list("place").alias("places"))
     # the words of the candidates, from the documents that hold them
-    lines = scratch.write(docs.join(by_doc, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("places").alias("line_no")).select(
-        F.struct("id", "line_no").alias("at"), _words(F.get("lines", F.col("line_no"))).alias("w")).dropDuplicates(["at"]))
-    scratch.drop(shared, by_doc)
-    emitted = lines.select("at", F.explode(_variants(F.col("w"))).alias("v")).select("at", "v.key", "v.role")
+    lines = scratch.write(docs.join(by_doc.hint("merge"), "id").select("id", F.split("text", "\n").alias("lines"), F.explode("places").alias("p")).select(
+        F.struct("id", "p.line_no").alias("at"), _words(F.get("lines", F.col("p.line_no"))).alias("w"), "p.begin", "p.end", "p.uneven").dropDuplicates(["at"]))
+    scratch.drop(shared, places)
+    emitted = lines.select("at", F.explode(_variants(F.col("w"), F.col("begin"), F.col("end"), F.col("uneven"))).alias("v")).select("at", "v.key", "v.role")
     whole = F.col("role") == 2
     least = scratch.write(emitted.groupBy("key").agg(F.min(F.when(~whole, F.col("at"))).alias("other"), F.min(F.when(whole, F.col("at"))).alias("whole"), F.max("at").alias("last")).filter(
         F.least("other", "whole") < F.col("last")))
     # a replaced word: the earliest with the variant; a missing word: the line that lacks it, and the other way round
     partner = F.when(F.col("role") == 1, F.col("whole")).otherwise(F.col("other"))
-    pairs = emitted.join(least, "key").select("at", partner.alias("before")).filter("before < at").distinct()
+    pairs = emitted.join(least.hint("merge"), "key").select("at", partner.alias("before")).filter("before < at").distinct()
     verified = pairs.join(lines.select("at", "w"), "at").join(lines.select(F.col("at").alias("before"), F.col("w").alias("bw")), "before").filter(_one_edit(F.col("w"), F.col("bw")))
     found = scratch.write(verified.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")).distinct())
     scratch.drop(least, lines)
@@ -99,15 +117,15 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
 def drops(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, drops): the places of the lines to drop, for the documents that have any."""
     w = F.col("w")
-    seen = scratch.write(_lines(docs).select("id", "line_no", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), _ends(w).alias("ends")))
-    distinct = scratch.write(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.first("ends").alias("ends")))
+    seen = scratch.write(_lines(docs).select("id", "line_no", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), F.size(w).alias("n"), _ends(w).alias("ends")))
+    distinct = scratch.write(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.first("n").alias("n"), F.first("ends").alias("ends")))
     near = _near(docs, distinct, scratch)
     repeated = distinct.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
     # lines to judge: those that repeat, and those near an earlier one (these lose their first occurrence as well)
     judged = repeated.unionByName(near.withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType)))
     judged = scratch.write(judged.groupBy("h1", "h2").agg(F.max(F.col("first").isNull()).alias("near"), F.max("first.id").alias("first_id"), F.max("first.line_no").alias("first_no")))
     first = (F.col("id") == F.col("first_id")) & (F.col("line_no") == F.col("first_no"))
-    gone = seen.select("id", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter(F.col("near") | ~first)
+    gone = seen.select("id", "line_no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter(F.col("near") | ~first)
     found = scratch.write(gone.groupBy("id").agg(F.collect_set("line_no").alias("drops")))
     scratch.drop(seen, distinct, near, judged)
     return found
@@ -124,7 +142,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "lines")
     found = drops(docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
-    joined = docs.alias("d").join(found.alias("f"), F.col(f"d.{id_col}") == F.col("f.id"), "left")
+    joined = docs.alias("d").join(found.hint("merge").alias("f"), F.col(f"d.{id_col}") == F.col("f.id"), "left")
     lines = F.split(F.col(f"d.{text_col}"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("f.drops"))
     kept = F.element_at(F.transform(F.array(lines), lambda all: F.array_join(F.transform(left, lambda i: F.get(all, i)), "\n")), 1)
