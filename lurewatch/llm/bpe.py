@@ -35,6 +35,8 @@ BUCKETS, SPREAD, MIX = 1 << 17, 40503, 48271
 PLACES = 1 << 31
 #: Pieces up to so many bytes merge one pair a step; longer ones merge every occurrence of the lowest pair.
 SHORT = 128
+#: Pieces of a group of documents: more share more distinct pieces, and take more memory.
+GROUP_PIECES = 6_000_000
 KEPT = "_kept"
 
 
@@ -84,8 +86,7 @@ def _rank_table(path: str) -> Column:
     alone = {x for (a, b), rank in pairs.items() for x in (a, b) if rank < x}
     buckets: list[list] = [[] for _ in range(BUCKETS)]
     for (a, b), rank in pairs.items():
-        key = (a << 32) + b
-        buckets[((a * SPREAD + b) * MIX >> 5) % BUCKETS].append({"k": key, "v": 2 * rank + (rank in alone)})
+        buckets[((a * SPREAD + b) * MIX >> 5) % BUCKETS].append({"k": (a << 32) + b, "v": 2 * rank + (rank in alone)})
     entries = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<k:bigint,v:bigint>>>")
     return F.transform(entries, F.map_from_entries)
 
@@ -96,8 +97,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _lookup(table: Column, left: Column, right: Column) -> Column:
-    bucket = F.pmod(F.shiftright((left * F.lit(SPREAD) + right) * F.lit(MIX), 5), F.lit(BUCKETS)).cast("int")
-    return F.try_element_at(F.get(table, bucket), left * F.lit(1 << 32) + right)
+    bucket = F.get(table, F.pmod(F.shiftright((left * F.lit(SPREAD) + right) * F.lit(MIX), 5), F.lit(BUCKETS)).cast("int"))
+    return F.try_element_at(bucket, left * F.lit(1 << 32) + right)
 
 
 def _merge_one(table: Column, ids: Column) -> Column:
@@ -140,19 +141,33 @@ def fold(table: Column, ids: Column) -> Column:
     return F.when(F.size(ids) <= SHORT, short).otherwise(long)
 
 
+def _pieces(path: str) -> list[bytes]:
+    """Token bytes by id."""
+    return [token for token, _ in sorted(vocabulary(path).items(), key=lambda x: x[1])]
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def _concatenate(piece: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(piece.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, and ``ids``: binary, unsigned 32-bit little-endian.
 
+    With ``decoded``, the ids are decoded again in the same task (see ``decode``).
+
     Null and empty texts have no ids (empty binary).  Repeated rows are encoded
     each; columns of any other name and type are kept, except that a column
     named ``ids`` gives way to the result.  An empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "ids")]
+    pieces.small_batches(docs.sparkSession)
+    results = ["ids", "decoded"] if decoded else ["ids"]
+    kept = [c for c in docs.columns if c not in (text_col, *results)]
+    shared = docs.sparkSession.sparkContext.broadcast(_pieces(vocabulary_path)) if decoded else None
     words = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias(KEPT), pieces.split(F.col(text_col), pattern).alias("_words"))
     ranks, whole = vocabulary(vocabulary_path), whole_pieces(vocabulary_path)
     byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
@@ -163,7 +178,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     shape = _arrow(group)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces.groups(batches, "_words"):
+        for table in pieces.groups(batches, "_words", GROUP_PIECES):
             words, index, counts = pieces.distinct(table.column("_words"))
             raw = words.cast(pa.binary()).cast(pa.large_binary())
             offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
@@ -187,35 +202,37 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
                 index = np.frombuffer(one.column(2)[0].as_buffer(), dtype=np.int32)
                 counts = np.frombuffer(one.column(3)[0].as_buffer(), dtype=np.int64)
                 at, held, size = 0, [], 0
+
+                def out():
+                    columns = [held, [_concatenate(shared.value, np.frombuffer(x, "<u4")) for x in held]] if decoded else [held]
+                    return pa.RecordBatch.from_arrays([keys.slice(at, len(held)), *(pa.array(c, pa.binary()) for c in columns)], names=[KEPT, *results])
+
                 for ids in pieces.gather(index, counts, values, offsets[:-1] - offsets[0], sizes):
                     held.append(ids.tobytes())
                     size += len(held[-1])
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([keys.slice(at, len(held)), pa.array(held, pa.binary())], names=[KEPT, "ids"])
+                    if size > 1 << 23:
+                        yield out()
                         at, held, size = at + len(held), [], 0
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(held)), pa.array(held, pa.binary())], names=[KEPT, "ids"])
+                yield out()
 
     table = _rank_table(vocabulary_path)
     grouped = words.mapInArrow(collect, group)
     # one look-up table for all pieces of a group
     folded = _let(table, lambda t: F.transform(F.col("words"), lambda w: fold(t, w)))
     encoded = grouped.select("docs", folded.alias("ids"), "index", "counts").mapInArrow(
-        assemble, T.StructType([T.StructField(KEPT, words.schema[KEPT].dataType), T.StructField("ids", T.BinaryType())]))
-    return encoded.select(*[F.col(KEPT)[c].alias(c) for c in kept], "ids")
+        assemble, T.StructType([T.StructField(KEPT, words.schema[KEPT].dataType), *(T.StructField(c, T.BinaryType()) for c in results)]))
+    return encoded.select(*[F.col(KEPT)[c].alias(c) for c in kept], *results)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """Adds ``decoded``: the binary pieces of ``ids``, concatenated.  Null ids decode to nothing; an unknown id raises."""
-    names = vocabulary(vocabulary_path)
     plain = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*encoded.select(*plain).schema.fields, T.StructField("decoded", T.BinaryType())])
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast([piece for piece, _ in sorted(names.items(), key=lambda x: x[1])])  # the vocabulary file: a fixed size
+    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(vocabulary_path))  # the vocabulary file: a fixed size
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            piece = shared.value
-            out = [b"".join(map(piece.__getitem__, np.frombuffer(ids.as_buffer(), dtype="<u4").tolist())) if ids.is_valid and ids.as_buffer().size else b"" for ids in batch.column("ids")]
+            out = [_concatenate(shared.value, np.frombuffer(ids.as_buffer(), dtype="<u4")) if ids.is_valid and ids.as_buffer().size else b"" for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.select(*plain).mapInArrow(join, schema)
@@ -226,6 +243,6 @@ def op4_bpe(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame
     import public_tokenizers
     path = vocabulary_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    both = encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

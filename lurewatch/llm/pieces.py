@@ -3,7 +3,7 @@
 Tokenizers work on one piece (a match of the splitting pattern) at a time, so
 the costly work is done on the distinct pieces of a group of documents, and
 ids of whole documents are gathered from them.  Groups are made inside a
-partition: nothing is shuffled, and a group is bounded by ``GROUP_PIECES``.
+partition: nothing is shuffled, and a group has a bounded number of pieces.
 """
 
 from __future__ import annotations
@@ -12,28 +12,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces after which a group of documents is closed (one longer document is a group of its own).
-GROUP_PIECES = 3_000_000
-
 
 def split(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` in order (Unicode classes); null counts as empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables of whole documents with about ``GROUP_PIECES`` pieces."""
+#: Documents of a batch between Spark and Python: lists of pieces are large.
+BATCH_DOCS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Session setting of the operators on pieces: at most ``BATCH_DOCS`` rows in a batch between Spark and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+
+
+def groups(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
+    """Tables of whole documents with up to ``most`` pieces (one longer document is a group of its own)."""
     held, count = [], 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            count += len(batch.column(column).flatten())
-        if count >= GROUP_PIECES:
-            yield pa.Table.from_batches(held)
-            held, count = [], 0
+        ends = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = int(np.searchsorted(ends, before + most - count, side="right"))
+            if upto <= at and held:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+                continue
+            upto = max(upto, at + 1)
+            held.append(batch.slice(at, upto - at))
+            count += int(ends[upto - 1] - before)
+            at = upto
     if held:
         yield pa.Table.from_batches(held)
 
@@ -44,8 +57,8 @@ def distinct(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     coded = lists.flatten().dictionary_encode()
-    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), counts
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # the offsets of a slice span the slice
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), counts
 
 
 def gather(index: np.ndarray, counts: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
