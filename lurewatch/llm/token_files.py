@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lurewatch.llm import pieces
+from lurewatch.llm.sampling import bounded_sample
 from lurewatch.llm.scratch import Scratch, folder
 
 MAGIC, HEAD = b"ZTOK0001", struct.Struct("<8s32sQ")
 #: Documents of a shard at most, ranges of ids at most, documents that train the dictionary, their bytes at most each, and the dictionary's size.
 SHARD_DOCS, RANGES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 5000, 10_000, 1000, 1 << 14, 1 << 16, 3
+#: Pieces of a group of documents, and distinct pieces that a task remembers at most.
+GROUP_PIECES, KNOWN_PIECES = 1_000_000, 500_000
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 
 
@@ -92,30 +96,37 @@ def _tokenizer(path: str):
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ids with the end id); every distinct piece of a group of documents is encoded once."""
-    tokenizer = _tokenizer(tokenizer_path)
-    for table in pieces.groups(batches, "words"):
+    """(doc_id, ids with the end id); every distinct piece is encoded once, as long as the task remembers it."""
+    import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+    tokenizer, known = _tokenizer(tokenizer_path), {}
+    for table in pieces.groups(batches, "words", GROUP_PIECES):
         words, index, counts = pieces.distinct(table.column("words"))
-        held: list[list[int]] = []
-        for at in range(0, len(words), 20_000):
-            held += [e.ids for e in tokenizer.encode_batch(words.slice(at, 20_000).to_pylist(), add_special_tokens=False)]
-        sizes = np.array([len(x) for x in held], dtype=np.int64)
-        values = np.fromiter((i for x in held for i in x), dtype="<u4", count=int(sizes.sum()))
+        words = words.to_pylist()
+        if len(known) + len(words) > KNOWN_PIECES:
+            known = {}
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            known.update(zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False))))
+        held = [known[w] for w in words]
+        sizes = np.array([len(x) for x in held], dtype=np.int64) // 4
+        values = np.frombuffer(b"".join(held), dtype=np.uint32)
         starts = np.cumsum(sizes) - sizes
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype=np.uint32)
         for doc_id, ids in zip(table.column("doc_id").to_pylist(), pieces.gather(index, counts, values, starts, sizes)):
-            yield doc_id, np.concatenate([ids, end])
+            yield doc_id, np.concatenate([ids, end]).astype("<u4", copy=False)
 
 
 def train(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0) -> bytes:
-    """Dictionary from the ids of at most ``SAMPLE_DOCS`` documents (smallest hash of the id); empty if too few to train."""
+    """Dictionary from the ids of at most ``SAMPLE_DOCS`` documents (by hash of the id); empty if too few to train."""
     import zstandard
 
     def first_bytes(batches):
         for _, ids in _encode(batches, tokenizer_path, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()[:SAMPLE_BYTES]])], names=["ids"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", pieces.split(F.col("text"), pattern).alias("words"))
+    chosen = bounded_sample(docs, "doc_id", SAMPLE_DOCS).select("doc_id", pieces.split(F.col("text"), pattern).alias("words"))
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(first_bytes, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -132,6 +143,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id:
     ``SHARD_DOCS`` documents, so the files in order of shard are in order of id.
     An empty table gives an empty manifest and a dictionary file only.
     """
+    pieces.small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "tokens")
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train(rows, tokenizer_path, pattern, end_id)
