@@ -7,8 +7,8 @@ the pairs of features that explain most of what is left get tables of their
 own in the same way.  A score is the sum of one table entry for each feature
 and pair: vectorised additions.
 
-The model is fitted on at most ``SAMPLE`` labelled rows (those of the smallest
-hash of the id), a fixed bound; features and scores cover every whole text.
+The model is fitted on at most ``SAMPLE`` labelled rows (chosen by a hash
+of the id), a fixed bound; features and scores cover every whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.llm.sampling import bounded_sample
 from lurewatch.llm.scratch import Scratch
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, LEAVES, RIDGE = 20_000, 32, 60, 6, 40, 0.15, 4, 1.0
@@ -181,7 +182,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     measured = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, kinds))
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("_quality"))
-    taught = measured.filter(~held_out).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    known = scratch.write(measured.filter(~held_out).join(known, "doc_id"))
+    taught = bounded_sample(known, "doc_id", sample).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")[:sample]
     model = fit(taught[FEATURES].to_numpy(dtype=np.float64), taught["_quality"].to_numpy(dtype=np.float64))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
