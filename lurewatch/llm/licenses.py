@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurewatch.llm.sampling import bounded_sample
+
 #: Least probability of a family, least share of a notice's word pairs for confirmation, and the share of corpus
 #: paragraphs from which on a word is too common to mark notices (counted on a bounded sample of documents).
 CERTAIN, CONFIRM, COMMON, SAMPLE_DOCS = 0.5, 0.6, 0.01, 500
@@ -132,7 +134,7 @@ def _notice_words() -> list[str]:
 
 def marking_words(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[str]:
     """Words of the notices that are rare in the corpus: in fewer than ``COMMON`` of the paragraphs of a bounded sample."""
-    lines = docs.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = bounded_sample(docs.filter(F.col("text").isNotNull()), "doc_id", sample).select(F.explode(F.split("text", "\n")).alias("line"))
     found = lines.select(F.array_intersect(words(F.col("line")), _json(_notice_words(), "array<string>")).alias("w")).cache()
     total = found.count()
     common = {r["w"] for r in found.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= max(2.0, COMMON * total)).collect()}  # at most the words of the notices
