@@ -5,6 +5,8 @@ returns the documents it leaves, in the columns it got; the last one returns
 the encoded documents.  ``run`` writes each stage's result to the shared folder
 and reads it back for the next one.
 
+Joins with the documents sort and merge at every size.
+
 Columns other than doc_id, text, source and n_chars pass through untouched.
 Stages keep the rows of an empty table at none, and treat null texts as empty
 (the first stage rejects them).
@@ -48,7 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # only documents to drop, and ids that occur more than once
     odd = found.filter((F.col("class_id") != F.col("doc_id")) | (F.col("n") > 1)).withColumnRenamed("doc_id", "_id")
     odd = Scratch(spark, "near-stage").write(odd)
-    joined = _packed(docs, "doc_id").join(odd, F.col("doc_id") == F.col("_id"), "left")
+    joined = _packed(docs, "doc_id").join(odd.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     kept = joined.filter(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
     once = kept.filter(F.col("n").isNull()).select("_row")
     repeated = kept.filter(F.col("n").isNotNull()).dropDuplicates(["doc_id"]).select("_row")
@@ -61,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs.select("doc_id", "text", "source", key.alias("_key_of")), extra=("_key_of",))
     copies = Scratch(spark, "mix-stage").write(taken.groupBy(F.col("doc_id").alias("_id"), "_key_of").agg(F.max("copies").alias("_copies")).filter("_copies > 0"))
     rows = _packed(docs, "doc_id", "text").withColumn("_key", key)
-    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_id"]) & (rows["_key"] == copies["_key_of"]))
+    joined = rows.join(copies.hint("merge"), rows["doc_id"].eqNullSafe(copies["_id"]) & (rows["_key"] == copies["_key_of"]))
     return _unpacked(joined.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))), docs)
 
 
