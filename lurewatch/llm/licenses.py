@@ -7,8 +7,9 @@ chosen on held-out variants calibrates its probabilities; a paragraph that
 looks like a licence but fits no family well enough is "unknown".  A predicted
 family counts only if enough of one of its notices stands in the paragraph.
 
-Scoring is a projection: no shuffle.  Only paragraphs with a word that marks
-notices are scored; all others have no feature and thus the score of "none".
+Scoring is a projection: no shuffle.  Paragraphs made of neutral words alone
+are not scored: the weights themselves bound every sum that such words can
+reach, and no family's sum exceeds that of "none".  The corpus has no say in it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.sampling import bounded_sample
-
-#: Least probability of a family, least share of a notice's word pairs for confirmation, and the share of corpus
-#: paragraphs from which on a word is too common to mark notices (counted on a bounded sample of documents).
-CERTAIN, CONFIRM, COMMON, SAMPLE_DOCS = 0.5, 0.6, 0.01, 500
+#: Least probability of a family, and least share of a notice's word pairs for confirmation.
+CERTAIN, CONFIRM = 0.5, 0.6
 BUCKETS = 1024
+#: Words tried first as neutral ones, since most paragraphs have them (fixed values; they decide the cost, never the result).
+PLAIN = "the of and in to a is that it for was an with by this are at he or she be as on not you from can any may which only its were all".split()
 #: Notices by family (fixed values).
 NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -132,14 +132,26 @@ def _notice_words() -> list[str]:
     return sorted({w for texts in NOTICES.values() for t in texts for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 1})
 
 
-def marking_words(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[str]:
-    """Words of the notices that are rare in the corpus: in fewer than ``COMMON`` of the paragraphs of a bounded sample."""
-    lines = bounded_sample(docs.filter(F.col("text").isNotNull()), "doc_id", sample).select(F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select(F.array_intersect(words(F.col("line")), _json(_notice_words(), "array<string>")).alias("w")).cache()
-    total = found.count()
-    common = {r["w"] for r in found.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= max(2.0, COMMON * total)).collect()}  # at most the words of the notices
-    found.unpersist()
-    return [w for w in _notice_words() if w not in common]
+def marking_words(model: dict) -> list[str]:
+    """Words of the model outside a set of neutral ones.
+
+    A set is neutral if, for each family, the intercept and all positive
+    weights of the n-grams made of its words sum up to less than what "none"
+    gets: any line of such words (and unknown ones) is "none".
+    """
+    lead = [x - model["intercepts"][0] for x in model["intercepts"][1:]]
+    gains = {g: [max(0.0, x - row[0]) for x in row[1:]] for g, row in model["weights"].items()}
+    having: dict[str, list[str]] = {}
+    for g in gains:
+        for w in set(g.split(" ")):
+            having.setdefault(w, []).append(g)
+    neutral: set[str] = set()
+    for word in [*(w for w in PLAIN if w in having), *sorted(having.keys() - set(PLAIN), key=lambda w: (max(gains.get(w, [0.0])), w))]:
+        wider = neutral | {word}
+        more = [sum(x) for x in zip(lead, *(gains[g] for g in having[word] if wider.issuperset(g.split(" "))))]
+        if max(more) < -1e-6:
+            neutral, lead = wider, more
+    return sorted(having.keys() - neutral)
 
 
 def scan(docs: DataFrame, model: dict | None = None, marks: list[str] | None = None) -> DataFrame:
@@ -153,7 +165,7 @@ def scan(docs: DataFrame, model: dict | None = None, marks: list[str] | None = N
     """
     spark = docs.sparkSession
     model = model or fit(spark)
-    marks = marks if marks is not None else marking_words(docs)
+    marks = marks if marks is not None else marking_words(model)
     results = ["n_paragraphs", "paragraphs", "licences"]
     kept = [c for c in docs.columns if c not in ("text", *results)]
     marking = _json(marks, "array<string>")

@@ -351,6 +351,25 @@ def test_licence_classifier_on_held_out_variants(spark, licence_model):
     assert right[1] > 50 and right[0] > 0.9
 
 
+def test_licence_of_a_common_notice(spark, licence_model):
+    """A notice in a third of the lines, and a small table with one notice twice: no word is too common to be looked at."""
+    texts = [f"Some prose of day {i}.\nLicensed under the MIT License.\nMore prose of day {i}." for i in range(40)]
+    assert {r.licences for r in licenses.scan(table(spark, texts), licence_model).collect()} == {"mit"}
+    few = ["Released under the BSD License.", "prose", "Released under the BSD License."]
+    assert [r.licences for r in licenses.scan(table(spark, few), licence_model).orderBy("doc_id").collect()] == ["bsd", None, "bsd"]
+
+
+def test_licence_lines_left_out_are_none(spark, docs, licence_model):
+    """The default marks give what scoring every line with any word of the model gives."""
+    every = sorted({w for g in licence_model["weights"] for w in g.split(" ")})
+    marks = licenses.marking_words(licence_model)
+    assert len(marks) < len(every)
+    lines = [*licenses.OTHERS, *(t for ts in licenses.NOTICES.values() for t in ts), " ".join(set(every) - set(marks)), "the of and in to a is this that by for"]
+    both = docs.select("doc_id", "text").unionByName(table(spark, lines, start=10**6))
+    seen = [Counter(map(str, licenses.scan(both, licence_model, m).collect())) for m in (None, every)]
+    assert seen[0] == seen[1]
+
+
 # --- tables and registry ----------------------------------------------------
 
 def test_scratch_tables(spark):
