@@ -2,12 +2,14 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each
 distinct value found is a protected entity.  Corpus counts then tell how
-strongly a term near an entity reveals it: with N documents, the entity's
-information is ``log2(N / df(e))`` and a term's share of it is the pointwise
-mutual information ``log2(N * df(t, e) / (df(t) * df(e)))``.  A term that
-discloses at least ``DISCLOSURE`` of the information, seen with the entity in
-``SUPPORT`` documents or more, is sanitised where it stands near that entity.
-Terms in other documents stay: they reveal nothing there.
+strongly a term of an entity's documents reveals it: with N documents, the
+entity's information is ``log2(N / df(e))`` and what a term tells of it is the
+pointwise mutual information ``log2(N * p(e | t) / df(e))``, with the estimate
+``p(e | t) = (df(t, e) + df(e) / N) / (df(t) + 1)``: one document's worth of
+chance, so that a term of a value seen once is judged by how rare it is.  A
+term that discloses at least ``DISCLOSURE`` of the information is sanitised
+wherever it stands in a document with that entity.  Terms in other documents
+are counted but stay: they reveal nothing there.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.scratch import Scratch
 
-#: Words on either side of an entity that count as near, least share of its information, least documents with both.
-WINDOW, DISCLOSURE, SUPPORT = 8, 0.8, 3
+#: Least share of an entity's information, and share of the documents from which on a term's count is broadcast (its rows would fill a task).
+DISCLOSURE, FREQUENT = 0.8, 0.001
 KINDS = ["email", "ip", "card", "phone", "term"]
 TERM = re.compile(r"[^\W\d_]{2,}")
 #: Patterns of the base kinds (fixed values); e-mail and IP addresses are matched from their anchors, see below.
@@ -90,23 +92,16 @@ def _value(kind: int, text: str) -> str:
     return f"{KINDS[kind]}:{text.lower() if kind == 0 else text if kind == 1 else _digits(text)}"
 
 
-def _near(text: str, spans: list) -> list[list[tuple[int, int, str]]]:
-    """For each span, the terms within the window: (start, end, term).  Terms inside any span don't count."""
-    marks = [(m.start(), m.end()) for m in TERM.finditer(text)]
-    taken, marks_free, i = sorted((s, e) for s, _, e in spans), [], 0
-    reach = 0
-    for s, e in marks:
+def _terms(text: str, spans: list) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms outside all spans."""
+    out, taken, i, reach = [], sorted((s, e) for s, _, e in spans), 0, 0
+    for m in TERM.finditer(text):
+        s, e = m.span()
         while i < len(taken) and taken[i][0] < e:
             reach = max(reach, taken[i][1])
             i += 1
         if s >= reach:
-            marks_free.append((s, e))
-    starts = [s for s, _ in marks_free]
-    from bisect import bisect_left
-    out = []
-    for start, _, end in spans:
-        left, right = bisect_left(starts, start), bisect_left(starts, end)
-        out.append([(s, e, text[s:e].lower()) for s, e in (*marks_free[max(0, left - WINDOW) : left], *marks_free[right : right + WINDOW])])
+            out.append((s, e, m.group().lower()))
     return out
 
 
@@ -125,20 +120,20 @@ def _redact(text: str, spans: list) -> str:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans of each text; the entities with their near terms."""
+    """Base spans of each text; its entities and, if it has any, its terms."""
     for batch in batches:
-        spans, contexts = [], []
+        spans, entities, terms = [], [], []
         for text in batch.column("text").to_pylist():
             found = base_spans(text or "")
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            near = _near(text, found) if found else []
-            contexts.append([{"entity": _value(k, text[s:e]), "terms": sorted({t for _, _, t in terms})} for (s, k, e), terms in zip(found, near)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, _SPANS), pa.array(contexts, _CONTEXTS)], names=["doc_id", "text", "found", "near"])
+            entities.append(sorted({_value(k, text[s:e]) for s, k, e in found}))
+            terms.append(sorted({t for _, _, t in _terms(text, found)}) if found else [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, _SPANS), pa.array(entities, _NAMES), pa.array(terms, _NAMES)], names=["doc_id", "text", "found", "entities", "terms"])
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
-_CONTEXTS = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
-_SPANS_SQL, _CONTEXTS_SQL = "array<struct<start:bigint,kind:bigint,end:bigint>>", "array<struct<entity:string,terms:array<string>>>"
+_NAMES = pa.list_(pa.string())
+_SPANS_SQL = "array<struct<start:bigint,kind:bigint,end:bigint>>"
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +145,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held.update(set(TERM.findall(text.lower())) if text else ())
+            held.update({t.lower() for t in set(TERM.findall(text))} if text else ())
             if len(held) > 500_000:
                 yield out()
                 held.clear()
@@ -159,19 +154,22 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term) pairs whose term gives the entity away.  ``rows`` has ``row`` and ``near``."""
-    near = scratch.write(rows.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", F.explode("x.terms").alias("term")).distinct())
-    joint = scratch.write(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT))
-    entities = rows.filter(F.size("near") > 0).select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    terms = docs.select("text").mapInArrow(_vocabulary, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
+    """(row, told): the terms of a document that give one of its entities away.  ``rows`` has ``row``, ``entities`` and ``terms``, both distinct."""
+    near = rows.select("row", F.explode("entities").alias("entity"), "terms").select("row", "entity", F.explode("terms").alias("term"))
+    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    terms = scratch.write(docs.select("text").mapInArrow(_vocabulary, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term")))
     total = docs.count()
-    known = joint.join(entities, "entity").join(terms, "term")
     n = F.lit(float(total))
     information = F.log2(n / F.col("of_entity"))
-    shared = F.log2(n * F.col("both") / (F.col("of_term") * F.col("of_entity")))
-    told = scratch.write(known.filter((information > 0) & (shared >= F.lit(DISCLOSURE) * information)).select("entity", "term"))
-    # of each document, the pairs that apply
-    return scratch.write(near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_list(F.struct("entity", "term")).alias("told")))
+    shared = F.log2(n * (F.col("both") + F.col("of_entity") / n) / ((F.col("of_term") + 1) * F.col("of_entity")))
+    reveals = (information > 0) & (shared >= F.lit(DISCLOSURE) * information)
+    frequent = terms.filter(F.col("of_term") > FREQUENT * total)  # at most 1 / FREQUENT times the terms of a mean document
+    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).join(entities, "entity").join(F.broadcast(frequent), "term", "left")
+    joint = scratch.write(joint.filter(F.col("of_term").isNull() | reveals))
+    rare = joint.filter(F.col("of_term").isNull()).drop("of_term").join(terms, "term").filter(reveals)
+    told = scratch.write(joint.filter(F.col("of_term").isNotNull()).select("entity", "term").unionByName(rare.select("entity", "term")))
+    # of each document, the terms that apply
+    return scratch.write(near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("told")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -185,9 +183,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "pii")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(_find, f"doc_id long, text string, found {_SPANS_SQL}, near {_CONTEXTS_SQL}").withColumn("row", F.monotonically_increasing_id())
+    found = docs.mapInArrow(_find, f"doc_id long, text string, found {_SPANS_SQL}, entities array<string>, terms array<string>").withColumn("row", F.monotonically_increasing_id())
     # documents without an entity are done: only their ids are kept; numbers of rows are fixed by writing them
-    table = scratch.write(found.select("doc_id", F.when(F.size("found") > 0, F.col("text")).alias("text"), "found", "near", "row"))
+    table = scratch.write(found.select("doc_id", F.when(F.size("found") > 0, F.col("text")).alias("text"), "found", "entities", "terms", "row"))
     told = disclosing(table, docs, scratch)
     marked = table.select("doc_id", "text", "found", "row").join(told, "row", "left").drop("row")
 
@@ -196,9 +194,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, found, told in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found", "told"))):
                 base = [(x["start"], x["kind"], x["end"]) for x in found]
-                pairs = {(x["entity"], x["term"]) for x in told or ()}
-                extra = {(s, 4, e) for (a, k, b), near in zip(base, _near(text, base)) for s, e, t in near if (_value(k, text[a:b]), t) in pairs} if pairs else set()
-                spans = [*base, *extra]
+                reveal = set(told or ())
+                spans = [*base, *((s, 4, e) for s, e, t in _terms(text, base) if t in reveal)] if reveal else base
                 counts = Counter(k for _, k, _ in spans)
                 rows.append((doc_id, *(counts[k] for k in range(5)), _show(base), _show(spans), _redact(text, spans) if spans else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, [pa.int64()] * 6 + [pa.string()] * 3)], names=names)

@@ -326,6 +326,21 @@ def test_disclosing_terms(spark, odd):
     assert pii.sanitise(empty(spark)).count() == 0
 
 
+def test_terms_of_a_value_in_one_document(spark):
+    """A value of one document and one of two: rare terms anywhere in them go, common terms and other documents stay."""
+    rnd = random.Random(6)
+    common = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    say = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    texts = [f"Zebulon {say(40)} jane.roe@mail.example.com {say(40)} falconry {say(10)}", f"{say(30)} quillmaker {say(30)} +44 20 7946 0991 {say(5)}", f"{say(5)} +44 20 7946 0991 {say(40)} quillmaker"]
+    texts += [f"{say(60)} lonely{chr(97 + i)} {say(5)}" for i in range(26)] + [say(60) for _ in range(300)]
+    rows = {r.doc_id: r for r in pii.sanitise(table(spark, texts)).collect()}
+    for i, names in ((0, ("Zebulon", "falconry")), (1, ("quillmaker",)), (2, ("quillmaker",))):
+        want = {f"term:{texts[i].index(x)}:{texts[i].index(x) + len(x)}" for x in names}
+        assert {x for x in rows[i].spans.split(",") if x.startswith("term")} == want and rows[i].n_term == len(names)
+        assert not any(x in rows[i].redacted for x in names)
+    assert all(rows[i].spans == "" and rows[i].redacted is None for i in range(3, len(texts)))
+
+
 # --- licences ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
