@@ -7,6 +7,9 @@ and reads it back for the next one.
 
 Joins with the documents sort and merge at every size.
 
+A document is an id and a text: rows that share an id but not the text are
+documents each.
+
 Columns other than doc_id, text, source and n_chars pass through untouched.
 Stages keep the rows of an empty table at none, and treat null texts as empty
 (the first stage rejects them).
@@ -38,23 +41,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that consists of them alone goes.  n_chars follows the text."""
-    cut = line_dedup.dedup_lines(_packed(docs, "doc_id", "text"))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text")))
+    cut = line_dedup.dedup_lines(_packed(docs, "doc_id", "text").withColumn("doc_id", key))
     left = cut.filter((F.col("n_dropped") == 0) | F.col("text").rlike(quality_rules.NOT_SPACE))
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None
     return _unpacked(left, docs, text=F.col("text"), n_chars=n_chars)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one of least id.  Rows that share an id leave one; rows without an id stay."""
-    found = near_dup.classes(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    # only documents to drop, and ids that occur more than once
-    odd = found.filter((F.col("class_id") != F.col("doc_id")) | (F.col("n") > 1)).withColumnRenamed("doc_id", "_id")
-    odd = Scratch(spark, "near-stage").write(odd)
-    joined = _packed(docs, "doc_id").join(odd.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    kept = joined.filter(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
-    once = kept.filter(F.col("n").isNull()).select("_row")
-    repeated = kept.filter(F.col("n").isNotNull()).dropDuplicates(["doc_id"]).select("_row")
-    return _unpacked(once.unionByName(repeated), docs)
+    """One document of each class of near copies, the one of least id (and of those that share it, of least hash of the text).
+
+    Repeated rows leave the one whose JSON is least; rows without an id stay.
+    """
+    scratch = Scratch(spark, "near-stage")
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(key.alias("_key"), "doc_id", "text").filter(F.col("_key").isNotNull())
+    found = near_dup.classes(keyed, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    named = found.join(ids.hint("merge"), "_key")
+    least = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "_key", "_n")).alias("x"))
+    kept = scratch.write(least.select(F.col("x._key").alias("_kept"), "x._n"))
+    joined = _packed(docs, "doc_id", "text").withColumn("_key", key).join(kept.hint("merge"), F.col("_key") == F.col("_kept"))
+    once = joined.filter(F.col("_n") == 1).select("_row")
+    repeated = joined.filter(F.col("_n") > 1).groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    nameless = _packed(docs.filter(F.col("doc_id").isNull())).select("_row")
+    return _unpacked(once.unionByName(repeated).unionByName(nameless), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

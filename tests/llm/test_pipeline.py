@@ -73,3 +73,16 @@ def test_near_stage_leaves_one_of_each_group(spark):
     rows = [(1, good, "en", "a", 1), (2, good + " x", "en", "a", 1), (2, good + " x", "en", "a", 1), (3, "something else entirely", "en", "a", 1), (3, "something else entirely", "en", "a", 1), (None, good, "en", "a", 1)]
     out = corpus_pipeline.near(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 1), (False, 3), (True, 0)]
+
+
+def test_texts_that_share_an_id_are_documents_each(spark):
+    """A repeated id with differing texts: copies and repeated lines of one text cost the others nothing."""
+    words = lambda k, n=100: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, words("a"), "en", "a", 1), (2, words("a") + " x", "en", "a", 1), (2, words("b"), "en", "a", 1), (2, words("c"), "en", "a", 1), (2, words("c"), "en", "b", 1), (3, words("b") + " y", "en", "a", 1)]
+    for n in (1, 4):
+        out = corpus_pipeline.near(spark, spark.createDataFrame(rows, COLUMNS).repartition(n), "").collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in out) == [(1, words("a"), "a"), (2, words("b"), "a"), (2, words("c"), "a")]
+    line = "one line of seven words stands twice"
+    rows = [(1, f"{line}\n{words('d', 9)}", "en", "a", 1), (2, f"{line}\n{words('e', 9)}", "en", "a", 1), (2, f"{words('f', 9)}\n{words('g', 9)}", "en", "a", 1), (None, line, "en", "a", 1)]
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, line), (1, rows[0][1]), (2, words("e", 9)), (2, rows[2][1])]
