@@ -90,13 +90,23 @@ class Reader:
 
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+def _rows(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
+    """doc_id, words, and ``whole``: the text if it has an added token of the tokenizer, whose string the pattern would cut."""
+    added = [t.content for t in _tokenizer(tokenizer_path).get_added_tokens_decoder().values()]
+    having = F.lit(False)
+    for content in added:
+        having = having | F.contains("text", F.lit(content))
+    return docs.select("doc_id", pieces.split(F.col("text"), pattern).alias("words"), F.when(having, F.col("text")).alias("whole"))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ids with the end id); every distinct piece is encoded once, as long as the task remembers it."""
+    """(doc_id, ids with the end id); every distinct piece is encoded once, as long as the task remembers it.
+
+    Texts with added tokens are encoded whole: the library takes those out before it splits.
+    """
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
     tokenizer, known = _tokenizer(tokenizer_path), {}
@@ -114,7 +124,9 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int)
         values = np.frombuffer(b"".join(held), dtype=np.uint32)
         starts = np.cumsum(sizes) - sizes
         end = np.array([end_id], dtype=np.uint32)
-        for doc_id, ids in zip(table.column("doc_id").to_pylist(), pieces.gather(index, counts, values, starts, sizes)):
+        for doc_id, whole, ids in zip(table.column("doc_id").to_pylist(), table.column("whole").to_pylist(), pieces.gather(index, counts, values, starts, sizes)):
+            if whole is not None:
+                ids = np.array(tokenizer.encode(whole, add_special_tokens=False).ids, dtype=np.uint32)
             yield doc_id, np.concatenate([ids, end]).astype("<u4", copy=False)
 
 
@@ -126,7 +138,7 @@ def train(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0) -
         for _, ids in _encode(batches, tokenizer_path, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()[:SAMPLE_BYTES]])], names=["ids"])
 
-    chosen = bounded_sample(docs, "doc_id", SAMPLE_DOCS).select("doc_id", pieces.split(F.col("text"), pattern).alias("words"))
+    chosen = _rows(bounded_sample(docs, "doc_id", SAMPLE_DOCS), tokenizer_path, pattern)
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(first_bytes, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -189,7 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id:
         if held:
             yield close()
 
-    frames = rows.select("doc_id", pieces.split(F.col("text"), pattern).alias("words")).mapInArrow(compress, "range int, doc_id long, n long, frame binary")
+    frames = _rows(rows, tokenizer_path, pattern).mapInArrow(compress, "range int, doc_id long, n long, frame binary")
     return scratch.write(frames.repartition(ranges, "range").sortWithinPartitions("range", "doc_id").mapInArrow(store, MANIFEST))
 
 

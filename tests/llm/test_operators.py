@@ -279,6 +279,18 @@ def test_token_files(spark, odd, monkeypatch):
     assert none.count() == 0 and token_files.read(none, root + "-none").count() == 0
 
 
+def test_token_files_match_the_unaltered_library(spark):
+    """Added tokens in a text get their own ids, wherever they stand."""
+    from tokenizers import Tokenizer
+    path = tokenizers_dir.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a text <|endoftext|> with one", "<|endoftext|>", "two!!<|endoftext|><|endoftext|>\n  of them  <|endoftext|> ", "nearly <|endoftext| > one", "none", "", None]
+    root = f"{folder(spark)}/tokens-added-{random.random()}"
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in token_files.read(token_files.write(table(spark, texts), root, path, tokenizers_dir.PATTERN), root).collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[1] == [50256, 0] and got[2].count(50256) == 3
+
+
 # --- personal data ----------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
