@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import bpe, gam, licenses, line_dedup, mixing, near_dup, pii, quality_rules, token_files, topk
+from lurewatch.llm import bpe, conversations, gam, licenses, line_dedup, merkle, mixing, near_dup, pii, quality_rules, sharding, token_files, topk
 
 QUERIES = {
     "op1_quality": gam.op1_quality,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_licenses": licenses.op10_licenses,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE = {
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_sharding": sharding.ORACLE_SQL,
+    "op12_conversations": conversations.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
