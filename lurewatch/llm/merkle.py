@@ -10,7 +10,7 @@ children, and the digest made of them goes into the queue again.  A second sweep
 in descending order delivers proof suffixes: a node hands each child
 its own suffix, preceded by the child's siblings, until the leaves have theirs.
 
-The queue is external in this sense: a sweep covers a block of ``BLOCK``
+The queue is external in this sense: a sweep covers a block of 4,096
 consecutive nodes, whose digests fit in memory whatever the data, and digests of block
 roots are delivered through a written table, sorted into blocks again, until
 each group has one node.  Blocks lie on whole subtrees, so only the block's root
@@ -37,9 +37,8 @@ from lurewatch.llm.scratch import Scratch
 from lurewatch.llm.sql import crc32_ctes
 
 ARITY = 8
-#: Levels that a block spans, and its nodes at most.
+#: Levels that a block spans: it has ``ARITY ** LEVELS`` nodes at most.
 LEVELS = 4
-BLOCK = ARITY**LEVELS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Path of a node to a root: for each level, the place among the run's nodes and the siblings left to right.
@@ -50,8 +49,8 @@ def digest(children: list[str] | tuple[str, ...]) -> str:
     return sha256("".join(children).encode()).hexdigest()
 
 
-def sweep(leaves: list[str], alone: bool) -> list[dict[int, str]]:
-    """Digests by level and place.  ``alone``: these are all nodes, so the sweep ends when one remains; else a block's root is ``LEVELS`` up."""
+def sweep(leaves: list[str], alone: bool, most: int = LEVELS) -> list[dict[int, str]]:
+    """Digests by level and place.  ``alone``: these are all nodes, so the sweep ends when one remains; else a block's root is ``most`` levels up."""
     levels: list[dict[int, str]] = [dict(enumerate(leaves))]
     queue = [((1, i // ARITY), i, d) for i, d in enumerate(leaves)] if len(leaves) > 1 or not alone else []  # sorted, hence a heap
     while queue:
@@ -63,7 +62,7 @@ def sweep(leaves: list[str], alone: bool) -> list[dict[int, str]]:
             levels.append({})
         levels[level][place] = made = digest(children)
         # the last node of its level is the root if nothing stands beside it
-        more = bool(place) or bool(queue) if alone else level < LEVELS
+        more = bool(place) or bool(queue) if alone else level < most
         if more:
             heapq.heappush(queue, ((level + 1, place // ARITY), place, made))
     return levels
@@ -141,42 +140,42 @@ def placed(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     return joined.select(*names, (F.col("run") + F.coalesce("before", F.lit(0))).alias("i"))
 
 
-def _block(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("block", F.floor(F.col("i") / F.lit(BLOCK)).cast("long"))
+def _block(rows: DataFrame, levels: int) -> DataFrame:
+    return rows.withColumn("block", F.floor(F.col("i") / F.lit(ARITY**levels)).cast("long"))
 
 
-def _swept(part: pd.DataFrame) -> tuple[pd.DataFrame, list[dict[int, str]]]:
-    part = part.sort_values("i")
-    return part, sweep(part["digest"].tolist(), alone=int(part["i"].iloc[0]) < BLOCK and len(part) < BLOCK)
+def _swept(part: pd.DataFrame, levels: int) -> tuple[pd.DataFrame, list[dict[int, str]]]:
+    part, size = part.sort_values("i"), ARITY**levels
+    return part, sweep(part["digest"].tolist(), int(part["i"].iloc[0]) < size and len(part) < size, levels)
 
 
-def forward(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
+def forward(nodes: DataFrame, scratch: Scratch, levels: int) -> list[DataFrame]:
     """Rounds of (g, i, digest): the nodes, their blocks' roots, theirs, until each group has one."""
     def roots(part: pd.DataFrame) -> pd.DataFrame:
-        part, levels = _swept(part)
-        return pd.DataFrame({"g": [part["g"].iloc[0]], "i": [int(part["i"].iloc[0]) // BLOCK], "digest": [levels[-1][0]]})
+        part, made = _swept(part, levels)
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "i": [int(part["i"].iloc[0]) // ARITY**levels], "digest": [made[-1][0]]})
 
     rounds = [nodes.select("g", "i", "digest")]
     while rounds[-1].filter("i > 0").limit(1).count():
-        rounds.append(scratch.write(_block(rounds[-1]).groupBy("g", "block").applyInPandas(roots, "g string, i long, digest string")))
+        rounds.append(scratch.write(_block(rounds[-1], levels).groupBy("g", "block").applyInPandas(roots, "g string, i long, digest string")))
     return rounds
 
 
-def backward(rounds: list[DataFrame], scratch: Scratch, tops: DataFrame) -> DataFrame:
+def backward(rounds: list[DataFrame], scratch: Scratch, tops: DataFrame, levels: int) -> DataFrame:
     """(g, i, path, subroot, root) of the second round's nodes from ``tops`` (g, path, subroot, root): what the first round's blocks wait for."""
     def hand(part: pd.DataFrame, waiting: pd.DataFrame) -> pd.DataFrame:
-        part, levels = _swept(part)
+        part, made = _swept(part, levels)
         top = waiting.iloc[0]
-        paths = deliver(levels, _read(top["path"]))
+        paths = deliver(made, _read(top["path"]))
         return pd.DataFrame({"g": part["g"], "i": part["i"], "path": list(map(_show, paths)), "subroot": top["subroot"], "root": top["root"]})
 
     known = tops.withColumn("i", F.lit(0).cast("long"))
     for nodes in reversed(rounds[1:-1]):
-        known = scratch.write(_block(nodes).groupBy("g", "block").cogroup(known.groupBy("g", "i")).applyInPandas(hand, "g string, i long, path string, subroot string, root string"))
+        known = scratch.write(_block(nodes, levels).groupBy("g", "block").cogroup(known.groupBy("g", "i")).applyInPandas(hand, "g string, i long, path string, subroot string, root string"))
     return known
 
 
-def manifest(docs: DataFrame, columns: list[str], group: str = "lang", id_col: str = "doc_id", changed: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, columns: list[str], group: str = "lang", id_col: str = "doc_id", changed: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """(doc_id, group, leaf, subroot, root, path, proof, folded, verified) of every row of ``docs``.
 
     A leaf is the digest of ``columns``.  ``path`` has the siblings level by
@@ -197,32 +196,32 @@ def manifest(docs: DataFrame, columns: list[str], group: str = "lang", id_col: s
     rows = docs.select(F.coalesce(F.concat(F.lit("="), col(group).cast("string")), F.lit("")).alias("g"), col(id_col).alias("id"), leaf([col(c) for c in columns]).alias("digest"),
                        leaf([changed.get(c, col(c)) for c in columns]).alias("other"))
     leaves = scratch.write(placed(rows, ["id", "digest"], scratch))
-    rounds = forward(leaves, scratch)
+    rounds = forward(leaves, scratch, levels)
     # the groups' roots are the leaves of the last tree
     subroots = scratch.write(placed(rounds[-1].select(F.lit("").alias("g"), F.col("g").alias("group"), "digest"), ["group"], scratch))
-    upper = forward(subroots, scratch)
+    upper = forward(subroots, scratch, levels)
     no_path = upper[-1].select("g", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
-    waits = backward(upper, scratch, no_path)
+    waits = backward(upper, scratch, no_path, levels)
 
     def tops(part: pd.DataFrame, waiting: pd.DataFrame) -> pd.DataFrame:
-        part, levels = _swept(part)
+        part, made = _swept(part, levels)
         top = waiting.iloc[0]
-        paths = deliver(levels, _read(top["path"]))
+        paths = deliver(made, _read(top["path"]))
         return pd.DataFrame({"g": part["group"], "path": list(map(_show, paths)), "subroot": part["digest"], "root": top["root"]})
 
-    known = scratch.write(_block(subroots).groupBy("g", "block").cogroup(waits.groupBy("g", "i")).applyInPandas(tops, "g string, path string, subroot string, root string"))
-    known = backward(rounds, scratch, known)
+    known = scratch.write(_block(subroots, levels).groupBy("g", "block").cogroup(waits.groupBy("g", "i")).applyInPandas(tops, "g string, path string, subroot string, root string"))
+    known = backward(rounds, scratch, known, levels)
 
     def prove(part: pd.DataFrame, waiting: pd.DataFrame) -> pd.DataFrame:
-        part, levels = _swept(part)
+        part, made = _swept(part, levels)
         top = waiting.iloc[0]
-        paths = deliver(levels, _read(top["path"]))
+        paths = deliver(made, _read(top["path"]))
         folded = [fold(d, p) for d, p in zip(part["other"], paths)]
         return pd.DataFrame({"id": part["id"], "group": part["g"], "leaf": part["digest"], "subroot": top["subroot"], "root": top["root"], "path": list(map(_show, paths)),
                              "proof": list(map(proof, paths)), "folded": folded, "verified": [f == top["root"] for f in folded]})
 
     kind = leaves.schema["id"].dataType.simpleString()
-    proven = _block(leaves).groupBy("g", "block").cogroup(known.groupBy("g", "i")).applyInPandas(
+    proven = _block(leaves, levels).groupBy("g", "block").cogroup(known.groupBy("g", "i")).applyInPandas(
         prove, f"id {kind}, group string, leaf string, subroot string, root string, path string, proof string, folded string, verified boolean")
     name = F.when(F.col("group") != "", F.substring("group", 2, 1 << 30))
     return proven.select(F.col("id").alias("doc_id"), name.alias("group"), "leaf", "subroot", "root", "path", "proof", "folded", "verified")
