@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: a regular expression splits every text into pieces.  The distinct
-pieces of a group of documents become arrays of byte ids, and Spark's
-higher-order functions fold the ranked merges over each array: a step looks up
-all neighbouring pairs in a literal rank map and merges the pair of lowest
-rank.  The ids of the documents are then gathered from those of their pieces.
-No step shuffles.
+Encoding: a regular expression splits every text into pieces.  Each distinct
+piece that a task meets becomes an array of byte ids, and Spark's higher-order
+functions fold the ranked merges over it: a step looks up all neighbouring pairs
+in a literal rank map and merges the leftmost one of lowest rank.  The ids of the documents are then gathered from those
+of their pieces.  Pieces travel in short rows ahead of the documents that hold
+them, and a task remembers a bounded number of them.  No step shuffles.
+
+Pieces of ``LONG`` bytes or more (a line of base64, a run of letters) merge over
+a linked list with a heap of pairs instead, as the fold's steps times the
+piece's length would never end; both give the same ids.
 
 Decoding concatenates the binary pieces of the ids.
 
-The rank map is a literal array of hash buckets, each a small map from a pair
-of ids to the merged id, so that a look-up doesn't scan the vocabulary.  Its
-size is fixed by the vocabulary file (50 thousand tokens), not by the data.
+The rank map is a literal: the matrix of pairs with its sparse rows laid over one
+another, so a look-up is two array accesses and one comparison.  Its size is fixed by the vocabulary file (50 thousand tokens), not by the data.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import base64
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,13 @@ from pyspark.sql import types as T
 
 from lurewatch.llm import pieces
 
-#: Buckets of the rank map, and the factors that spread pairs over them (products stay below 2**63).
-BUCKETS, SPREAD, MIX = 1 << 17, 40503, 48271
-#: Ids and places are packed into one long: value * PLACES + place.
-PLACES = 1 << 31
-#: Pieces up to so many bytes merge one pair a step; longer ones merge every occurrence of the lowest pair.
-SHORT = 128
-#: Pieces of a group of documents: more share more distinct pieces, and take more memory.
-GROUP_PIECES = 6_000_000
+#: Bits of an id in the rank map: a pair and the token it merges to fill one long.
+BITS = 21
+MASK = (1 << BITS) - 1
+#: Bytes from which on a piece merges over a linked list.
+LONG = 512
+#: Pieces of the documents handled at a time, distinct pieces that a task remembers, and pieces of a row of new ones.
+GROUP_PIECES, KNOWN_PIECES, ROW_PIECES = 500_000, 400_000, 256
 KEPT = "_kept"
 
 
@@ -76,69 +79,96 @@ def whole_pieces(path: str) -> dict[bytes, int]:
     return {t: r for t, r in ranks.items() if len(t) > 1 and _fold_plain([ranks[t[i : i + 1]] for i in range(len(t))], pairs) != [r]}
 
 
-def _rank_table(path: str) -> Column:
-    """Literal: buckets of maps from left * 2**32 + right to 2 * merged id + (1 if it must merge alone).
+def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The same merges over a linked list, for a piece of any length: a heap holds the pairs by rank and place."""
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    place = n.bit_length()
+    heap = [rank << place | i for i, p in enumerate(zip(ids, ids[1:])) if (rank := pairs.get(p)) is not None]
+    heapify(heap)
+    while heap:
+        least = heappop(heap)
+        rank, i = least >> place, least & ((1 << place) - 1)
+        j = after[i]
+        if ids[i] < 0 or j >= n or pairs.get((ids[i], ids[j])) != rank:
+            continue  # one of the two has merged since
+        ids[i], ids[j] = rank, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (new := pairs.get((rank, ids[k]))) is not None:
+                heappush(heap, new << place | i)
+        h = before[i]
+        if h >= 0 and (new := pairs.get((ids[h], rank))) is not None:
+            heappush(heap, new << place | h)
+    return [x for x in ids if x >= 0]
+
 
-    A merged token must merge alone if a pair that holds it has a lower rank:
-    then merging one occurrence can bring up a pair that goes first.
+@lru_cache(maxsize=4)
+def _places(path: str) -> tuple[list[int], list[int]]:
+    """The pairs as a sparse matrix whose rows are laid over one another.
+
+    ``shift[left]`` is where a row begins, and ``entries[shift[left] + right]``
+    holds left and merged id of a pair, or an impossible left.
     """
-    pairs = merges(path)
-    alone = {x for (a, b), rank in pairs.items() for x in (a, b) if rank < x}
-    buckets: list[list] = [[] for _ in range(BUCKETS)]
-    for (a, b), rank in pairs.items():
-        buckets[((a * SPREAD + b) * MIX >> 5) % BUCKETS].append({"k": (a << 32) + b, "v": 2 * rank + (rank in alone)})
-    entries = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<k:bigint,v:bigint>>>")
-    return F.transform(entries, F.map_from_entries)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (left, right), rank in merges(path).items():
+        rows.setdefault(left, []).append((right, rank))
+    ids = max(vocabulary(path).values()) + 1
+    if ids > MASK:
+        raise ValueError(f"ids beyond {MASK}")
+    taken = np.zeros(4 * (ids + sum(map(len, rows.values()))), bool)
+    shift = np.zeros(ids, np.int64)
+    entries = np.full(len(taken), MASK << BITS, np.int64)
+    start = 0
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        at = np.array([right for right, _ in row])
+        if len(row) == 1:
+            break  # these fill what is free
+        while True:
+            offsets = np.arange(start, start + 256)
+            fits = ~taken[offsets[:, None] + at[None, :]].any(1)
+            if fits.any():
+                break
+            start += 256
+        shift[left] = offsets[fits.argmax()]
+        taken[shift[left] + at] = True
+        entries[shift[left] + at] = [left << BITS | rank for _, rank in row]
+    single = [(left, *row[0]) for left, row in sorted(rows.items()) if len(row) == 1]
+    for (left, right, rank), place in zip(single, np.flatnonzero(~taken)[: len(single)]):
+        shift[left], entries[place], taken[place] = place - right, left << BITS | rank, True
+    return shift.tolist(), entries[: int(np.flatnonzero(taken).max()) + 1].tolist() if taken.any() else []
+
+
+class RankMap:
+    """Literal columns of the rank map, and look-ups in it."""
+
+    def __init__(self, path: str):
+        shift, entries = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in _places(path))
+        self.table = F.struct(shift.cast("array<int>").alias("shift"), entries.alias("entries"))
+
+    @staticmethod
+    def rank(table: Column, left: Column, right: Column) -> Column:
+        """Id that the pair merges to; null or beyond ``MASK`` if it doesn't."""
+        return F.get(table["entries"], F.get(table["shift"], left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), BITS))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once and passes it on: in a lambda, a plain reference would be evaluated for each use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _lookup(table: Column, left: Column, right: Column) -> Column:
-    bucket = F.get(table, F.pmod(F.shiftright((left * F.lit(SPREAD) + right) * F.lit(MIX), 5), F.lit(BUCKETS)).cast("int"))
-    return F.try_element_at(bucket, left * F.lit(1 << 32) + right)
-
-
-def _merge_one(table: Column, ids: Column) -> Column:
-    """Merges the leftmost pair of lowest rank."""
-    best = F.array_min(F.transform(ids, lambda x, i: _lookup(table, x, F.get(ids, i + 1)) * F.lit(PLACES) + i))
-
-    def put(q: Column) -> Column:
-        at = (q % F.lit(PLACES)).cast("int")
-        merged = F.shiftright(q, 32)
-        return F.when(q.isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at), F.array(merged), F.slice(ids, at + 3, F.size(ids))))
-
-    return _let(best, put)
-
-
-def _merge_all(table: Column, ids: Column) -> Column:
-    """Merges all occurrences of the lowest pair, left to right, or only the first if the token must merge alone."""
-    ranks = F.transform(ids, lambda x, i: _lookup(table, x, F.get(ids, i + 1)))
-
-    def apply(found: Column) -> Column:
-        def put(low: Column) -> Column:
-            first = F.array_position(found, low)
-            marks = F.transform(found, lambda v, i: F.when((v == low) & ((low % 2 == 0) | (i + 1 == first)), F.lit("1")).otherwise(F.lit("0")))
-            # of overlapping occurrences every second one merges, from the left
-            taken = F.split(F.regexp_replace(F.array_join(marks, ""), "11", "10"), "")
-            merge = lambda t: F.filter(
-                F.transform(ids, lambda x, i: F.when(F.get(t, i) == "1", F.shiftright(low, 1)).when((i > 0) & (F.get(t, i - 1) == "1"), F.lit(None)).otherwise(x)),
-                lambda x: x.isNotNull())
-            return F.when(low.isNull(), ids).otherwise(_let(taken, merge))
-
-        return _let(F.array_min(found), put)
-
-    return _let(ranks, apply)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold(table: Column, ids: Column) -> Column:
-    """Ids of one piece: merges folded over its array of byte ids."""
-    steps = F.when(F.size(ids) > 1, F.sequence(F.lit(2), F.size(ids))).otherwise(F.array().cast("array<int>"))
-    short = F.aggregate(steps, ids, lambda acc, _: _merge_one(table, acc))
-    long = F.aggregate(steps, ids, lambda acc, _: _merge_all(table, acc))
-    return F.when(F.size(ids) <= SHORT, short).otherwise(long)
+    """Ids of one piece: merges folded over its array of byte ids.  A step merges the leftmost pair of lowest rank, if any."""
+    def step(x: Column, _: Column) -> Column:
+        def merge(ranks: Column) -> Column:
+            def put(low: Column) -> Column:
+                done = _let(F.array_position(ranks, low).cast("int"), lambda at: F.concat(F.slice(x, F.lit(1), at - 1), F.array(low.cast("int")), F.slice(x, at + 2, F.lit(1 << 30))))
+                return F.when(low <= MASK, done).otherwise(x)
+            return _let(F.array_min(ranks), put)
+        return _let(F.zip_with(x, F.slice(x, F.lit(2), F.lit(1 << 30)), lambda a, b: RankMap.rank(table, a, b)), merge)
+
+    return F.when(F.size(ids) > 1, F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, step)).otherwise(ids)
 
 
 def _pieces(path: str) -> list[bytes]:
@@ -146,9 +176,8 @@ def _pieces(path: str) -> list[bytes]:
     return [token for token, _ in sorted(vocabulary(path).items(), key=lambda x: x[1])]
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _concatenate(piece: list[bytes], ids: np.ndarray) -> bytes:
@@ -161,72 +190,101 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     With ``decoded``, the ids are decoded again in the same task (see ``decode``).
 
     Null and empty texts have no ids (empty binary).  Repeated rows are encoded
-    each; columns of any other name and type are kept, except that a column
-    named ``ids`` gives way to the result.  An empty table gives no rows.
+    each; columns of any other name and type are kept, except that columns
+    named ``ids`` and, with ``decoded``, ``decoded`` give way to the results.
+    Pieces of any length are encoded.  An empty table gives no rows.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
     pieces.small_batches(docs.sparkSession)
     results = ["ids", "decoded"] if decoded else ["ids"]
     kept = [c for c in docs.columns if c not in (text_col, *results)]
     shared = docs.sparkSession.sparkContext.broadcast(_pieces(vocabulary_path)) if decoded else None
-    words = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias(KEPT), pieces.split(F.col(text_col), pattern).alias("_words"))
-    ranks, whole = vocabulary(vocabulary_path), whole_pieces(vocabulary_path)
-    byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
-    if (byte_ids < 0).any():
+    # by number, so that no name can clash; a row of new pieces has no document
+    packed = F.struct(F.lit(0).alias("none"), *[_named(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias(KEPT)
+    words = docs.select(packed, pieces.split(_named(text_col), pattern).alias("words"))
+    ranks, whole, pairs = vocabulary(vocabulary_path), whole_pieces(vocabulary_path), merges(vocabulary_path)
+    byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+    if min(byte_ids) < 0:
         raise ValueError("the vocabulary lacks single bytes")
-    group = T.StructType([T.StructField("docs", T.ArrayType(words.schema[KEPT].dataType)), T.StructField("words", T.ArrayType(T.ArrayType(T.LongType()))),
-                          T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    shape = _arrow(group)
+    document = T.StructField(KEPT, words.schema[KEPT].dataType)
+    row = T.StructType([document, T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("index", T.BinaryType()), T.StructField("folded", T.BooleanType()), T.StructField("reset", T.BooleanType())])
+    shape = to_arrow_schema(row)
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in shape], schema=shape)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces.groups(batches, "_words", GROUP_PIECES):
-            words, index, counts = pieces.distinct(table.column("_words"))
-            raw = words.cast(pa.binary()).cast(pa.large_binary())
-            offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(raw.buffers()[2], dtype=np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
-            base = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(byte_ids[data[offsets[0] : offsets[-1]]]))
-            if whole:
-                base = pa.array([[whole[w.encode()]] if w.encode() in whole else b for w, b in zip(words.to_pylist(), base.to_pylist())], type=base.type)
-            keys = table.column(KEPT).combine_chunks()
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            columns = [one(keys), one(base), pa.array([index.tobytes()]), pa.array([counts.tobytes()])]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
+        """New pieces, then the documents, which refer to all pieces since the last reset by number."""
+        table, of = np.array(byte_ids, dtype=np.int32), {}
+        for group in pieces.groups(batches, "words", GROUP_PIECES):
+            words, index, counts = pieces.distinct(group.column("words"))
+            words = words.to_pylist()
+            if len(of) + len(words) > KNOWN_PIECES:
+                of.clear()
+                yield rows(1, reset=pa.array([True]))
+            new = [w.encode() for w in words if w not in of]
+            for w in words:
+                of.setdefault(w, len(of))
+            for at in range(0, len(new), 100 * ROW_PIECES):
+                some = new[at : at + 100 * ROW_PIECES]
+                base = [[whole[w]] if w in whole else merge_long([byte_ids[b] for b in w], pairs) if len(w) >= LONG else table[np.frombuffer(w, np.uint8)] for w in some]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in base])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(base).astype(np.int32)))
+                # a row of pieces that need the fold, or one long piece that is done
+                edges = sorted({0, len(some), *range(0, len(some), ROW_PIECES), *(k for i, w in enumerate(some) if len(w) >= LONG for k in (i, i + 1))})
+                done = [len(some[e]) >= LONG for e in edges[:-1]]
+                yield rows(len(done), words=pa.ListArray.from_arrays(pa.array(edges, pa.int32()), lists), folded=pa.array(done))
+            number = np.fromiter((of[w] for w in words), np.int32, len(words))
+            places, ends = number[index] if len(words) else index, np.cumsum(counts)
+            keys = group.column(KEPT)
+            for at in range(0, group.num_rows, pieces.BATCH_DOCS):
+                upto = min(at + pieces.BATCH_DOCS, group.num_rows)
+                cuts = [places[e - c : e].tobytes() for e, c in zip(ends[at:upto], counts[at:upto])]
+                part = keys.slice(at, upto - at).combine_chunks()
+                yield rows(upto - at, **{KEPT: pa.concat_arrays(part.chunks) if isinstance(part, pa.ChunkedArray) else part, "index": pa.array(cuts, pa.binary())})
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, starts, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                keys, folded = one.column(0).flatten(), one.column(1).flatten()
-                offsets = folded.offsets.to_numpy().astype(np.int64)
-                sizes = np.diff(offsets)
-                values = folded.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                index = np.frombuffer(one.column(2)[0].as_buffer(), dtype=np.int32)
-                counts = np.frombuffer(one.column(3)[0].as_buffer(), dtype=np.int64)
+            resets = [i for i, x in enumerate(batch.column("reset").to_pylist()) if x]
+            for first, last in zip([0, *resets], [*resets, batch.num_rows]):
+                if first in resets:
+                    values, starts, sizes = values[:0], starts[:0], sizes[:0]
+                part = batch.slice(first, last - first)
+                fresh = part.column("words").drop_null()
+                if len(fresh):
+                    lists = fresh.flatten()
+                    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    starts = np.concatenate([starts, len(values) + np.cumsum(n) - n])
+                    sizes = np.concatenate([sizes, n])
+                    values = np.concatenate([values, lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
+                told = part.filter(part.column("index").is_valid())
+                index = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in told.column("index")]
+                counts = np.array([len(x) for x in index], dtype=np.int64)
                 at, held, size = 0, [], 0
 
                 def out():
                     columns = [held, [_concatenate(shared.value, np.frombuffer(x, "<u4")) for x in held]] if decoded else [held]
-                    return pa.RecordBatch.from_arrays([keys.slice(at, len(held)), *(pa.array(c, pa.binary()) for c in columns)], names=[KEPT, *results])
+                    return pa.RecordBatch.from_arrays([told.column(KEPT).slice(at, len(held)), *(pa.array(c, pa.binary()) for c in columns)], names=[KEPT, *results])
 
-                for ids in pieces.gather(index, counts, values, offsets[:-1] - offsets[0], sizes):
+                for ids in pieces.gather(np.concatenate(index), counts, values, starts, sizes) if index else ():
                     held.append(ids.tobytes())
                     size += len(held[-1])
-                    if size > 1 << 23:
+                    if size > 1 << 22:
                         yield out()
                         at, held, size = at + len(held), [], 0
-                yield out()
+                if held:
+                    yield out()
 
-    table = _rank_table(vocabulary_path)
-    grouped = words.mapInArrow(collect, group)
-    # one look-up table for all pieces of a group
-    folded = _let(table, lambda t: F.transform(F.col("words"), lambda w: fold(t, w)))
-    encoded = grouped.select("docs", folded.alias("ids"), "index", "counts").mapInArrow(
-        assemble, T.StructType([T.StructField(KEPT, words.schema[KEPT].dataType), *(T.StructField(c, T.BinaryType()) for c in results)]))
-    return encoded.select(*[F.col(KEPT)[c].alias(c) for c in kept], *results)
+    each = _let(RankMap(vocabulary_path).table, lambda table: F.transform("words", lambda w: fold(table, w)))
+    folded = words.mapInArrow(collect, row).select(KEPT, F.when(F.col("folded"), F.col("words")).otherwise(each).alias("words"), "index", "reset")
+    encoded = folded.mapInArrow(assemble, T.StructType([document, *(T.StructField(c, T.BinaryType()) for c in results)]))
+    return encoded.select(*[F.col(KEPT)[f"c{i}"].alias(c) for i, c in enumerate(kept)], *results)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """Adds ``decoded``: the binary pieces of ``ids``, concatenated.  Null ids decode to nothing; an unknown id raises."""
-    plain = [c for c in encoded.columns if c != "decoded"]
+    plain = [_named(c) for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*encoded.select(*plain).schema.fields, T.StructField("decoded", T.BinaryType())])
     shared = encoded.sparkSession.sparkContext.broadcast(_pieces(vocabulary_path))  # the vocabulary file: a fixed size
 

@@ -22,7 +22,7 @@ def split(text: Column, pattern: str) -> Column:
 
 
 #: Documents of a batch between Spark and Python: lists of pieces are large.
-BATCH_DOCS = 2000
+BATCH_DOCS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
