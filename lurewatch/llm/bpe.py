@@ -3,7 +3,8 @@
 Encoding: a regular expression splits every text into pieces.  Each distinct
 piece that a task meets becomes an array of byte ids, and Spark's higher-order
 functions fold the ranked merges over it: a step looks up all neighbouring pairs
-in a literal rank map and merges the leftmost one of lowest rank.  The ids of the documents are then gathered from those
+in a literal rank map and merges the leftmost one of lowest rank.  Pairs that
+nothing can precede, by the vocabulary's ranks, are merged beforehand.  The ids of the documents are then gathered from those
 of their pieces.  Pieces travel in short rows ahead of the documents that hold
 them, and a task remembers a bounded number of them.  No step shuffles.
 
@@ -79,6 +80,38 @@ def whole_pieces(path: str) -> dict[bytes, int]:
     return {t: r for t, r in ranks.items() if len(t) > 1 and _fold_plain([ranks[t[i : i + 1]] for i in range(len(t))], pairs) != [r]}
 
 
+@lru_cache(maxsize=4)
+def _certain(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (left and right id) of the pairs that merge whenever they stand side by side, and what they merge to.
+
+    No pair that ends in their left token or begins with their right one has a
+    rank as low, so nothing can take either token first.  For the same reason two such pairs never overlap.
+    """
+    pairs = merges(path)
+    ending: dict[int, int] = {}
+    beginning: dict[int, int] = {}
+    for (left, right), rank in pairs.items():
+        ending[right] = min(ending.get(right, rank), rank)
+        beginning[left] = min(beginning.get(left, rank), rank)
+    never = 1 << 62
+    found = sorted((left << BITS | right, rank) for (left, right), rank in pairs.items() if rank < ending.get(left, never) and rank < beginning.get(right, never))
+    return np.array([k for k, _ in found], np.int64), np.array([r for _, r in found], np.int32)
+
+
+def merge_certain(ids: np.ndarray, piece: np.ndarray, certain: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many pieces one after the other, and the piece of each, after all certain merges."""
+    keys, ranks = certain
+    while len(keys) and len(ids) > 1:
+        key = ids[:-1].astype(np.int64) << BITS | ids[1:]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero((keys[at] == key) & (piece[:-1] == piece[1:]))
+        if not len(hit):
+            break
+        ids[hit] = ranks[at[hit]]
+        ids, piece = np.delete(ids, hit + 1), np.delete(piece, hit + 1)
+    return ids, piece
+
+
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """The same merges over a linked list, for a piece of any length: a heap holds the pairs by rank and place."""
     n = len(ids)
@@ -140,17 +173,13 @@ def _places(path: str) -> tuple[list[int], list[int]]:
     return shift.tolist(), entries[: int(np.flatnonzero(taken).max()) + 1].tolist() if taken.any() else []
 
 
-class RankMap:
-    """Literal columns of the rank map, and look-ups in it."""
+def _literal(numbers: list[int], kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), f"array<{kind}>")
 
-    def __init__(self, path: str):
-        shift, entries = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in _places(path))
-        self.table = F.struct(shift.cast("array<int>").alias("shift"), entries.alias("entries"))
 
-    @staticmethod
-    def rank(table: Column, left: Column, right: Column) -> Column:
-        """Id that the pair merges to; null or beyond ``MASK`` if it doesn't."""
-        return F.get(table["entries"], F.get(table["shift"], left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), BITS))
+def _rank(shift: Column, entries: Column, left: Column, right: Column) -> Column:
+    """Id that the pair merges to; null or beyond ``MASK`` if it doesn't."""
+    return F.get(entries, F.get(shift, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), BITS))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,7 +187,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(table: Column, ids: Column) -> Column:
+def fold(shift: Column, entries: Column, ids: Column) -> Column:
     """Ids of one piece: merges folded over its array of byte ids.  A step merges the leftmost pair of lowest rank, if any."""
     def step(x: Column, _: Column) -> Column:
         def merge(ranks: Column) -> Column:
@@ -166,7 +195,7 @@ def fold(table: Column, ids: Column) -> Column:
                 done = _let(F.array_position(ranks, low).cast("int"), lambda at: F.concat(F.slice(x, F.lit(1), at - 1), F.array(low.cast("int")), F.slice(x, at + 2, F.lit(1 << 30))))
                 return F.when(low <= MASK, done).otherwise(x)
             return _let(F.array_min(ranks), put)
-        return _let(F.zip_with(x, F.slice(x, F.lit(2), F.lit(1 << 30)), lambda a, b: RankMap.rank(table, a, b)), merge)
+        return _let(F.zip_with(x, F.slice(x, F.lit(2), F.lit(1 << 30)), lambda a, b: _rank(shift, entries, a, b)), merge)
 
     return F.when(F.size(ids) > 1, F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, step)).otherwise(ids)
 
@@ -202,7 +231,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     # by number, so that no name can clash; a row of new pieces has no document
     packed = F.struct(F.lit(0).alias("none"), *[_named(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias(KEPT)
     words = docs.select(packed, pieces.split(_named(text_col), pattern).alias("words"))
-    ranks, whole, pairs = vocabulary(vocabulary_path), whole_pieces(vocabulary_path), merges(vocabulary_path)
+    ranks, whole, pairs, certain = vocabulary(vocabulary_path), whole_pieces(vocabulary_path), merges(vocabulary_path), _certain(vocabulary_path)
     byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
     if min(byte_ids) < 0:
         raise ValueError("the vocabulary lacks single bytes")
@@ -227,9 +256,15 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
                 of.setdefault(w, len(of))
             for at in range(0, len(new), 100 * ROW_PIECES):
                 some = new[at : at + 100 * ROW_PIECES]
-                base = [[whole[w]] if w in whole else merge_long([byte_ids[b] for b in w], pairs) if len(w) >= LONG else table[np.frombuffer(w, np.uint8)] for w in some]
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in base])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(base).astype(np.int32)))
+                sizes = np.array([len(w) for w in some])
+                ids, piece = table[np.frombuffer(b"".join(some), np.uint8)], np.repeat(np.arange(len(some)), sizes)
+                done = {i: [whole[w]] if w in whole else merge_long([byte_ids[b] for b in w], pairs) for i, w in enumerate(some) if len(w) >= LONG or w in whole}
+                if done:
+                    merged = [done.get(i, ids[e - n : e]) for i, (e, n) in enumerate(zip(np.cumsum(sizes), sizes))]
+                    ids, piece = np.concatenate(merged).astype(np.int32), np.repeat(np.arange(len(some)), [len(x) for x in merged])
+                ids, piece = merge_certain(ids, piece, certain)
+                starts = np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(some)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.int32()))
                 # a row of pieces that need the fold, or one long piece that is done
                 edges = sorted({0, len(some), *range(0, len(some), ROW_PIECES), *(k for i, w in enumerate(some) if len(w) >= LONG for k in (i, i + 1))})
                 done = [len(some[e]) >= LONG for e in edges[:-1]]
@@ -276,7 +311,8 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
                 if held:
                     yield out()
 
-    each = _let(RankMap(vocabulary_path).table, lambda table: F.transform("words", lambda w: fold(table, w)))
+    shift, entries = _places(vocabulary_path)
+    each = _let(_literal(shift, "int"), lambda s: _let(_literal(entries, "bigint"), lambda e: F.transform("words", lambda w: fold(s, e, w))))
     folded = words.mapInArrow(collect, row).select(KEPT, F.when(F.col("folded"), F.col("words")).otherwise(each).alias("words"), "index", "reset")
     encoded = folded.mapInArrow(assemble, T.StructType([document, *(T.StructField(c, T.BinaryType()) for c in results)]))
     return encoded.select(*[F.col(KEPT)[f"c{i}"].alias(c) for i, c in enumerate(kept)], *results)

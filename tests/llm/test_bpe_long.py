@@ -43,6 +43,18 @@ def test_linked_list_merges_as_the_fold(library):
             assert bpe.merge_long(list(ids), pairs) == bpe._fold_plain(ids, pairs)
 
 
+def test_certain_merges_change_nothing(library):
+    """Texts in other scripts and of few letters, where pairs compete."""
+    pairs, ranks, certain = bpe.merges(library[0]), bpe.vocabulary(library[0]), bpe._certain(library[0])
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 14))).encode() for letters in ("the inger", "éèaoui ", "日本語で", "aab", "0123") for _ in range(300)]
+    ids = [[ranks[bytes([b])] for b in w] for w in words]
+    merged, piece = bpe.merge_certain(np.array([x for w in ids for x in w]), np.repeat(np.arange(len(ids)), list(map(len, ids))), certain)
+    assert len(merged) < sum(map(len, ids))
+    for i, w in enumerate(ids):
+        assert bpe._fold_plain(merged[piece == i].tolist(), pairs) == bpe._fold_plain(w, pairs)
+
+
 def test_places_hold_every_pair(library):
     shift, entries = bpe._places(library[0])
     pairs = bpe.merges(library[0])
