@@ -26,6 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.operators.skew import join_by_count
+from lurewatch.sources.store import materialise
+
 OK_RCODES = ("NOERROR", "NODATA")
 
 # Input schemas of the capture tables (used for typed empty inputs as well).
@@ -174,7 +177,7 @@ def ptr_rollup(snapshot: DataFrame, ptr_records: DataFrame) -> DataFrame:
     p = ptr_records if "pos" in ptr_records.columns else ptr_records.withColumn("pos", F.lit(0))
     once = p.groupBy("ip", "target").agg(F.min("pos").alias("pos"))
     names = once.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct("pos", "target"))).alias("_t"))
-    j = a.join(names, "ip")
+    j = join_by_count(a, names, "ip", "host", how="inner")
     return (j.groupBy("host")
              .agg(F.sort_array(F.collect_list(F.struct("a_pos", "_t"))).alias("_p"))
              .select("host", F.array_distinct(F.flatten(F.transform("_p", lambda x: x["_t"]["target"]))).alias("ptr_records")))
@@ -255,21 +258,33 @@ def cname_chains(hosts: DataFrame, cname_records: DataFrame, max_hops: int = 10)
 
     Each hop takes the first answer (lowest ``pos``), keeps the trailing dot in
     the chain and strips it for the next lookup; the chain ends when a name has
-    no answer.  A row carries its chain, so a hop is one many-to-one left join
-    with the edge table (one row per source) and nothing is collected at the
-    end.  No job runs while the plan is built.  A name shared by many hosts
-    skews only the walking side, and a closed chain looks up a name of its own
-    that no edge has, so closed chains stay spread.
+    no answer, and a loop goes round until the hops are used up.
+
+    Pointer doubling: the edges are written once (one row per source), and a
+    round joins the table with itself, so that it leads 1, 2, 4, 8 hops ahead.
+    The hosts then take the jumps whose lengths add up to ``max_hops``: ten hops
+    are three rounds and two jumps.  A name that many others point to is dealt
+    over tasks by its count, in rounds and jumps alike.
     """
     edges = cname_records
     order = F.struct("pos", "target") if "pos" in edges.columns else F.col("target")
-    edges = edges.groupBy("src").agg(F.min_by("target", order).alias("_next")).withColumnRenamed("src", "_src")
-    walk = hosts.select("host").distinct().select("host", F.col("host").alias("_cur"), F.array().cast("array<string>").alias("_chain"))
-    for _ in range(max_hops):
-        step = walk.join(edges, F.col("_cur") == F.col("_src"), "left")
-        chain = F.when(F.col("_next").isNotNull(), F.concat("_chain", F.array("_next"))).otherwise(F.col("_chain"))
-        ahead = F.coalesce(F.regexp_replace("_next", "\\.+$", ""), F.concat(F.lit("\n"), "host"))
-        walk = step.select("host", ahead.alias("_cur"), chain.alias("_chain"))
+    ahead = edges.groupBy("src").agg(F.min_by("target", order).alias("_next")).where(F.col("_next").isNotNull())
+    jump = materialise(ahead.select("src", F.array("_next").alias("_chain"), F.regexp_replace("_next", "\\.+$", "").alias("_end")), "cname-edges")
+
+    def follow(walk: DataFrame, name: str) -> DataFrame:
+        """``walk`` (name, _chain, _end) after one more jump from ``_end``; where there is none it stays."""
+        onward = jump.select(F.col("src").alias("_end"), F.col("_chain").alias("_more"), F.col("_end").alias("_there"))
+        step = join_by_count(walk, onward, "_end", name)
+        return step.select(name, F.concat("_chain", F.coalesce("_more", F.array().cast("array<string>"))).alias("_chain"), F.coalesce("_there", "_end").alias("_end"))
+
+    walk = hosts.select("host").distinct().select("host", F.array().cast("array<string>").alias("_chain"), F.col("host").alias("_end"))
+    hops = max_hops
+    while hops:
+        if hops & 1:
+            walk = materialise(follow(walk, "host"), "cname-walk")
+        hops >>= 1
+        if hops:
+            jump = materialise(follow(jump, "src"), "cname-jumps")  # written, as the next round reads it twice
     return walk.select("host", F.struct(F.col("_chain").alias("chain"), F.lit(None).cast("string").alias("error")).alias("cname"))
 
 

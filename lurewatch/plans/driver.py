@@ -8,6 +8,7 @@ column names match the oracle SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1125,21 +1126,88 @@ def q_pipeline_verdicts(spark, sf_dir):
 
 @query("stream_with_captures", _WHOLE_PATH, _ALL_VIEWS)
 def q_stream_with_captures(spark, sf_dir):
-    """Hosts arrive before their captures: the first run leaves them pending, the second settles them all."""
+    """Hosts arrive before their captures: the first run leaves them pending, two more settle those whose capture has come."""
     from lurewatch.plans.triage import Captures
     from lurewatch.sources.sinks import read_verdicts
     from lurewatch.streaming.triage import settle, start_triage, stream_hosts
     root = _scratch(spark, "stream-captures")
     lines = _page_lines(spark, sf_dir).select(F.col("line").alias("value"))
-    for captures in (Captures(), _caps(spark, sf_dir)):
-        # the second run finds the same lines once more
+    every = _caps(spark, sf_dir)
+    half = lambda k: replace(every, http=every.http.where(F.pmod(F.xxhash64("host"), F.lit(2)) == k))
+    for captures in (Captures(), half(0), half(1)):
+        # each run finds the same lines once more, and the captures that have arrived since the run before
         lines.write.mode("append").text(f"{root}/landing/manual")
         hosts = stream_hosts(spark, f"{root}/landing", [("manual", False)])
         start_triage(spark, hosts, lambda c=captures: c, R, _as_of(), f"{root}/sink", f"{root}/checkpoint").awaitTermination()
-    settle(spark, f"{root}/sink", f"{root}/settled")
+        settle(spark, f"{root}/sink", f"{root}/settled")
     return read_verdicts(spark, f"{root}/settled")
 
 
+@query("seen_hosts", f"""
+WITH l AS (SELECT n, n % 3 AS load, {O.norm_sql('line')} AS host FROM v_raw)
+SELECT host, min(load) AS load FROM l WHERE host <> '' GROUP BY host""", ("v_raw",))
+def q_seen_hosts(spark, sf_dir):
+    """C11: three loads over one table of seen hosts; of each load the hosts that no earlier one had."""
+    from lurewatch.operators.seen import SeenHosts
+    root = _scratch(spark, "seen")
+    seen = SeenHosts(spark, "seen_" + root.rpartition("-")[2], root)
+    raw = _v(spark, sf_dir, "v_raw").select((F.col("n") % 3).alias("load"), normalize_host(F.col("line")).alias("host")).where(F.col("host") != "")
+    for load in range(3):
+        seen.add(seen.unseen(raw.where(F.col("load") == load).select("host"), load), load)
+    return spark.table(seen.table).select("host", "load")
+
+
+_COLOURS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
+_PAIRS = """c AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM ({colours}) x),
+many AS (SELECT a.i * (SELECT count(*) FROM c) + b.i AS ord, a.w || '-' || b.w AS word, b.w || '-' || a.w AS other FROM c a, c b)"""
+
+
+@query("brand_index", f"""
+WITH {_PAIRS.format(colours=_COLOURS)}, hit AS (
+  SELECT v.n, min(m.ord) AS ord FROM v_hosts v JOIN many m ON contains(v.host, m.word) AND NOT contains(v.host, 'login.' || m.word)
+  WHERE m.ord < 5000 GROUP BY v.n)
+SELECT v.n, v.host, 'Brand ' || hit.ord AS brand FROM v_hosts v LEFT JOIN hit ON hit.n = v.n""", ("v_hosts",))
+def q_brand_index(spark, sf_dir):
+    """Five thousand brands, one for each pair of words of part names, found through the keyword index."""
+    from lurewatch.operators.match import match_brand
+    from lurewatch.rules import Brand
+    hosts = _v(spark, sf_dir, "v_hosts")
+    # the brand list is configuration: at most five thousand pairs of the words of the name dictionary
+    words = [r.w for r in spark.table("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").collect()]
+    pairs = [(i * len(words) + j, f"{a}-{b}") for i, a in enumerate(words) for j, b in enumerate(words)][:5000]
+    many = R.with_(brands=tuple(Brand(o, f"Brand {o}", (), (w,), (f"login.{w}",)) for o, w in pairs))
+    return match_brand(hosts, many).select("n", "host", "brand")
+
+
+_SHARED_REG = "CASE WHEN n % 5 < 3 THEN 'shared.net' ELSE 'r' || CAST(n % 50 AS VARCHAR) || '.org' END"
+
+
+@query("registrable_context", f"""
+WITH {_RDAP}, {_CT}, own AS (
+  SELECT n, host, {_SHARED_REG} AS registrable FROM v_pages
+), first AS (
+  SELECT registrable, min(n) AS n FROM own GROUP BY registrable
+), keyed AS (
+  SELECT f.registrable, rd.created, rd.registrar, ctq.cert_count, ctq.earliest_date
+  FROM first f JOIN own o ON o.n = f.n JOIN rd ON rd.host = o.host JOIN ctq ON ctq.host = o.host)
+SELECT o.n, o.host, o.registrable, k.created, k.registrar, k.cert_count, k.earliest_date
+FROM own o JOIN keyed k ON k.registrable = o.registrable""", ("v_pages", "v_rdap", "v_ct"))
+def q_registrable_context(spark, sf_dir):
+    """Registration and certificate history keyed on a registrable that holds three fifths of the hosts, captured more than once."""
+    from lurewatch.operators.captures import ct_history, rdap_fields
+    from lurewatch.operators.skew import join_by_count
+    own = _v(spark, sf_dir, "v_pages").select("n", "host", F.expr(_SHARED_REG.replace("VARCHAR", "STRING")).alias("registrable"))
+    caps = _caps(spark, sf_dir)
+
+    def keyed(captures):
+        """Captures by registrable; the one of the least page is the latest."""
+        return captures.join(own, "host").withColumn("captured_at", -F.col("n")).drop("host", "n")
+
+    registration, history = rdap_fields(keyed(caps.rdap)), ct_history(keyed(caps.ct))
+    joined = join_by_count(own, registration.join(history, "registrable", "full"), "registrable", "host")
+    return joined.select("n", "host", "registrable", "registration.created", "registration.registrar", "ct.cert_count", "ct.earliest_date")
+
+
 @query("filter_counts", f"""
 SELECT CAST(count(*) FILTER (WHERE b IS NOT NULL) AS BIGINT) AS relevant,
        CAST(count(*) FILTER (WHERE b IS NULL) AS BIGINT) AS irrelevant

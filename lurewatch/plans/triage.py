@@ -9,7 +9,8 @@ Plan shape (what ``explain`` should show):
   pair is one ``groupBy(host)``;
 * every host-keyed roll-up is joined on ``host`` (partitioning reused), the
   registration and certificate-history roll-ups once on ``registrable``, with
-  the hosts of a registrable dealt over several tasks (``join_spread``);
+  the hosts of a frequent registrable dealt over as many tasks as their number
+  asks for (``operators.skew``);
 * all 25 rules are one projection, the verdict a second one.
 """
 
@@ -24,9 +25,11 @@ from lurewatch.functions.hosts import normalize_host
 from lurewatch.operators import captures as cap
 from lurewatch.operators.features import with_page_features
 from lurewatch.operators.match import brand_of, gate
+from lurewatch.operators.skew import join_by_count
 from lurewatch.operators.suffix import with_registrable
 from lurewatch.operators.verdict import classify
 from lurewatch.rules import RuleSet
+from lurewatch.sources.store import materialise
 
 
 @dataclass
@@ -67,7 +70,7 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
         return spark.createDataFrame([], schema)
 
     base = hosts.select("host").distinct()
-    ctx = with_registrable(base, rules)
+    ctx = named = with_registrable(base, rules)
     pair = http_pair_features(captures.http if captures.http is not None else empty(cap.HTTP_SCHEMA), rules)
     if captures.http is not None:
         ctx = ctx.join(pair, "host", "left")
@@ -98,29 +101,13 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     registration, history = cap.rdap_fields(rdap, key=captures.rdap_key), cap.ct_history(ct, key=captures.ct_key)
     if captures.rdap is not None and captures.ct is not None and captures.rdap_key == captures.ct_key != "host":
         # both roll-ups are partitioned on the key already; the hosts join them once
-        return join_spread(ctx, registration.join(history, captures.ct_key, "full"), captures.ct_key)
+        return join_by_count(ctx, registration.join(history, captures.ct_key, "full"), captures.ct_key, "host", named)
     for present, rolled, key, name in ((captures.rdap is not None, registration, captures.rdap_key, "registration"),
                                        (captures.ct is not None, history, captures.ct_key, "ct")):
-        ctx = join_spread(ctx, rolled, key) if present and key != "host" else attach(ctx, present, rolled, key, name)
+        ctx = join_by_count(ctx, rolled, key, "host", named) if present and key != "host" else attach(ctx, present, rolled, key, name)
     return ctx
 
 
-#: Tasks that the hosts of one registrable are dealt to.
-SPREAD = 8
-
-
-def join_spread(ctx: DataFrame, rolled: DataFrame, key: str, spread: int = SPREAD) -> DataFrame:
-    """Left join with a roll-up of one row per ``key``, with the hosts of each key dealt over ``spread`` tasks.
-
-    Adaptive execution can't split this join, because the roll-up is an
-    aggregate of the same stage; so a share of the hash of the host joins the
-    key, and the (small) roll-up rows are repeated for each share.
-    """
-    left = ctx.withColumn("__share", F.pmod(F.xxhash64("host"), F.lit(spread)))
-    right = rolled.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    return left.join(right, [key, "__share"], "left").drop("__share")
-
-
 def dedup_hosts(df: DataFrame, seen: DataFrame | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """C11/W3 batch form: first occurrence of each host wins; hosts already in ``seen`` are removed.
 
@@ -164,6 +151,8 @@ def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
         # no page captures at all: every host that passed the gates waits for its capture
         return kept.select("host", "source", "brand",
                            F.coalesce(F.col("_pre"), F.lit("pending")).alias("verdict"), *nulls)
+    # written once: the context and the result both build on it
+    kept = materialise(kept, "kept")
     todo = kept.where(F.col("_pre").isNull()).select("host")
     ctx = build_context(todo, captures, rules)
     scored = classify(ctx.where(F.col("primary").isNotNull()), rules, as_of).select(

@@ -27,6 +27,14 @@ def write_verdicts(df: DataFrame, root: str, fmt: str = "parquet", mode: str = "
         irrelevant.drop("brand").write.mode(mode).parquet(f"{root}/irrelevant")
 
 
+def write_batches(df: DataFrame, root: str) -> None:
+    """Verdicts with a ``batch_id``, in partitions brand / verdict / batch: a batch written again replaces its own files only."""
+    rows = df.withColumn("host", F.trim("host"))
+    for part, keys, name in ((rows.where(F.col("brand").isNotNull()), ["brand", "verdict", "batch_id"], "brands"),
+                             (rows.where(F.col("brand").isNull()).drop("brand"), ["batch_id"], "irrelevant")):
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/{name}")
+
+
 def read_verdicts(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """Read a sink back as ``host, brand, verdict`` (irrelevant rows get a null brand)."""
     if fmt == "text":
@@ -37,7 +45,7 @@ def read_verdicts(spark: SparkSession, root: str, fmt: str = "parquet") -> DataF
             F.lit("irrelevant").alias("verdict"))
     else:
         # schemas are given: either part may hold no file
-        b = spark.read.schema("host string, brand string, verdict string").parquet(f"{root}/brands")
+        b = spark.read.schema("host string, brand string, verdict string").parquet(f"{root}/brands").select("host", "brand", "verdict")
         i = spark.read.schema("host string, verdict string").parquet(f"{root}/irrelevant").select(
             "host", F.lit(None).cast("string").alias("brand"), "verdict")
     return b.unionByName(i)

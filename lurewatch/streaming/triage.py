@@ -6,9 +6,12 @@ survives restarts; use the RocksDB state store provider for size) ->
 ``foreachBatch`` (W1): brand attribution, gates, a stream-static join to the
 latest capture tables (W6), rules, verdict, and an idempotent append of the
 batch to the sink keyed by ``batch_id`` (W5: a replayed batch overwrites only
-its own ``batch_id`` partition).  Hosts that were pending are taken up again in
-the first batch after their capture has arrived; ``latest_verdicts`` reads the
-sink with one row per host.
+its own ``batch_id`` partition).  Hosts that wait for their capture are a table of
+their own next to the sink, changed by each batch (``sources.store.Delta``): a
+batch takes up those whose capture has arrived and never reads the sink, so its
+work follows its own hosts, the new captures and the waiting hosts, not history.
+``latest_verdicts`` reads the sink with one row per host; ``settle`` carries new
+batches over to the brand/verdict layout.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lurewatch.plans.triage import Captures, triage
 from lurewatch.rules import RuleSet
 from lurewatch.sources.feeds import stream_text_feed
+from lurewatch.sources.sinks import write_batches
+from lurewatch.sources.store import Delta, get_json, materialise, names, put_json, remove
 
 
 def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool]]) -> DataFrame:
@@ -35,13 +40,17 @@ def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool
 
 SINK_SCHEMA = ("host string, source string, brand string, verdict string, score double, tally int, decided_by string, "
                "batch_id long")
+PENDING_SCHEMA = "host string, source string, brand string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], Captures], rules: RuleSet,
                  as_of: Column, sink: str, checkpoint: str, trigger: dict | None = None,
                  state_store: str | None = ROCKSDB, forget_after: str | None = None) -> StreamingQuery:
-    """Start the streaming triage; ``captures`` is called per batch so each batch sees the latest captures.
+    """Start the streaming triage; ``captures`` is called per batch.
+
+    It may give all captures or only those that have arrived since the batch
+    before: hosts seen earlier are found in the pending table either way.
 
     Dedup is exact and unbounded by default (every host is triaged once, ever).
     ``forget_after`` (e.g. ``"30 days"``) switches to the bounded form: a host
@@ -64,14 +73,20 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by every roll-up of the batch
+        waiting = pending_table(spark, sink)
         try:
             latest = captures()
             raw = batch.select(F.col("host").alias("line"), "source")
-            if latest.http is not None:
-                raw = raw.unionByName(due(spark, sink, latest.http, batch_id))
+            taken = due(spark, sink, latest.http, batch_id) if latest.http is not None else None
+            if taken is not None:
+                taken = materialise(taken, "due")
+                raw = raw.unionByName(taken)
             out = triage(raw, latest, rules, as_of).withColumn("batch_id", F.lit(batch_id))
-            (out.where(F.col("verdict").isNotNull()).write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+            out = materialise(out.where(F.col("verdict").isNotNull()), "batch")
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink)
+            still = out.where(F.col("verdict") == "pending").select("host", "source", "brand")
+            settled = taken.select(F.col("line").alias("host")) if taken is not None else still.select("host").limit(0)
+            waiting.change(batch_id, settled, still)
         finally:
             batch.unpersist()
 
@@ -80,11 +95,16 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
     return writer.start()
 
 
-def latest_verdicts(spark: SparkSession, sink: str, before: int | None = None) -> DataFrame:
-    """One row per host of a streamed sink: the one of its latest batch (before batch ``before`` if given)."""
+def pending_table(spark: SparkSession, sink: str) -> Delta:
+    """Hosts that wait for their capture, next to the sink."""
+    return Delta(spark, f"{sink.rstrip('/')}-pending", PENDING_SCHEMA, "host")
+
+
+def latest_verdicts(spark: SparkSession, sink: str, after: int | None = None) -> DataFrame:
+    """One row per host of a streamed sink: the one of its latest batch (of the batches past ``after`` if given)."""
     rows = spark.read.schema(SINK_SCHEMA).parquet(sink)
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
+    if after is not None:
+        rows = rows.where(F.col("batch_id") > after)
     rest = [c for c in rows.columns if c != "host"]
     return rows.groupBy("host").agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_l")).select("host", "_l.*")
 
@@ -94,11 +114,25 @@ def due(spark: SparkSession, sink: str, http: DataFrame, batch_id: int) -> DataF
 
     Only earlier batches count, so a replayed batch takes up the same hosts again.
     """
-    pending = latest_verdicts(spark, sink, batch_id).where(F.col("verdict") == "pending")
-    return pending.join(http.select("host").distinct(), "host", "left_semi").select(F.col("host").alias("line"), "source")
+    waiting = pending_table(spark, sink).read(batch_id)
+    return waiting.join(http.select("host").distinct(), "host", "left_semi").select(F.col("host").alias("line"), "source")
 
 
 def settle(spark: SparkSession, sink: str, root: str) -> None:
-    """Writes the latest verdict of every host in the brand/verdict layout of the batch sink."""
-    from lurewatch.sources.sinks import write_verdicts
-    write_verdicts(latest_verdicts(spark, sink).drop("batch_id"), root, mode="overwrite")
+    """Carries the batches since the last call over to the brand/verdict layout of the batch sink.
+
+    Verdicts that stand are appended, each batch in its own ``batch_id``
+    partition, so a repeated call writes the same files again; of the pending ones,
+    which later batches replace, only the partitions ``verdict=pending`` are written anew.
+    ``settled.json`` names the last batch carried over.
+    """
+    done = get_json(spark, f"{root}/settled.json") if "settled.json" in names(spark, root) else -1
+    new = latest_verdicts(spark, sink, done)
+    last = new.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return
+    write_batches(new.where(F.col("verdict") != "pending"), root)
+    for brand in names(spark, f"{root}/brands"):
+        remove(spark, f"{root}/brands/{brand}/verdict=pending")
+    write_batches(pending_table(spark, sink).read().select("*", F.lit("pending").alias("verdict"), F.lit(last).alias("batch_id")), root)
+    put_json(spark, f"{root}/settled.json", last)
