@@ -19,15 +19,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.llm.scratch import Scratch
 
-#: Least share of an entity's information, and share of the documents from which on a term's count is broadcast (its rows would fill a task).
-DISCLOSURE, FREQUENT = 0.8, 0.001
+#: Least share of an entity's information.
+DISCLOSURE = 0.8
 KINDS = ["email", "ip", "card", "phone", "term"]
-TERM = re.compile(r"[^\W\d_]{2,}")
+#: Letters that stand alone: those inside identifiers and hexadecimal strings are no words.
+TERM = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 #: Patterns of the base kinds (fixed values); e-mail and IP addresses are matched from their anchors, see below.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -153,23 +154,46 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def reveals(both: Column, of_entity: Column, of_term: Column, n: float) -> Column:
+    """Whether a term in ``of_term`` of ``n`` documents, ``both`` of them with the entity, tells enough of it."""
+    information = F.log2(F.lit(n) / of_entity)
+    shared = F.log2(F.lit(n) * (both + of_entity / F.lit(n)) / ((of_term + 1) * of_entity))
+    return (information > 0) & (shared >= F.lit(DISCLOSURE) * information)
+
+
 def disclosing(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, told): the terms of a document that give one of its entities away.  ``rows`` has ``row``, ``entities`` and ``terms``, both distinct."""
-    near = rows.select("row", F.explode("entities").alias("entity"), "terms").select("row", "entity", F.explode("terms").alias("term"))
-    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    """(row, told): the terms of a document that give one of its entities away.  ``rows`` has ``row``, ``entities`` and ``terms``, both distinct.
+
+    Entities are never paired with the terms of a document one by one:
+
+    * Entities of the same documents are one class, told by its hash of rows.
+    * A term that meets a class in one document only tells most of the class of
+      the fewest documents, so each term of a document is judged once.
+    * A term that meets a class in two documents or more stands in one that
+      isn't the class's longest, so these list their terms, and the
+      longest is asked for them.
+    """
+    n = float(docs.count())
     terms = scratch.write(docs.select("text").mapInArrow(_vocabulary, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term")))
-    total = docs.count()
-    n = F.lit(float(total))
-    information = F.log2(n / F.col("of_entity"))
-    shared = F.log2(n * (F.col("both") + F.col("of_entity") / n) / ((F.col("of_term") + 1) * F.col("of_entity")))
-    reveals = (information > 0) & (shared >= F.lit(DISCLOSURE) * information)
-    frequent = terms.filter(F.col("of_term") > FREQUENT * total)  # at most 1 / FREQUENT times the terms of a mean document
-    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).join(entities, "entity").join(F.broadcast(frequent), "term", "left")
-    joint = scratch.write(joint.filter(F.col("of_term").isNull() | reveals))
-    rare = joint.filter(F.col("of_term").isNull()).drop("of_term").join(terms, "term").filter(reveals)
-    told = scratch.write(joint.filter(F.col("of_term").isNotNull()).select("entity", "term").unionByName(rare.select("entity", "term")))
+    named = rows.select("row", F.size("terms").alias("length"), F.explode("entities").alias("entity"))
+    classes = scratch.write(named.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")))
+    member = scratch.write(named.join(classes.hint("merge"), "entity").groupBy("row", "length", "of_entity", "a", "b").agg(F.lit(1).alias("one")).drop("one"))
+    fewest = member.groupBy("row").agg(F.min("of_entity").alias("of_entity"))
+    judged = scratch.write(rows.select("row", F.explode("terms").alias("term")).join(terms.hint("merge"), "term"))
+    once = judged.join(fewest.hint("merge"), "row").filter(reveals(F.lit(1), F.col("of_entity"), F.col("of_term"), n)).select("row", "term")
+    # classes of several documents: all but the longest one list their terms
+    several = member.filter("of_entity > 1")
+    longest = scratch.write(several.groupBy("of_entity", "a", "b").agg(F.max(F.struct("length", "row")).alias("longest")).select("of_entity", "a", "b", F.col("longest.row").alias("longest")))
+    marked = several.join(longest.hint("merge"), ["of_entity", "a", "b"])
+    listed = scratch.write(marked.filter("row <> longest").join(judged.hint("merge"), "row").select("of_entity", "a", "b", "longest", "row", "term", "of_term"))
+    met = listed.groupBy("of_entity", "a", "b", "longest", "term").agg(F.count(F.lit(1)).alias("listed"), F.first("of_term").alias("of_term"))
+    here = judged.select(F.col("row").alias("longest"), "term", F.lit(1).alias("here"))
+    both = F.col("listed") + F.coalesce("here", F.lit(0))
+    told = scratch.write(met.join(here.hint("merge"), ["longest", "term"], "left").filter(reveals(both, F.col("of_entity"), F.col("of_term"), n)).select("of_entity", "a", "b", "longest", "term", "here"))
+    others = listed.join(told.hint("merge"), ["of_entity", "a", "b", "term"], "left_semi").select("row", "term")
+    found = once.unionByName(others).unionByName(told.filter("here = 1").select(F.col("longest").alias("row"), "term"))
     # of each document, the terms that apply
-    return scratch.write(near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("told")))
+    return scratch.write(found.groupBy("row").agg(F.collect_set("term").alias("told")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
