@@ -183,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     measured = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, kinds))
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("_quality"))
     known = scratch.write(measured.filter(~held_out).join(known, "doc_id"))
-    taught = bounded_sample(known, "doc_id", sample).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")[:sample]
+    taught = bounded_sample(known, ["doc_id", *FEATURES], sample).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
     model = fit(taught[FEATURES].to_numpy(dtype=np.float64), taught["_quality"].to_numpy(dtype=np.float64))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

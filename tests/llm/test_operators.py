@@ -264,7 +264,9 @@ def test_token_files(spark, odd, monkeypatch):
     manifest = token_files.write(more.withColumn("shard", F.lit("mine")), root, path, tokenizers_dir.PATTERN)
     rows = token_files.read(manifest, root).collect()
     start, want = 0, []
-    for d, t in sorted((r.doc_id, r.text or "") for r in more.collect() if r.doc_id is not None):
+    # rows without an id come first
+    for _, d, t in sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in more.collect()):
+        d = d if _ else None
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
         want.append((d, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
