@@ -188,16 +188,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold(shift: Column, entries: Column, ids: Column) -> Column:
-    """Ids of one piece: merges folded over its array of byte ids.  A step merges the leftmost pair of lowest rank, if any."""
+    """Ids of one piece: merges folded over its array of byte ids.
+
+    A step merges the leftmost pair of lowest rank.  Where none merges, a null
+    in front says so, and the steps that are left pass the ids on.
+    """
+    rest, over = F.lit(1 << 30), F.array(F.lit(None).cast("int"))
+
     def step(x: Column, _: Column) -> Column:
         def merge(ranks: Column) -> Column:
             def put(low: Column) -> Column:
-                done = _let(F.array_position(ranks, low).cast("int"), lambda at: F.concat(F.slice(x, F.lit(1), at - 1), F.array(low.cast("int")), F.slice(x, at + 2, F.lit(1 << 30))))
-                return F.when(low <= MASK, done).otherwise(x)
+                done = _let(F.array_position(ranks, low).cast("int"), lambda at: F.concat(F.slice(x, F.lit(1), at - 1), F.array(low.cast("int")), F.slice(x, at + 2, rest)))
+                return F.when(low <= MASK, done).otherwise(F.concat(over, x))
             return _let(F.array_min(ranks), put)
-        return _let(F.zip_with(x, F.slice(x, F.lit(2), F.lit(1 << 30)), lambda a, b: _rank(shift, entries, a, b)), merge)
+        return F.when(F.get(x, 0).isNull(), x).otherwise(_let(F.zip_with(x, F.slice(x, F.lit(2), rest), lambda a, b: _rank(shift, entries, a, b)), merge))
 
-    return F.when(F.size(ids) > 1, F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, step)).otherwise(ids)
+    folded = F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, step, lambda x: F.when(F.get(x, 0).isNull(), F.slice(x, F.lit(2), rest)).otherwise(x))
+    return F.when(F.size(ids) > 1, folded).otherwise(ids)
 
 
 def _pieces(path: str) -> list[bytes]:
