@@ -1,9 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join.  DataFrame operations only.
 
-A line of at least ``LEAST_WORDS`` words is dropped if the corpus has an
-earlier occurrence of it, or if an earlier line differs from it by one word
-(replaced, inserted or left out).  Earlier means a smaller document id, then a
-smaller place.  Shorter lines always stay.
+Every line with a word is dropped if the corpus has an earlier occurrence of it.
+A line of at least ``LEAST_WORDS`` words is also dropped if it is one word
+(replaced, inserted or left out) away from an earlier line that is kept: a
+similarity of 0.8 or more.  Earlier means a smaller document id, then a smaller
+place.  What a dropped line resembles stays, so no text is lost without a kept neighbour.
 
 1. Equal lines: the earliest occurrence of each pair of 64-bit hashes.
 2. Candidates: one edit leaves a line's beginning or its end as it was, so only
@@ -11,9 +12,12 @@ smaller place.  Shorter lines always stay.
 3. Deletion neighbourhood: a candidate emits the hashes of all its variants
    with one word left out.  Lines with an equal variant at the same place
    differ by a replaced word, and a line equal to another's variant lacks a
-   word of it.  Each hash keeps its earliest line only (minima combine before
-   the shuffle), so a group of similar lines never becomes pairs.
+   word of it.  Lines of one hash are a group and never become pairs: its
+   earliest line (minima combine before the shuffle) stands for it.
 4. The edit distance of a line to that earliest one is verified word by word.
+   A line without such a neighbour is kept, one whose neighbour is kept goes.
+   For the few others, whose neighbours went themselves, the groups' earliest
+   lines that haven't gone are looked up again, until all are settled.
 
 Joins sort and merge at every size, so that the work on small tables foretells large ones.
 """
@@ -26,17 +30,20 @@ from pyspark.sql import functions as F
 from lurewatch.llm.scratch import Scratch
 
 LEAST_WORDS = 5
+#: The characters between words, as a class and as a list.
 SPACE = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    bare = F.btrim(line, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line_no, w) of the lines with enough words."""
+    """(id, line_no, w) of the lines with a word."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("id", "line_no", _words(F.col("line")).alias("w")).filter(F.size("w") >= LEAST_WORDS)
+    return lines.select("id", "line_no", _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
 
 
 def _ends(w: Column) -> Column:
@@ -46,14 +53,14 @@ def _ends(w: Column) -> Column:
     """
     n = F.size(w)
     size = lambda k: F.pow(F.lit(2.0), F.floor(F.log2(k / 2))).cast("int")
-    each = F.array_distinct(F.array(size(n - 1), size(n), size(n + 1)))
 
-    def both(s: Column) -> Column:
-        def end(side: str, from_: Column) -> Column:
-            return F.struct(F.xxhash64(F.lit(side), s, F.slice(w, from_, s)).alias("key"), F.lit(side).alias("side"), s.alias("width"))
-        return F.array(end("begin", F.lit(1)), end("end", n - s + 1))
+    def end(side: str, s: Column, from_: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(side), s, F.slice(w, from_, s)).alias("key"), F.lit(side).alias("side"), s.alias("width"))
 
-    return F.flatten(F.transform(each, both))
+    low, high = size(n - 1), size(n + 1)
+    both = [end("begin", low, F.lit(1)), end("end", low, n - low + 1)]
+    more = [end("begin", high, F.lit(1)), end("end", high, n - high + 1)]
+    return F.when(n < LEAST_WORDS, F.array().cast("array<struct<key:bigint,side:string,width:int>>")).when(low == high, F.array(*both)).otherwise(F.array(*both, *more))
 
 
 def _variants(w: Column, begin: Column, end: Column, uneven: Column) -> Column:
@@ -89,28 +96,62 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) == F.size(b) + 1, lacks(a, b)).when(F.size(b) == F.size(a) + 1, lacks(b, a)).otherwise(F.lit(False))
 
 
+def _settle(groups: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(r) of the lines that go: those one word away from an earlier line that is kept.
+
+    ``groups`` has (key, role, r), r in order of place.  Of a replaced word
+    (role 0) the partners are the same group, of a missing one (1) the lines that
+    are what is left (2), and the other way round.
+    """
+    partner = F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role"))
+    words = lambda name: lines.select(F.col("r").alias(name), F.col("w").alias(f"w_{name}")).hint("merge")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(words("r"), "r").join(words("before"), "before")
+        return both.filter(_one_edit(F.col("w_r"), F.col("w_before"))).select("r", "before")
+
+    def earliest(members: DataFrame) -> DataFrame:
+        return members.groupBy("key", F.col("role").alias("of")).agg(F.min("r").alias("before")).hint("merge")
+
+    looking = groups.withColumn("of", partner)
+    pairs = scratch.write(verified(looking.join(earliest(groups), ["key", "of"]).filter("before < r").select("r", "before")))
+    having = pairs.select("r").distinct()
+    # those whose neighbour has none itself go
+    gone = scratch.write(pairs.join(having.select(F.col("r").alias("before")).hint("merge"), "before", "left_anti").select("r").distinct())
+    open_ = scratch.write(having.join(gone.hint("merge"), "r", "left_anti"))
+    while open_.limit(1).count():
+        touched = looking.join(open_.hint("merge"), "r", "left_semi").select("key").distinct()
+        here = looking.join(touched.hint("merge"), "key", "left_semi").join(gone.hint("merge"), "r", "left_anti")
+        here = scratch.write(here.join(open_.withColumn("open", F.lit(True)).hint("merge"), "r", "left").select("key", "role", "of", "r", F.coalesce("open", F.lit(False)).alias("open")))
+        asking = here.filter("open")
+        near_kept = verified(asking.join(earliest(here.filter("not open")), ["key", "of"]).filter("before < r").select("r", "before")).select("r").distinct()
+        near_kept = scratch.write(near_kept)
+        waiting = asking.join(earliest(asking), ["key", "of"]).filter("before < r").select("r").distinct()
+        gone = scratch.write(gone.unionByName(near_kept))
+        open_ = scratch.write(waiting.join(near_kept.hint("merge"), "r", "left_anti"))
+    return gone
+
+
 def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h1, h2) of the distinct lines that differ by one word from an earlier one."""
+    """(h1, h2) of the distinct lines that are one word away from an earlier one that is kept."""
     keys = distinct.select(F.explode("ends").alias("end"), "h1", "n").select("end.*", "h1", "n")
     shared = scratch.write(keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), (F.min("n") < F.max("n")).alias("uneven")).filter("x <> y").select("key", "uneven"))
     wanted = keys.join(shared.hint("merge"), "key").groupBy("h1").agg(
         F.min(F.when(F.col("side") == "begin", F.col("width"))).alias("begin"), F.min(F.when(F.col("side") == "end", F.col("width"))).alias("end"), F.max("uneven").alias("uneven"))
     places = scratch.write(distinct.join(wanted.hint("merge"), "h1").select("first.id", F.struct("first.line_no", "begin", "end", "uneven").alias("place")))
     by_doc = places.groupBy("id").agg(F.collect_list("place").alias("places"))
-    # the words of the candidates, from the documents that hold them
-    lines = scratch.write(docs.join(by_doc.hint("merge"), "id").select("id", F.split("text", "\n").alias("lines"), F.explode("places").alias("p")).select(
-        F.struct("id", "p.line_no").alias("at"), _words(F.get("lines", F.col("p.line_no"))).alias("w"), "p.begin", "p.end", "p.uneven").dropDuplicates(["at"]))
+    # the words of the candidates, from the documents that hold them, numbered in order of place
+    lines = docs.join(by_doc.hint("merge"), "id").select("id", F.split("text", "\n").alias("lines"), F.explode("places").alias("p")).select(
+        "id", "p.line_no", _words(F.get("lines", F.col("p.line_no"))).alias("w"), "p.begin", "p.end", "p.uneven").dropDuplicates(["id", "line_no"])
+    lines = scratch.write(lines.sort("id", "line_no").withColumn("r", F.monotonically_increasing_id()))
     scratch.drop(shared, places)
-    emitted = lines.select("at", F.explode(_variants(F.col("w"), F.col("begin"), F.col("end"), F.col("uneven"))).alias("v")).select("at", "v.key", "v.role")
-    whole = F.col("role") == 2
-    least = scratch.write(emitted.groupBy("key").agg(F.min(F.when(~whole, F.col("at"))).alias("other"), F.min(F.when(whole, F.col("at"))).alias("whole"), F.max("at").alias("last")).filter(
-        F.least("other", "whole") < F.col("last")))
-    # a replaced word: the earliest with the variant; a missing word: the line that lacks it, and the other way round
-    partner = F.when(F.col("role") == 1, F.col("whole")).otherwise(F.col("other"))
-    pairs = emitted.join(least.hint("merge"), "key").select("at", partner.alias("before")).filter("before < at").distinct()
-    verified = pairs.join(lines.select("at", "w"), "at").join(lines.select(F.col("at").alias("before"), F.col("w").alias("bw")), "before").filter(_one_edit(F.col("w"), F.col("bw")))
-    found = scratch.write(verified.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")).distinct())
-    scratch.drop(least, lines)
+    emitted = scratch.write(lines.select("r", F.explode(_variants(F.col("w"), F.col("begin"), F.col("end"), F.col("uneven"))).alias("v")).select("r", "v.key", "v.role"))
+    several = emitted.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("y")).filter("x < y").select("key")
+    groups = scratch.write(emitted.join(several.hint("merge"), "key", "left_semi").distinct())
+    scratch.drop(emitted)
+    gone = _settle(groups, lines, scratch)
+    found = scratch.write(lines.join(gone.hint("merge"), "r", "left_semi").select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")).distinct())
+    scratch.drop(groups, lines)
     return found
 
 
@@ -157,8 +198,17 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
-#: Variants here are the words themselves, with the left-out place marked; no hashes and no candidates.
-ORACLE_SQL = r"""
+def _oracle(rounds: int = 12) -> str:
+    """Variants here are the words themselves, with the left-out place marked; no hashes and no candidates.  Neighbours settle in rounds."""
+    out = ""
+    for k in range(rounds):
+        out += f"""
+k{k + 1} AS MATERIALIZED (
+  SELECT s, first, CASE WHEN state <> 'open' THEN state WHEN near_kept THEN 'gone' WHEN NOT near_open THEN 'kept' ELSE 'open' END AS state
+  FROM (SELECT a.s, a.first, any_value(a.state) AS state, coalesce(bool_or(b.state = 'kept'), false) AS near_kept, coalesce(bool_or(b.state = 'open'), false) AS near_open
+        FROM k{k} a LEFT JOIN e ON e.s = a.s LEFT JOIN k{k} b ON b.s = e.t GROUP BY a.s, a.first)
+),"""
+    return rf"""
 WITH l AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), o AS (
@@ -166,26 +216,29 @@ WITH l AS (
   FROM l, unnest(generate_series(1, len(ls))) AS g(i)
   WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), q AS (
-  SELECT doc_id, line_no, array_to_string(w, ' ') AS s, w, {'d': doc_id, 'n': line_no} AS pos FROM o WHERE len(w) >= 5
+  SELECT doc_id, line_no, array_to_string(w, ' ') AS s, w, {{'d': doc_id, 'n': line_no}} AS pos FROM o WHERE len(w) >= 1
 ), u AS (
   SELECT s, min(pos) AS first, any_value(w) AS w FROM q GROUP BY s
-), v AS (
+), long AS (
+  SELECT * FROM u WHERE len(w) >= {LEAST_WORDS}
+), v AS MATERIALIZED (
   SELECT s, first, 'at ' || i || ':' || array_to_string(list_concat(w[1:i-1], ['?'], w[i+1:]), ' ') AS key, 0 AS role
-  FROM u, unnest(generate_series(1, len(w))) AS g(i)
+  FROM long, unnest(generate_series(1, len(w))) AS g(i)
   UNION
   SELECT s, first, 'of ' || array_to_string(list_concat(w[1:i-1], w[i+1:]), ' '), 1
-  FROM u, unnest(generate_series(1, len(w))) AS g(i)
+  FROM long, unnest(generate_series(1, len(w))) AS g(i)
   UNION
-  SELECT s, first, 'of ' || s, 2 FROM u
-), m AS (
-  SELECT key, min(first) FILTER (WHERE role <> 2) AS other, min(first) FILTER (WHERE role = 2) AS whole FROM v GROUP BY key
-), n AS (
-  SELECT DISTINCT v.s FROM v JOIN m USING (key)
-  WHERE CASE WHEN v.role = 1 THEN m.whole ELSE m.other END < v.first
-), gone AS (
+  SELECT s, first, 'of ' || s, 2 FROM long
+), e AS MATERIALIZED (
+  -- each line with its earlier neighbours
+  SELECT DISTINCT a.s, b.s AS t FROM v a JOIN v b ON a.key = b.key AND b.first < a.first AND (a.role + b.role = 0 OR a.role + b.role = 3)
+), k0 AS MATERIALIZED (
+  SELECT s, first, CASE WHEN s IN (SELECT s FROM e) THEN 'open' ELSE 'kept' END AS state FROM long
+),{out}
+gone AS (
   SELECT q.doc_id, list(DISTINCT q.line_no) AS drops
-  FROM q JOIN u USING (s) LEFT JOIN n ON n.s = q.s
-  WHERE n.s IS NOT NULL OR q.pos <> u.first GROUP BY q.doc_id
+  FROM q JOIN u USING (s) LEFT JOIN k{rounds} k ON k.s = q.s
+  WHERE k.state = 'gone' OR q.pos <> u.first GROUP BY q.doc_id
 )
 SELECT d.doc_id,
        CASE WHEN g.drops IS NULL THEN d.text ELSE
@@ -194,3 +247,6 @@ SELECT d.doc_id,
        CAST(coalesce(len(g.drops), 0) AS BIGINT) AS n_dropped
 FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id
 """
+
+
+ORACLE_SQL = _oracle()

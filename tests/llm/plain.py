@@ -80,21 +80,26 @@ def edits(a, b):
 
 
 def dedup_lines(docs, least_words=5):
-    """[(doc_id, text without repeated and near-repeated lines, dropped)]; docs in any order."""
+    """[(doc_id, text without repeated lines and those near an earlier kept one, dropped)]; docs in any order."""
     first = {}
     for d, t in sorted((x for x in docs if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
         for i, line in enumerate(t.split("\n")):
             w = tuple(words(line))
-            if len(w) >= least_words:
+            if w:
                 first.setdefault(w, (d, i))
-    near = {w for w, at in first.items() if any(o < at and abs(len(v) - len(w)) <= 1 and edits(v, w) == 1 for v, o in first.items())}
+    near, kept = set(), {}
+    for w in sorted((w for w in first if len(w) >= least_words), key=first.get):
+        if any(edits(v, w) == 1 for n in (len(w) - 1, len(w), len(w) + 1) for v in kept.get(n, ())):
+            near.add(w)
+        else:
+            kept.setdefault(len(w), []).append(w)
     out = []
     for d, t in docs:
         if d is None or t is None:
             out.append((d, t, 0))
             continue
         lines = t.split("\n")
-        keep = [x for i, x in enumerate(lines) if len(words(x)) < least_words or (tuple(words(x)) not in near and first[tuple(words(x))] == (d, i))]
+        keep = [x for i, x in enumerate(lines) if not words(x) or (tuple(words(x)) not in near and first[tuple(words(x))] == (d, i))]
         out.append((d, "\n".join(keep), len(lines) - len(keep)))
     return out
 
