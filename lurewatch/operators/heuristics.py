@@ -51,6 +51,7 @@ class Rule:
     name: str
     weight: int
     outcome: Callable[[RuleContext], Column]
+    can_fail: bool = False  # the outcome has an ``error`` field
 
 
 def _b(c: Column) -> Column:

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import replace
 from encodings import idna
 
 import pandas as pd
@@ -32,6 +34,32 @@ def _suspicious(hits: pd.Series, evidence: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"scam": False, "benign": False, "suspicious": hits, "evidence": evidence.where(hits, None)})
 
 
+GUARDED_STRUCT = T.StructType([*RESULT_STRUCT.fields, T.StructField("error", T.StringType())])
+
+
+def guarded_rule(name: str, weight: int, judge: Callable[[str], tuple[bool, str | None]], attempts: int = 2) -> Rule:
+    """A rule that may raise on a host.  ``judge`` gives (suspicious, evidence) of a host.
+
+    A host on which it raises is tried once more; if that fails too, the host
+    alone carries the error and its batch goes on.
+    """
+    def one(host: str | None) -> tuple:
+        for _ in range(attempts):
+            try:
+                hit, evidence = judge(host or "")
+                return False, False, bool(hit), evidence if hit else None, None
+            except Exception as failure:  # whatever a rule raises belongs to its host
+                error = f"{name}: {type(failure).__name__}: {failure}"
+        return False, False, False, None, error
+
+    @F.pandas_udf(GUARDED_STRUCT)
+    def outcome(host: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(h) for h in host], columns=[f.name for f in GUARDED_STRUCT.fields])
+
+    rule = python_rule(name, weight, lambda: outcome(F.col("host")))
+    return replace(rule, can_fail=True)
+
+
 def label_entropy(host: str | None) -> float:
     """Bits per character of the first label."""
     label = (host or "").partition(".")[0]

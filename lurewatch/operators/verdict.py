@@ -74,6 +74,11 @@ def classify(context: DataFrame, rules: RuleSet, as_of: Column,
     out = staged.select("*", F.when(g.isNull(), F.col("_first.name")).alias("decided_by"), verdict.alias("verdict"))
     if keep_results:
         out = out.withColumn("results", rule_results(registry))
+    failing = [F.col(_rcol(i))["error"] for i, r in enumerate(registry, 1) if r.can_fail]
+    if failing:
+        # a host on which a rule failed has no verdict
+        out = out.withColumn("rule_error", F.when(g.isNull(), F.coalesce(*failing, F.lit(None).cast("string"))))
+        out = out.withColumn("verdict", F.when(F.col("rule_error").isNotNull(), F.lit("failed")).otherwise(F.col("verdict")))
     drop = [_rcol(i) for i in range(1, len(registry) + 1)] + ["_first", "_lookalike", "_reg_age", "_diff_ratio"]
     return out.drop(*drop)
 

@@ -23,7 +23,7 @@ from lurewatch.operators.match import gate, is_auto_scam, is_trusted
 from lurewatch.operators.suffix import owned_by_brand, with_registrable
 from lurewatch.plans import oracle as O
 from lurewatch.plans.views import register_views, with_views
-from lurewatch.rules import DRIVER_AS_OF, DRIVER_RULES
+from lurewatch.rules import DRIVER_AS_OF, DRIVER_RULES, Brand
 
 R = DRIVER_RULES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1089,6 +1089,74 @@ def q_all_sources(spark, sf_dir):
     return read_sources(spark, root, _ALL_SOURCES).distinct()
 
 
+#: Page hosts name none of the rules' brands; two more watched ones let most of them through to the captures.
+_WATCHED = R.with_(brands=(*R.brands, Brand(3, "Example", (), ("example.com", "example.org"), ("blog.",)), Brand(4, "Net", (), ("example.net",), ())))
+
+@query("stream_all_sources", f"""
+SELECT DISTINCT source, host FROM (
+  SELECT source, {O.norm_sql('line')} AS host FROM ({_SOURCES_SQL}) s
+  WHERE NOT (rule AND (line = '' OR starts_with(line, '#')))) t
+WHERE host <> ''""", ("v_raw",))
+def q_stream_all_sources(spark, sf_dir):
+    """Every source as a stream, polled by interval into the shared landing log, the mirror chosen per cycle."""
+    from lurewatch.streaming.cadence import LOG_SCHEMA, start_groups
+    root = _scratch(spark, "poll")
+    _land_sources(spark, sf_dir, f"{root}/landing")
+    for polls in start_groups(spark, f"{root}/landing", f"{root}/log", f"{root}/checkpoint", _ALL_SOURCES, once=True).values():
+        polls.awaitTermination()
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log").select("source", "host").distinct()
+
+
+_DATE = "'20' || CAST(10 + n % 16 AS VARCHAR) || '-0' || CAST(1 + n % 9 AS VARCHAR) || '-01'"
+
+
+@query("ct_history_stream", f"""
+WITH reg AS ({O.registrable_cte(R, 'v_hosts')})
+SELECT reg.registrable, count(*) AS cert_count, min({_DATE}) AS earliest_date
+FROM v_hosts v JOIN reg ON reg.host = v.host WHERE reg.registrable <> '' GROUP BY reg.registrable""", ("v_hosts",))
+def q_ct_history_stream(spark, sf_dir):
+    """Certificate messages of every host, merged batch by batch into the history of its registrable."""
+    from lurewatch.operators.certificates import history_table, start_history
+    root = _scratch(spark, "ct-stream")
+    hosts = _v(spark, sf_dir, "v_hosts").select("n", "host", F.expr(_DATE.replace("VARCHAR", "STRING")).alias("d"))
+    leaf = F.struct(F.array("host", F.upper("host")).alias("all_domains"), F.col("d").alias("not_before"))
+    message = F.to_json(F.struct(F.lit("certificate_update").alias("message_type"), F.struct(leaf.alias("leaf_cert")).alias("data")))
+    hosts.repartition(3, "n").select(message.alias("value")).write.text(f"{root}/landing")
+    start_history(spark, f"{root}/landing", f"{root}/history", f"{root}/checkpoint", R, files=1).awaitTermination()
+    return history_table(spark, f"{root}/history").read()
+
+
+@query("rule_errors", f"""
+WITH RECURSIVE {_CTX}, {_verdict_sql()}
+SELECT DISTINCT host, CASE WHEN host LIKE 'p1%' THEN 'failed' ELSE verdict END AS verdict,
+       CASE WHEN host LIKE 'p1%' THEN 2 END AS attempts
+FROM (SELECT sv.host, {O.brand_sql('sv.host', _WATCHED)} AS brand, sv.verdict FROM sv) t
+WHERE brand IS NOT NULL AND verdict IS NOT NULL AND NOT {O.contains_any_sql('lower(host)', R.auto_scam_l, False)}""", _ALL_VIEWS)
+def q_rule_errors(spark, sf_dir):
+    """A rule raises on some hosts; their batches commit, they are tried once more and stay in the error table."""
+    from lurewatch.operators.heuristics import DEFAULT_REGISTRY
+    from lurewatch.operators.match import gate, relevant
+    from lurewatch.operators.python_rules import guarded_rule
+    from lurewatch.streaming.triage import error_table, start_triage, stream_hosts
+    root = _scratch(spark, "rule-errors")
+
+    def judge(host):
+        if host.startswith("p1"):
+            raise ValueError("no answer")
+        return False, None
+
+    registry = (*DEFAULT_REGISTRY, guarded_rule("remote_check", 0, judge))
+    hosts = _v(spark, sf_dir, "v_pages").select("host").distinct()
+    todo = relevant(hosts, _WATCHED).where(gate(F.col("host"), R).isNull())
+    for run in range(3):  # hosts, then two batches of one host each that try the failed ones again
+        lines = todo if run == 0 else spark.createDataFrame([(f"again{run}.example",)], "host string")
+        lines.select(F.col("host").alias("value")).write.mode("append").text(f"{root}/landing/manual")
+        stream = stream_hosts(spark, f"{root}/landing", [("manual", False)])
+        start_triage(spark, stream, lambda: _caps(spark, sf_dir), R, _as_of(), f"{root}/sink", f"{root}/checkpoint", registry=registry, watched=_WATCHED).awaitTermination()
+    done = spark.read.schema("host string, verdict string, brand string").parquet(f"{root}/sink").where(F.col("brand").isNotNull()).select("host", "verdict", F.lit(None).cast("int").alias("attempts"))
+    return done.unionByName(error_table(spark, f"{root}/sink").read().select("host", F.lit("failed").alias("verdict"), "attempts"))
+
+
 @query("python_rule", """
 SELECT n, host, coalesce(list_aggregate(string_split(split_part(host, '.', 1), ''), 'entropy') >= 3.0, false) AS host_entropy
 FROM v_hosts""", ("v_hosts",))
@@ -1103,7 +1171,7 @@ def q_python_rule(spark, sf_dir):
 _WHOLE_PATH = f"""
 WITH RECURSIVE {_CTX}, {_verdict_sql()}
 SELECT DISTINCT host, brand, CASE WHEN brand IS NULL THEN 'irrelevant' ELSE verdict END AS verdict
-FROM (SELECT sv.host, {O.brand_sql('sv.host', R)} AS brand, sv.verdict FROM sv) t
+FROM (SELECT sv.host, {O.brand_sql('sv.host', _WATCHED)} AS brand, sv.verdict FROM sv) t
 WHERE brand IS NULL OR verdict IS NOT NULL"""
 
 
@@ -1120,7 +1188,7 @@ def q_pipeline_verdicts(spark, sf_dir):
     from lurewatch.plans.triage import triage
     from lurewatch.sources.sinks import read_verdicts, write_verdicts
     root = _scratch(spark, "pipeline")
-    write_verdicts(triage(_page_lines(spark, sf_dir), _caps(spark, sf_dir), R, _as_of()), root)
+    write_verdicts(triage(_page_lines(spark, sf_dir), _caps(spark, sf_dir), R, _as_of(), watched=_WATCHED), root)
     return read_verdicts(spark, root)
 
 
@@ -1138,7 +1206,7 @@ def q_stream_with_captures(spark, sf_dir):
         # each run finds the same lines once more, and the captures that have arrived since the run before
         lines.write.mode("append").text(f"{root}/landing/manual")
         hosts = stream_hosts(spark, f"{root}/landing", [("manual", False)])
-        start_triage(spark, hosts, lambda c=captures: c, R, _as_of(), f"{root}/sink", f"{root}/checkpoint").awaitTermination()
+        start_triage(spark, hosts, lambda c=captures: c, R, _as_of(), f"{root}/sink", f"{root}/checkpoint", watched=_WATCHED).awaitTermination()
         settle(spark, f"{root}/sink", f"{root}/settled")
     return read_verdicts(spark, f"{root}/settled")
 
@@ -1170,7 +1238,6 @@ SELECT v.n, v.host, 'Brand ' || hit.ord AS brand FROM v_hosts v LEFT JOIN hit ON
 def q_brand_index(spark, sf_dir):
     """Five thousand brands, one for each pair of words of part names, found through the keyword index."""
     from lurewatch.operators.match import match_brand
-    from lurewatch.rules import Brand
     hosts = _v(spark, sf_dir, "v_hosts")
     # the brand list is configuration: at most five thousand pairs of the words of the name dictionary
     words = [r.w for r in spark.table("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").collect()]

@@ -16,7 +16,8 @@ Plan shape (what ``explain`` should show):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from lurewatch.functions.hosts import normalize_host
 from lurewatch.operators import captures as cap
 from lurewatch.operators.features import with_page_features
+from lurewatch.operators.heuristics import DEFAULT_REGISTRY, Rule
 from lurewatch.operators.match import brand_of, gate
 from lurewatch.operators.skew import join_by_count
 from lurewatch.operators.suffix import with_registrable
@@ -108,6 +110,26 @@ def build_context(hosts: DataFrame, captures: Captures, rules: RuleSet) -> DataF
     return ctx
 
 
+#: Hosts up to which their list is broadcast to leave other hosts' captures unparsed.
+FEW_HOSTS = 100_000
+
+
+def restricted(captures: Captures, hosts: DataFrame) -> Captures:
+    """Captures of ``hosts`` (a written table) alone, where they are few: a small batch doesn't parse every capture there is.
+
+    The list is broadcast, so bodies stay where they are; of more hosts all
+    captures are read and parsed map-side, and the joins choose.
+    """
+    if hosts.count() > FEW_HOSTS:
+        return captures
+    few = F.broadcast(hosts.select("host").distinct())
+    mine = lambda df: None if df is None else df.join(few, "host", "left_semi")
+    by_host = {"http": captures.http, "dns_records": captures.dns_records, "cert": captures.cert, "favicon": captures.favicon}
+    by_host |= {"rdap": captures.rdap} if captures.rdap_key == "host" else {}
+    by_host |= {"ct": captures.ct} if captures.ct_key == "host" else {}
+    return replace(captures, **{name: mine(df) for name, df in by_host.items()})
+
+
 def dedup_hosts(df: DataFrame, seen: DataFrame | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """C11/W3 batch form: first occurrence of each host wins; hosts already in ``seen`` are removed.
 
@@ -126,18 +148,20 @@ def dedup_hosts(df: DataFrame, seen: DataFrame | None = None, order_cols: list[s
 
 
 def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
-           seen: DataFrame | None = None, raw_col: str = "line") -> DataFrame:
+           seen: DataFrame | None = None, raw_col: str = "line", registry: Sequence[Rule] = DEFAULT_REGISTRY,
+           watched: RuleSet | None = None) -> DataFrame:
     """Full batch pipeline over raw feed rows ``(raw_col, source, ...)``.
 
+    ``watched`` names the brands that hosts are attributed to, if not those of ``rules``.
     Returns ``host, source, brand, verdict, score, tally, decided_by`` with
     verdict in scam / benign / inconclusive / irrelevant / pending (no capture
-    yet); trusted hosts are dropped.  Brand and gate are per-row columns
+    yet) / failed (a rule raised; ``decided_by`` has the error); trusted hosts are dropped.  Brand and gate are per-row columns
     computed before the dedup, so no filter on them is pushed below it; only
     hosts that pass both gates reach the capture joins.
     """
     src = F.col("source") if "source" in raw.columns else F.lit(None).cast("string")
     hosts = raw.select(normalize_host(F.col(raw_col)).alias("host"), src.alias("source")).where(F.col("host") != "")
-    hosts = hosts.select("*", brand_of(F.col("host"), rules).alias("brand"), gate(F.col("host"), rules).alias("_gate"))
+    hosts = hosts.select("*", brand_of(F.col("host"), watched or rules).alias("brand"), gate(F.col("host"), rules).alias("_gate"))
     # of a host named by several sources the first in order stays, so reruns agree
     hosts = dedup_hosts(hosts, seen, order_cols=["source"])
     kept = hosts.where(F.col("brand").isNull() | F.coalesce(F.col("_gate") != "dropped", F.lit(True)))
@@ -154,9 +178,10 @@ def triage(raw: DataFrame, captures: Captures, rules: RuleSet, as_of: Column,
     # written once: the context and the result both build on it
     kept = materialise(kept, "kept")
     todo = kept.where(F.col("_pre").isNull()).select("host")
-    ctx = build_context(todo, captures, rules)
-    scored = classify(ctx.where(F.col("primary").isNotNull()), rules, as_of).select(
-        "host", F.col("verdict").alias("_v"), "score", "tally", "decided_by")
+    ctx = build_context(todo, restricted(captures, todo), rules)
+    scored = classify(ctx.where(F.col("primary").isNotNull()), rules, as_of, registry)
+    why = F.coalesce("rule_error", "decided_by") if "rule_error" in scored.columns else F.col("decided_by")
+    scored = scored.select("host", F.col("verdict").alias("_v"), "score", "tally", why.alias("decided_by"))
     out = kept.join(scored, "host", "left")
     verdict = F.coalesce(F.col("_pre"), F.col("_v"), F.lit("pending"))
     return out.select("host", "source", "brand", verdict.alias("verdict"), "score", "tally", "decided_by")

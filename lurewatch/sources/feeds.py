@@ -171,9 +171,25 @@ def stream_ct_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_json_feed(spark: SparkSession, path: str, source: str = "phishtank") -> DataFrame:
-    """A8 streaming: each landing file is one JSON document (read whole); the global dedup follows."""
-    bodies = spark.readStream.format("text").option("wholetext", "true").load(path).withColumnRenamed("value", "body")
-    return json_feed_hosts(bodies, source=source, distinct=False)
+    """A8 streaming: one JSON list per file, read element by element; the global dedup follows."""
+    rows = spark.readStream.schema("url string").option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    return url_rows_to_hosts(rows, source, distinct=False)
+
+
+def stream_mirrors(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """A7 streaming: (source, host, prio, filled) of the lines of every mirror; ``best_mirror`` chooses in each poll cycle."""
+    rows = split_lines(spark.readStream.schema("value string, prio int").format("text").load(path))
+    line = F.coalesce(F.col("line"), F.lit(""))
+    host = F.when((line == "") | line.startswith("#"), F.lit("")).otherwise(normalize_host(line))
+    return rows.select(F.lit(source).alias("source"), host.alias("host"), "prio", (F.coalesce("value", F.lit("")) != "").alias("filled"))
+
+
+def best_mirror(cycle: DataFrame) -> DataFrame:
+    """(source, host) of one poll cycle: of a feed with mirrors the lines of the best one that has any."""
+    mirrored = cycle.where(F.col("prio").isNotNull())
+    choice = mirrored.where("filled").groupBy("source").agg(F.min("prio").alias("prio"))  # a row for each feed with mirrors
+    chosen = mirrored.join(choice, ["source", "prio"], "left_semi").unionByName(cycle.where(F.col("prio").isNull()))
+    return chosen.where(F.col("host") != "").select("source", "host")
 
 
 def stream_csv_feed(spark: SparkSession, path: str, source: str = "urlhaus_country") -> DataFrame:
@@ -197,6 +213,7 @@ class Source:
     read: Callable[[SparkSession, str], DataFrame]
     interval_s: int = 300
     stream: Callable[[SparkSession, str], DataFrame] | None = None
+    mirrors: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 def text_source(name: str, comment_rule: bool = True, interval_s: int = 300) -> Source:
@@ -213,9 +230,9 @@ DEFAULT_SOURCES = (
     text_source("phishingdatabase", interval_s=86400),
     text_source("phishingarmy", interval_s=21600),
     text_source("botvrij", interval_s=86400),
-    # a stream takes the lines of every mirror: the choice needs the whole cycle, and the dedup follows
+    # a plain union takes the lines of every mirror; with poll cycles (``streaming.cadence``) the best one is chosen
     Source("digitalside", lambda s, p: read_fallback_feed(s, p, "digitalside"), 86400,
-           lambda s, p: stream_text_feed(s, p, "digitalside")),
+           lambda s, p: stream_text_feed(s, p, "digitalside"), lambda s, p: stream_mirrors(s, p, "digitalside")),
     Source("urlhaus_country", lambda s, p: read_csv_feed(s, p), 600, stream_csv_feed),
     Source("certstream", read_ct_messages, 0, stream_ct_messages),
     text_source("manual", comment_rule=False, interval_s=30),

@@ -16,12 +16,13 @@ batches over to the brand/verdict layout.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lurewatch.operators.heuristics import DEFAULT_REGISTRY, Rule
 from lurewatch.plans.triage import Captures, triage
 from lurewatch.rules import RuleSet
 from lurewatch.sources.feeds import stream_text_feed
@@ -40,18 +41,26 @@ def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool
 
 SINK_SCHEMA = ("host string, source string, brand string, verdict string, score double, tally int, decided_by string, "
                "batch_id long")
+ERRORS_SCHEMA = "host string, source string, error string, attempts int"
+#: Batches that try a host on which a rule fails.
+ATTEMPTS = 2
 PENDING_SCHEMA = "host string, source string, brand string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], Captures], rules: RuleSet,
                  as_of: Column, sink: str, checkpoint: str, trigger: dict | None = None,
-                 state_store: str | None = ROCKSDB, forget_after: str | None = None) -> StreamingQuery:
+                 state_store: str | None = ROCKSDB, forget_after: str | None = None,
+                 registry: Sequence[Rule] = DEFAULT_REGISTRY, watched: RuleSet | None = None) -> StreamingQuery:
     """Start the streaming triage; ``captures`` is called per batch.
 
     It may give all captures or only those that have arrived since the batch
     before: hosts seen earlier are found in the pending table either way.
 
+    A host on which a rule of ``registry`` fails goes to the error table with
+    the number of its attempts and is tried again in the next batch, ``ATTEMPTS``
+    times in all; the batch commits without it (W5).
+
     Dedup is exact and unbounded by default (every host is triaged once, ever).
     ``forget_after`` (e.g. ``"30 days"``) switches to the bounded form: a host
     is forgotten that long after it was first seen (arrival time) and may be
@@ -73,7 +82,7 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by every roll-up of the batch
-        waiting = pending_table(spark, sink)
+        waiting, errors = pending_table(spark, sink), error_table(spark, sink)
         try:
             latest = captures()
             raw = batch.select(F.col("host").alias("line"), "source")
@@ -81,12 +90,17 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
             if taken is not None:
                 taken = materialise(taken, "due")
                 raw = raw.unionByName(taken)
-            out = triage(raw, latest, rules, as_of).withColumn("batch_id", F.lit(batch_id))
-            out = materialise(out.where(F.col("verdict").isNotNull()), "batch")
+            again = materialise(errors.read(batch_id).where(F.col("attempts") < ATTEMPTS), "again")
+            raw = raw.unionByName(again.select(F.col("host").alias("line"), "source"))
+            every = triage(raw, latest, rules, as_of, registry=registry, watched=watched).withColumn("batch_id", F.lit(batch_id))
+            every = materialise(every.where(F.col("verdict").isNotNull()), "batch")
+            failed, out = every.where(F.col("verdict") == "failed"), every.where(F.col("verdict") != "failed")
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink)
             still = out.where(F.col("verdict") == "pending").select("host", "source", "brand")
             settled = taken.select(F.col("line").alias("host")) if taken is not None else still.select("host").limit(0)
             waiting.change(batch_id, settled, still)
+            tried = failed.join(again.select("host", F.col("attempts").alias("_before")), "host", "left")
+            errors.change(batch_id, again.select("host"), tried.select("host", "source", F.col("decided_by").alias("error"), (F.coalesce("_before", F.lit(0)) + 1).alias("attempts")))
         finally:
             batch.unpersist()
 
@@ -100,6 +114,11 @@ def pending_table(spark: SparkSession, sink: str) -> Delta:
     return Delta(spark, f"{sink.rstrip('/')}-pending", PENDING_SCHEMA, "host")
 
 
+def error_table(spark: SparkSession, sink: str) -> Delta:
+    """Hosts on which a rule failed, next to the sink."""
+    return Delta(spark, f"{sink.rstrip('/')}-errors", ERRORS_SCHEMA, "host")
+
+
 def latest_verdicts(spark: SparkSession, sink: str, after: int | None = None) -> DataFrame:
     """One row per host of a streamed sink: the one of its latest batch (of the batches past ``after`` if given)."""
     rows = spark.read.schema(SINK_SCHEMA).parquet(sink)
