@@ -30,37 +30,36 @@ from pyspark.sql import functions as F
 from lurewatch.llm.scratch import Scratch
 
 LEAST_WORDS = 5
-#: The characters between words, as a class and as a list.
-SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+#: The characters between words, and a sign of a word.
+SPACE, NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def _words(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+    return F.filter(F.split(line, SPACE), lambda w: w != "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line_no, w) of the lines with a word."""
+    """(id, line_no, w) of the lines with a word; told by the text, so that the words are made once."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("id", "line_no", _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    return lines.filter(F.col("line").rlike(NOT_SPACE)).select("id", "line_no", _words(F.col("line")).alias("w"))
 
 
 def _ends(w: Column) -> Column:
     """(key, side, width) of the line's first and last words, as many as the largest power of two up to half its length.
 
-    Lines at a step of that number emit both sizes, so lines whose lengths differ by one meet.
+    Lines at a step of that number emit both sizes, so lines whose lengths
+    differ by one meet.  Lines that are too short for near matches have none.
     """
     n = F.size(w)
     size = lambda k: F.pow(F.lit(2.0), F.floor(F.log2(k / 2))).cast("int")
 
-    def end(side: str, s: Column, from_: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(side), s, F.slice(w, from_, s)).alias("key"), F.lit(side).alias("side"), s.alias("width"))
+    def both(s: Column) -> Column:
+        def end(side: str, from_: Column) -> Column:
+            return F.struct(F.xxhash64(F.lit(side), s, F.slice(w, from_, s)).alias("key"), F.lit(side).alias("side"), s.alias("width"))
+        return F.array(end("begin", F.lit(1)), end("end", n - s + 1))
 
-    low, high = size(n - 1), size(n + 1)
-    both = [end("begin", low, F.lit(1)), end("end", low, n - low + 1)]
-    more = [end("begin", high, F.lit(1)), end("end", high, n - high + 1)]
-    return F.when(n < LEAST_WORDS, F.array().cast("array<struct<key:bigint,side:string,width:int>>")).when(low == high, F.array(*both)).otherwise(F.array(*both, *more))
+    ends = F.flatten(F.transform(F.array_distinct(F.array(size(n - 1), size(n + 1))), both))
+    return F.when(n >= LEAST_WORDS, ends).otherwise(F.array().cast("array<struct<key:bigint,side:string,width:int>>"))
 
 
 def _variants(w: Column, begin: Column, end: Column, uneven: Column) -> Column:
