@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lurewatch.operators.suffix import with_registrable
 from lurewatch.rules import RuleSet
 from lurewatch.sources.feeds import ct_hosts
-from lurewatch.sources.store import Delta
+from lurewatch.sources.store import Delta, materialise, passing
 
 SCHEMA = "registrable string, cert_count long, earliest_date string"
 
@@ -44,13 +44,13 @@ def merge_history(table: Delta, partial: DataFrame, batch_id: int) -> None:
 
 def start_history(spark: SparkSession, landing: str, path: str, checkpoint: str, rules: RuleSet, trigger: dict | None = None, files: int | None = None) -> StreamingQuery:
     """Follows the landing files of the certificate stream; ``files`` bounds those of one batch."""
-    from lurewatch.sources.store import materialise
     table = history_table(spark, path)
     reader = spark.readStream.format("text")
     messages = (reader.option("maxFilesPerTrigger", files) if files else reader).load(landing)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        merge_history(table, materialise(partial_history(batch, rules), "history"), batch_id)
+        with passing(spark, "certificates"):
+            merge_history(table, materialise(partial_history(batch, rules), "history"), batch_id)
 
     return messages.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

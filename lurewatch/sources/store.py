@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +50,25 @@ def get_json(spark: SparkSession, path: str):
         source.close()
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Tables that are materialised inside are removed at the end: for a micro-batch, whose results lie in its sink by then."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps neither recompute it nor depend on lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{(_FOLDER.get() or checkpoint_dir(spark)).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

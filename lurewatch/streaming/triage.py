@@ -27,7 +27,7 @@ from lurewatch.plans.triage import Captures, triage
 from lurewatch.rules import RuleSet
 from lurewatch.sources.feeds import stream_text_feed
 from lurewatch.sources.sinks import write_batches
-from lurewatch.sources.store import Delta, get_json, materialise, names, put_json, remove
+from lurewatch.sources.store import Delta, get_json, materialise, names, passing, put_json, remove
 
 
 def stream_hosts(spark: SparkSession, root: str, feeds: Iterable[tuple[str, bool]]) -> DataFrame:
@@ -81,6 +81,10 @@ def start_triage(spark: SparkSession, hosts: DataFrame, captures: Callable[[], C
     empty.write.mode("append").partitionBy("batch_id").parquet(sink)  # later batches read the folder
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        with passing(spark, "batch"):
+            settle_batch(batch, batch_id)
+
+    def settle_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by every roll-up of the batch
         waiting, errors = pending_table(spark, sink), error_table(spark, sink)
         try:

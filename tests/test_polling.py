@@ -99,6 +99,21 @@ def test_a_failing_host_does_not_hold_up_its_batch(spark):
     assert {r.host: r.verdict for r in spark.read.parquet(os.path.join(root, "sink")).collect()} == {good: "benign", "x.com": "irrelevant", "y.com": "irrelevant"}
 
 
+def test_tables_of_a_batch_are_removed(spark):
+    import pytest
+
+    from lurewatch.sources.store import materialise, passing
+    with passing(spark, "test"):
+        inside = materialise(spark.range(3), "t")
+        path = inside.inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert inside.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    with pytest.raises(ZeroDivisionError), passing(spark, "test"):
+        path = materialise(spark.range(1), "t").inputFiles()[0].removeprefix("file:").removeprefix("//")
+        1 / 0
+    assert not os.path.exists(path) and materialise(spark.range(1), "t").count() == 1
+
+
 def test_few_hosts_leave_other_captures_unread(spark):
     http = spark.createDataFrame([(f"h{i}.com", "primary", None, 200, {}, "<p>", [], "", 0.0) for i in range(20)], cap.HTTP_SCHEMA)
     rdap = spark.createDataFrame([("r.com", 200, "{}")], "registrable string, status int, body string")
