@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lurewatch.operators.skew import join_by_count
 from lurewatch.sources.store import materialise
@@ -92,13 +93,15 @@ def capture_pair(captures: DataFrame, payload: list[str] | None = None,
 
     ``payload`` lists the capture columns carried in the structs (default: the
     fetch columns).  When a host has several captures of a variant the latest
-    (by ``order_col``) wins; a missing variant is null (rules then read it as
+    (by ``order_col``, then by a hash of the payload, so that reruns agree) wins; a missing variant is null (rules then read it as
     the failed-fetch stub: status unknown, empty body).  ``robots`` is the
     robots body when its status is 200 and the body is non-empty.
     """
     cols = payload or ["url", "status", "headers", "html", "history", "final_url", "elapsed_ms"]
     has_order = order_col is not None and order_col in captures.columns
-    order = F.col(order_col) if has_order else F.lit(0)
+    # maps have neither an order nor a hash of their own
+    plain = [F.array_sort(F.map_entries(c)) if isinstance(captures.schema[c].dataType, MapType) else F.col(c) for c in dict.fromkeys([*cols, robots_body])]
+    order = F.struct(*([F.col(order_col)] if has_order else []), F.xxhash64(*plain))
     body = F.struct(*[F.col(c) for c in cols])
 
     def latest(variant: str) -> Column:

@@ -43,12 +43,19 @@ def cross_domain_post(html: Column, host: Column) -> Column:
 
 
 def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", host_col: str = "host",
-                       out: str = "f") -> DataFrame:
-    """Append struct ``out`` of page features and drop ``html_col``."""
+                       out: str = "f", judged: Column | None = None, compared: Column | None = None) -> DataFrame:
+    """Append struct ``out`` of page features and drop ``html_col``.
+
+    Rows that are not ``judged`` (default: all are) have no features but the
+    words and the length; rows that are not even ``compared`` have none at all:
+    no pattern runs over their bodies.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    staged = df.select("*", html.alias("__html"))
+    judged = F.lit(True) if judged is None else judged
+    body = html if compared is None else F.when(judged | compared, html).otherwise("")
+    staged = df.select("*", body.alias("__body"), F.when(judged, html).otherwise("").alias("__html"))
     staged = staged.select("*", F.lower(F.col("__html")).alias("__lower"), tx.title(F.col("__html")).alias("__title"))
-    staged = staged.select("*", tx.tokens_of_lowered(F.col("__lower")).alias("__words"))
+    staged = staged.select("*", tx.tokens_of_lowered(F.lower(F.col("__body"))).alias("__words"))
     h, lo, words, ttl = F.col("__html"), F.col("__lower"), F.col("__words"), F.col("__title")
     kws = density_keywords(rules)
     kw_arr = F.array(*[F.lit(k) for k in kws]) if kws else F.array().cast("array<string>")
@@ -76,7 +83,7 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         ttl.alias("title_text"),
         title_brands.alias("title_brands"),
         F.array_distinct(words).alias("token_set"),
-        F.length(h).alias("html_len"),
+        F.length(F.col("__body")).alias("html_len"),
     )
     keep = [c for c in df.columns if c != html_col]
     return staged.select(*keep, feats.alias(out))

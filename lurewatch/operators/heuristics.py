@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.functions import dates as dt
 from lurewatch.functions import text as tx
-from lurewatch.functions.hosts import contains_any, first_hit, first_label, is_punycode, label_count, skeleton
+from lurewatch.functions.hosts import contains_any, first_hit, first_label, idna_host, is_punycode, label_count, skeleton
 from lurewatch.operators.suffix import brand_registrables
 from lurewatch.rules import FREEMAIL_PROVIDERS, PARKING_POWERED_BY, PARKING_SERVERS, RULE_ORDER, \
     SECURITY_HEADERS, RuleSet, skeleton_py
@@ -181,10 +181,10 @@ def lookalike_best(host: Column, registrable: Column, rules: RuleSet) -> Column:
     """
     limit = rules.thresholds.lookalike_max_distance
     targets = lookalike_targets(rules)
-    host_l = F.lower(F.coalesce(host, F.lit("")))
-    reg_l = F.lower(F.coalesce(F.when(F.coalesce(registrable, F.lit("")) != "", registrable), host, F.lit("")))
     # the four texts that targets are compared with: whole and first label of either candidate
-    texts = F.array(skeleton(host_l), skeleton(first_label(host_l)), skeleton(reg_l), skeleton(first_label(reg_l)))
+    forms = F.transform(F.array(F.lower(idna_host(F.coalesce(host, F.lit(""))))),
+                        lambda h: F.struct(h.alias("host"), F.coalesce(F.lower(F.nullif(registrable, F.lit(""))), h).alias("registrable")))
+    texts = F.flatten(F.transform(forms, lambda x: F.array(*[skeleton(t) for c in ("host", "registrable") for t in (x[c], first_label(x[c]))])))
     entries = [(o, c, p, kind, target, skel) for o, p, kind, target, skel in targets for c in (0, 1)]
     entries.sort(key=lambda e: e[:3])
     rows = [{"text": 2 * c + (kind != "name"), "ord": i, "kind": kind, "target": target, "skel": skel, "len": len(skel)}

@@ -52,10 +52,15 @@ class Captures:
 
 
 def http_pair_features(http: DataFrame, rules: RuleSet) -> DataFrame:
-    """Capture rows -> page features (map-side) -> one row per host (single shuffle on host)."""
+    """Capture rows -> page features (map-side) -> one row per host (single shuffle on host).
+
+    The rules judge the primary page; the alternative one is only compared with
+    it (words, length), and of ``robots.txt`` the body itself is kept.
+    """
     rows = (http.withColumn("headers", cap.lower_keys(F.col("headers")))
                 .withColumn("robots_html", F.when(F.col("variant") == "robots", F.col("html"))))
-    rows = with_page_features(rows, rules, html_col="html", host_col="host", out="f")
+    rows = with_page_features(rows, rules, html_col="html", host_col="host", out="f",
+                              judged=F.col("variant") == "primary", compared=F.col("variant") == "alternative")
     return cap.capture_pair(rows, payload=["status", "headers", "history", "final_url", "f"],
                             robots_body="robots_html")
 

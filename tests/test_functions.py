@@ -1,11 +1,13 @@
 """Golden rows for the Column functions (normalisation, keywords, suffixes, text, dates)."""
 
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.functions import dates as dt
+from lurewatch.functions import hosts as hosts_fn
 from lurewatch.functions import text as tx
 from lurewatch.functions.hosts import confusable_distance, contains_any, label_count, normalize_host
 from lurewatch.operators.match import brand_of, gate
@@ -137,3 +139,26 @@ def test_registrable_full_psl(spark):
     assert got["x.y.kawasaki.jp"] == "x.y.kawasaki.jp"   # *.kawasaki.jp wildcard
     assert got["city.kawasaki.jp"] == "city.kawasaki.jp"  # !city.kawasaki.jp exception
     assert got["localhost.unknowntld"] == "unknowntld"
+
+
+def _codec_form(host):
+    try:
+        return host.encode("idna").decode("ascii")
+    except UnicodeError:
+        return host
+
+
+def test_idna_form_equals_the_codec(spark):
+    r = random.Random(3)
+    hosts = ["".join(r.choice("abc09-ıſx.") for _ in range(r.randint(1, 30))) for _ in range(400)]
+    hosts += ["xn--ı.com", "a" * 60 + "ı.com", "paypal.com", "*.ıa.com.", "ı.com\n", "a..ı", "ı" * 70 + ".com", ".ı", "ı.", "ſ" * 64 + ".de", "ı" * 50 + ".com", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", hosts_fn.idna_host(F.col("host")).alias("form")).collect()
+    assert all(x.form == _codec_form(x.host) for x in rows) and len(rows) == len(hosts)
+    assert spark.range(1).select(hosts_fn.idna_host(F.lit(None).cast("string")).alias("x")).first().x is None
+
+
+def test_punycode_of_any_label(spark):
+    r = random.Random(5)
+    labels = ["".join(r.choice("abz09-ıüß中文\U0001f600é") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string").select("label", hosts_fn.punycode_label(F.col("label")).alias("code")).collect()
+    assert all(x.code == x.label.encode("punycode").decode() for x in rows)

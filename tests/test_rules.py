@@ -286,3 +286,34 @@ def test_score_threshold_with_custom_registry(spark):
     v = classify(df.where("host = 'f0f1f2.com'").selectExpr("'f9f0f1f2.com' AS host"), TEST_RULES,
                  as_of_lit(AS_OF), reg2).first()
     assert v.verdict == "benign" and v.decided_by == "r9"
+
+
+def test_features_of_the_page_alone(spark):
+    """An alternative page is compared by words and length; a page's patterns aren't looked for there, nor in robots.txt."""
+    from lurewatch.plans.triage import http_pair_features
+    body = "<title>Testbrand</title><input type='password'> verify"
+    row = make_many(spark, [dict(host="a.com", html=body, alt_html=body, robots=body)]).select("primary.f", "alternative.f", "robots").first()
+    mine, other = row[0], row[1]
+    assert mine.password and not other.password and other.title_text == "" and not other.content_token_hit
+    assert sorted(mine.token_set) == sorted(other.token_set) and mine.html_len == other.html_len == len(body) and row.robots == body
+    assert "f" in http_pair_features(spark.createDataFrame([], "host string, variant string, url string, status int, headers map<string,string>, html string, history array<int>, final_url string, elapsed_ms double"),
+                                     TEST_RULES).select("primary.f").columns
+
+
+def test_equal_times_of_captures(spark):
+    """Captures of one time: the same one is taken however the rows are ordered."""
+    from lurewatch.operators import captures as cap
+    rows = [("a.com", "primary", None, s, {"k": str(s)}, f"body {s}", [], "", 0.0) for s in (200, 404, 500, 301)] + [("a.com", "robots", None, 200, {}, f"robots {i}", [], "", 0.0) for i in range(4)]
+    found = {str(cap.capture_pair(spark.createDataFrame(order, cap.HTTP_SCHEMA).repartition(n)).first()) for order in (rows, rows[::-1]) for n in (1, 4)}
+    assert len(found) == 1
+
+
+def test_lookalike_reads_the_idna_form(spark):
+    from lurewatch.operators.heuristics import lookalike_best
+    hosts = ["testbrand.com", "testbrandı.com", "teſtbrand.com"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", lookalike_best(F.col("host"), F.lit(None).cast("string"), TEST_RULES).alias("b")).collect()
+    found = {r.host: r.b for r in rows}
+    assert found["teſtbrand.com"] == found["testbrand.com"]
+    # xn--testbrand-1zb, not testbrandi, is what is compared
+    coded = spark.createDataFrame([("testbrandı.com".encode("idna").decode(),)], "host string").select(lookalike_best(F.col("host"), F.lit(None).cast("string"), TEST_RULES).alias("b")).first().b
+    assert found["testbrandı.com"] == coded
