@@ -14,6 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Page bodies for one task: a few megabytes, some seconds of patterns.
+PAGES_PER_TASK = 2_000
+
+
+def spread(rows: DataFrame, rows_per_task: int = PAGES_PER_TASK) -> DataFrame:
+    """``rows`` of a table, dealt evenly over as many tasks as their count asks for.
+
+    A scan splits files at row groups alone, so a table written by few tasks is
+    read by few: the time of the longest then grows with the file.  For rows
+    whose processing costs far more than the one shuffle that deals them.
+    """
+    tasks = -(-rows.count() // rows_per_task)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def tasks_of(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lurewatch.operators.skew import spread
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -109,6 +111,9 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_cert": ("v_pages",), "v_favicon": ("v_pages",),
 }
 
+#: Views that hold page bodies.
+BODY_VIEWS = ("v_pages", "v_http")
+
 
 def register_base(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
     for t in tables:
@@ -126,6 +131,11 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     register_base(spark, sf_dir, ("part", "pages", "events"))
     for name in VIEW_SQL:  # insertion order respects dependencies
         spark.sql(VIEW_SQL[name]).createOrReplaceTempView(name)
+    # patterns run over every body of these, which a task of a large row group would do alone
+    spread(spark.table("pages")).createOrReplaceTempView("pages")
+    for name in BODY_VIEWS:
+        spark.sql(VIEW_SQL[name]).createOrReplaceTempView(name)
+    register_base(spark, sf_dir, ("pages",))
     _REGISTERED[key] = sf_dir
 
 
