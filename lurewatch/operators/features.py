@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions import text as tx
-from lurewatch.functions.hosts import contains_any, normalize_host
+from lurewatch.functions.hosts import normalize_host
 from lurewatch.rules import RuleSet
 from lurewatch.operators.suffix import registrable_py
 
@@ -56,27 +56,27 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
     staged = df.select("*", body.alias("__body"), F.when(judged, html).otherwise("").alias("__html"))
     staged = staged.select("*", F.lower(F.col("__html")).alias("__lower"), tx.title(F.col("__html")).alias("__title"))
     staged = staged.select("*", tx.tokens_of_lowered(F.lower(F.col("__body"))).alias("__words"))
-    h, lo, words, ttl = F.col("__html"), F.col("__lower"), F.col("__words"), F.col("__title")
+    staged = staged.select("*", tx.folded(F.col("__html")).alias("__folded"))
+    h, lo, words, ttl, text = F.col("__html"), F.col("__lower"), F.col("__words"), F.col("__title"), F.col("__folded")
     kws = density_keywords(rules)
     kw_arr = F.array(*[F.lit(k) for k in kws]) if kws else F.array().cast("array<string>")
     title_lower = F.lower(ttl)
     title_brands = F.array_compact(F.array(*[
         F.when(F.lit(bool(b.first_word)) & title_lower.contains(b.first_word), F.lit(b.ord))
         for b in rules.brands])) if rules.brands else F.array().cast("array<int>")
-    password = h.rlike(tx.PASSWORD_RE)
     feats = F.struct(
-        password.alias("password"),
-        h.rlike(tx.OTP_RE).alias("otp"),
-        h.rlike(tx.CARD_RE).alias("card"),
+        tx.holds_any(text, tx.PASSWORD_LITERALS).alias("password"),
+        tx.otp_hint(text).alias("otp"),
+        tx.holds_any(text, tx.CARD_LITERALS).alias("card"),
         cross_domain_post(h, F.col(host_col)).alias("cross_post"),
-        h.rlike(tx.EXFIL_ANY_RE).alias("exfil"),
-        h.rlike(tx.JS_OBFUSCATION_RE).alias("js_obf"),
+        tx.holds_any(text, tx.EXFIL_LITERALS).alias("exfil"),
+        tx.js_obfuscation(h).alias("js_obf"),
         tx.has_high_entropy_run(h).alias("high_entropy"),
-        h.rlike(tx.WALLET_RE).alias("wallet"),
-        (lo.contains("clipboard") & h.rlike(tx.CLIPBOARD_WRITE_RE)).alias("clipboard"),
+        tx.holds_any(h, tx.WALLET_LITERALS).alias("wallet"),
+        (lo.contains("clipboard") & tx.holds_any(h, tx.CLIPBOARD_WRITE_LITERALS)).alias("clipboard"),
         tx.kit_comment(lo).alias("kit_comment"),
-        contains_any(lo, rules.parking_signatures, normalise=False).alias("parking_sig"),
-        contains_any(lo, rules.content_tokens, normalise=False).alias("content_token_hit"),
+        tx.holds_any(lo, rules.parking_signatures).alias("parking_sig"),
+        tx.holds_any(lo, rules.content_tokens).alias("content_token_hit"),
         F.size(words).alias("words_total"),
         F.size(F.filter(words, lambda w: F.array_contains(kw_arr, w))).alias("brand_words"),
         tx.title_match(h).alias("title_found"),
