@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurewatch.sources.store import materialise
+
 
 def write_verdicts(df: DataFrame, root: str, fmt: str = "parquet", mode: str = "append") -> None:
-    out = df.where(F.col("verdict").isNotNull()).withColumn("host", F.trim(F.col("host")))
+    # written once: each part would otherwise run the whole triage for itself
+    out = materialise(df.where(F.col("verdict").isNotNull()).withColumn("host", F.trim(F.col("host"))), "verdicts")
     brands = out.where(F.col("brand").isNotNull())
     irrelevant = out.where(F.col("brand").isNull())
     if fmt == "text":
