@@ -1,28 +1,26 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: a regular expression splits every text into pieces.  Each distinct
-piece that a task meets becomes an array of byte ids, and Spark's higher-order
-functions fold the ranked merges over it: a step looks up all neighbouring pairs
-in a literal rank map and merges the leftmost one of lowest rank.  Pairs that
+Encoding: a regular expression splits every text into pieces.  The distinct
+pieces that a task meets become arrays of byte ids, and the ranked merges run
+over all of them at once: a round looks up all neighbouring pairs in a rank map
+and merges the leftmost one of lowest rank in every piece.  Pairs that
 nothing can precede, by the vocabulary's ranks, are merged beforehand.  The ids of the documents are then gathered from those
-of their pieces.  Pieces travel in short rows ahead of the documents that hold
-them, and a task remembers a bounded number of them.  No step shuffles.
+of their pieces, of which a task remembers a bounded number.  No step shuffles.
 
 Pieces of ``LONG`` bytes or more (a line of base64, a run of letters) merge over
-a linked list with a heap of pairs instead, as the fold's steps times the
+a linked list with a heap of pairs instead, as rounds times the
 piece's length would never end; both give the same ids.
 
 Decoding concatenates the binary pieces of the ids.
 
-The rank map is a literal: the matrix of pairs with its sparse rows laid over one
+The rank map is the matrix of pairs with its sparse rows laid over one
 another, so a look-up is two array accesses and one comparison.  Its size is fixed by the vocabulary file (50 thousand tokens), not by the data.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -39,8 +37,8 @@ BITS = 21
 MASK = (1 << BITS) - 1
 #: Bytes from which on a piece merges over a linked list.
 LONG = 512
-#: Pieces of the documents handled at a time, distinct pieces that a task remembers, and pieces of a row of new ones.
-GROUP_PIECES, KNOWN_PIECES, ROW_PIECES = 500_000, 400_000, 256
+#: Pieces of the documents handled at a time, distinct pieces that a task remembers, and new ones merged at a time.
+GROUP_PIECES, KNOWN_PIECES, ROW_PIECES = 500_000, 400_000, 25_600
 KEPT = "_kept"
 
 
@@ -173,38 +171,34 @@ def _places(path: str) -> tuple[list[int], list[int]]:
     return shift.tolist(), entries[: int(np.flatnonzero(taken).max()) + 1].tolist() if taken.any() else []
 
 
-def _literal(numbers: list[int], kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), f"array<{kind}>")
+def merge_ranked(ids: np.ndarray, piece: np.ndarray, shift: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many pieces one after the other, and the piece of each, after all merges (``_places`` as arrays).
 
-
-def _rank(shift: Column, entries: Column, left: Column, right: Column) -> Column:
-    """Id that the pair merges to; null or beyond ``MASK`` if it doesn't."""
-    return F.get(entries, F.get(shift, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), BITS))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluates ``value`` once and passes it on: in a lambda, a plain reference would be evaluated for each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def fold(shift: Column, entries: Column, ids: Column) -> Column:
-    """Ids of one piece: merges folded over its array of byte ids.
-
-    A step merges the leftmost pair of lowest rank.  Where none merges, a null
-    in front says so, and the steps that are left pass the ids on.
+    A round merges the leftmost pair of lowest rank in every piece at once; pieces in which none merges are done.
     """
-    rest, over = F.lit(1 << 30), F.array(F.lit(None).cast("int"))
-
-    def step(x: Column, _: Column) -> Column:
-        def merge(ranks: Column) -> Column:
-            def put(low: Column) -> Column:
-                done = _let(F.array_position(ranks, low).cast("int"), lambda at: F.concat(F.slice(x, F.lit(1), at - 1), F.array(low.cast("int")), F.slice(x, at + 2, rest)))
-                return F.when(low <= MASK, done).otherwise(F.concat(over, x))
-            return _let(F.array_min(ranks), put)
-        return F.when(F.get(x, 0).isNull(), x).otherwise(_let(F.zip_with(x, F.slice(x, F.lit(2), rest), lambda a, b: _rank(shift, entries, a, b)), merge))
-
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, step, lambda x: F.when(F.get(x, 0).isNull(), F.slice(x, F.lit(2), rest)).otherwise(x))
-    return F.when(F.size(ids) > 1, folded).otherwise(ids)
+    if not len(entries):
+        return ids, piece
+    done, none = [], MASK + 1
+    while len(ids):
+        heads = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        at = shift[ids[:-1]] + ids[1:]
+        rank = entries[np.clip(at, 0, len(entries) - 1)] ^ (ids[:-1].astype(np.int64) << BITS)
+        pair = (piece[:-1] == piece[1:]) & (at >= 0) & (at < len(entries)) & (rank <= MASK)
+        rank = np.append(np.where(pair, rank, none), none)
+        least = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), heads)
+        merging = least >> 32 < none
+        going = np.repeat(merging, np.diff(np.append(heads, len(ids))))
+        done.append((ids[~going], piece[~going]))
+        hit = least[merging] & 0xFFFFFFFF
+        ids = ids.copy()
+        ids[hit] = rank[hit]
+        going[hit + 1] = False
+        ids, piece = ids[going], piece[going]
+    if not done:
+        return ids, piece
+    ids, piece = map(np.concatenate, zip(*done))
+    order = np.argsort(piece, kind="stable")
+    return ids[order], piece[order]
 
 
 def _pieces(path: str) -> list[bytes]:
@@ -230,7 +224,6 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     named ``ids`` and, with ``decoded``, ``decoded`` give way to the results.
     Pieces of any length are encoded.  An empty table gives no rows.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
     pieces.small_batches(docs.sparkSession)
     results = ["ids", "decoded"] if decoded else ["ids"]
     kept = [c for c in docs.columns if c not in (text_col, *results)]
@@ -243,85 +236,58 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     if min(byte_ids) < 0:
         raise ValueError("the vocabulary lacks single bytes")
     document = T.StructField(KEPT, words.schema[KEPT].dataType)
-    row = T.StructType([document, T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("index", T.BinaryType()), T.StructField("folded", T.BooleanType()), T.StructField("reset", T.BooleanType())])
-    shape = to_arrow_schema(row)
-
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in shape], schema=shape)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """New pieces, then the documents, which refer to all pieces since the last reset by number."""
-        table, of = np.array(byte_ids, dtype=np.int32), {}
+    table = np.array(byte_ids, dtype=np.int32)
+    shift, entries = (np.array(x, np.int64) for x in _places(vocabulary_path))
+
+    def merged(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after the other, and how many each has."""
+        sizes = np.array([len(w) for w in some])
+        ids, piece = table[np.frombuffer(b"".join(some), np.uint8)], np.repeat(np.arange(len(some)), sizes)
+        done = {i: [whole[w]] if w in whole else merge_long([byte_ids[b] for b in w], pairs) for i, w in enumerate(some) if len(w) >= LONG or w in whole}
+        if done:
+            lists = [done.get(i, ids[e - n : e]) for i, (e, n) in enumerate(zip(np.cumsum(sizes), sizes))]
+            ids, piece = np.concatenate(lists).astype(np.int32), np.repeat(np.arange(len(some)), [len(x) for x in lists])
+        ids, piece = merge_ranked(*merge_certain(ids, piece, certain), shift, entries)
+        return ids.astype("<u4"), np.bincount(piece, minlength=len(some)).astype(np.int64)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of the documents, gathered from those of their pieces; each piece that isn't remembered is merged once for its group."""
+        of: dict[str, int] = {}
+        values, starts, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for group in pieces.groups(batches, "words", GROUP_PIECES):
             words, index, counts = pieces.distinct(group.column("words"))
             words = words.to_pylist()
             if len(of) + len(words) > KNOWN_PIECES:
                 of.clear()
-                yield rows(1, reset=pa.array([True]))
+                values, starts, sizes = values[:0], starts[:0], sizes[:0]
             new = [w.encode() for w in words if w not in of]
             for w in words:
                 of.setdefault(w, len(of))
-            for at in range(0, len(new), 100 * ROW_PIECES):
-                some = new[at : at + 100 * ROW_PIECES]
-                sizes = np.array([len(w) for w in some])
-                ids, piece = table[np.frombuffer(b"".join(some), np.uint8)], np.repeat(np.arange(len(some)), sizes)
-                done = {i: [whole[w]] if w in whole else merge_long([byte_ids[b] for b in w], pairs) for i, w in enumerate(some) if len(w) >= LONG or w in whole}
-                if done:
-                    merged = [done.get(i, ids[e - n : e]) for i, (e, n) in enumerate(zip(np.cumsum(sizes), sizes))]
-                    ids, piece = np.concatenate(merged).astype(np.int32), np.repeat(np.arange(len(some)), [len(x) for x in merged])
-                ids, piece = merge_certain(ids, piece, certain)
-                starts = np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(some)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.int32()))
-                # a row of pieces that need the fold, or one long piece that is done
-                edges = sorted({0, len(some), *range(0, len(some), ROW_PIECES), *(k for i, w in enumerate(some) if len(w) >= LONG for k in (i, i + 1))})
-                done = [len(some[e]) >= LONG for e in edges[:-1]]
-                yield rows(len(done), words=pa.ListArray.from_arrays(pa.array(edges, pa.int32()), lists), folded=pa.array(done))
+            found = [merged(new[at : at + ROW_PIECES]) for at in range(0, len(new), ROW_PIECES)]
+            if found:
+                ids, n = (np.concatenate(x) for x in zip(*found))
+                starts, sizes = np.concatenate([starts, len(values) + np.cumsum(n) - n]), np.concatenate([sizes, n])
+                values = np.concatenate([values, ids])
             number = np.fromiter((of[w] for w in words), np.int32, len(words))
-            places, ends = number[index] if len(words) else index, np.cumsum(counts)
-            keys = group.column(KEPT)
-            for at in range(0, group.num_rows, pieces.BATCH_DOCS):
-                upto = min(at + pieces.BATCH_DOCS, group.num_rows)
-                cuts = [places[e - c : e].tobytes() for e, c in zip(ends[at:upto], counts[at:upto])]
-                part = keys.slice(at, upto - at).combine_chunks()
-                yield rows(upto - at, **{KEPT: pa.concat_arrays(part.chunks) if isinstance(part, pa.ChunkedArray) else part, "index": pa.array(cuts, pa.binary())})
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, starts, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            resets = [i for i, x in enumerate(batch.column("reset").to_pylist()) if x]
-            for first, last in zip([0, *resets], [*resets, batch.num_rows]):
-                if first in resets:
-                    values, starts, sizes = values[:0], starts[:0], sizes[:0]
-                part = batch.slice(first, last - first)
-                fresh = part.column("words").drop_null()
-                if len(fresh):
-                    lists = fresh.flatten()
-                    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                    starts = np.concatenate([starts, len(values) + np.cumsum(n) - n])
-                    sizes = np.concatenate([sizes, n])
-                    values = np.concatenate([values, lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
-                told = part.filter(part.column("index").is_valid())
-                index = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in told.column("index")]
-                counts = np.array([len(x) for x in index], dtype=np.int64)
-                at, held, size = 0, [], 0
-
-                def out():
-                    columns = [held, [_concatenate(shared.value, np.frombuffer(x, "<u4")) for x in held]] if decoded else [held]
-                    return pa.RecordBatch.from_arrays([told.column(KEPT).slice(at, len(held)), *(pa.array(c, pa.binary()) for c in columns)], names=[KEPT, *results])
-
-                for ids in pieces.gather(np.concatenate(index), counts, values, starts, sizes) if index else ():
-                    held.append(ids.tobytes())
-                    size += len(held[-1])
-                    if size > 1 << 22:
-                        yield out()
-                        at, held, size = at + len(held), [], 0
-                if held:
+            places = number[index] if len(words) else index
+            part = group.column(KEPT).combine_chunks()
+            keys = pa.concat_arrays(part.chunks) if isinstance(part, pa.ChunkedArray) else part
+            at, held, size = 0, [], 0
+
+            def out() -> pa.RecordBatch:
+                columns = [held, [_concatenate(shared.value, np.frombuffer(x, "<u4")) for x in held]] if decoded else [held]
+                return pa.RecordBatch.from_arrays([keys.slice(at, len(held)), *(pa.array(c, pa.binary()) for c in columns)], names=[KEPT, *results])
+
+            for ids in pieces.gather(places, counts, values, starts, sizes):
+                held.append(ids.tobytes())
+                size += len(held[-1])
+                if size > 1 << 22 or len(held) == pieces.BATCH_DOCS:
                     yield out()
+                    at, held, size = at + len(held), [], 0
+            if held:
+                yield out()
 
-    shift, entries = _places(vocabulary_path)
-    each = _let(_literal(shift, "int"), lambda s: _let(_literal(entries, "bigint"), lambda e: F.transform("words", lambda w: fold(s, e, w))))
-    folded = words.mapInArrow(collect, row).select(KEPT, F.when(F.col("folded"), F.col("words")).otherwise(each).alias("words"), "index", "reset")
-    encoded = folded.mapInArrow(assemble, T.StructType([document, *(T.StructField(c, T.BinaryType()) for c in results)]))
+    encoded = words.mapInArrow(tokens, T.StructType([document, *(T.StructField(c, T.BinaryType()) for c in results)]))
     return encoded.select(*[F.col(KEPT)[f"c{i}"].alias(c) for i, c in enumerate(kept)], *results)
 
 

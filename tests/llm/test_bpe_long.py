@@ -76,3 +76,21 @@ def test_forgotten_pieces_and_odd_names(spark, library, monkeypatch):
     for r in rows:
         assert ids_of(r) == library[1].encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded) == (texts[r.doc_id] or "").encode()
         assert all(r[c] == c for c in ("_", "_kept", "words", "a.b", "a`b", "c0", "index"))
+
+
+def test_rounds_over_all_pieces_merge_as_one_by_one(library):
+    """Every piece of many, in arrays, merges as it does alone; entries of the map that lie outside it are no pairs."""
+    pairs, ranks = bpe.merges(library[0]), bpe.vocabulary(library[0])
+    shift, entries = (np.array(x, np.int64) for x in bpe._places(library[0]))
+    pick = random.Random(5)
+    words = ["".join(pick.choice("etaoin shrdlué中0.") for _ in range(pick.randrange(1, 40))).encode() for _ in range(400)]
+    ids = [[ranks[bytes([b])] for b in w] for w in words]
+    flat, piece = np.array([x for w in ids for x in w], np.int32), np.repeat(np.arange(len(ids)), list(map(len, ids)))
+    merged, of = bpe.merge_ranked(flat, piece, shift, entries)
+    assert [merged[of == i].tolist() for i in range(len(ids))] == [bpe._fold_plain(w, pairs) for w in ids]
+
+
+def test_rank_map_is_not_in_the_plan(library, spark):
+    """The map of pairs goes to the tasks, not into the plan that the driver holds and prints."""
+    df = bpe.encode(spark.createDataFrame([(1, "one text")], "doc_id long, text string"), library[0], "[^ ]+| +")
+    assert len(df._jdf.queryExecution().toString()) < 20_000
