@@ -10,6 +10,7 @@ Regex dialect notes (Java vs the rule semantics):
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -54,7 +55,9 @@ FORM_ACTION_RE = f"(?iu)<form[^>]*action=[\"']?([^\"'>{WS_CLASS}]+)"
 TITLE_RE = "(?iusd)<title[^>]*>(.*?)</title>"
 BASE64_RUN_RE = "[A-Za-z0-9+/=]{40,}"
 # Runs of more than 64 characters; the look-behind tries a run at its first character alone.
-BASE64_LONG_RUN_RE = "(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{65,}"
+# Written out, the characters are one look-up in a table of bits; ranges are tried one after the other.
+BASE64_CLASS = f"[{string.ascii_letters}{string.digits}+/=]"
+BASE64_LONG_RUN_RE = f"(?<!{BASE64_CLASS}){BASE64_CLASS}{{65,}}"
 BASE64_STRICT_RE = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 

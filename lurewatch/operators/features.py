@@ -68,7 +68,7 @@ def with_page_features(df: DataFrame, rules: RuleSet, html_col: str = "html", ho
         tx.holds_any(text, tx.PASSWORD_LITERALS).alias("password"),
         tx.otp_hint(text).alias("otp"),
         tx.holds_any(text, tx.CARD_LITERALS).alias("card"),
-        cross_domain_post(h, F.col(host_col)).alias("cross_post"),
+        F.when(text.contains("<form"), cross_domain_post(h, F.col(host_col))).otherwise(False).alias("cross_post"),
         tx.holds_any(text, tx.EXFIL_LITERALS).alias("exfil"),
         tx.js_obfuscation(h).alias("js_obf"),
         tx.has_high_entropy_run(h).alias("high_entropy"),
