@@ -4,7 +4,7 @@ Every roll-up returns exactly one row per key (``host`` or ``registrable``),
 so the context assembly is a chain of many-to-one left joins.  Roll-ups that
 group by ``host`` leave their output hash-partitioned on ``host``; the
 context joins on the same key then reuse that partitioning instead of
-re-shuffling.  Page bodies never enter a shuffle: ``page_features`` reduces
+re-shuffling.  No roll-up shuffles page bodies: ``page_features`` reduces
 each body to a small struct map-side, before ``capture_pair`` groups.
 
 Input schemas (all explicit):
